@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadloom.llm import bpe
+from threadloom.llm import ann, bpe, chat, near_dup, packing, quality, toxicity, warc
+from threadloom.llm.common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +20,50 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("mask_starts", "mask_ends")]
+    return chat.rotate(_table(spark, sf_dir, "conversations")).select("conv_id", "speaker", "segment", "n_turns", "n_masked", "rendered", *spans)
+
+
+def _decided(scored: DataFrame, threshold: float) -> DataFrame:
+    predicted: Column = (F.col("score") >= threshold).cast("int")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return _decided(toxicity.score(documents, toxicity.learn(documents, _table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), 0.3)
+
+
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_ann": op3_ann,
+    "op4_chat": op4_chat,
+    "op5_toxicity": op5_toxicity,
+    "op7_quality": op7_quality,
+    "op8_near_dup": op8_near_dup,
+    "op9_warc": op9_warc,
+    "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE}
