@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import ann, bpe, chat, near_dup, packing, quality, toxicity, warc
+from threadloom.llm import ann, bpe, chat, near_dup, ngram_join, packing, quality, toxicity, warc
 from threadloom.llm.common import held_out
 
 
@@ -39,6 +39,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(toxicity.score(documents, toxicity.learn(documents, _table(spark, sf_dir, "labels"))), 0.5)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_sets(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), 0.3)
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ann": op3_ann,
     "op4_chat": op4_chat,
     "op5_toxicity": op5_toxicity,
+    "op6_ngram_join": op6_ngram_join,
     "op7_quality": op7_quality,
     "op8_near_dup": op8_near_dup,
     "op9_warc": op9_warc,
