@@ -1,9 +1,59 @@
-"""From documents to training sequences, in stages that each call one operator."""
+"""From documents to training sequences, in stages that each call one operator.
 
-STAGES: list = []
+Every stage works on all rows its predecessor kept. Rows whose doc_id is null are kept by the first three stages; of
+rows that share a doc_id, a filter keeps all if it keeps one.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadloom.llm import ngram_join, packing, quality, suffix_dedup, toxicity
+from threadloom.llm.common import bounded_join, work_path, work_table
+
+QUALITY, TOXIC = 0.3, 0.5
+
+
+def _without(docs: DataFrame, scored: DataFrame, rejected) -> DataFrame:
+    """docs without those all of whose rows are rejected; their ids are broadcast only if counted to be few."""
+    gone = work_table(scored.filter("doc_id is not null").groupBy("doc_id").agg(F.every(rejected).alias("all")).filter("all").select("doc_id"), "rejected")
+    return bounded_join(docs, gone, ["doc_id"], "left_anti")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, scored, F.col("score") < QUALITY)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, toxicity.score(docs, model), F.col("score") >= TOXIC)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles and a similarity of 0.8, as for all near duplicates of the pipeline."""
+    return ngram_join.keep_one(docs, words=5, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list = [("quality", keep_good), ("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("repeats", cut_repeats), ("packing", pack)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents of sf_dir; each stage's rows are written and read again by the next."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = work_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

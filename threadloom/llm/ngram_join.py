@@ -228,7 +228,7 @@ def join_sets(documents: DataFrame, words: int = WORDS, percent: int = PERCENT)
     near = components(map_rows(cuts, chain, "u long, v long"))
 
     # Candidates' sets are made anew from the text of one row each.
-    sets = profiles.filter("not gram and n_shingles > 0").groupBy("set", "n_shingles").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("nameless"))
+    sets = profiles.filter("not gram and n_shingles > 0").groupBy("set", "n_shingles").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     sets = work_table(sets, "sets")
     named = work_table(sets.join(near.withColumnRenamed("node", "set"), "set").select("set", "first", "n_shingles", F.col("comp").alias("chain")), "candidates")
     counts = named.groupBy("chain").agg(F.count(F.lit(1)).alias("n"))

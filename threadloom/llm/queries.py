@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import ann, bpe, chat, near_dup, ngram_join, packing, quality, toxicity, warc
+from threadloom.llm import ann, bpe, chat, near_dup, ngram_join, packing, quality, suffix_dedup, toxicity, warc
 from threadloom.llm.common import held_out
 
 
@@ -20,6 +20,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start_word", "end_word", "source_doc_id", "removable")
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)))
 
@@ -61,6 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_ann": op3_ann,
     "op4_chat": op4_chat,
     "op5_toxicity": op5_toxicity,
