@@ -26,7 +26,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 #: Pieces of text longer than this are encoded without being remembered; so many are remembered at most in a worker.
-MEMO_CHARS, MEMO_SIZE = 64, 1_000_000
+MEMO_CHARS, MEMO_SIZE = 64, 200_000
 
 
 def byte_letters() -> list[str]:
@@ -120,7 +120,7 @@ class BacktrackingBpe:
                 else:
                     fits = known.get(pair := last << 20 | token)
                     if fits is None:
-                        if len(known) > 1_000_000:
+                        if len(known) > 200_000:
                             known.clear()
                         fits = known[pair] = self._fits(last, token)
                 if fits:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side with at most so many rows of a few numbers each may be broadcast (about 16 bytes a row: 32 MB).
 BROADCAST_ROWS = 2_000_000
+#: Rows in an Arrow batch at most.
+BATCH_ROWS = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,11 +39,18 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
 
 def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict | pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow for functions that yield dicts of columns; Spark's schema string names and types them."""
-    arrow = _arrow_schema(df.sparkSession, schema)
+    spark = df.sparkSession
+    arrow = _arrow_schema(spark, schema)
+    # Whole texts come in batches: the default of 10,000 rows would hold much of a split at once, on both sides.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in rows(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        try:
+            for out in rows(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        finally:
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -31,7 +31,7 @@ PERCENT = 85
 #: An n-gram that so many documents hold (as far as tasks see it repeat) is frequent; so many are known at most.
 FREQUENT, KNOWN = 64, 1_000_000
 #: N-grams among which a task looks for repeats at once.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Documents of a block, and columns of the overlap count's fragments.
 BLOCK, COLUMNS = 256, 4096
 #: Small candidate groups that are compared in one call, about.

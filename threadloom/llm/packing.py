@@ -24,7 +24,7 @@ CAPACITY = 2048
 #: Pieces that one task packs together in the first round; the rest of each group meets in a second round.
 GROUP = 4096
 END = 0
-MEMO_CHARS, MEMO_SIZE = 64, 1_000_000
+MEMO_CHARS, MEMO_SIZE = 64, 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long"
 

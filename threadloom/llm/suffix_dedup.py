@@ -268,9 +268,9 @@ def _across(edges, least: int) -> tuple[list[tuple], dict[int, int]]:
 
 
 def cut_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """documents with the removable spans of `spans` cut out of their texts, and n_chars, where there is one, made anew.
+    """documents with the removable spans of `spans` cut out of their texts; n_chars, where there is one, is made anew for all rows.
 
-    A text that loses every word goes with its row; rows without removable spans stay as they are.
+    A text that loses every word goes with its row; the texts of rows without removable spans stay as they are.
     """
     gone = spans(documents, least).filter("removable").groupBy("doc_id", "body").agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("cut"))
     gone = work_table(gone.groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_list(F.struct("body", "cut")).alias("cuts")), "cuts")

@@ -117,7 +117,7 @@ def learn(documents: DataFrame, labels: DataFrame, column: str = "toxic", bound:
                     found, _ = distinct(np.concatenate([run.words[part], *(p[part] for p in run.prefixes.values())]))
                     held[label[run.first + i]].append(found)
                     size += len(found)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield sums()
                     size = 0
         yield sums()

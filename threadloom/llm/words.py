@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in runs of about so many bytes; a longer text is a run of its own.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 #: All of ASCII but letters and digits.
