@@ -6,8 +6,9 @@ its copies. Places whose gram occurs once in the corpus are dropped; for the oth
 fetched, Spark range-partitions and sorts the suffixes, and each is compared with the NEIGHBOURS before it, to the
 right and to the left. Matches of at least LEAST words are spans; spans of neighbouring places cover longer passages.
 
-Suffixes that match in a row are one passage. Of its places the first (smallest doc_id, then position) stays, the
-others may go: what goes is always still held by a smaller document or an earlier place, so no passage is lost.
+Suffixes that match in a row are a run. Of two places that match, that of the larger document, or the later one, may go:
+its words are then still held by a smaller document or an earlier place, so no passage is lost. Each place also meets
+the smallest of its run so far, so that of a passage that many documents hold only one stays.
 """
 
 from __future__ import annotations
@@ -59,8 +60,8 @@ def body_of(run: Run, i: int) -> int:
 def spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, body, start_word, end_word, source_doc_id, removable): repeated passages of at least `least` words.
 
-    Words are runs of bytes without ASCII white space, A-Z lower-cased; ends are excluded. source_doc_id is the
-    passage's first document. removable spans of a document are disjoint; those not removable are where the passage
+    Words are runs of bytes without ASCII white space, A-Z lower-cased; ends are excluded. source_doc_id is a
+    smaller document that holds the words, or the document itself. removable spans of a document are disjoint; those not removable are where the passage
     stays. Texts of equal words beyond the first are wholly removable. Texts shorter than `least` and null texts have
     no spans; rows with a null doc_id take no part; rows that repeat a doc_id and its text stand for each other. body
     names the word sequence that a span belongs to, should rows of different texts share a doc_id.
@@ -125,23 +126,15 @@ def spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
     order = ["gram", "behind", "first", "pos", "body"]
     found = work_table(map_rows(table.repartitionByRange(*order).sortWithinPartitions(*order), lambda batches: _matches(batches, least), MATCHES), "matches")
 
-    # A passage may cross partitions: of each only its outermost rows (at most 2 * NEIGHBOURS) reach the driver.
-    edges = found.filter("edge is not null").select("edge", "run", "gram", "behind", "before", "first", "pos", "body", "room", "back").toPandas()
-    extra, same_run = _across(edges, least)
-    matches = found.filter("edge is null").select("run", "first", "pos", "body", "start", "stop")
+    # A passage may cross partitions: of each only its outermost rows (at most 4 * NEIGHBOURS) reach the driver.
+    extra = _across(found.filter("edge is not null").toPandas(), least)
+    out = ["body", "doc_id", "start", "stop", "source_doc_id", "removable"]
+    placed = found.filter("edge is null").select("body", F.col("first").alias("doc_id"), "start", "stop", F.col("source").alias("source_doc_id"), "removable")
     if extra:
-        matches = matches.unionByName(documents.sparkSession.createDataFrame(extra, "run long, first long, pos long, body long, start long, stop long"))
-    if same_run:
-        roots = documents.sparkSession.createDataFrame(sorted(same_run.items()), "run long, root long")
-        matches = matches.join(F.broadcast(roots), "run", "left").withColumn("run", F.coalesce("root", "run")).drop("root")
-    origins = matches.groupBy("run").agg(F.min(F.struct("first", "pos", "body")).alias("o"))
-    placed = matches.join(origins, "run").select(
-        "body", F.col("first").alias("doc_id"), "start", "stop", F.col("o.first").alias("source_doc_id"),
-        (F.struct("first", "pos", "body") != F.col("o")).alias("removable"),
-    )
+        placed = placed.unionByName(documents.sparkSession.createDataFrame(extra, "body long, doc_id long, start long, stop long, source_doc_id long, removable boolean"))
     # Overlapping spans of a text become one.
     by = Window.partitionBy("body", "doc_id", "removable").orderBy("start", "stop")
-    fresh = placed.distinct().withColumn("new", F.coalesce(F.col("start") > F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    fresh = placed.select(*out).distinct().withColumn("new", F.coalesce(F.col("start") > F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
     merged = fresh.withColumn("nth", F.sum("new").over(by)).groupBy("body", "doc_id", "removable", "nth").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("source_doc_id").alias("source_doc_id"))
     out = ["doc_id", "body", "start_word", "end_word", "source_doc_id", "removable"]
     # Texts that occur in several documents: wholly repeated.
@@ -151,7 +144,7 @@ def spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
     return merged.select(*out).unionByName(whole.select(*out))
 
 
-MATCHES = "run long, first long, pos long, body long, start long, stop long, edge long, gram long, behind binary, before binary, room int, back int"
+MATCHES = "body long, first long, start long, stop long, source long, removable boolean, edge long, gram long, behind binary, before binary, pos long, room int, back int"
 
 
 def _words(column: pa.Array, width: int) -> np.ndarray:
@@ -182,89 +175,123 @@ class _Rows:
         return _Rows(*(np.concatenate([getattr(self, c), getattr(other, c)]) for c in self.__dict__))
 
 
-def _compare(rows: _Rows, least: int, old: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(parent, start, stop): each row's nearest matching row before it, itself if none, and the span of all its matches (start > stop if none). Rows below old are not compared with each other."""
-    n = len(rows.pos)
-    parent, start, stop = np.arange(n), np.full(n, 1 << 60), np.full(n, -1)
-    for j in range(1, min(NEIGHBOURS, n - 1) + 1):
-        near = np.flatnonzero((rows.gram[j:] == rows.gram[:-j]) & (np.arange(j, n) >= old))
-        a, b = near, near + j
-        right = np.minimum(_common(rows.behind[a], rows.behind[b]), np.minimum(rows.room[a], rows.room[b]))
-        left = np.minimum(_common(rows.before[a], rows.before[b]), np.minimum(rows.back[a], rows.back[b]))
-        hit = right + left >= least
-        # Places of one text that overlap in the match repeat themselves, not a passage.
-        hit &= (rows.body[a] != rows.body[b]) | (np.abs(rows.pos[a] - rows.pos[b]) >= right + left)
+class _Spans:
+    """For each row the span in which a smaller row repeats it (1, removable), and that in which it repeats a larger one (0)."""
+
+    def __init__(self, rows: _Rows):
+        n = len(rows.pos)
+        self.rows, self.rank = rows, np.empty(n, dtype=np.int64)
+        self.rank[np.lexsort((rows.body, rows.pos, rows.first))] = np.arange(n)
+        self.start, self.stop, self.source = np.full((2, n), 1 << 60), np.full((2, n), -1), np.full((2, n), (1 << 63) - 1)
+
+    def meet(self, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+        """Note the matches of rows a with rows b; which of the pairs match."""
+        r = self.rows
+        right = np.minimum(_common(r.behind[a], r.behind[b]), np.minimum(r.room[a], r.room[b]))
+        left = np.minimum(_common(r.before[a], r.before[b]), np.minimum(r.back[a], r.back[b]))
+        # Places of one text must not overlap in the match.
+        hit = (r.gram[a] == r.gram[b]) & (right + left >= least) & ((r.body[a] != r.body[b]) | (np.abs(r.pos[a] - r.pos[b]) >= right + left))
         a, b, right, left = a[hit], b[hit], right[hit], left[hit]
-        for x in (a, b):
-            np.minimum.at(start, x, rows.pos[x] - left)
-            np.maximum.at(stop, x, rows.pos[x] + right)
-        parent[b] = np.where(parent[b] == b, a, parent[b])
-    while True:
-        up = parent[parent]
-        if (up == parent).all():
-            return parent, start, stop
-        parent = up
+        small, large = np.where(self.rank[a] < self.rank[b], a, b), np.where(self.rank[a] < self.rank[b], b, a)
+        for kind, x in ((0, small), (1, large)):
+            np.minimum.at(self.start[kind], x, r.pos[x] - left)
+            np.maximum.at(self.stop[kind], x, r.pos[x] + right)
+            np.minimum.at(self.source[kind], x, r.first[small])
+        return hit
+
+    def found(self) -> Iterator[tuple[np.ndarray, int]]:
+        for kind in (0, 1):
+            yield np.flatnonzero(self.stop[kind] >= 0), kind
 
 
 def _matches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[dict]:
+    """Spans of the rows of one partition, in order; and its outermost rows, so that neighbouring partitions can be compared.
+
+    Each row meets the NEIGHBOURS before it and, as those may all be larger, the smallest row so far of its run (rows
+    that match in a row). Only the smallest rows of the last runs and the last rows are held from batch to batch.
+    """
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
     held: _Rows | None = None
-    names = np.zeros(0, dtype=np.int64)
-    made = 0
+    names, olds, made, first_runs = np.zeros(0, dtype=np.int64), 0, 0, np.zeros(0, dtype=np.int64)
+    leading: _Rows | None = None
     none = lambda n: [None] * n
 
-    def edge(rows: _Rows, runs_: np.ndarray, last: int) -> dict:
-        m = len(rows.pos)
-        return {"run": runs_, "first": rows.first, "pos": rows.pos, "body": rows.body, "start": none(m), "stop": none(m), "edge": np.full(m, 2 * part + last), "gram": rows.gram,
-                "behind": [x.tobytes() for x in rows.behind], "before": [x.tobytes() for x in rows.before], "room": rows.room, "back": rows.back}
+    def edge(r: _Rows, last: int) -> dict:
+        m = len(r.pos)
+        return {"body": r.body, "first": r.first, "start": none(m), "stop": none(m), "source": none(m), "removable": none(m), "edge": np.full(m, 2 * part + last), "gram": r.gram,
+                "behind": [x.tobytes() for x in r.behind], "before": [x.tobytes() for x in r.before], "pos": r.pos, "room": r.room, "back": r.back}
 
     for b in batches:
         if not b.num_rows:
             continue
         new = _Rows.of({c: b.column(i) for i, c in enumerate(b.schema.names)})
-        rows, old = (new, 0) if held is None else (held.then(new), len(held.pos))
-        parent, start, stop = _compare(rows, least, old)
-        own = np.concatenate([names, (part << 36) + made + np.arange(len(new.pos))])
+        # Held rows: smallest of runs first (olds of them), then the last rows in order.
+        rows = new if held is None else held.then(new)
+        n, old = len(rows.pos), 0 if held is None else len(held.pos)
+        spans_, parent = _Spans(rows), np.arange(n)
+        for j in range(1, NEIGHBOURS + 1):
+            later = np.arange(max(old, olds + j), n)
+            later = later[rows.gram[later] == rows.gram[later - j]]
+            linked = later[spans_.meet(later - j, later, least)]
+            parent[linked] = np.where(parent[linked] == linked, linked - j, parent[linked])
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        run = np.concatenate([names, made + np.arange(len(new.pos))])[parent]
         made += len(new.pos)
-        run = own[parent]
-        hit = np.flatnonzero(stop >= 0)
-        k = len(hit)
-        yield {"run": run[hit], "first": rows.first[hit], "pos": rows.pos[hit], "body": rows.body[hit], "start": start[hit], "stop": stop[hit], "edge": none(k), "gram": none(k), "behind": none(k), "before": none(k), "room": none(k), "back": none(k)}
+        # The smallest row of the run so far, by a running minimum within runs.
+        by_run = np.lexsort((np.arange(n), run))
+        starts = np.concatenate([[True], run[by_run][1:] != run[by_run][:-1]])
+        group = np.cumsum(starts) - 1
+        least_so_far = np.minimum.accumulate(spans_.rank[by_run] - group * n)[:] + group * n
+        row_of = np.empty(n, dtype=np.int64)
+        row_of[spans_.rank] = np.arange(n)
+        smallest = row_of[least_so_far]
+        at = np.flatnonzero(~starts[1:]) + 1
+        at = at[by_run[at] >= old]
+        spans_.meet(smallest[at - 1], by_run[at], least)
+        for hit, kind in spans_.found():
+            k = len(hit)
+            yield {"body": rows.body[hit], "first": rows.first[hit], "start": spans_.start[kind][hit], "stop": spans_.stop[kind][hit], "source": spans_.source[kind][hit], "removable": np.full(k, kind == 1), "edge": none(k), "gram": none(k), "behind": none(k), "before": none(k), "pos": none(k), "room": none(k), "back": none(k)}
+        ends = np.flatnonzero(np.append(starts[1:], True))
+        final = dict(zip(run[by_run][ends].tolist(), smallest[ends].tolist()))
         if held is None:
-            yield edge(rows.take(slice(0, NEIGHBOURS)), run[:NEIGHBOURS], 0)
-        held, names = rows.take(slice(-NEIGHBOURS, None)), run[-NEIGHBOURS:]
+            first_runs = run[:NEIGHBOURS]
+            leading = rows.take(slice(0, NEIGHBOURS))
+        for r in {x for x in first_runs.tolist() if x in final}:
+            leading = leading.then(rows.take([final[r]]))
+        leading = leading.take(np.r_[0 : min(NEIGHBOURS, len(leading.pos)), max(NEIGHBOURS, len(leading.pos) - NEIGHBOURS) : len(leading.pos)])
+        tail = slice(max(olds, n - NEIGHBOURS), n)
+        runs_left = sorted(set(run[tail].tolist()))
+        reps = np.array([final[r] for r in runs_left], dtype=np.int64)
+        names, olds = np.concatenate([runs_left, run[tail]]), len(reps)
+        held = rows.take(reps).then(rows.take(tail))
     if held is not None:
-        yield edge(held, names, 1)
-
-
-def _across(edges, least: int) -> tuple[list[tuple], dict[int, int]]:
-    """Matches between the last rows of a partition and the first of the next, and runs that are one (run: root)."""
-    extra, roots = [], {}
-
-    def root(r: int) -> int:
-        while roots.get(r, r) != r:
-            r = roots[r]
-        return r
-
-    sides = {e: g for e, g in edges.groupby("edge")} if len(edges) else {}
-    parts = sorted({e // 2 for e in sides})
-    as_rows = lambda g: _Rows(g["gram"].to_numpy(), np.stack([np.frombuffer(x, np.uint32) for x in g["behind"]]), np.stack([np.frombuffer(x, np.uint32) for x in g["before"]]), *(g[c].to_numpy() for c in ("first", "pos", "body", "room", "back")))
-    for a, b in zip(parts, parts[1:]):
-        one, two = sides[2 * a + 1], sides[2 * b]
-        rows = as_rows(one).then(as_rows(two))
-        run = np.concatenate([one["run"].to_numpy(), two["run"].to_numpy()])
-        _, start, stop = _compare(rows, least, len(one))
-        for j in range(1, NEIGHBOURS + 1):
-            for i in range(len(one), len(run)):
-                k = i - j
-                if 0 <= k < len(one) and _compare(rows.take([k, i]), least)[0][1] == 0:
-                    x, y = sorted((root(int(run[k])), root(int(run[i]))))
-                    roots[x], roots[y] = x, x
-        for i in np.flatnonzero(stop >= 0).tolist():
-            extra.append(tuple(int(v) for v in (run[i], rows.first[i], rows.pos[i], rows.body[i], start[i], stop[i])))
-    return extra, {r: root(r) for r in list(roots)}
+        yield edge(leading, 0)
+        yield edge(held, 1)
+
+
+def _across(edges, least: int) -> list[tuple]:
+    """Spans of matches between the outermost rows of neighbouring partitions; the last rows of one gram go along over partitions that hold no other."""
+    out, carried = [], None
+    sides = {e: g for e, g in edges.groupby("edge")}
+    matrix = lambda c: np.stack([np.frombuffer(x, np.uint32) for x in c])
+    of = lambda g: _Rows(g["gram"].to_numpy(), matrix(g["behind"]), matrix(g["before"]), *(g[c].to_numpy(dtype=np.int64) for c in ("first", "pos", "body", "room", "back")))
+    for p in sorted({e // 2 for e in sides}):
+        lead, last = of(sides[2 * p]), of(sides[2 * p + 1])
+        if carried is not None:
+            rows = carried.then(lead)
+            k = len(carried.pos)
+            spans_ = _Spans(rows)
+            a, b = (x.ravel() for x in np.meshgrid(np.arange(k), np.arange(k, len(rows.pos))))
+            spans_.meet(a, b, least)
+            for hit, kind in spans_.found():
+                out += [tuple(int(v) for v in (rows.body[i], rows.first[i], spans_.start[kind][i], spans_.stop[kind][i], spans_.source[kind][i])) + (kind == 1,) for i in hit]
+            same = np.flatnonzero(carried.gram == last.gram[-1])
+            last = carried.take(same[np.lexsort((carried.pos[same], carried.first[same]))][: 2 * NEIGHBOURS]).then(last)
+        carried = last
+    return out
 
 
 def cut_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
