@@ -117,7 +117,7 @@ h as (select *, coalesce(ms - lag(ms) over (partition by thread_id order by rn)
 g as (select *, sum(begins::int) over (partition by thread_id order by rn) as episode from h),
 x as (select thread_id, min(ms) as start_ms, max(ms) as end_ms, arg_min(id, rn) as start_id, count(*) as hostile, count(*) filter (me) as hostile_me, count(*) filter (not me) as hostile_them,
   count(*) filter (tension >= 3 and me) as severe_me, count(*) filter (tension >= 3 and not me) as severe_them, max(tension) as peak, arg_min(me, rn) as begun_by_me, arg_max(me, rn) as ended_by_me,
-  max(rn) - min(rn) + 1 as msg_count, max_by({{'v': warm}}, rn).v as warm from g group by thread_id, episode having count(*) >= LEAST_N),
+  cast(max(rn) - min(rn) + 1 as int) as msg_count, max_by({{'v': warm}}, rn).v as warm from g group by thread_id, episode having count(*) >= LEAST_N),
 ep as (select * exclude (warm), coalesce(warm.ms - end_ms <= 86400000, false) as repaired, case when warm.ms - end_ms <= 86400000 then warm.ms end as repair_ms,
   case when warm.ms - end_ms <= 86400000 then warm.me end as repaired_by_me from x)"""
 
@@ -194,7 +194,7 @@ def eras(spark: SparkSession, folder: str) -> DataFrame:
 g as (select *, ms - lag(ms) over w as gap, row_number() over w as rn, lag(busy) over w as b from
   (select *, count(*) over (partition by thread_id order by ms range between 777599999 preceding and current row) as busy from msgs) window w as (partition by thread_id order by ms, id)),
 c as (select thread_id, count(*) as n, max(gap) as gap_ms, arg_max(b, (gap, -rn)) filter (gap is not null) as busy from g group by 1)
-select thread_id, n, gap_ms, case when n >= 10 and busy >= 5 and gap_ms >= 2 * 86400000 then 0.4 when n >= 10 and busy >= 5 and gap_ms >= 9 * 86400000 then 0.6 else 1.0 end as confidence from c""", "events")
+select thread_id, n, gap_ms, case when n >= 10 and busy >= 5 and gap_ms >= 2 * 86400000 then 0.4 when n >= 10 and busy >= 5 and gap_ms >= 9 * 86400000 then 0.6 else 1.0 end::double as confidence from c""", "events")
 def thread_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return conflict.coverage(events_messages(spark, folder), 9, 2, 5)
 
@@ -225,7 +225,7 @@ def river(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""with p as (select doc_id, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' as w from documents),
-m as (select doc_id, len(string_split(trim(w), ' ')) as length, cast((length(w) - length(replace(w, ' of the ', '  '))) / 6 as bigint) as hits from p),
+m as (select doc_id, cast(len(string_split(trim(w), ' ')) as int) as length, cast((length(w) - length(replace(w, ' of the ', '  '))) / 6 as bigint) as hits from p),
 s as (select count(*) as docs, avg(length) as mean, count(*) filter (hits > 0) as n from m)
 select doc_id, hits, length, round(ln(1 + (docs - n + 0.5) / (n + 0.5)) * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * length / mean)), 6) as score from m, s where hits > 0""")
 def phrase_search(spark: SparkSession, folder: str) -> DataFrame:
