@@ -8,7 +8,10 @@ the piece's demands ("dot"). A piece's demands follow from its length alone.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,8 @@ CAPACITY = 2048
 #: Pieces that one task packs together in the first round; the rest of each group meets in a second round.
 GROUP = 4096
 END = 0
-MEMO_CHARS, MEMO_SIZE = 64, 200_000
+WORD = re.compile("([A-Za-z]+)([.,]?)")
+MEMO_CHARS, MEMO_SIZE, RUN_CHARS = 64, 150_000, 1 << 21
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long"
 
@@ -41,23 +45,45 @@ class ChunkTokenizer:
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
         self._memo: dict[str, bytes] = {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        memo = self._memo
-        missing = list({c for c in chunks if c not in memo})
-        if missing:
-            if len(memo) + len(missing) > MEMO_SIZE:
-                memo.clear()
-                missing = list(set(chunks))
-            for c, e in zip(missing, self._tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                memo[c] = np.array(e.ids, dtype="<u4").tobytes()
-        out = b"".join([memo[c] for c in chunks])
-        for c in missing:
+        self._old: dict[str, bytes] = {}
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of some texts; the library sees each new stretch of all of them once, in one call."""
+        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        memo, old = self._memo, self._old
+        missing = set().union(*chunks).difference(memo)
+        new = [c for c in missing if c not in old]
+        memo.update((c, old[c]) for c in missing if c in old)
+        # ASCII words are lower-cased and parted from a final mark by the vocabulary's rules: their plain forms do.
+        plain = {c: (m[1].lower(), m[2]) for c in new if (m := WORD.fullmatch(c))}
+        bases = {x for parts in plain.values() for x in parts}.union(c for c in new if c not in plain).difference(memo)
+        memo.update((c, old[c]) for c in bases if c in old)
+        unknown = [c for c in bases if c not in memo]
+        for c, e in zip(unknown, self._tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
+            memo[c] = np.array(e.ids, dtype="<u4").tobytes() if sys.byteorder == "big" else array("I", e.ids).tobytes()
+        for c, (word, mark) in plain.items():
+            memo[c] = memo[word] + memo[mark]
+        out = [b"".join([memo[c] for c in own]) for own in chunks]
+        for c in {*new, *unknown}:
             if len(c) > MEMO_CHARS:
                 del memo[c]
+        if len(memo) > MEMO_SIZE:
+            # Stretches that aren't met again before the next change of generations are forgotten.
+            self._memo, self._old = {"": b""}, memo
         return out
 
+    def runs(self, texts: pa.Array) -> Iterator[bytes]:
+        """encode_all over runs of RUN_CHARS."""
+        held: list[str] = []
+        size = 0
+        for t in texts:
+            held.append(t.as_py() or "")
+            size += len(held[-1])
+            if size > RUN_CHARS:
+                yield from self.encode_all(held)
+                held, size = [], 0
+        yield from self.encode_all(held)
+
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
 
@@ -80,8 +106,8 @@ def cut_documents(documents: DataFrame, path: str, capacity: int = CAPACITY) ->
         coder, slot = tokenizer(path), TaskContext.get().partitionId() * 7919
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "slot")}
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = coder.encode(text.as_py() or "") + END.to_bytes(4, "little")
+            for key, text_ids in zip(b.column(0).to_pylist(), coder.runs(b.column(1))):
+                ids = text_ids + END.to_bytes(4, "little")
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for k, v in zip(out, (key, i, at // 4, len(part) // 4, zlib.crc32(part), slot)):
