@@ -8,7 +8,6 @@ the piece's demands ("dot"). A piece's demands follow from its length alone.
 
 from __future__ import annotations
 
-import re
 import sys
 import zlib
 from array import array
@@ -27,8 +26,7 @@ CAPACITY = 2048
 #: Pieces that one task packs together in the first round; the rest of each group meets in a second round.
 GROUP = 4096
 END = 0
-WORD = re.compile("([A-Za-z]+)([.,]?)")
-MEMO_CHARS, MEMO_SIZE, RUN_CHARS = 64, 150_000, 1 << 21
+MEMO_CHARS, MEMO_SIZE, RUN_CHARS = 64, 300_000, 1 << 21
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long"
 
@@ -54,17 +52,10 @@ class ChunkTokenizer:
         missing = set().union(*chunks).difference(memo)
         new = [c for c in missing if c not in old]
         memo.update((c, old[c]) for c in missing if c in old)
-        # ASCII words are lower-cased and parted from a final mark by the vocabulary's rules: their plain forms do.
-        plain = {c: (m[1].lower(), m[2]) for c in new if (m := WORD.fullmatch(c))}
-        bases = {x for parts in plain.values() for x in parts}.union(c for c in new if c not in plain).difference(memo)
-        memo.update((c, old[c]) for c in bases if c in old)
-        unknown = [c for c in bases if c not in memo]
-        for c, e in zip(unknown, self._tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
+        for c, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             memo[c] = np.array(e.ids, dtype="<u4").tobytes() if sys.byteorder == "big" else array("I", e.ids).tobytes()
-        for c, (word, mark) in plain.items():
-            memo[c] = memo[word] + memo[mark]
         out = [b"".join([memo[c] for c in own]) for own in chunks]
-        for c in {*new, *unknown}:
+        for c in new:
             if len(c) > MEMO_CHARS:
                 del memo[c]
         if len(memo) > MEMO_SIZE:
