@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.operators.ordered import after, gap_groups, next_where, order, rounded, substantive, upto
+from threadloom.operators.ordered import gap_groups, next_where, order, rounded, substantive, upto
 from threadloom.sources.tables import HOUR_MS, date_of, day_of
 
 
@@ -30,7 +30,7 @@ def episodes(messages: DataFrame, gap_ms: int = 6 * HOUR_MS, least: int = 5, rep
     msg_count counts all substantive messages from the first to the last. A repair is the first warm message after the
     last hostile one within repair_ms.
     """
-    rows = substantive(messages).withColumn("rn", F.row_number().over(order())).withColumn("warm", F.first(F.when(warm(), F.struct("ms", "me")), ignorenulls=True).over(after()))
+    rows = substantive(messages).withColumn("rn", F.row_number().over(order())).withColumn("warm", next_where(warm(), F.struct("ms", "me")))
     rows = gap_groups(rows.filter(hostile()), gap_ms, "episode")
     me = F.col("me")
     out = rows.groupBy("thread_id", "episode").agg(

@@ -21,8 +21,9 @@ def upto() -> WindowSpec:
     return order().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def after() -> WindowSpec:
-    return order().rowsBetween(1, Window.unboundedFollowing)
+def coming() -> WindowSpec:
+    """The messages after each one, nearest last: their running last value is the next one, where a frame that shrinks would be summed anew for each row."""
+    return Window.partitionBy("thread_id").orderBy(F.desc("ms"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def spoken(messages: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def substantive(messages: DataFrame) -> DataFrame:
 
 def next_where(condition: Column, value: Column) -> Column:
     """value of the next message after this one that meets condition."""
-    return F.first(F.when(condition, value), ignorenulls=True).over(after())
+    return F.last(F.when(condition, value), ignorenulls=True).over(coming())
 
 
 def last_where(condition: Column, value: Column) -> Column:
