@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Type codes of exported messages and addresses, the verbs of reactions sent as text.
 SMS_DIRECTIONS = {1: "incoming", 2: "outgoing", 3: "draft"}
@@ -95,13 +96,14 @@ def reaction_kind(body: Column) -> Column:
 def language(body: Column) -> Column:
     """The language most of whose frequent words a text holds (ties: first in FREQUENT); null under four characters or without any."""
     words = F.split(F.lower(F.trim(body)), r"[^\p{L}]+")
-    counts = {code: F.size(F.filter(words, lambda w, known=known: w.isin(known.split()))) for code, known in FREQUENT.items()}
+    count = lambda known: F.size(F.filter(words, lambda w: w.isin(known.split())))
+    counts = {code: count(known) for code, known in FREQUENT.items()}
     most = F.greatest(*counts.values())
     found = F.coalesce(*[F.when(n == most, code) for code, n in counts.items()])
     return F.when((F.length(F.trim(body)) >= 4) & (most > 0), found)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 

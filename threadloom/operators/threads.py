@@ -70,8 +70,9 @@ def dedup_keys(messages: DataFrame, counterpart: str, body: str = "body", native
     changed = F.coalesce(F.col("_identity") != F.lag("_identity").over(w), F.lit(True)).cast("int")
     known = m.select(*group, "ms", "_identity").distinct().withColumn("_changed", changed)
     known = known.withColumn("occurrence", (F.sum("_changed").over(w) - 1).cast("int")).drop("_changed")
-    same = [m[c].eqNullSafe(known[c]) for c in [*group, "ms", "_identity"]]
-    found = m.join(known, same, "left").select(*[m[c] for c in m.columns], known["occurrence"])
+    identified = [*group, "ms", "_identity"]
+    known = known.select(*[F.col(c).alias("_of" + c) for c in identified], "occurrence")
+    found = m.join(known, [F.col(c).eqNullSafe(F.col("_of" + c)) for c in identified], "left").drop(*["_of" + c for c in identified])
     key = F.concat_ws("|", F.to_json(F.array("_counterpart", "direction")), "_minute", "_body", "occurrence")
     return found.withColumn("dedup_key", F.sha2(key, 256)).drop("_counterpart", "_minute", "_body", "_identity")
 
