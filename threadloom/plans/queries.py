@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators import conflict, metrics, search
+from threadloom.operators import conflict, metrics, search, threads
 from threadloom.sources.tables import HOUR_MS, SQL, conversation_messages, events_messages, orders_messages, table
 
 DAY = 24 * HOUR_MS
@@ -268,3 +268,16 @@ select a.t as a, b.t as b, count(*) as shared from m a join m b on a.p = b.p and
 def related_threads(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "lineitem").join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return search.related_threads(parts, "s_nationkey", "l_partkey")
+
+
+@query("""with n as (select source, lang, count(*) as n from documents where lang is not null group by 1, 2)
+select source, arg_min(lang, (-n, lang)) as lang, max(n) as n from n group by 1""")
+def primary_language(spark: SparkSession, folder: str) -> DataFrame:
+    return threads.primary_language(table(spark, folder, "documents"), "source")
+
+
+@query("""with k as (select doc_id, coalesce(source, '') as c, lang as d, n_chars * 1000 as ms, sha256(trim(regexp_replace(nfc_normalize(coalesce(text, '')), '\\s+', ' ', 'g'), ' ')) as body from documents)
+select doc_id, cast(dense_rank() over (partition by c, d, ms // 60000, body order by ms) - 1 as int) as occurrence from k""")
+def dedup_occurrences(spark: SparkSession, folder: str) -> DataFrame:
+    messages = table(spark, folder, "documents").select("doc_id", "source", F.col("lang").alias("direction"), (F.col("n_chars") * 1000).alias("ms"), F.col("text").alias("body"))
+    return threads.dedup_keys(messages, "source").select("doc_id", "occurrence")
