@@ -281,6 +281,16 @@ def test_packing(spark, texts):
     assert packing.pack_documents(frame(spark, texts).limit(0), path).count() == 0
 
 
+def test_packing_of_many_full_pieces(spark):
+    """Two tasks of more than 7919 full pieces each: every full piece is a sequence of its own."""
+    rows = [(i, " ".join(["the"] * 40_000)) for i in range(2)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    got = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4).toPandas()
+    full = got[got.length == 4]
+    assert full.groupby("doc_id").size().min() > 7919
+    assert got.groupby("sequence_id").length.sum().max() <= 4 and full.sequence_id.nunique() == len(full)
+
+
 def test_best_fit_keeps_every_capacity():
     lengths = np.random.default_rng(2).integers(1, 900, 300)
     for choose in ("norm", "dot"):

@@ -28,6 +28,9 @@ GROUP = 4096
 END = 0
 MEMO_CHARS, MEMO_SIZE, RUN_CHARS = 64, 300_000, 1 << 21
 
+#: A slot is a task's number, shifted by so many bits, and the piece's number within the task.
+TASK_BITS = 33
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long"
 
 
@@ -88,13 +91,13 @@ def tokenizer(path: str) -> ChunkTokenizer:
 def cut_documents(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, slot): each document's ids and an end id, cut only beyond capacity.
 
-    slot numbers a task's pieces from a place of its own: it deals pieces out evenly whatever their ids are.
+    slot is the task's number and the piece's within it, so that no two pieces share one whatever their ids are.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from pyspark import TaskContext
 
-        coder, slot = tokenizer(path), TaskContext.get().partitionId() * 7919
+        coder, slot = tokenizer(path), TaskContext.get().partitionId() << TASK_BITS
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "slot")}
             for key, text_ids in zip(b.column(0).to_pylist(), coder.runs(b.column(1))):
@@ -152,7 +155,7 @@ def best_fit(lengths: np.ndarray, capacity: int, documents: int, attention: floa
 def pack(pieces: DataFrame, capacity: int = CAPACITY, documents: int | None = None, attention: float | None = None, choose: str = "norm", group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to pieces (a table with PIECES' columns, as cut_documents gives).
 
-    Pieces as long as a sequence are one each. The others are dealt by slot into groups that tasks pack at once; pieces
+    Pieces as long as a sequence are one each, named by their slot. The others are dealt by slot into groups that tasks pack at once; pieces
     of sequences left under 97 % full are packed again in larger groups. documents and attention default to bounds that
     no set of whole pieces within the token capacity can break. An empty table gives no rows.
     """
@@ -171,7 +174,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, documents: int | None = No
             pdf["sequence_id"] = (round_ << 60) + (int(key[0]) << 24) + pdf["bin"]
             return pdf[[*columns, "slot", "sequence_id", "offset", "used"]]
 
-        dealt = loose.withColumn("grp", F.pmod("slot", F.lit(n)))
+        # Each task's pieces are dealt in turn, from a group of the task's own.
+        turn = F.shiftright("slot", TASK_BITS) * 7919 + F.col("slot").bitwiseAND(F.lit((1 << TASK_BITS) - 1))
+        dealt = loose.withColumn("grp", F.pmod(turn, F.lit(n)))
         return dealt.groupBy("grp").applyInPandas(one, f"{PIECES}, sequence_id long, offset long, used long")
 
     loose = pieces.filter(F.col("length") < capacity)
