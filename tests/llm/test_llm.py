@@ -174,6 +174,83 @@ def test_suffix_dedup(spark, texts):
     assert suffix_dedup.spans(null).count() == 0 and suffix_dedup.cut_repeats(null).count() == 2
 
 
+def covered(rows, words):
+    got, gone = ([np.zeros(len(w), dtype=bool) for w in words] for _ in range(2))
+    for r in rows:
+        got[r["doc_id"]][r["start_word"] : r["end_word"]] = True
+        if r["removable"]:
+            gone[r["doc_id"]][r["start_word"] : r["end_word"]] = True
+    return got, gone
+
+
+def repeated(words):
+    """By brute force: words in stretches of 50 that several documents hold."""
+    held = {}
+    for i, w in enumerate(words):
+        for p in range(len(w) - 49):
+            held.setdefault(tuple(w[p : p + 50]), []).append((i, p))
+    want = [np.zeros(len(w), dtype=bool) for w in words]
+    for where in held.values():
+        if len({i for i, _ in where}) > 1:
+            for i, p in where:
+                want[i][p : p + 50] = True
+    return want, held
+
+
+def test_suffix_dedup_of_a_repeated_line(spark):
+    """Two documents that share a line 100 times: found whole, and each stretch of it stays once."""
+    rng = random.Random(11)
+    line = made_up(rng, 10)
+    texts = [made_up(rng, 30) + " " + " ".join([line] * 100) + " " + made_up(rng, 30) for _ in range(2)]
+    words = [t.split() for t in texts]
+    want, held = repeated(words)
+    got, gone = covered(suffix_dedup.spans(frame(spark, texts)).collect(), words)
+    for i in range(2):
+        assert not (want[i] & ~got[i]).any()
+    assert gone[1][30:-30].all() and not gone[1][:30].any() and not gone[1][-30:].any()
+    for where in held.values():
+        if len({i for i, _ in where}) > 1:
+            assert sum(not gone[i][p : p + 50].any() for i, p in where) == 1
+
+
+def test_suffix_dedup_carries_over_partitions(spark):
+    """Holders that cross batches and partitions give what one partition gives."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(rng.integers(0, 4)), int(f), int(f) + 100, int(p)) for f, p in zip(rng.integers(0, 5, 150), rng.integers(0, 120, 150))})
+
+    def run(cuts, size):
+        from unittest import mock
+
+        out, edges = [], []
+        for part, own in enumerate(cuts):
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*own[i : i + size])], names=["key", "first", "body", "pos"]) for i in range(0, len(own), size)]
+            with mock.patch("pyspark.TaskContext.get", return_value=mock.Mock(partitionId=lambda part=part: part)):
+                for d in suffix_dedup._holders(iter(batches), 50):
+                    for v in zip(*d.values()):
+                        r = dict(zip(d, v))
+                        (out if r["edge"] is None else edges).append(r)
+        carried, extra = suffix_dedup._across(edges, 50)
+        carry = {p: (s, b) for p, s, b in carried}
+        got = []
+        for r in out:
+            s, b = carry.get(r["lead"], (r["source"], r["source_body"]))
+            got.append(tuple(int(x) for x in (r["body"], r["first"], r["pos"], s, b, r["near"], r["removable"])))
+        return sorted([*got, *(tuple(map(int, x)) for x in extra)])
+
+    whole = run([rows], len(rows))
+    want = []
+    for n, (k, f, b, p) in enumerate(rows):
+        own = [r for r in rows if r[0] == k]
+        near = n > 0 and rows[n - 1][0] == k and rows[n - 1][2] == b and p - rows[n - 1][3] < 50
+        if len(own) > 1:
+            want.append((b, f, p, own[0][1], own[0][2], int(near), int(own[0] != rows[n])))
+    assert whole == sorted(want)
+    for width, size in ((1, 1), (3, 2), (7, 3), (40, 1), (41, 6)):
+        assert run([rows[i : i + width] for i in range(0, len(rows), width)], size) == whole
+
+
 def vectors(seed=0, n=400, d=16):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((25, d))

@@ -1,14 +1,13 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by their stretches of LEAST words, each known by a hash.
 
-Of every word sequence only suffixes at content-selected places are kept: those whose first GRAM words hash lowest in
-some window of WINDOW places (minimisers). A stretch of GRAM + WINDOW - 1 words that repeats holds such a place in all
-its copies. Places whose gram occurs once in the corpus are dropped; for the others the words behind and before are
-fetched, Spark range-partitions and sorts the suffixes, and each is compared with the NEIGHBOURS before it, to the
-right and to the left. Matches of at least LEAST words are spans; spans of neighbouring places cover longer passages.
+A stretch is looked at only if it may repeat: of every word sequence the GRAM words that hash lowest in some window of
+WINDOW places (minimisers) are counted in the corpus, and a stretch can repeat only if the minimisers of all its windows
+do. Equal stretches have equal minimisers, so none that repeats is passed over. Spark range-partitions and sorts the
+hashes of the others, whatever their number, and each stretch meets the smallest document and place that hold it.
 
-Suffixes that match in a row are a run. Of two places that match, that of the larger document, or the later one, may go:
-its words are then still held by a smaller document or an earlier place, so no passage is lost. Each place also meets
-the smallest of its run so far, so that of a passage that many documents hold only one stays.
+All holders of a stretch but the smallest may lose it; its words are then still held by a smaller document or an earlier
+place. Where copies overlap within a text (a line again and again), of each the last word goes alone, so that every
+stretch of the passage stays once.
 """
 
 from __future__ import annotations
@@ -25,30 +24,42 @@ from threadloom.llm.words import WHITE, Run, grams, mix, runs
 
 LEAST = 50
 GRAM, WINDOW = 8, 20
-RIGHT, LEFT = 64, 24
-NEIGHBOURS = 4
 SALTS = 16
 
 
+def _slide(v: np.ndarray, best: np.ufunc, window: int) -> np.ndarray:
+    """The best of each window of so many values."""
+    size = 1
+    while 2 * size <= window:
+        v, size = best(v[:-size], v[size:]), 2 * size
+    return best(v[: len(v) - (window - size)], v[window - size :]) if size < window else v
+
+
 def minimisers(x: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Places whose value is the least of some window of so many; of stretches of one value the ends and every 8th place."""
     if len(x) < window:
         return np.zeros(0, dtype=np.int64)
-
-    def slide(v: np.ndarray, best: np.ufunc) -> np.ndarray:
-        size = 1
-        while 2 * size <= window:
-            v, size = best(v[:-size], v[size:]), 2 * size
-        return best(v[: len(v) - (window - size)], v[window - size :]) if size < window else v
-
-    low = slide(x, np.minimum)
     edge = np.zeros(window - 1, dtype=np.uint64)
-    chosen = slide(np.concatenate([edge, low, edge]), np.maximum) == x
+    chosen = _slide(np.concatenate([edge, _slide(x, np.minimum, window), edge]), np.maximum, window) == x
     same = np.concatenate([[False], x[1:] == x[:-1]])
     inner = same & np.append(same[1:], False) & (np.arange(len(x)) % 8 != 0)
     return np.flatnonzero(chosen & ~inner)
 
 
+def stretches(w: np.ndarray, repeated: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the stretches of `least` words whose windows' minimisers are all in repeated (sorted)."""
+    x = grams(w, GRAM)
+    low = _slide(x, np.minimum, WINDOW)
+    at = np.minimum(np.searchsorted(repeated, low), len(repeated) - 1)
+    once = np.concatenate([[0], np.cumsum(repeated[at] != low)])
+    windows = least - GRAM - WINDOW + 2
+    at = np.flatnonzero(once[windows:] == once[:-windows])
+    key = np.zeros(len(at), dtype=np.uint64)
+    for i in (*range(0, least - GRAM, GRAM), least - GRAM):
+        key = mix(key ^ x[at + i])
+    return at, key.view(np.int64)
+
+
 def body_of(run: Run, i: int) -> int:
     """A number for a text's whole word sequence."""
     w = run.words[run.at[i] : run.at[i + 1]]
@@ -96,45 +107,41 @@ def spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
     bodies = work_table(rows.groupBy("body").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.countDistinct("doc_id").alias("docs")), "bodies")
     places = chosen.filter("gram is not null").select("body", F.col("n").alias("pos"), "gram")
     repeated = places.groupBy("gram").agg(*[f(c).alias(f.__name__ + c) for f in (F.min, F.max) for c in ("body", "pos")]).filter("minbody <> maxbody or minpos <> maxpos").select("gram")
-    wanted = places.join(repeated, "gram", "left_semi").groupBy("body").agg(F.collect_set("pos").alias("places")).join(bodies.select("body", "first"), "body")
+    wanted = places.join(repeated, "gram", "left_semi").groupBy("body").agg(F.collect_set("gram").alias("grams")).join(bodies.select("body", "first"), "body")
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        done: set[int] = set()
         for b in batches:
-            ids, body, wanted_places = b.column(0), b.column(2).to_numpy(), b.column(3)
+            ids, body, repeats = b.column(0), b.column(2).to_numpy(), b.column(3)
             for run in runs(b.column(1), WHITE):
                 for i in range(run.last - run.first):
                     own = body_of(run, i)
-                    if own != body[run.first + i]:
+                    if own != body[run.first + i] or own in done:
                         continue
-                    w = run.words[run.at[i] : run.at[i + 1]]
-                    short = (w >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                    padded = np.concatenate([np.zeros(LEFT, dtype=np.uint32), short, np.zeros(RIGHT, dtype=np.uint32)])
-                    view = np.lib.stride_tricks.sliding_window_view(padded, LEFT + RIGHT)
-                    at = np.sort(wanted_places[run.first + i].values.to_numpy())
-                    got = view[at]
-                    right, left = np.ascontiguousarray(got[:, LEFT:]).astype(">u4"), np.ascontiguousarray(got[:, LEFT - 1 :: -1])
-                    m = len(at)
-                    yield {
-                        "gram": grams(w, GRAM)[at].view(np.int64), "behind": [x.tobytes() for x in right], "before": [x.tobytes() for x in left],
-                        "first": np.full(m, ids[run.first + i].as_py()), "pos": at, "body": np.full(m, own), "room": np.minimum(len(w) - at, RIGHT), "back": np.minimum(at, LEFT),
-                    }
-
-    schema = "gram long, behind binary, before binary, first long, pos long, body long, room int, back int"
-    joined = texts.join(wanted.select(F.col("first").alias("doc_id"), "body", "places"), "doc_id").select("doc_id", "text", "body", "places")
+                    done.add(own)
+                    at, key = stretches(run.words[run.at[i] : run.at[i + 1]], np.sort(repeats[run.first + i].values.to_numpy().view(np.uint64)), least)
+                    if len(at):
+                        yield {"key": key, "first": np.full(len(at), ids[run.first + i].as_py()), "body": np.full(len(at), own), "pos": at}
+
+    joined = texts.join(wanted.select(F.col("first").alias("doc_id"), "body", "grams"), "doc_id").select("doc_id", "text", "body", "grams")
     # Range partitions of the sort are found by a sample of this table, so it is written first. Repeated rows of one text fall together.
-    table = work_table(map_rows(joined, suffixes, schema), "suffixes")
-    order = ["gram", "behind", "first", "pos", "body"]
-    found = work_table(map_rows(table.repartitionByRange(*order).sortWithinPartitions(*order), lambda batches: _matches(batches, least), MATCHES), "matches")
-
-    # A passage may cross partitions: of each only its outermost rows (at most 4 * NEIGHBOURS) reach the driver.
-    extra = _across(found.filter("edge is not null").toPandas(), least)
-    out = ["body", "doc_id", "start", "stop", "source_doc_id", "removable"]
-    placed = found.filter("edge is null").select("body", F.col("first").alias("doc_id"), "start", "stop", F.col("source").alias("source_doc_id"), "removable")
-    if extra:
-        placed = placed.unionByName(documents.sparkSession.createDataFrame(extra, "body long, doc_id long, start long, stop long, source_doc_id long, removable boolean"))
+    table = work_table(map_rows(joined, hashes, "key long, first long, body long, pos long"), "stretches")
+    order = ["key", "first", "body", "pos"]
+    found = work_table(map_rows(table.repartitionByRange(*order).sortWithinPartitions(*order), lambda batches: _holders(batches, least), HOLDERS), "holders")
+
+    # A stretch's holders may cross partitions: of each only its first and its last row reach the driver.
+    carried, extra = _across(found.filter("edge is not null").collect(), least)
+    spark = documents.sparkSession
+    carry = spark.createDataFrame(carried, "lead int, carried_source long, carried_body long")  # one row a partition at most
+    inner = found.filter("edge is null").join(F.broadcast(carry), "lead", "left")
+    inner = inner.withColumn("source", F.coalesce("carried_source", "source")).withColumn("source_body", F.coalesce("carried_body", "source_body"))
+    columns = ["body", "first", "pos", "source", "source_body", "near", "removable"]
+    held = inner.select(*columns).unionByName(spark.createDataFrame(extra, "body long, first long, pos long, source long, source_body long, near boolean, removable boolean"))
+    last_alone = F.col("removable") & F.col("near") & (F.col("source_body") == F.col("body"))
+    placed = held.select("body", F.col("first").alias("doc_id"), (F.col("pos") + F.when(last_alone, least - 1).otherwise(0)).alias("start"), (F.col("pos") + least).alias("stop"), F.col("source").alias("source_doc_id"), "removable")
     # Overlapping spans of a text become one.
     by = Window.partitionBy("body", "doc_id", "removable").orderBy("start", "stop")
-    fresh = placed.select(*out).distinct().withColumn("new", F.coalesce(F.col("start") > F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    fresh = placed.withColumn("new", F.coalesce(F.col("start") > F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
     merged = fresh.withColumn("nth", F.sum("new").over(by)).groupBy("body", "doc_id", "removable", "nth").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("source_doc_id").alias("source_doc_id"))
     out = ["doc_id", "body", "start_word", "end_word", "source_doc_id", "removable"]
     # Texts that occur in several documents: wholly repeated.
@@ -144,154 +151,78 @@ def spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
     return merged.select(*out).unionByName(whole.select(*out))
 
 
-MATCHES = "body long, first long, start long, stop long, source long, removable boolean, edge long, gram long, behind binary, before binary, pos long, room int, back int"
-
-
-def _words(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, width)
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common beginning of each row of a and b."""
-    differ = a != b
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
-
+HOLDERS = "key long, body long, first long, pos long, source long, source_body long, near boolean, removable boolean, lead int, edge int, part int"
 
-class _Rows:
-    """Suffixes in order, as arrays."""
 
-    def __init__(self, gram, behind, before, first, pos, body, room, back):
-        self.gram, self.behind, self.before, self.first, self.pos, self.body, self.room, self.back = gram, behind, before, first, pos, body, room, back
+def _holders(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[dict]:
+    """The rows of one partition, in order, whose stretch others hold too, with its smallest holder there (not removable itself).
 
-    @classmethod
-    def of(cls, b) -> _Rows:
-        n = lambda c: b[c].to_numpy()
-        return cls(n("gram"), _words(b["behind"], RIGHT), _words(b["before"], LEFT), n("first"), n("pos"), n("body"), n("room"), n("back"))
-
-    def take(self, s) -> _Rows:
-        return _Rows(*(getattr(self, c)[s] for c in self.__dict__))
-
-    def then(self, other: _Rows) -> _Rows:
-        return _Rows(*(np.concatenate([getattr(self, c), getattr(other, c)]) for c in self.__dict__))
-
-
-class _Spans:
-    """For each row the span in which a smaller row repeats it (1, removable), and that in which it repeats a larger one (0)."""
-
-    def __init__(self, rows: _Rows):
-        n = len(rows.pos)
-        self.rows, self.rank = rows, np.empty(n, dtype=np.int64)
-        self.rank[np.lexsort((rows.body, rows.pos, rows.first))] = np.arange(n)
-        self.start, self.stop, self.source = np.full((2, n), 1 << 60), np.full((2, n), -1), np.full((2, n), (1 << 63) - 1)
-
-    def meet(self, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
-        """Note the matches of rows a with rows b; which of the pairs match."""
-        r = self.rows
-        right = np.minimum(_common(r.behind[a], r.behind[b]), np.minimum(r.room[a], r.room[b]))
-        left = np.minimum(_common(r.before[a], r.before[b]), np.minimum(r.back[a], r.back[b]))
-        # Places of one text must not overlap in the match.
-        hit = (r.gram[a] == r.gram[b]) & (right + left >= least) & ((r.body[a] != r.body[b]) | (np.abs(r.pos[a] - r.pos[b]) >= right + left))
-        a, b, right, left = a[hit], b[hit], right[hit], left[hit]
-        small, large = np.where(self.rank[a] < self.rank[b], a, b), np.where(self.rank[a] < self.rank[b], b, a)
-        for kind, x in ((0, small), (1, large)):
-            np.minimum.at(self.start[kind], x, r.pos[x] - left)
-            np.maximum.at(self.stop[kind], x, r.pos[x] + right)
-            np.minimum.at(self.source[kind], x, r.first[small])
-        return hit
-
-    def found(self) -> Iterator[tuple[np.ndarray, int]]:
-        for kind in (0, 1):
-            yield np.flatnonzero(self.stop[kind] >= 0), kind
-
-
-def _matches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[dict]:
-    """Spans of the rows of one partition, in order; and its outermost rows, so that neighbouring partitions can be compared.
-
-    Each row meets the NEIGHBOURS before it and, as those may all be larger, the smallest row so far of its run (rows
-    that match in a row). Only the smallest rows of the last runs and the last rows are held from batch to batch.
+    near says that the row before is of the same text and overlaps. Rows that hold the partition's first stretch name the
+    partition in lead, as their smallest holder may lie before it; the first row itself is left to _across, and the first
+    and last rows are given as edges (0 and 1, removable if the last isn't its stretch's first, the first if others follow).
     """
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    held: _Rows | None = None
-    names, olds, made, first_runs = np.zeros(0, dtype=np.int64), 0, 0, np.zeros(0, dtype=np.int64)
-    leading: _Rows | None = None
-    none = lambda n: [None] * n
-
-    def edge(r: _Rows, last: int) -> dict:
-        m = len(r.pos)
-        return {"body": r.body, "first": r.first, "start": none(m), "stop": none(m), "source": none(m), "removable": none(m), "edge": np.full(m, 2 * part + last), "gram": r.gram,
-                "behind": [x.tobytes() for x in r.behind], "before": [x.tobytes() for x in r.before], "pos": r.pos, "room": r.room, "back": r.back}
-
+    lead = held = None  # held: the last row, the smallest holder of its stretch, and whether it is that itself
     for b in batches:
         if not b.num_rows:
             continue
-        new = _Rows.of({c: b.column(i) for i, c in enumerate(b.schema.names)})
-        # Held rows: smallest of runs first (olds of them), then the last rows in order.
-        rows = new if held is None else held.then(new)
-        n, old = len(rows.pos), 0 if held is None else len(held.pos)
-        spans_, parent = _Spans(rows), np.arange(n)
-        for j in range(1, NEIGHBOURS + 1):
-            later = np.arange(max(old, olds + j), n)
-            later = later[rows.gram[later] == rows.gram[later - j]]
-            linked = later[spans_.meet(later - j, later, least)]
-            parent[linked] = np.where(parent[linked] == linked, linked - j, parent[linked])
-        while (parent != parent[parent]).any():
-            parent = parent[parent]
-        run = np.concatenate([names, made + np.arange(len(new.pos))])[parent]
-        made += len(new.pos)
-        # The smallest row of the run so far, by a running minimum within runs.
-        by_run = np.lexsort((np.arange(n), run))
-        starts = np.concatenate([[True], run[by_run][1:] != run[by_run][:-1]])
-        group = np.cumsum(starts) - 1
-        least_so_far = np.minimum.accumulate(spans_.rank[by_run] - group * n)[:] + group * n
-        row_of = np.empty(n, dtype=np.int64)
-        row_of[spans_.rank] = np.arange(n)
-        smallest = row_of[least_so_far]
-        at = np.flatnonzero(~starts[1:]) + 1
-        at = at[by_run[at] >= old]
-        spans_.meet(smallest[at - 1], by_run[at], least)
-        for hit, kind in spans_.found():
-            k = len(hit)
-            yield {"body": rows.body[hit], "first": rows.first[hit], "start": spans_.start[kind][hit], "stop": spans_.stop[kind][hit], "source": spans_.source[kind][hit], "removable": np.full(k, kind == 1), "edge": none(k), "gram": none(k), "behind": none(k), "before": none(k), "pos": none(k), "room": none(k), "back": none(k)}
-        ends = np.flatnonzero(np.append(starts[1:], True))
-        final = dict(zip(run[by_run][ends].tolist(), smallest[ends].tolist()))
-        if held is None:
-            first_runs = run[:NEIGHBOURS]
-            leading = rows.take(slice(0, NEIGHBOURS))
-        for r in {x for x in first_runs.tolist() if x in final}:
-            leading = leading.then(rows.take([final[r]]))
-        leading = leading.take(np.r_[0 : min(NEIGHBOURS, len(leading.pos)), max(NEIGHBOURS, len(leading.pos) - NEIGHBOURS) : len(leading.pos)])
-        tail = slice(max(olds, n - NEIGHBOURS), n)
-        runs_left = sorted(set(run[tail].tolist()))
-        reps = np.array([final[r] for r in runs_left], dtype=np.int64)
-        names, olds = np.concatenate([runs_left, run[tail]]), len(reps)
-        held = rows.take(reps).then(rows.take(tail))
+        key, first, body, pos = (b.column(i).to_numpy() for i in range(4))
+        old = held is not None
+        if old:
+            key, first, body, pos = (np.concatenate([[h], v]) for h, v in zip(held[0], (key, first, body, pos)))
+        else:
+            lead = [int(v[0]) for v in (key, first, body, pos)]
+            follows = False
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (body[1:] != body[:-1]) | (pos[1:] != pos[:-1])])
+        key, first, body, pos = (v[fresh] for v in (key, first, body, pos))
+        n = len(key)
+        same = np.concatenate([[False], key[1:] == key[:-1]])
+        start = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
+        source, source_body = first[start], body[start]
+        smallest = ~same
+        if old:
+            source[start == 0], source_body[start == 0], smallest[0] = held[1], held[2], held[3]
+        near = same & np.concatenate([[False], (body[1:] == body[:-1]) & (pos[1:] - pos[:-1] < least)])
+        shared = smallest & np.append(same[1:], False)
+        if not old or (held[3] and held[0] == lead):  # the partition's first row
+            follows, shared[0] = bool(shared[0]), False
+        hit = np.flatnonzero(same | shared)
+        none = [None] * len(hit)
+        if len(hit):
+            yield {"key": none, "body": body[hit], "first": first[hit], "pos": pos[hit], "source": source[hit], "source_body": source_body[hit], "near": near[hit], "removable": same[hit],
+                   "lead": [part if k == lead[0] else None for k in key[hit].tolist()], "edge": none, "part": none}
+        held = [int(v[-1]) for v in (key, first, body, pos)], int(source[-1]), int(source_body[-1]), bool(smallest[-1])
     if held is not None:
-        yield edge(leading, 0)
-        yield edge(held, 1)
-
-
-def _across(edges, least: int) -> list[tuple]:
-    """Spans of matches between the outermost rows of neighbouring partitions; the last rows of one gram go along over partitions that hold no other."""
-    out, carried = [], None
-    sides = {e: g for e, g in edges.groupby("edge")}
-    matrix = lambda c: np.stack([np.frombuffer(x, np.uint32) for x in c])
-    of = lambda g: _Rows(g["gram"].to_numpy(), matrix(g["behind"]), matrix(g["before"]), *(g[c].to_numpy(dtype=np.int64) for c in ("first", "pos", "body", "room", "back")))
-    for p in sorted({e // 2 for e in sides}):
-        lead, last = of(sides[2 * p]), of(sides[2 * p + 1])
-        if carried is not None:
-            rows = carried.then(lead)
-            k = len(carried.pos)
-            spans_ = _Spans(rows)
-            a, b = (x.ravel() for x in np.meshgrid(np.arange(k), np.arange(k, len(rows.pos))))
-            spans_.meet(a, b, least)
-            for hit, kind in spans_.found():
-                out += [tuple(int(v) for v in (rows.body[i], rows.first[i], spans_.start[kind][i], spans_.stop[kind][i], spans_.source[kind][i])) + (kind == 1,) for i in hit]
-            same = np.flatnonzero(carried.gram == last.gram[-1])
-            last = carried.take(same[np.lexsort((carried.pos[same], carried.first[same]))][: 2 * NEIGHBOURS]).then(last)
-        carried = last
-    return out
+        rows = [(0, lead, lead[1], lead[2], follows), (1, held[0], held[1], held[2], not held[3])]
+        yield {"key": [r[1][0] for r in rows], "body": [r[1][2] for r in rows], "first": [r[1][1] for r in rows], "pos": [r[1][3] for r in rows], "source": [r[2] for r in rows], "source_body": [r[3] for r in rows],
+               "near": [None] * 2, "removable": [r[4] for r in rows], "lead": [None] * 2, "edge": [r[0] for r in rows], "part": [part] * 2}
+
+
+def _across(edges: list, least: int) -> tuple[list[tuple], list[tuple]]:
+    """(partition, smallest holder) of first stretches that go on from partitions before; and the rows that _holders leaves out."""
+    carried, out = [], []
+    sides = {(e["part"], e["edge"]): e for e in edges}
+    key = source = source_body = before = None
+    alone = False
+    for p in sorted({p for p, _ in sides}):
+        lead, last = sides[p, 0], sides[p, 1]
+        goes_on = lead["key"] == key
+        if goes_on:
+            carried.append((p, source, source_body))
+            near = before["body"] == lead["body"] and lead["pos"] - before["pos"] < least
+            out.append((lead["body"], lead["first"], lead["pos"], source, source_body, near, True))
+            if alone:
+                out.append((before["body"], before["first"], before["pos"], before["first"], before["body"], False, False))
+        elif lead["removable"]:
+            out.append((lead["body"], lead["first"], lead["pos"], lead["first"], lead["body"], False, False))
+        if goes_on and last["key"] == key:
+            alone = False
+        else:
+            source, source_body, alone = last["source"], last["source_body"], not last["removable"]
+        key, before = last["key"], last
+    return carried, out
 
 
 def cut_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
