@@ -213,6 +213,33 @@ def test_suffix_dedup_of_a_repeated_line(spark):
             assert sum(not gone[i][p : p + 50].any() for i, p in where) == 1
 
 
+def test_suffix_dedup_of_a_passage_with_a_frequent_tail(spark):
+    """The last 38 words of a passage are in many documents, the whole of it in two."""
+    import pyarrow as pa
+
+    from threadloom.llm.words import WHITE, grams, runs
+
+    rng = random.Random(12)
+    # Its lowest gram is at its beginning, so that few passages have another minimiser before it.
+    tail = min((made_up(rng, 38) for _ in range(300)), key=lambda t: grams(next(runs(pa.array([t]), WHITE)).words, 8)[:6].min())
+    passages = [made_up(rng, 14) + " " + tail for _ in range(20)]
+    texts = [made_up(rng, 20) + " " + made_up(rng, 14) + " " + tail + " " + made_up(rng, 20) for _ in range(400)]
+    for p in passages:
+        for i in (rng.randrange(400), rng.randrange(400)):
+            texts[i] += " " + p + " " + made_up(rng, 20)
+    words = [t.split() for t in texts]
+    want, _ = repeated(words)
+    got, gone = covered(suffix_dedup.spans(frame(spark, texts)).collect(), words)
+    assert sum(w.sum() for w in want) >= 2 * 15 * 52
+    assert all((w == g).all() for w, g in zip(want, got))
+    left = {}
+    for i, w in enumerate(words):
+        for p in range(len(w) - 49):
+            if not gone[i][p : p + 50].any():
+                left.setdefault(tuple(w[p : p + 50]), set()).add(i)
+    assert all(len(v) == 1 for v in left.values())
+
+
 def test_suffix_dedup_carries_over_partitions(spark):
     """Holders that cross batches and partitions give what one partition gives."""
     import pyarrow as pa
