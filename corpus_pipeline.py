@@ -1,7 +1,7 @@
 """From documents to training sequences, in stages that each call one operator.
 
-Every stage works on all rows its predecessor kept. Rows whose doc_id is null are kept by the first three stages; of
-rows that share a doc_id, a filter keeps all if it keeps one.
+Every stage works on all rows its predecessor kept. Decisions are taken row by row, whether doc_ids are null or repeat;
+of near copies one row stays.
 """
 
 from __future__ import annotations
@@ -11,25 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import ngram_join, packing, quality, suffix_dedup, toxicity
-from threadloom.llm.common import bounded_join, work_path, work_table
+from threadloom.llm.common import bounded_join, keyed, work_path, work_table
 
 QUALITY, TOXIC = 0.3, 0.5
 
 
-def _without(docs: DataFrame, scored: DataFrame, rejected) -> DataFrame:
-    """docs without those all of whose rows are rejected; their ids are broadcast only if counted to be few."""
-    gone = work_table(scored.filter("doc_id is not null").groupBy("doc_id").agg(F.every(rejected).alias("all")).filter("all").select("doc_id"), "rejected")
-    return bounded_join(docs, gone, ["doc_id"], "left_anti")
+def _without(rows: DataFrame, scored: DataFrame, rejected, columns: list[str]) -> DataFrame:
+    """The rows that aren't rejected themselves; scored names them by row_key in doc_id. The keys are broadcast only if counted to be few."""
+    gone = work_table(scored.filter(rejected).select(F.col("doc_id").alias("row_key")), "rejected")
+    return bounded_join(rows, gone, ["row_key"], "left_anti").select(*columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scored, F.col("score") < QUALITY)
+    rows = keyed(docs, "quality-rows")
+    scored = quality.classify(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), "row_key")
+    return _without(rows, scored, F.col("score") < QUALITY, docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = keyed(docs, "toxicity-rows")
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, toxicity.score(docs, model), F.col("score") >= TOXIC)
+    scored = toxicity.score(rows.select(F.col("row_key").alias("doc_id"), "text"), model)
+    return _without(rows, scored, F.col("score") >= TOXIC, docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +41,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.cut_repeats(docs)
+    """Rows with a null doc_id take part under keys beyond all ids."""
+    rows = keyed(docs, "repeats-rows")
+    named = rows.withColumn("own_id", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.lit(1 << 62) + F.col("row_key")))
+    return suffix_dedup.cut_repeats(named).withColumn("doc_id", F.col("own_id")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

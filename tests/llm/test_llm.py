@@ -453,6 +453,29 @@ def test_toxicity_and_quality_learn(spark):
     assert toxicity.score(docs.limit(0), toxicity.learn(docs.limit(0), marks)).count() == 0 and quality.classify(docs.limit(0), marks).count() == 0
 
 
+def test_pipeline_decides_by_row(spark, monkeypatch):
+    """Null and repeated ids: each row is judged alone, and one row of equal texts stays."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    good_, bad, third = (made_up(rng, 40) for _ in range(3))
+    docs = spark.createDataFrame([(1, good_), (1, bad), (None, bad), (None, third)], "doc_id long, text string")
+    flag = lambda rows, low, high: rows.select("doc_id", F.when(F.col("text") == bad, low).otherwise(high).alias("score"))
+    monkeypatch.setattr(corpus_pipeline.quality, "classify", lambda rows, _, key="doc_id": flag(rows.withColumn("doc_id", F.col(key)), 0.0, 1.0))
+    monkeypatch.setattr(corpus_pipeline.toxicity, "learn", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "score", lambda rows, _: flag(rows, 1.0, 0.0))
+    for stage in (corpus_pipeline.keep_good, corpus_pipeline.drop_toxic):
+        out = stage(spark, docs, "/root/testdata/sf0.001").collect()
+        assert sorted(((r[0] is None, r[0], r[1]) for r in out), key=str) == sorted([(False, 1, good_), (True, None, third)], key=str)
+    copies = spark.createDataFrame([(5, good_)] * 3 + [(None, good_)] + [(None, third)] * 4 + [(7, bad), (3, bad)], "doc_id long, text string").repartition(3)
+    out = ngram_join.keep_one(copies, 5, 80).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(5, good_), (None, third), (3, bad)], key=str)
+    seventy = made_up(rng, 70)
+    repeats = spark.createDataFrame([(None, made_up(rng, 60) + " " + seventy) for _ in range(3)], "doc_id long, text string")
+    out = corpus_pipeline.cut_repeats(spark, repeats, "").collect()
+    assert [r[0] for r in out] == [None] * 3 and sum(seventy in r[1] for r in out) == 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -37,6 +37,11 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """df, written with a key of its own for each row (row_key): its doc_id may be null or repeat."""
+    return work_table(df.withColumn("row_key", F.monotonically_increasing_id()), name)
+
+
 def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict | pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow for functions that yield dicts of columns; Spark's schema string names and types them."""
     spark = df.sparkSession

@@ -111,15 +111,15 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float | None, rounds: int, rat
     return w[:d], float(w[d])
 
 
-def features(documents: DataFrame) -> DataFrame:
-    """(doc_id, x): the figures of every whole text."""
+def features(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, x, key): the figures of every whole text, and the column of documents that names its row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for first, last, x in figures(b.column(1)):
-                yield {"doc_id": b.column(0)[first:last], "x": list(x)}
+                yield {"doc_id": b.column(0)[first:last], "x": list(x), "key": b.column(2)[first:last]}
 
-    return map_rows(documents.select("doc_id", "text"), rows, "doc_id long, x array<float>")
+    return map_rows(documents.select("doc_id", "text", F.col(key).alias("key")), rows, "doc_id long, x array<float>, key long")
 
 
 def _matrix(rows: DataFrame) -> np.ndarray:
@@ -165,7 +165,7 @@ def learn(measured: DataFrame, labels: DataFrame, column: str = "quality") -> Mo
 
 
 def score(measured: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score) for every row of `features`; without a model every score is 0."""
+    """(doc_id, score) for every row of `features`, doc_id being its key; without a model every score is 0."""
     shared = measured.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -173,10 +173,10 @@ def score(measured: DataFrame, model: Model | None) -> DataFrame:
             x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
             yield {"doc_id": b.column(0), "score": shared.value.score(x) if shared.value is not None else np.zeros(b.num_rows)}
 
-    return map_rows(measured.select("doc_id", "x"), rows, "doc_id long, score double")
+    return map_rows(measured.select("key", "x"), rows, "doc_id long, score double")
 
 
-def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score) for every row: learn on bounded rows, score all. Null and empty texts have figures of 0."""
-    measured = work_table(features(documents), "quality-figures")
+def classify(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, score) for every row, named by key: learn on bounded rows, score all. Null and empty texts have figures of 0."""
+    measured = work_table(features(documents, key), "quality-figures")
     return score(measured, learn(measured, labels))
