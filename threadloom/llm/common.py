@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,24 +17,65 @@ BROADCAST_ROWS = 2_000_000
 BATCH_ROWS = 2_000
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share, spark.checkpoint.dir. Where it is unset, a local session gets a temporary one and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Work tables made inside are deleted at its end: what is read later has to be written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        delete(spark, *_scopes.pop())
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS for actions inside: whole texts come in batches, and 10,000 would hold much of a split at once, on both sides."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
 
 
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and no executor is needed for it."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,13 +88,11 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[
     """mapInArrow for functions that yield dicts of columns; Spark's schema string names and types them."""
     spark = df.sparkSession
     arrow = _arrow_schema(spark, schema)
-    # Whole texts come in batches: the default of 10,000 rows would hold much of a split at once, on both sides.
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS))
         try:
-            for out in rows(batches):
+            for out in rows(small):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
         finally:
             pa.default_memory_pool().release_unused()

@@ -37,10 +37,8 @@ _weights = mix(np.arange(1000, 5096, dtype=np.uint64)) | np.uint64(1)
 
 
 def _weight(n: int) -> np.ndarray:
-    global _weights
-    if n > len(_weights):
-        _weights = mix(np.arange(1000, 1000 + 2 * n, dtype=np.uint64)) | np.uint64(1)
-    return _weights
+    """Weights of the first n places of a word; those of longer words aren't kept."""
+    return _weights if n <= len(_weights) else mix(np.arange(1000, 1000 + n, dtype=np.uint64)) | np.uint64(1)
 
 
 class Run(NamedTuple):
