@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A side with at most so many rows of a few numbers each may be broadcast (about 16 bytes a row: 32 MB).
 BROADCAST_ROWS = 2_000_000
 #: Rows in an Arrow batch at most.
 BATCH_ROWS = 2_000
+#: Files that `keyed` numbers at most: their names are broadcast (some 150 bytes each).
+FILES = 50_000
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -32,16 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_scopes: list[list[str]] = []
+_made: dict[str, list[str]] = {}  # work paths since the last begin_stage, by application
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    path = _fresh(spark, name)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
+def lasting_path(spark: SparkSession, name: str) -> str:
+    """A path that begin_stage leaves alone."""
+    return _fresh(spark, name)
+
+
 def delete(spark: SparkSession, *paths: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
@@ -49,14 +63,16 @@ def delete(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Work tables made inside are deleted at its end: what is read later has to be written elsewhere by then."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        delete(spark, *_scopes.pop())
+def discard(*tables: DataFrame) -> None:
+    """Delete work tables that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t._work_path)
+
+
+def begin_stage(spark: SparkSession) -> None:
+    """Delete the work tables of the stage before, whose rows are written by now; collecting garbage lets Spark drop its shuffle files too."""
+    delete(spark, *_made.pop(spark.sparkContext.applicationId, []))
+    spark.sparkContext._jvm.java.lang.System.gc()
 
 
 @contextlib.contextmanager
@@ -76,12 +92,60 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     with small_batches(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_path = path
+    return out
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
+def keyed(df: DataFrame, name: str, key: str = "row_key") -> DataFrame:
+    """df with a key of its own for each row: its doc_id may be null or repeat. `key` is a name that df doesn't use.
+
+    Rows of Parquet files go by file and place within it, without a copy; other tables, and those of more than FILES
+    files, are written once with numbers.
+    """
+    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        file, nth, part = (unused(df, n) for n in ("row_file", "row_nth", "row_part"))
+        with contextlib.suppress(AnalysisException):  # no Parquet, no places
+            placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(nth))
+            files = sorted(r[0] for r in placed.select(file).distinct().limit(FILES + 1).collect())
+            if len(files) <= FILES:
+                numbers = df.sparkSession.createDataFrame(list(enumerate(files)), f"{part} long, {file} string")
+                own = F.col(part) * (1 << 40) + F.col(nth)
+                return placed.join(F.broadcast(numbers), file).select(*[F.col(f"`{c}`") for c in df.columns], own.alias(key))  # at most FILES rows
+    return work_table(df.withColumn(key, F.monotonically_increasing_id()), name)
+
+
+def keep_rows(df: DataFrame, column: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows for which `keep`, given a batch of one column, says true: one pass, whatever the other columns are."""
+    names = [f"_{i}" for i in range(len(df.columns))]
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for b in batches:
+                for i in range(0, b.num_rows, BATCH_ROWS):
+                    part = b.slice(i, BATCH_ROWS)
+                    yield part.filter(pa.array(keep(part.column(at)), pa.bool_()))
+        finally:
+            release()
+
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, df.schema)])
+    return df.toDF(*names).mapInArrow(run, schema).toDF(*df.columns)
 
 
-def keyed(df: DataFrame, name: str) -> DataFrame:
-    """df, written with a key of its own for each row (row_key): its doc_id may be null or repeat."""
-    return work_table(df.withColumn("row_key", F.monotonically_increasing_id()), name)
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers live on, and the next tasks may be of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict | pa.RecordBatch]], schema: str) -> DataFrame:
@@ -95,14 +159,13 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[
             for out in rows(small):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
         finally:
-            pa.default_memory_pool().release_unused()
+            release()
 
     return df.mapInArrow(run, schema)
 
 
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import work_table
+from threadloom.llm.common import discard, work_table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,17 +19,18 @@ def components(edges: DataFrame) -> DataFrame:
     names = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = work_table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "hooks")
-        far = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        hook = work_table(hook.join(far, "p", "left").select("u", F.coalesce("pp", "p").alias("p")), "hooks")
+        near = work_table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "hooks")
+        far = near.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+        hook = work_table(near.join(far, "p", "left").select("u", F.coalesce("pp", "p").alias("p")), "hooks")
         if names is None:
-            names = hook.select(F.col("u").alias("node"), F.col("p").alias("comp"))
+            new = work_table(hook.select(F.col("u").alias("node"), F.col("p").alias("comp")), "names")
         else:
-            names = names.join(hook, names.comp == hook.u, "left").select("node", F.coalesce("p", "comp").alias("comp"))
-        names = work_table(names, "names")
+            new = work_table(names.join(hook, names.comp == hook.u, "left").select("node", F.coalesce("p", "comp").alias("comp")), "names")
         one = edges.join(hook, "u").select(F.col("p").alias("a"), F.col("v").alias("u"))
         two = one.join(hook, "u").select("a", F.col("p").alias("b")).filter("a <> b")
-        edges = work_table(two.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        left = work_table(two.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        discard(near, hook, edges, *([] if names is None else [names]))
+        edges, names = left, new
         if edges.isEmpty():
             # A node's hook is its component's smallest node only once no edge is left: name comps by their minimum.
             return names

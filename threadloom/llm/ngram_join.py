@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import bounded_join, keyed, map_rows, work_table
+from threadloom.llm.common import bounded_join, keyed, map_rows, unused, work_table
 from threadloom.llm.components import components
 from threadloom.llm.words import WHITE, distinct, grams, mix, runs
 
@@ -294,10 +294,11 @@ def join_sets(documents: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def keep_one(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """documents with one row of each component: that of the smallest doc_id (nulls last), then of the smallest row key."""
-    rows = keyed(documents, "rows")
-    members = work_table(join_sets(rows.select(F.col("row_key").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("row_key"), "component_id"), "members")
+    key = unused(documents, "row_key")
+    rows = keyed(documents, "rows", key)
+    members = work_table(join_sets(rows.select(F.col(key).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias(key), "component_id"), "members")
     many = work_table(members.groupBy("component_id").count().filter("count > 1").select("component_id"), "many")
-    shared = work_table(bounded_join(members, many, ["component_id"]).join(rows.select("row_key", "doc_id"), "row_key"), "shared")
-    kept = shared.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("kept"))
-    gone = work_table(bounded_join(shared, work_table(kept, "kept"), ["component_id"]).filter("row_key <> kept").select("row_key"), "not-kept")
-    return bounded_join(rows, gone, ["row_key"], "left_anti").select(*documents.columns)
+    shared = work_table(bounded_join(members, many, ["component_id"]).join(rows.select(key, "doc_id"), key), "shared")
+    kept = shared.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key))[key].alias("kept"))
+    gone = work_table(bounded_join(shared, work_table(kept, "kept"), ["component_id"]).filter(F.col(key) != F.col("kept")).select(key), "not-kept")
+    return bounded_join(rows, gone, [key], "left_anti").select(*documents.columns)

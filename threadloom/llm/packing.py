@@ -8,9 +8,9 @@ the piece's demands ("dot"). A piece's demands follow from its length alone.
 
 from __future__ import annotations
 
-import sys
+import json
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,9 @@ CAPACITY = 2048
 #: Pieces that one task packs together in the first round; the rest of each group meets in a second round.
 GROUP = 4096
 END = 0
-MEMO_CHARS, MEMO_SIZE, RUN_CHARS = 64, 300_000, 1 << 21
+MEMO_CHARS, MEMO_SIZE, RUN_CHARS = 64, 100_000, 1 << 20
+#: Forms in one call of the library.
+CALL = 4096
 
 #: A slot is a task's number, shifted by so many bits, and the piece's number within the task.
 TASK_BITS = 33
@@ -34,36 +36,77 @@ TASK_BITS = 33
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long"
 
 
-class ChunkTokenizer:
-    """The tokenizers library's ids, found per stretch between blanks and remembered.
+# The vocabulary's own rule for words, for characters below U+0180 and some punctuation, lower-cased.
+# There composed forms are the only ones and letters keep their block; other texts are left to the library whole.
+_LETTER, _DIGIT, _SPACE = "a-zªµº\u00df-\u00f6\u00f8-\u017f", "0-9²³¹¼-¾", "\\t-\\r \x85\xa0"
+_WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+").findall
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u017f\u2010-\u2027]|<\\|").search
 
-    The vocabulary's pre-tokenizer drops white space and no token reaches over it, so that stretches between spaces
-    and line feeds can be encoded one by one; the library itself encodes each new one.
+
+class WordTokenizer:
+    """The tokenizers library's ids, found word by word and remembered.
+
+    No token reaches over the words that the vocabulary's pre-tokenizer cuts, so that each new word is encoded once by
+    the library. Texts with characters outside `_OTHER`'s range are cut at spaces and line feeds only (white space is
+    dropped), and the library normalizes and cuts the pieces itself. At most twice MEMO_SIZE forms are remembered.
     """
 
     def __init__(self, path: str):
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.no_padding()
-        self._tokenizer.no_truncation()
-        self._memo: dict[str, bytes] = {"": b""}
+        self._whole = Tokenizer.from_file(path)
+        self._whole.no_padding()
+        self._whole.no_truncation()
+        plain = json.loads(self._whole.to_str())
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, level]}}
+        self._word = Tokenizer.from_str(json.dumps(plain))
+        suffix = plain["model"]["end_of_word_suffix"]
+        self._ends = np.zeros(max(plain["model"]["vocab"].values()) + 1, dtype=bool)
+        self._ends[[i for t, i in plain["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        # Words and pieces (these end in a line feed, which no word holds) share one table.
+        self._memo: dict[str, bytes] = {"\n": b""}
         self._old: dict[str, bytes] = {}
 
+    def _forms(self, text: str) -> list[str]:
+        if text.isascii() and "<|" not in text or _OTHER(text) is None:
+            return _WORDS(text.lower())
+        out: list[str] = []
+        for piece in text.replace("\n", " ").split(" "):
+            if _OTHER(piece) is None:
+                out += _WORDS(piece.lower())
+            else:
+                out.append(piece + "\n")
+        return out
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of some texts; the library sees each new stretch of all of them once, in one call."""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        """The ids of some texts; the library sees each new form of all of them once."""
+        forms = [self._forms(t) for t in texts]
         memo, old = self._memo, self._old
-        missing = set().union(*chunks).difference(memo)
-        new = [c for c in missing if c not in old]
-        memo.update((c, old[c]) for c in missing if c in old)
-        for c, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            memo[c] = np.array(e.ids, dtype="<u4").tobytes() if sys.byteorder == "big" else array("I", e.ids).tobytes()
-        out = [b"".join([memo[c] for c in own]) for own in chunks]
-        for c in new:
-            if len(c) > MEMO_CHARS:
-                del memo[c]
+        missing = set().union(*forms).difference(memo)
+        memo.update((f, old[f]) for f in missing if f in old)
+        new = [f for f in missing if f not in memo]
+        words, pieces = [f for f in new if f[-1] != "\n"], [f for f in new if f[-1] == "\n"]
+        for at in range(0, len(words), CALL):
+            part = words[at : at + CALL]
+            ids = np.array(self._word.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = 4 * (np.flatnonzero(self._ends[ids]) + 1)  # the last token of each word, and no other, has the suffix
+            whole, stops = ids.tobytes(), stops.tolist()
+            memo.update((f, whole[i:j]) for f, i, j in zip(part, [0, *stops], stops, strict=False))
+            if len(stops) != len(part):
+                raise ValueError("a word has no last token")
+        for at in range(0, len(pieces), CALL):
+            part = pieces[at : at + CALL]
+            for f, e in zip(part, self._whole.encode_batch_fast([f[:-1] for f in part], add_special_tokens=False)):
+                memo[f] = np.array(e.ids, dtype="<u4").tobytes()
+        out = [b"".join(map(memo.__getitem__, own)) for own in forms]
+        for f in new:
+            if len(f) > MEMO_CHARS:
+                del memo[f]
         if len(memo) > MEMO_SIZE:
-            # Stretches that aren't met again before the next change of generations are forgotten.
-            self._memo, self._old = {"": b""}, memo
+            # Forms that aren't met again before the next change of generations are forgotten.
+            self._memo, self._old = {"\n": b""}, memo
         return out
 
     def runs(self, texts: pa.Array) -> Iterator[bytes]:
@@ -79,12 +122,12 @@ class ChunkTokenizer:
         yield from self.encode_all(held)
 
 
-_tokenizers: dict[str, ChunkTokenizer] = {}
+_tokenizers: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> ChunkTokenizer:
+def tokenizer(path: str) -> WordTokenizer:
     if path not in _tokenizers:
-        _tokenizers[path] = ChunkTokenizer(path)
+        _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
 
 
@@ -98,16 +141,19 @@ def cut_documents(documents: DataFrame, path: str, capacity: int = CAPACITY) ->
         from pyspark import TaskContext
 
         coder, slot = tokenizer(path), TaskContext.get().partitionId() << TASK_BITS
-        for b in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "slot")}
-            for key, text_ids in zip(b.column(0).to_pylist(), coder.runs(b.column(1))):
-                ids = text_ids + END.to_bytes(4, "little")
-                for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for k, v in zip(out, (key, i, at // 4, len(part) // 4, zlib.crc32(part), slot)):
-                        out[k].append(v)
-                    slot += 1
-            yield out
+        try:
+            for b in batches:
+                out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "slot")}
+                for key, text_ids in zip(b.column(0).to_pylist(), coder.runs(b.column(1))):
+                    ids = text_ids + END.to_bytes(4, "little")
+                    for i, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        for k, v in zip(out, (key, i, at // 4, len(part) // 4, zlib.crc32(part), slot)):
+                            out[k].append(v)
+                        slot += 1
+                yield out
+        finally:
+            coder.forget()  # the worker's next tasks may be of other stages
 
     return map_rows(documents.select("doc_id", "text"), rows, PIECES)
 

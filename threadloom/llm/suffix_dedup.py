@@ -231,11 +231,11 @@ def cut_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
     A text that loses every word goes with its row; the texts of rows without removable spans stay as they are.
     """
     gone = spans(documents, least).filter("removable").groupBy("doc_id", "body").agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("cut"))
-    gone = work_table(gone.groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_list(F.struct("body", "cut")).alias("cuts")), "cuts")
-    joined = documents.withColumn("_cut_id", F.col("doc_id")).join(gone.withColumnRenamed("cut_id", "_cut_id"), "_cut_id", "left").drop("_cut_id")
+    gone = work_table(gone.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.collect_list(F.struct("body", "cut")).alias("_cuts")), "cuts")
     names = [f"_{i}" for i in range(len(documents.columns))]
-    text = names[documents.columns.index("text")]
-    joined = joined.toDF(*names, "_cuts")
+    text, doc_id = (names[documents.columns.index(c)] for c in ("text", "doc_id"))
+    renamed = documents.toDF(*names)
+    joined = renamed.join(gone, renamed[doc_id] == gone["_cut_id"], "left").select(*names, "_cuts")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import map_rows, training_labels, work_table
+from threadloom.llm.common import keep_rows, map_rows, training_labels, work_table
 from threadloom.llm.words import NON_WORD, Run, distinct, runs
 
 #: Labelled documents that are learned from, at most about.
@@ -88,7 +88,9 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 def learn(documents: DataFrame, labels: DataFrame, column: str = "toxic", bound: int = LABELLED) -> Model:
     """A model from training_labels' rows (bounded) and their whole texts. Without labels of both kinds it scores 0 or 1 as the only kind is, 0 without any."""
     chosen = training_labels(labels, column, bound)  # at most about `bound` rows of two numbers: broadcast
-    rows = work_table(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text"), "toxic-labelled")
+    # A doc_id that repeats counts once, by its smallest text, so that the bound holds for rows too.
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = work_table(found.select("label", "text"), "toxic-labelled")
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     none = np.zeros(0)
@@ -187,6 +189,21 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(w[0] / 10), float(w[1])
 
 
+def keep_clean(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """documents whose score is under threshold, in one pass; null and empty texts are judged as `score` does."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most FEATURES features
+
+    def clean(texts: pa.Array) -> np.ndarray:
+        out = np.ones(len(texts), dtype=bool)
+        for run in runs(texts, NON_WORD, PREFIXES):
+            s = token_scores(run, shared.value)
+            best = np.array([max((x[2] for x in segments(s[run.at[i] : run.at[i + 1]])), default=0.0) for i in range(run.last - run.first)])
+            out[run.first : run.last] = shared.value.score(best, np.diff(run.at)) < threshold
+        return out
+
+    return keep_rows(documents, "text", clean)
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, passages): whole texts, every row; passages are the significant segments in characters, with their bits.
 
