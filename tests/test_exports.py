@@ -1,8 +1,10 @@
 """Readers of exports, normalization and threads on small hand-written cases."""
 
+import datetime
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import normalize as N
@@ -35,18 +37,47 @@ def test_backup(spark, tmp_path):
     assert [(a.raw, a.role) for a in mms.addresses] == [("+15550100001", "from"), ("+15550100009", "to")]
 
 
-CHAT = "﻿[25/12/2021, 22:30:45] Ann: a: b\r\nmore\r\n\r\n[26/12/2021, 09:00:00] Calls are secured. Ask: no\r\n[1/2/22, 1:05:00 PM] Bob: <Media omitted>\r\n"
+CHAT = "\ufeff[17/03/2019, 06:04:09] Mia: a: b\r\nmore\r\n\r\n[18/03/2019, 23:59:59] Lines are now private. Read: on\r\n[2/4/19, 1:05:00 PM] Otto: <Media omitted>\r\n[31/02/2019, 10:00] Mia: no such day\r\n"
 
 
 def test_chat_text(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(CHAT.encode())
     with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
-        z.writestr("_chat.txt", "12/25/21, 10:30 PM - Ann: hi\n1/2/21, 12:00 AM - Ann: x\n")
+        z.writestr("_chat.txt", "3/28/20, 7:15 PM - Mia: hi\n[not a head\n1/2/20, 12:00 AM - Mia: x - y\n")
+    with zipfile.ZipFile(tmp_path / "e.zip", "w") as z:
+        z.writestr("other.bin", "3/28/20, 7:15 PM - Mia: hi")
     got = {}
-    for r in exports.chat_text(spark, str(tmp_path)).collect():
+    rows = exports.chat_text(spark, str(tmp_path)).cache()
+    for r in rows.collect():
         got.setdefault(r.file[-5:], []).append((r.n, r.ms, r.sender, r.body, r.order, r.proven))
-    assert sorted(got["c.txt"]) == [(1, 1640471445000, "Ann", "a: b\nmore", "dmy", True), (2, 1640509200000, "Calls are secured. Ask", "no", "dmy", True), (3, 1643720700000, "Bob", "", "dmy", True)]
-    assert sorted(got["d.zip"]) == [(1, 1640471400000, "Ann", "hi", "mdy", True), (2, 1609545600000, "Ann", "x", "mdy", True)]
+    at = lambda *t: int(datetime.datetime(*t, tzinfo=datetime.UTC).timestamp() * 1000)
+    assert sorted(got["c.txt"]) == [
+        (1, at(2019, 3, 17, 6, 4, 9), "Mia", "a: b\nmore", "dmy", True), (2, at(2019, 3, 18, 23, 59, 59), "Lines are now private. Read", "on", "dmy", True),
+        (3, at(2019, 4, 2, 13, 5), "Otto", "", "dmy", True), (4, None, "Mia", "no such day", "dmy", True)]
+    assert sorted(got["d.zip"]) == [(1, at(2020, 3, 28, 19, 15), "Mia", "hi\n[not a head", "mdy", True), (2, at(2020, 1, 2), "Mia", "x - y", "mdy", True)]
+    scan = {r.file[-5:]: r for r in exports.chat_scan(rows).collect()}
+    assert (scan["d.zip"].participants, scan["d.zip"].messages, scan["d.zip"].media, scan["c.txt"].media) == (["Mia"], 2, 0, 1)
+    owned = {r.file[-5:]: (r.direction, r.correspondent, r.problem) for r in exports.chat_messages(rows, "Mia").filter("n = 1").collect()}
+    assert owned == {"c.txt": ("outgoing", "Lines are now private. Read", "group"), "d.zip": ("outgoing", "Mia", None)}
+    assert {r.problem for r in exports.chat_messages(rows, "Nobody").collect()} == {"owner unknown"}
+
+
+def test_chat_blocks(spark, tmp_path):
+    """Messages that begin in one block of a file and go on in the next."""
+    (tmp_path / "long.txt").write_text("".join(f"[{i % 28 + 1:02}/05/2021, 10:{i % 60:02}:00] Ann: message {i}\nsecond line {i}\n" for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = exports.chat_text(spark, str(tmp_path)).orderBy("n").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.n for r in rows] == list(range(1, 2001))
+    assert all(r.body == f"message {i}\nsecond line {i}" for i, r in enumerate(rows))
+
+
+def test_formats():
+    assert [exports.format_of(p) for p in ("a.XML", "b.zip", "c.tsv", "d.db")] == ["backup", "chat", "rows", "phone"]
+    with pytest.raises(ValueError):
+        exports.format_of("x.pdf")
 
 
 def test_plain_rows(spark, tmp_path):
@@ -54,6 +85,8 @@ def test_plain_rows(spark, tmp_path):
     rows = [(r.ms, r.direction, r.body, r.problem) for r in exports.plain_rows(spark, str(tmp_path / "a.csv"), owner="me").collect()]
     assert rows == [(1704103200000, "incoming", 'a "b",\nc', None), (1704103200000, "outgoing", "d", None), (None, "incoming", "e", "unclear timestamp: 01/02/2021"), (1704103200000, "incoming", "f", None)]
     (tmp_path / "w.json").write_text(json.dumps({"messages": [{"time": 1704103200, "direction": "sent", "body": "x"}, {"time": None, "direction": "sent", "body": "y"}]}))
+    named = exports.with_correspondent(exports.plain_rows(spark, str(tmp_path / "a.csv"), owner="me"), "abc" * 20)
+    assert {r.correspondent for r in named.collect()} == {"file:abcabcabcabc"}
     rows = [(r.ms, r.direction, r.problem) for r in exports.plain_rows(spark, str(tmp_path / "w.json")).collect()]
     assert rows == [(1704103200000, "outgoing", None), (None, "outgoing", "no timestamp")]
 

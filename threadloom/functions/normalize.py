@@ -79,7 +79,7 @@ def e164(raw: Column, country: str = "1", national: int = 10) -> Column:
     value = F.trim(F.coalesce(raw, F.lit("")))
     digits = F.regexp_replace(value, r"\D", "")
     home = (F.length(digits) == national + len(country)) & digits.startswith(country)
-    form = F.when(value.startswith("+") & F.length(digits).between(7, 15) | home, F.concat(F.lit("+"), digits)).when(F.length(digits) == national, F.concat(F.lit("+" + country), digits))
+    form = F.when(value.startswith("+") & (F.length(digits) >= 7) & (F.length(digits) <= 15) | home, F.concat(F.lit("+"), digits)).when(F.length(digits) == national, F.concat(F.lit("+" + country), digits))
     return F.when(address_kind(raw) == "mobile", form)
 
 

@@ -11,7 +11,6 @@ from threadloom.operators.ordered import gap_groups, next_where, order, rounded,
 from threadloom.sources.tables import HOUR_MS, date_of, day_of
 
 
-
 def hostile() -> Column:
     return F.col("tension") >= 2
 
@@ -68,110 +67,180 @@ def quarter() -> Column:
     return F.concat(F.year(date_of()).cast("string"), F.lit("-Q"), F.quarter(date_of()).cast("string"))
 
 
+def growth(messages: DataFrame, within_ms: int = 2 * HOUR_MS) -> DataFrame:
+    """Per thread and quarter with messages: the owner's volume, hostile and severe shares, and rates (of all hostility met) of returning it and of withdrawing."""
+    share = lambda a, b: rounded(F.coalesce(F.try_divide(a, b), F.lit(0.0)))
+    rows = reciprocation(messages, quarter(), "quarter", within_ms)
+    return rows.select("thread_id", "quarter", "n_me", "hostile_me", "severe_me", share("hostile_me", "n_me").alias("hostile_share"), share("severe_me", "n_me").alias("severe_share"),
+                       "asked", "returned", "softened", "withdrew", share("returned", "asked").alias("returned_rate"), share("withdrew", "asked").alias("withdrew_rate"))
+
+
 def deluge_days(messages: DataFrame, least: int = 20) -> DataFrame:
     """(thread_id, day, hostile): days on which the other side sent at least `least` hostile messages."""
     return substantive(messages).filter(hostile() & ~F.col("me")).groupBy("thread_id", day_of().alias("day")).agg(F.count(F.lit(1)).alias("hostile")).filter(F.col("hostile") >= least)
 
 
-FEATURES = ("n_me", "n_them", "share_me", "share_them", "returned_rate")
+FEATURES = ("n_total", "share_them", "hostile_share_me", "hostile_share_them", "returned_rate", "begun_share_them", "repair_hours")
 
 
-def monthly_series(messages: DataFrame, within_ms: int = 2 * HOUR_MS) -> DataFrame:
-    """Per thread and month with messages: volumes, hostile shares, rate of answered hostility that was returned (gaps carried on), and each one's z-score in the thread."""
+def monthly_series(messages: DataFrame, found: DataFrame, within_ms: int = 2 * HOUR_MS) -> DataFrame:
+    """Per thread and month with messages: volume, the other side's share, hostile shares, the rate of answered hostility that the owner returned
+    (0 without any), the other side's share of episodes begun and the median hours to repair, and each one's z-score in the thread.
+
+    found are the thread's `episodes`. The last two are carried over months without episodes, from the mean of the known
+    months at the start, and are 0 in threads without any.
+    """
     answered = F.col("returned") + F.col("softened")
-    rows = reciprocation(messages, month(), "month", within_ms).select(
-        "thread_id", "month", F.col("n_me").cast("double").alias("n_me"), F.col("n_them").cast("double").alias("n_them"),
-        F.coalesce(F.try_divide("hostile_me", "n_me"), F.lit(0.0)).alias("share_me"), F.coalesce(F.try_divide("hostile_them", "n_them"), F.lit(0.0)).alias("share_them"),
-        F.when(answered > 0, F.col("returned") / answered).alias("known"),
+    by = F.date_format(date_of("start_ms"), "yyyy-MM").alias("month")
+    known = found.groupBy("thread_id", by).agg(F.avg((~F.col("begun_by_me")).cast("double")).alias("begun"), F.percentile(F.when(F.col("repaired"), (F.col("repair_ms") - F.col("end_ms")) / float(HOUR_MS)), 0.5).alias("repair"))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    rows = reciprocation(messages, month(), "month", within_ms).join(known, ["thread_id", "month"], "left").select(
+        "thread_id", "month", (F.col("n_me") + F.col("n_them")).alias("n_total"), share("n_them", F.col("n_me") + F.col("n_them")).alias("share_them"), share("hostile_me", "n_me").alias("hostile_share_me"), share("hostile_them", "n_them").alias("hostile_share_them"),
+        share("returned", answered).alias("returned_rate"), "begun", "repair",
     )
-    every = Window.partitionBy("thread_id")
-    so_far = every.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("returned_rate", F.coalesce(F.last("known", ignorenulls=True).over(so_far), F.avg("known").over(every), F.lit(0.0))).drop("known")
-    z = lambda c: rounded((F.col(c) - F.avg(c).over(every)) / F.coalesce(F.nullif(F.stddev_pop(c).over(every), F.lit(0.0)), F.lit(1.0)), 5)
-    return rows.select("thread_id", "month", *[rounded(F.col(c)).alias(c) for c in FEATURES], *[z(c).alias(f"z_{c}") for c in FEATURES])
-
-
-def split_points(x: np.ndarray, least: int = 4, sigma: float = 0.75, most: int = 6) -> list[int]:
-    """Starts of segments of the rows of x by greedy binary segmentation: the split of largest mean shift in units of spread, while it exceeds sigma."""
+    seeds = rows.groupBy("thread_id").agg(F.avg("begun").alias("seed_begun"), F.avg("repair").alias("seed_repair"))
+    so_far = Window.partitionBy("thread_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    carried = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col("seed_" + c), F.lit(0.0))
+    rows = rows.join(seeds, "thread_id").withColumn("begun_share_them", carried("begun")).withColumn("repair_hours", carried("repair")).drop("begun", "repair", "seed_begun", "seed_repair")
+    # One aggregate row per thread rather than windows over unordered frames.
+    level = rows.groupBy("thread_id").agg(*[f(c).alias(f"{n}_{c}") for c in FEATURES for n, f in (("m", F.avg), ("sd", F.stddev_pop))])
+    z = lambda c: F.when(F.col(f"sd_{c}") > 1e-12, (F.col(c) - F.col(f"m_{c}")) / F.col(f"sd_{c}")).otherwise(0.0)
+    return rows.join(level, "thread_id").select("thread_id", "month", *FEATURES, *[z(c).alias(f"z_{c}") for c in FEATURES])
+
+
+def best_split(x: np.ndarray, least: int) -> tuple[float, int]:
+    """(score, row) of the split of x's rows with the largest mean shift in units of spread within both sides; (0, -1) where x is too short. The earliest of equals."""
+    n = len(x)
+    cuts = np.arange(least, n - least + 1)
+    if not len(cuts):
+        return 0.0, -1
     total, square = (np.vstack([np.zeros(x.shape[1]), np.cumsum(v, axis=0)]) for v in (x, x * x))
+    left, right = cuts[:, None], (n - cuts)[:, None]
+    ml, mr = total[cuts] / left, (total[n] - total[cuts]) / right
+    within = square[n] - left * ml**2 - right * mr**2
+    scores = (np.abs(ml - mr) / np.maximum(np.sqrt(np.maximum(within, 0) / n), 1e-6)).mean(axis=1)
+    at = int(np.argmax(np.round(scores, 9)))
+    return float(scores[at]), int(cuts[at])
 
-    def best(a: int, b: int) -> tuple[float, int]:
-        cuts = np.arange(a + least, b - least + 1)
-        if not len(cuts):
-            return 0.0, -1
-        left, right = (cuts - a)[:, None], (b - cuts)[:, None]
-        ml, mr = (total[cuts] - total[a]) / left, (total[b] - total[cuts]) / right
-        within = square[b] - square[a] - left * ml**2 - right * mr**2
-        spread = np.maximum(np.sqrt(np.maximum(within, 0) / (b - a)), 1e-6)
-        scores = (np.abs(ml - mr) / spread).mean(axis=1)
-        at = int(scores.argmax())
-        return float(scores[at]), int(cuts[at])
 
+def split_points(x: np.ndarray, least: int = 4, sigma: float = 0.75, most: int = 6) -> list[int]:
+    """Starts of segments of the rows of x: the best split of any segment is made, while its score exceeds sigma."""
     starts = [0]
     while len(starts) < most:
-        score, at = max((best(a, b) for a, b in zip(starts, [*starts[1:], len(x)])), key=lambda s: s[0])
+        tried = [(best_split(x[a:b], least), a) for a, b in zip(starts, [*starts[1:], len(x)])]
+        (score, at), a = max(tried, key=lambda t: t[0][0])
         if score <= sigma:
             break
-        starts = sorted([*starts, at])
+        starts = sorted([*starts, a + at])
     return starts
 
 
+def first_cuts(series: DataFrame, least: int = 4, sigma: float = 0.75) -> DataFrame:
+    """(thread_id, first_cut, score): the month with which the best split of each thread's series begins, where its score exceeds sigma."""
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("month")
+        score, at = best_split(pdf[[f"z_{c}" for c in FEATURES]].to_numpy(dtype=float), least)
+        return pd.DataFrame({"thread_id": pdf["thread_id"].iloc[:1], "first_cut": pdf["month"].iloc[at : at + 1].tolist() or [None], "score": [score]})
+
+    return series.groupBy("thread_id").applyInPandas(cut, "thread_id long, first_cut string, score double").filter(F.col("score") > sigma)
+
+
 def eras(series: DataFrame, least: int = 4, sigma: float = 0.75, most: int = 6) -> DataFrame:
-    """(thread_id, era, first_month, last_month, months): monthly_series' rows cut where the features' level shifts. A thread's months are few, so one call sees them whole."""
+    """(thread_id, era, first_month, last_month, months, start_ms, end_ms, a mean of each feature): monthly_series' rows cut where the features' level shifts.
+
+    A thread's months are few, so one call sees them whole. end_ms is the last millisecond of the last month.
+    """
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("month")
         starts = split_points(pdf[[f"z_{c}" for c in FEATURES]].to_numpy(dtype=float), least, sigma, most)
-        ends = [*starts[1:], len(pdf)]
-        months = pdf["month"].tolist()
-        return pd.DataFrame({"thread_id": pdf["thread_id"].iat[0], "era": range(len(starts)), "first_month": [months[s] for s in starts], "last_month": [months[e - 1] for e in ends], "months": [e - s for s, e in zip(starts, ends)]})
+        era = np.searchsorted(starts, np.arange(len(pdf)), side="right") - 1
+        return pd.DataFrame({"thread_id": pdf["thread_id"], "month": pdf["month"], "era": era})
+
+    numbered = series.groupBy("thread_id").applyInPandas(cut, "thread_id long, month string, era int")
+    out = series.join(numbered, ["thread_id", "month"]).groupBy("thread_id", "era").agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.count(F.lit(1)).cast("int").alias("months"), *[rounded(F.avg(c)).alias(c) for c in FEATURES])
+    day = lambda c, later: F.unix_date(F.add_months(F.to_date(F.concat(F.col(c), F.lit("-01"))), later)).cast("long") * (24 * HOUR_MS)
+    return out.withColumn("start_ms", day("first_month", 0)).withColumn("end_ms", day("last_month", 1) - 1)
 
-    return series.groupBy("thread_id").applyInPandas(cut, "thread_id long, era int, first_month string, last_month string, months int")
 
+def coverage(messages: DataFrame, gap_days: int = 90, serious_days: int = 180, before: int = 15, least: int = 10) -> DataFrame:
+    """(thread_id, n, gap_ms, confidence): the longest gap (the first of equals) lowers confidence if `before` messages lie in the gap_days up to it.
 
-def coverage(messages: DataFrame, gap_days: int = 90, serious_days: int = 180, before: int = 15) -> DataFrame:
-    """(thread_id, n, gap_ms, confidence): the longest gap lowers confidence if `before` messages lie in the gap_days before it."""
+    Confidence is 1 under gap_days or with fewer than `least` messages, 0.4 from serious_days, else 0.6.
+    """
     day = 24 * HOUR_MS
-    rows = messages.withColumn("prev", F.lag("ms").over(order())).withColumn("gap", F.col("ms") - F.col("prev")).withColumn("rn", F.row_number().over(order()))
-    busy = F.count(F.lit(1)).over(Window.partitionBy("thread_id").orderBy("ms").rangeBetween(-gap_days * day + 1, 0))
-    rows = rows.withColumn("busy", busy).withColumn("busy", F.lag("busy").over(order()))
-    worst = rows.groupBy("thread_id").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("gap_ms"), F.max_by("busy", F.struct("gap", -F.col("rn"))).alias("busy"))
-    low = (F.col("n") >= 10) & (F.col("busy") >= before)
-    return worst.select("thread_id", "n", "gap_ms", F.when(low & (F.col("gap_ms") >= serious_days * day), 0.4).when(low & (F.col("gap_ms") >= gap_days * day), 0.6).otherwise(1.0).alias("confidence"))
+    rows = messages.select("thread_id", "id", "ms").withColumn("prev", F.lag("ms").over(order()))
+    gap = F.col("ms") - F.col("prev")
+    worst = rows.groupBy("thread_id").agg(F.count(F.lit(1)).alias("n"), F.max(gap).alias("gap_ms"), F.max_by("prev", F.when(gap.isNotNull(), F.struct(gap, -F.col("prev")))).alias("from"))
+    busy = messages.select("thread_id", "ms").join(worst.select("thread_id", "from"), "thread_id").groupBy("thread_id").agg(F.count_if((F.col("ms") <= F.col("from")) & (F.col("ms") > F.col("from") - gap_days * day)).alias("busy"))
+    told = (F.col("n") >= least) & (F.col("busy") >= before) & (F.col("gap_ms") >= gap_days * day)
+    return worst.join(busy, "thread_id").select("thread_id", "n", "gap_ms", F.when(told, F.when(F.col("gap_ms") >= serious_days * day, 0.4).otherwise(0.6)).otherwise(1.0).alias("confidence"))
 
 
-def months_dense(messages: DataFrame) -> DataFrame:
-    """(thread_id, month, n, active_days): every month from the first to the last, empty ones too; below is n under 15 % of the median of months with messages."""
-    rows = messages.groupBy("thread_id", F.trunc(date_of(), "month").alias("m")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(day_of()).alias("active_days"))
-    span = rows.groupBy("thread_id").agg(F.explode(F.expr("sequence(min(m), max(m), interval 1 month)")).alias("m"))
-    floors = rows.groupBy("thread_id").agg(F.greatest(F.lit(1.0), F.floor(F.floor(F.percentile("n", 0.5) + 0.5) * 0.15 + 0.5).cast("double")).alias("floor"))
-    full = span.join(rows, ["thread_id", "m"], "left").join(floors, "thread_id")
-    n = F.coalesce("n", F.lit(0))
-    return full.select("thread_id", F.date_format("m", "yyyy-MM").alias("month"), n.alias("n"), F.coalesce("active_days", F.lit(0)).alias("active_days"), (n < F.col("floor")).alias("below"))
+def with_turns(messages: DataFrame) -> DataFrame:
+    """messages with turn: a number for each run of one side's messages."""
+    side = F.col("me") if "me" in messages.columns else F.col("direction")
+    changed = F.coalesce(F.lag(side).over(order()) != side, F.lit(True)).cast("int")
+    return messages.withColumn("_c", changed).withColumn("turn", F.sum("_c").over(upto())).drop("_c")
 
 
 def turns(messages: DataFrame) -> DataFrame:
     """(thread_id, turn, direction, messages, start_ms, end_ms): runs of messages of one side."""
-    change = F.coalesce(F.lag("direction").over(order()) != F.col("direction"), F.lit(True)).cast("int")
-    return messages.withColumn("c", change).withColumn("turn", F.sum("c").over(upto())).groupBy("thread_id", "turn", "direction").agg(F.count(F.lit(1)).alias("messages"), F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"))
-
-
-def power_shares(found: DataFrame, half_life_days: int = 365) -> DataFrame:
-    """Per thread, the other side's share of episodes begun, of severe messages and of recency-weighted severity (0.5 without any), and the stance where all agree on two thirds."""
-    last = Window.partitionBy("thread_id")
-    age = (F.max("start_ms").over(last) - F.col("start_ms")) / (24.0 * HOUR_MS * half_life_days)
-    rows = found.withColumn("w", F.pow(F.lit(0.5), age))
-    share = lambda them, me: rounded(F.coalesce(F.try_divide(them, them + me), F.lit(0.5)))
-    out = rows.groupBy("thread_id").agg(
-        share(F.count_if(~F.col("begun_by_me")), F.count_if("begun_by_me")).alias("begun"), share(F.sum("severe_them"), F.sum("severe_me")).alias("severe"),
-        share(F.sum(F.col("severe_them") * F.col("w")), F.sum(F.col("severe_me") * F.col("w"))).alias("recent"),
-    )
-    lowest, highest = F.least("begun", "severe", "recent"), F.greatest("begun", "severe", "recent")
-    return out.withColumn("stance", F.when(lowest >= 0.66, "them").when(highest <= 0.34, "me").otherwise("mutual"))
+    return with_turns(messages).groupBy("thread_id", "turn", "direction").agg(F.count(F.lit(1)).alias("messages"), F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"))
+
 
+def smoothing_half(days: Column) -> Column:
+    """Half the width of the rolling mean for a span of so many days: a seventieth of it, 7 to 45 days wide."""
+    return F.floor(F.least(F.lit(45.0), F.greatest(F.lit(7.0), days / 70)) / 2 + 0.5).cast("int")
 
-def rolling(series: DataFrame, half: int = 7) -> DataFrame:
-    """(thread_id, day, n, smooth): a daily series on all days from first to last, with the centred mean of 2 * half + 1 days, shorter at the ends."""
-    span = series.groupBy("thread_id").agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
-    full = span.join(series.select("thread_id", "day", "n"), ["thread_id", "day"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return full.withColumn("smooth", rounded(F.avg("n").over(Window.partitionBy("thread_id").orderBy("day").rowsBetween(-half, half))))
+
+def rolling(series: DataFrame, half: int | None = None) -> DataFrame:
+    """(thread_id, day, n, half, smooth): a daily series on all days from first to last, with the centred mean of 2 * half + 1 days, shorter at the ends.
+
+    half follows from each thread's span unless given.
+    """
+    ends = series.groupBy("thread_id").agg(F.min("day").alias("a"), F.max("day").alias("b"), F.sum("n").alias("total"))
+    width = F.lit(half) if half is not None else smoothing_half(F.col("b") - F.col("a") + 1)
+    days = ends.select("thread_id", "a", "b", "total", width.alias("half"), F.explode(F.sequence("a", "b")).alias("day"))
+    full = days.join(series.select("thread_id", "day", "n"), ["thread_id", "day"], "left").na.fill(0, ["n"])
+    # A frame's width can't hang on the row, so sums are differences of running sums, half a width away on both sides.
+    full = full.withColumn("upto", F.sum("n").over(Window.partitionBy("thread_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
+    ahead = full.select("thread_id", (F.col("day") - F.col("half")).alias("day"), F.col("upto").alias("ahead"))
+    behind = full.select("thread_id", (F.col("day") + F.col("half") + 1).alias("day"), F.col("upto").alias("behind"))
+    both = full.join(ahead, ["thread_id", "day"], "left").join(behind, ["thread_id", "day"], "left")
+    count = F.least(F.col("day") + F.col("half"), F.col("b")) - F.greatest(F.col("day") - F.col("half"), F.col("a")) + 1
+    smooth = (F.coalesce("ahead", "total") - F.coalesce("behind", F.lit(0))) / count
+    return both.select("thread_id", "day", "n", "half", rounded(smooth).alias("smooth"))
+
+
+def silences(series: DataFrame, half: int = 7) -> DataFrame:
+    """(thread_id, first, last, days): runs of days without messages between active ones, of at least max(14, 2 * half) days."""
+    w = Window.partitionBy("thread_id").orderBy("day")
+    gaps = series.select("thread_id", "day").withColumn("prev", F.lag("day").over(w))
+    return gaps.select("thread_id", (F.col("prev") + 1).alias("first"), (F.col("day") - 1).alias("last"), (F.col("day") - F.col("prev") - 1).alias("days")).filter(F.col("days") >= max(14, 2 * half))
+
+
+def scaled(series: DataFrame, value: str, share: float = 0.95) -> DataFrame:
+    """series with `scaled`: value over the thread's nearest-rank percentile (rank round((n - 1) * share) of the sorted values), 1 at most."""
+    w = Window.partitionBy("thread_id").orderBy(value, "day")
+    n = F.count(F.lit(1)).over(Window.partitionBy("thread_id"))
+    ranked = series.withColumn("_nth", F.row_number().over(w) - 1).withColumn("_n", n)
+    level = ranked.filter(F.col("_nth") == F.floor((F.col("_n") - 1) * share + 0.5)).select("thread_id", F.col(value).alias("_level"))
+    return series.join(level, "thread_id").withColumn("scaled", rounded(F.coalesce(F.least(F.lit(1.0), F.try_divide(value, "_level")), F.lit(0.0)))).drop("_level")
+
+
+def steadiness(series: DataFrame, value: str = "warmth", least: int = 5, calm: float = 0.18, restless: float = 0.34) -> DataFrame:
+    """(thread_id, change, phrase): mean absolute change from one day with messages to the next; null under `least` days."""
+    w = Window.partitionBy("thread_id").orderBy("day")
+    r = series.withColumn("d", F.abs(F.col(value) - F.lag(value).over(w))).groupBy("thread_id").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("c"))
+    change = F.when(F.col("n") >= least, F.col("c"))
+    return r.select("thread_id", rounded(change).alias("change"), F.when(change < calm, "steady").when(change < restless, "uneven").when(change.isNotNull(), "volatile").alias("phrase"))
+
+
+def calendar(series: DataFrame) -> DataFrame:
+    """(thread_id, day, week, dow, n): every day from the first to the last, in columns of weeks that begin on Sunday."""
+    ends = series.groupBy("thread_id").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    dow = F.pmod(F.col("day") + 4, F.lit(7)).cast("int")
+    days = ends.select("thread_id", "a", F.explode(F.sequence("a", "b")).alias("day")).join(series.select("thread_id", "day", "n"), ["thread_id", "day"], "left").na.fill(0, ["n"])
+    return days.select("thread_id", "day", F.floor((F.col("day") - F.col("a") + F.pmod(F.col("a") + 4, F.lit(7))) / 7).cast("int").alias("week"), dow.alias("dow"), "n")

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.operators.ordered import order, gap_groups, rounded, runs_of_days, spoken, substantive, top
-from threadloom.sources.tables import DAY_MS, HOUR_MS, day_of
+from threadloom.functions.clock import Zone, local_day, local_hour, local_weekday
+from threadloom.operators.ordered import gap_groups, order, rounded, runs_of_days, spoken, substantive, top
+from threadloom.sources.tables import HOUR_MS, day_of
 
+# Words that speak of oneself, of the other, and of both.
+I_WORDS = ("i", "i'm", "i've", "i'll", "i'd", "im", "ive", "me", "my", "mine", "myself")
+YOU_WORDS = ("you", "you're", "you've", "you'll", "you'd", "your", "yours", "yourself", "yourselves", "u", "ya")
+WE_WORDS = ("we", "we're", "we've", "we'll", "we'd", "us", "our", "ours", "ourselves")
 
 
 def sent() -> Column:
@@ -25,10 +30,10 @@ def reply_latencies(messages: DataFrame) -> DataFrame:
     return two.filter("was <> direction").select("thread_id", "direction", "minutes")
 
 
-def summary(messages: DataFrame, session_gap_ms: int = HOUR_MS) -> DataFrame:
-    """One row per thread: totals, sides, span, late-night share, sessions and who opens them, median and p90 replies in minutes."""
+def summary(messages: DataFrame, session_gap_ms: int = HOUR_MS, zone: Zone = 0) -> DataFrame:
+    """One row per thread: totals, sides, span, late-night share (before 5 by the zone's clock), sessions and who opens them, median and p90 replies in minutes."""
     rows = gap_groups(spoken(messages), session_gap_ms, "session")
-    hour = F.floor(F.pmod("ms", F.lit(DAY_MS)) / HOUR_MS)
+    hour = local_hour(zone)
     counts = rows.groupBy("thread_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(sent()).alias("sent"), F.count_if(received()).alias("received"),
         rounded(F.avg(sent().cast("double"))).alias("sent_share"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"),
@@ -44,21 +49,50 @@ def summary(messages: DataFrame, session_gap_ms: int = HOUR_MS) -> DataFrame:
     return counts.join(replies, "thread_id", "left")
 
 
-def daily(messages: DataFrame) -> DataFrame:
-    """(thread_id, day, count, sent, received, warmth, tension): a row per thread and day with messages; day counts from 1970."""
-    return spoken(messages).groupBy("thread_id", day_of().alias("day")).agg(
+def daily(messages: DataFrame, zone: Zone = 0) -> DataFrame:
+    """(thread_id, day, n, sent, received, warmth, tension): a row per thread and day of the zone's clock with messages; day counts from 1970."""
+    return spoken(messages).groupBy("thread_id", local_day(zone).alias("day")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(sent()).alias("sent"), F.count_if(received()).alias("received"),
         rounded(F.avg(F.col("warmth") / 3.0)).alias("warmth"), rounded(F.avg(F.col("tension") / 3.0)).alias("tension"),
     )
 
 
-def heatmap(messages: DataFrame) -> DataFrame:
-    """(thread_id, dow, hour, n) for all 168 cells of every thread; dow 0 is Sunday."""
-    cell = spoken(messages).groupBy("thread_id", F.pmod(day_of() + 4, F.lit(7)).cast("int").alias("dow"), F.floor(F.pmod("ms", F.lit(DAY_MS)) / HOUR_MS).cast("int").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+def heatmap(messages: DataFrame, zone: Zone = 0) -> DataFrame:
+    """(thread_id, dow, hour, n) for all 168 cells of every thread by the zone's clock; dow 0 is Sunday."""
+    cell = spoken(messages).groupBy("thread_id", local_weekday(zone).alias("dow"), local_hour(zone).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     grid = spoken(messages).select("thread_id").distinct().withColumn("dow", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
     return grid.join(cell, ["thread_id", "dow", "hour"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def sentiment(messages: DataFrame, lexicon: DataFrame, zone: Zone = 0, alpha: float = 15.0) -> DataFrame:
+    """(thread_id, day, sentiment, warmth, tension, scored, english_share): daily means of scores by a lexicon (word, valence).
+
+    A message's score is its words' valence sum over the root of its square plus alpha, so that it lies between -1 and 1;
+    only eligible messages (language en or unknown) that hold a word of the lexicon have one. warmth is the mean of its
+    positive part, tension of its negative part. The lexicon joins by word; it is broadcast only if Spark finds it small.
+    """
+    rows = spoken(messages).withColumn("day", local_day(zone)).withColumn("eligible", english())
+    words = rows.filter("eligible").select("thread_id", "day", "id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("body", F.lit(""))), F.lit(r"[a-z][a-z']*"), 0)).alias("word"))
+    total = words.join(lexicon, "word").groupBy("thread_id", "day", "id").agg(F.sum("valence").alias("s"))
+    score = F.col("s") / F.sqrt(F.col("s") * F.col("s") + alpha)
+    means = total.withColumn("c", score).groupBy("thread_id", "day").agg(
+        rounded(F.avg("c")).alias("sentiment"), rounded(F.avg(F.greatest(F.lit(0.0), "c"))).alias("warmth"), rounded(F.avg(F.greatest(F.lit(0.0), -F.col("c")))).alias("tension"), F.count(F.lit(1)).alias("scored")
+    )
+    days = rows.groupBy("thread_id", "day").agg(rounded(F.avg(F.col("eligible").cast("int"))).alias("english_share"))
+    return days.join(means, ["thread_id", "day"], "left").na.fill(0, ["scored"])
+
+
+def english() -> Column:
+    """Whether a message's words may be read as English: its language is that or unknown."""
+    return F.coalesce(F.col("lang") == "en", F.lit(True))
+
+
+def english_gate(messages: DataFrame) -> DataFrame:
+    """(thread_id, share, available): word-based readings are offered where over half of a thread's messages are eligible."""
+    share = F.avg(english().cast("int"))
+    return spoken(messages).groupBy("thread_id").agg(rounded(share).alias("share"), (share > 0.5).alias("available"))
+
+
 def streaks(messages: DataFrame) -> DataFrame:
     """(thread_id, active_days, longest_streak, longest_silence) over UTC days."""
     islands = runs_of_days(spoken(messages).select("thread_id", day_of().alias("day")).distinct())
@@ -66,13 +100,18 @@ def streaks(messages: DataFrame) -> DataFrame:
 
 
 def wording(messages: DataFrame) -> DataFrame:
-    """(thread_id, direction, n, avg_words, question_share, we_ratio): words are runs without white space; we_ratio is we/us/our over those and I/you words."""
+    """(thread_id, direction, n, avg_words, question_share, we_ratio): words are runs without white space.
+
+    we_ratio is the share of words of both among those of oneself, the other and both, over messages that are English or
+    of unknown language (all of them where there is no lang column); null without any.
+    """
     body = F.coalesce("body", F.lit(""))
     trimmed = F.trim(F.regexp_replace(body, r"(?U)\s+", " "))
-    tokens = F.regexp_extract_all(F.lower(body), F.lit(r"[a-z][a-z']*"), 0)
+    eligible = english() if "lang" in messages.columns else F.lit(True)
+    tokens = F.when(eligible, F.regexp_extract_all(F.lower(body), F.lit(r"[a-z][a-z']*"), 0)).otherwise(F.array().cast("array<string>"))
     of = lambda *w: F.size(F.filter(tokens, lambda t: t.isin(*w)))
     rows = spoken(messages).select("thread_id", "direction", F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, " "))).alias("words"), F.contains(body, F.lit("?")).cast("double").alias("asks"),
-                                   of("we", "us", "our", "ours").alias("we"), of("i", "me", "my", "mine", "you", "your", "yours").alias("other"))
+                                   of(*WE_WORDS).alias("we"), of(*I_WORDS, *YOU_WORDS).alias("other"))
     total = F.sum("we") + F.sum("other")
     return rows.groupBy("thread_id", "direction").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("words")).alias("avg_words"), rounded(F.avg("asks")).alias("question_share"), rounded(F.when(total > 0, F.sum("we") / total)).alias("we_ratio"))
 
@@ -99,8 +138,3 @@ def replies_by_side(messages: DataFrame, most_ms: int = 6 * HOUR_MS) -> DataFram
         half(me).alias("median_me"), half(~me).alias("median_them"), F.count_if(F.col("first") & me).alias("first_me"), F.count_if(F.col("first") & ~me).alias("first_them"),
         F.count_if(F.col("last") & me).alias("last_me"), F.count_if(F.col("last") & ~me).alias("last_them"), double(me).alias("double_me"), double(~me).alias("double_them"),
     )
-
-
-def busiest_days(messages: DataFrame) -> DataFrame:
-    """(thread_id, day, n): each thread's busiest day, the earliest of equals."""
-    return top(daily(messages), ["thread_id"], [F.desc("n"), F.asc("day")], 1).select("thread_id", "day", "n")

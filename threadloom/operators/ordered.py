@@ -22,7 +22,7 @@ def upto() -> WindowSpec:
 
 
 def coming() -> WindowSpec:
-    """The messages after each one, nearest last: their running last value is the next one, where a frame that shrinks would be summed anew for each row."""
+    """The messages after each one, nearest last: their running last value is the next one, while a shrinking frame would be summed anew for each row."""
     return Window.partitionBy("thread_id").orderBy(F.desc("ms"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
 
 

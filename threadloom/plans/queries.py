@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators import conflict, metrics, search, threads
-from threadloom.sources.tables import HOUR_MS, SQL, conversation_messages, events_messages, orders_messages, table
-
-DAY = 24 * HOUR_MS
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, base: str | None = None):
-    """Register a function under its name, with SQL that may build on an adapter's `msgs`."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = f"with {SQL[base]}, {sql}" if base else sql
-        return f
-
-    return add
-
-
-SPOKEN = "spoken as (select * from msgs where not is_reaction)"
-SUBSTANTIVE = "sub as (select *, direction in ('outgoing', 'draft') as me from msgs where not is_reaction and trim(coalesce(body, ''), ' ') <> '')"
+from threadloom.plans import lenses  # noqa: F401  (registers its queries)
+from threadloom.plans.registry import DAY, MONTH, ORACLE_SQL, QUERIES, SPOKEN, SUBSTANTIVE, answers_sql, episodes_sql, query  # noqa: F401
+from threadloom.sources.tables import HOUR_MS, conversation_messages, events_messages, orders_messages, table
 
 
 @query(f"""{SPOKEN},
@@ -75,7 +55,8 @@ def activity_streaks(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""{SPOKEN},
 t as (select thread_id, direction, trim(regexp_replace(coalesce(body, ''), '\\s+', ' ', 'g')) as b, regexp_extract_all(lower(coalesce(body, '')), '[a-z][a-z'']*') as w from spoken),
 c as (select thread_id, direction, case when b = '' then 0 else len(string_split(b, ' ')) end as words, case when contains(b, '?') then 1.0 else 0 end as asks,
-  len(list_filter(w, lambda x: x in ('we', 'us', 'our', 'ours'))) as we, len(list_filter(w, lambda x: x in ('i', 'me', 'my', 'mine', 'you', 'your', 'yours'))) as other from t)
+  len(regexp_extract_all(' ' || array_to_string(w, '  ') || ' ', ' (we|we''re|we''ve|we''ll|we''d|us|ours?|ourselves) ')) as we,
+  len(regexp_extract_all(' ' || array_to_string(w, '  ') || ' ', ' (i|i''m|i''ve|i''ll|i''d|im|ive|me|my|mine|myself|you|you''re|you''ve|you''ll|you''d|yours?|yourself|yourselves|u|ya) ')) as other from t)
 select thread_id, direction, count(*) as n, round(avg(words), 6) as avg_words, round(avg(asks), 6) as question_share,
   round(case when sum(we) + sum(other) > 0 then sum(we) / (sum(we) + sum(other)) end, 6) as we_ratio from c group by 1, 2""", "conversations")
 def wording(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,68 +85,29 @@ def replies_by_side(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.replies_by_side(events_messages(spark, folder))
 
 
-@query(f"""{SPOKEN}, d as (select thread_id, ms // 86400000 as day, count(*) as n from spoken group by 1, 2)
-select thread_id, day, n from (select *, row_number() over (partition by thread_id order by n desc, day) as p from d) where p = 1""", "events")
-def busiest_days(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.busiest_days(events_messages(spark, folder))
-
-
-EPISODES = f"""{SUBSTANTIVE},
-f as (select *, row_number() over w as rn from sub window w as (partition by thread_id order by ms, id)),
-nx as (select *, first_value(case when warmth >= 2 then {{'ms': ms, 'me': me}} end ignore nulls) over (partition by thread_id order by rn rows between 1 following and unbounded following) as warm from f),
-h as (select *, coalesce(ms - lag(ms) over (partition by thread_id order by rn) > GAP, true) as begins from nx where tension >= 2),
-g as (select *, sum(begins::int) over (partition by thread_id order by rn) as episode from h),
-x as (select thread_id, min(ms) as start_ms, max(ms) as end_ms, arg_min(id, rn) as start_id, count(*) as hostile, count(*) filter (me) as hostile_me, count(*) filter (not me) as hostile_them,
-  count(*) filter (tension >= 3 and me) as severe_me, count(*) filter (tension >= 3 and not me) as severe_them, max(tension) as peak, arg_min(me, rn) as begun_by_me, arg_max(me, rn) as ended_by_me,
-  cast(max(rn) - min(rn) + 1 as int) as msg_count, max_by({{'v': warm}}, rn).v as warm from g group by thread_id, episode having count(*) >= LEAST_N),
-ep as (select * exclude (warm), coalesce(warm.ms - end_ms <= 86400000, false) as repaired, case when warm.ms - end_ms <= 86400000 then warm.ms end as repair_ms,
-  case when warm.ms - end_ms <= 86400000 then warm.me end as repaired_by_me from x)"""
-
-
-def _episodes_sql(gap: int, least: int) -> str:
-    return EPISODES.replace("GAP", str(gap)).replace("LEAST_N", str(least))
-
-
-@query(_episodes_sql(DAY, 3) + " select * from ep", "events")
+@query(f"{SUBSTANTIVE}, {episodes_sql(DAY, 3)} select * from ep", "events")
 def episodes(spark: SparkSession, folder: str) -> DataFrame:
     return conflict.episodes(events_messages(spark, folder), DAY, 3)
 
 
-@query(_episodes_sql(5 * DAY, 3) + " select * from ep", "orders")
+@query(f"{SUBSTANTIVE}, {episodes_sql(5 * DAY, 3)} select * from ep", "orders")
 def episodes_of_orders(spark: SparkSession, folder: str) -> DataFrame:
     return conflict.episodes(orders_messages(spark, folder), 5 * DAY, 3)
 
 
-@query(_episodes_sql(DAY, 3) + """,
-w as (select *, pow(0.5, (max(start_ms) over (partition by thread_id) - start_ms) / (24.0 * 3600000 * 365)) as w from ep),
-s as (select thread_id, round(count(*) filter (not begun_by_me) / count(*), 6) as begun, round(coalesce(sum(severe_them) / nullif(sum(severe_them) + sum(severe_me), 0), 0.5), 6) as severe,
-  round(coalesce(sum(severe_them * w) / nullif(sum(severe_them * w) + sum(severe_me * w), 0), 0.5), 6) as recent from w group by 1)
-select *, case when least(begun, severe, recent) >= 0.66 then 'them' when greatest(begun, severe, recent) <= 0.34 then 'me' else 'mutual' end as stance from s""", "events")
-def power_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return conflict.power_shares(conflict.episodes(events_messages(spark, folder), DAY, 3))
-
-
-def _answers_sql(within: int, period: str, name: str) -> str:
-    return f"""{SUBSTANTIVE},
-n as (select *, first_value(case when me then {{'ms': ms, 't': tension}} end ignore nulls) over (partition by thread_id order by ms, id rows between 1 following and unbounded following) as nxt from sub),
-a as (select *, case when nxt.ms - ms <= {within} then nxt.t end as answer from n),
-rc as (select thread_id, {period} as {name}, count(*) filter (me) as n_me, count(*) filter (not me) as n_them, count(*) filter (me and tension >= 2) as hostile_me, count(*) filter (not me and tension >= 2) as hostile_them,
-  count(*) filter (me and tension >= 3) as severe_me, count(*) filter (not me and tension >= 3) as severe_them, count(*) filter (me and warmth >= 2) as warm_me, count(*) filter (not me and warmth >= 2) as warm_them,
-  count(*) filter (not me and tension >= 2) as asked, count(*) filter (not me and tension >= 2 and answer >= 2) as returned,
-  count(*) filter (not me and tension >= 2 and answer < 2) as softened, count(*) filter (not me and tension >= 2 and answer is null) as withdrew from a group by 1, 2)"""
-
-
-MONTH = "strftime(make_timestamp(ms * 1000), '%Y-%m')"
-
-
-@query(_answers_sql(DAY, MONTH, "month") + " select * from rc", "orders")
+@query(f"{SUBSTANTIVE}, {answers_sql(DAY, MONTH, 'month')} select * from rc", "orders")
 def trajectory(spark: SparkSession, folder: str) -> DataFrame:
     return conflict.reciprocation(orders_messages(spark, folder), conflict.month(), "month", DAY)
 
 
-@query(_answers_sql(2 * HOUR_MS, "year(make_timestamp(ms * 1000)) || '-Q' || quarter(make_timestamp(ms * 1000))", "quarter") + " select * from rc", "events")
+QUARTER = "year(make_timestamp(ms * 1000)) || '-Q' || quarter(make_timestamp(ms * 1000))"
+
+
+@query(f"""{SUBSTANTIVE}, {answers_sql(2 * HOUR_MS, QUARTER, 'quarter')}
+select thread_id, quarter, n_me, hostile_me, severe_me, round(coalesce(hostile_me / nullif(n_me, 0), 0), 6) as hostile_share, round(coalesce(severe_me / nullif(n_me, 0), 0), 6) as severe_share,
+  asked, returned, softened, withdrew, round(coalesce(returned / nullif(asked, 0), 0), 6) as returned_rate, round(coalesce(withdrew / nullif(asked, 0), 0), 6) as withdrew_rate from rc""", "events")
 def growth_quarterly(spark: SparkSession, folder: str) -> DataFrame:
-    return conflict.reciprocation(events_messages(spark, folder), conflict.quarter(), "quarter")
+    return conflict.growth(events_messages(spark, folder))
 
 
 @query(f"{SUBSTANTIVE} select thread_id, ms // 86400000 as day, count(*) as hostile from sub where tension >= 2 and not me group by 1, 2 having count(*) >= 2", "events")
@@ -173,39 +115,51 @@ def deluge_days(spark: SparkSession, folder: str) -> DataFrame:
     return conflict.deluge_days(events_messages(spark, folder), 2)
 
 
-_Z = ", ".join(f"round(({c} - avg({c}) over t) / coalesce(nullif(stddev_pop({c}) over t, 0), 1), 5) as z_{c}" for c in conflict.FEATURES)
+_Z = ", ".join(f"case when stddev_pop({c}) over t > 1e-12 then round(({c} - avg({c}) over t) / stddev_pop({c}) over t, 4) else 0 end as z_{c}" for c in conflict.FEATURES)
+_MONTHLY = f"""{SUBSTANTIVE}, {episodes_sql(5 * DAY, 3)}, {answers_sql(DAY, MONTH, 'month')},
+em as (select thread_id, strftime(make_timestamp(start_ms * 1000), '%Y-%m') as month, avg(case when begun_by_me then 0.0 else 1 end) as begun, median((repair_ms - end_ms) / 3600000.0) as repair from ep group by 1, 2),
+k as (select thread_id, month, n_me + n_them as n_total, n_them / (n_me + n_them) as share_them, coalesce(hostile_me / nullif(n_me, 0), 0) as hostile_share_me, coalesce(hostile_them / nullif(n_them, 0), 0) as hostile_share_them,
+  coalesce(returned / nullif(returned + softened, 0), 0) as returned_rate, begun, repair from rc left join em using (thread_id, month)),
+v as (select * exclude (begun, repair), coalesce(last_value(begun ignore nulls) over o, avg(begun) over t, 0) as begun_share_them, coalesce(last_value(repair ignore nulls) over o, avg(repair) over t, 0) as repair_hours
+  from k window t as (partition by thread_id), o as (partition by thread_id order by month rows unbounded preceding))"""
+
 
+def _monthly(spark: SparkSession, folder: str) -> DataFrame:
+    messages = orders_messages(spark, folder)
+    return conflict.monthly_series(messages, conflict.episodes(messages, 5 * DAY, 3), DAY)
 
-@query(_answers_sql(DAY, MONTH, "month") + f""",
-k as (select thread_id, month, n_me::double as n_me, n_them::double as n_them, coalesce(hostile_me / nullif(n_me, 0), 0) as share_me, coalesce(hostile_them / nullif(n_them, 0), 0) as share_them,
-  case when returned + softened > 0 then returned / (returned + softened) end as known from rc),
-v as (select * exclude (known), coalesce(last_value(known ignore nulls) over (partition by thread_id order by month rows between unbounded preceding and current row), avg(known) over (partition by thread_id), 0) as returned_rate from k)
-select thread_id, month, {', '.join(f'round({c}, 6) as {c}' for c in conflict.FEATURES)}, {_Z} from v window t as (partition by thread_id)""", "orders")
+
+@query(_MONTHLY + f"select thread_id, month, {', '.join(f'round({c}, 5) as {c}' for c in conflict.FEATURES)}, {_Z} from v window t as (partition by thread_id)", "orders")
 def monthly_series(spark: SparkSession, folder: str) -> DataFrame:
-    return conflict.monthly_series(orders_messages(spark, folder), DAY)
+    series = _monthly(spark, folder)
+    return series.select("thread_id", "month", *[F.round(c, 5).alias(c) for c in conflict.FEATURES], *[F.round(f"z_{c}", 4).alias(f"z_{c}") for c in conflict.FEATURES])
 
 
 @query()
 def eras(spark: SparkSession, folder: str) -> DataFrame:
-    return conflict.eras(conflict.monthly_series(orders_messages(spark, folder), DAY))
+    return conflict.eras(_monthly(spark, folder))
 
 
-@query("""
-g as (select *, ms - lag(ms) over w as gap, row_number() over w as rn, lag(busy) over w as b from
-  (select *, count(*) over (partition by thread_id order by ms range between 777599999 preceding and current row) as busy from msgs) window w as (partition by thread_id order by ms, id)),
-c as (select thread_id, count(*) as n, max(gap) as gap_ms, arg_max(b, (gap, -rn)) filter (gap is not null) as busy from g group by 1)
-select thread_id, n, gap_ms, case when n >= 10 and busy >= 5 and gap_ms >= 2 * 86400000 then 0.4 when n >= 10 and busy >= 5 and gap_ms >= 9 * 86400000 then 0.6 else 1.0 end::double as confidence from c""", "events")
-def thread_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    return conflict.coverage(events_messages(spark, folder), 9, 2, 5)
+@query(_MONTHLY + f""",
+u as (unpivot (select thread_id, month, n_total::double as n_total, {', '.join(f'{c}::double as {c}' for c in conflict.FEATURES[1:])} from v) on {', '.join(conflict.FEATURES)} into name f value x),
+z as (select thread_id, month, f, case when stddev_pop(x) over w > 1e-12 then (x - avg(x) over w) / stddev_pop(x) over w else 0 end as x from u window w as (partition by thread_id, f)),
+c as (select *, row_number() over w as i, count(*) over (partition by thread_id, f) as n, avg(x) over (w rows unbounded preceding) as ml, stddev_pop(x) over (w rows unbounded preceding) as sl,
+  avg(x) over (w rows between 1 following and unbounded following) as mr, stddev_pop(x) over (w rows between 1 following and unbounded following) as sr from z window w as (partition by thread_id, f order by month)),
+s as (select thread_id, i, lead_month, avg(abs(ml - mr) / greatest(sqrt((i * sl * sl + (n - i) * sr * sr) / n), 1e-6)) as score from (select *, lead(month) over (partition by thread_id, f order by month) as lead_month from c) where i >= 4 and n - i >= 4 group by 1, 2, 3)
+select thread_id, arg_max(lead_month, (round(score, 9), -i)) as first_cut, round(max(score), 4) as score from s group by 1 having max(score) > 0.75""", "orders")
+def first_era_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """The first cut of `eras`, which SQL can find by trying every month: the later ones follow from it within its halves."""
+    return conflict.first_cuts(_monthly(spark, folder)).select("thread_id", "first_cut", F.round("score", 4).alias("score"))
 
 
-@query("""
-r as (select thread_id, date_trunc('month', make_timestamp(ms * 1000))::date as m, count(*) as n, count(distinct ms // 86400000) as active_days from msgs group by 1, 2),
-s as (select thread_id, unnest(generate_series(min(m)::timestamp, max(m)::timestamp, interval 1 month))::date as m from r group by 1),
-f as (select thread_id, greatest(1.0, floor(floor(quantile_cont(n::double, 0.5) + 0.5) * 0.15 + 0.5)) as floor from r group by 1)
-select thread_id, strftime(m, '%Y-%m') as month, coalesce(n, 0) as n, coalesce(active_days, 0) as active_days, coalesce(n, 0) < floor as below from s left join r using (thread_id, m) join f using (thread_id)""", "orders")
-def archive_months(spark: SparkSession, folder: str) -> DataFrame:
-    return conflict.months_dense(orders_messages(spark, folder))
+@query(f"""{SPOKEN},
+g as (select *, ms - lag(ms) over w as gap, lag(ms) over w as prev from msgs window w as (partition by thread_id order by ms, id)),
+x as (select thread_id, count(*) as n, max(gap) as gap_ms from g group by 1),
+y as (select x.thread_id, x.n, gap_ms, min(prev) as since from x left join g on g.thread_id = x.thread_id and gap = gap_ms group by 1, 2, 3),
+c as (select y.*, (select count(*) from msgs m where m.thread_id = y.thread_id and m.ms <= since and m.ms > since - 3 * 86400000) as busy from y)
+select thread_id, n, gap_ms, case when n < 10 or busy < 2 or gap_ms < 3 * 86400000 or gap_ms is null then 1.0 when gap_ms < 4 * 86400000 then 0.6 else 0.4 end::double as confidence from c""", "events")
+def thread_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return conflict.coverage(events_messages(spark, folder), 3, 4, 2)
 
 
 @query("""
@@ -216,38 +170,62 @@ def speaker_turns(spark: SparkSession, folder: str) -> DataFrame:
     return conflict.turns(conversation_messages(spark, folder))
 
 
-@query(f"""{SPOKEN}, d as (select thread_id, ms // 86400000 as day, count(*) as n from spoken group by 1, 2),
-s as (select thread_id, unnest(range(min(day), max(day) + 1)) as day from d group by 1),
-f as (select thread_id, day, coalesce(n, 0) as n from s left join d using (thread_id, day))
-select thread_id, day, n, round(avg(n) over (partition by thread_id order by day rows between 7 preceding and 7 following), 6) as smooth from f""", "events")
+RIVER = f"""{SPOKEN}, d as (select thread_id, ms // 86400000 as day, count(*) as n from spoken group by 1, 2),
+h as (select thread_id, min(day) as a, max(day) as b, floor(least(45.0, greatest(7.0, (max(day) - min(day) + 1) / 70)) / 2 + 0.5)::int as half from d group by 1),
+s as (select thread_id, half, unnest(range(a, b + 1)) as day from h),
+f as (select thread_id, half, day, coalesce(n, 0) as n from s left join d using (thread_id, day))"""
+
+
+@query(RIVER + """ select x.thread_id, x.day, x.n, x.half, round(avg(y.n), 6) as smooth from f x join f y on x.thread_id = y.thread_id and y.day between x.day - x.half and x.day + x.half group by 1, 2, 3, 4""", "events")
 def river(spark: SparkSession, folder: str) -> DataFrame:
     return conflict.rolling(metrics.daily(events_messages(spark, folder)))
 
 
-@query("""with p as (select doc_id, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' as w from documents),
-m as (select doc_id, cast(len(string_split(trim(w), ' ')) as int) as length, cast((length(w) - length(replace(w, ' of the ', '  '))) / 6 as bigint) as hits from p),
+@query(RIVER + """, r as (select *, sum(case when n > 0 then 1 else 0 end) over (partition by thread_id order by day) as grp from f)
+select thread_id, min(day) as first, max(day) as last, count(*) as days from r where n = 0 group by thread_id, grp having count(*) >= 14""", "orders")
+def river_silences(spark: SparkSession, folder: str) -> DataFrame:
+    return conflict.silences(metrics.daily(orders_messages(spark, folder)))
+
+
+@query(f"""{SPOKEN}, d as (select thread_id, ms // 86400000 as day, count(*) as n, avg(warmth / 3.0) as warmth from spoken group by 1, 2),
+l as (select thread_id, list_sort(list(n)) as ns from d group by 1)
+select thread_id, day, n, round(least(1.0, n / ns[floor((len(ns) - 1) * 0.95 + 0.5)::int + 1]), 6)::double as scaled from d join l using (thread_id)""", "events")
+def river_scaled(spark: SparkSession, folder: str) -> DataFrame:
+    return conflict.scaled(metrics.daily(events_messages(spark, folder)).select("thread_id", "day", "n"), "n")
+
+
+@query(f"""{SPOKEN}, d as (select thread_id, ms // 86400000 as day, round(avg(warmth / 3.0), 6) as w from spoken group by 1, 2),
+x as (select *, abs(w - lag(w) over (partition by thread_id order by day)) as c from d),
+y as (select thread_id, case when count(*) >= 5 then avg(c) end as c from x group by 1)
+select thread_id, round(c, 6) as change, case when c < 0.18 then 'steady' when c < 0.34 then 'uneven' when c is not null then 'volatile' end as phrase from y""", "events")
+def steadiness(spark: SparkSession, folder: str) -> DataFrame:
+    return conflict.steadiness(metrics.daily(events_messages(spark, folder)))
+
+
+@query(RIVER + """ select thread_id, f.day, ((f.day - (a - (a + 4) % 7)) // 7)::int as week, dayofweek(date '1970-01-01' + f.day::int)::int as dow, n from f join h using (thread_id)""", "events")
+def calendar_grid(spark: SparkSession, folder: str) -> DataFrame:
+    return conflict.calendar(metrics.daily(events_messages(spark, folder)))
+
+
+@query("""with t as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as w from documents),
+m as (select doc_id, len(w)::int as length, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' and w[i + 1] = 'the'))::int as hits from t),
 s as (select count(*) as docs, avg(length) as mean, count(*) filter (hits > 0) as n from m)
 select doc_id, hits, length, round(ln(1 + (docs - n + 0.5) / (n + 0.5)) * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * length / mean)), 6) as score from m, s where hits > 0""")
 def phrase_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.phrase_search(table(spark, folder, "documents"), "of the")
 
 
-@query("""with n as (select doc_id, source as g, sha256(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' ')) as body from documents),
-r as (select *, row_number() over (partition by g, body order by doc_id) - 1 as occurrence from n)
-select doc_id, sha256(concat_ws('|', g, body, occurrence)) as dedup_key, cast(occurrence as int) as occurrence from r""")
-def content_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return search.content_keys(table(spark, folder, "documents"))
-
-
 @query("""with m as (select distinct o_custkey, cast(o_orderpriority as varchar) as p from orders)
 select o_custkey, cast(count(*) as int) as members, sha256(string_agg(p, ',' order by p)) as signature from m group by 1""")
 def participant_signatures(spark: SparkSession, folder: str) -> DataFrame:
     return search.signatures(table(spark, folder, "orders"), "o_custkey", "o_orderpriority")
 
 
-@query("""select thread_id, count(*) as lines, sha256(string_agg(ms || '|' || direction || '|' || coalesce(body, ''), chr(10) order by ms, id)) as digest from msgs group by 1""".replace("select", "z as (select 1) select", 1), "conversations")
+@query("""n as (select *, (row_number() over (partition by thread_id order by ms, id) - 1) // 4 as piece from msgs),
+p as (select thread_id, piece, count(*) as lines, sha256(string_agg(ms || '|' || direction || '|' || coalesce(body, ''), chr(10) order by ms, id)) as d from n group by 1, 2)
+select thread_id, cast(sum(lines) as bigint) as lines, sha256(string_agg(d, '' order by piece)) as digest from p group by 1""", "conversations")
 def export_digests(spark: SparkSession, folder: str) -> DataFrame:
-    return search.export_digests(conversation_messages(spark, folder))
+    return search.chained_digest(search.export_digests(conversation_messages(spark, folder), 4))
 
 
 @query("""p as (select *, row_number() over (partition by thread_id order by ms desc, id desc) as n from msgs where ms < 1705276800000) select * exclude (n) from p where n <= 20""", "events")
@@ -263,11 +241,11 @@ def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return search.thresholds(labelled, "n_chars", "toxic", [200.0, 500.0, 1000.0, 2000.0])
 
 
-@query("""with m as (select distinct s_nationkey as t, l_partkey as p from lineitem join supplier on l_suppkey = s_suppkey)
-select a.t as a, b.t as b, count(*) as shared from m a join m b on a.p = b.p and a.t < b.t group by 1, 2""")
+@query("""with m as (select distinct s_nationkey as t, l_partkey as p from lineitem join supplier on l_suppkey = s_suppkey where l_partkey <> 1)
+select a.t as s_nationkey, count(distinct b.t) as related from m a join m b on a.p = b.p and a.t <> b.t group by 1""")
 def related_threads(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "lineitem").join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return search.related_threads(parts, "s_nationkey", "l_partkey")
+    return search.related_threads(parts, "s_nationkey", "l_partkey", 1)
 
 
 @query("""with n as (select source, lang, count(*) as n from documents where lang is not null group by 1, 2)
@@ -276,8 +254,18 @@ def primary_language(spark: SparkSession, folder: str) -> DataFrame:
     return threads.primary_language(table(spark, folder, "documents"), "source")
 
 
-@query("""with k as (select doc_id, coalesce(source, '') as c, lang as d, n_chars * 1000 as ms, sha256(trim(regexp_replace(nfc_normalize(coalesce(text, '')), '\\s+', ' ', 'g'), ' ')) as body from documents)
-select doc_id, cast(dense_rank() over (partition by c, d, ms // 60000, body order by ms) - 1 as int) as occurrence from k""")
+@query("""with k as (select doc_id, coalesce(source, '') as c, lang as d, n_chars * 1000 as ms, sha256(trim(regexp_replace(nfc_normalize(coalesce(text, '')), '\\s+', ' ', 'g'), ' ')) as body from documents),
+o as (select *, cast(dense_rank() over (partition by c, d, ms // 60000, body order by ms) - 1 as int) as occurrence from k)
+select doc_id, occurrence, sha256(to_json([c, d]) || '|' || (ms // 60000) || '|' || body || '|' || occurrence) as dedup_key from o""")
 def dedup_occurrences(spark: SparkSession, folder: str) -> DataFrame:
     messages = table(spark, folder, "documents").select("doc_id", "source", F.col("lang").alias("direction"), (F.col("n_chars") * 1000).alias("ms"), F.col("text").alias("body"))
-    return threads.dedup_keys(messages, "source").select("doc_id", "occurrence")
+    return threads.dedup_keys(messages, "source").select("doc_id", "occurrence", "dedup_key")
+
+
+@query("""with k as (select doc_id, coalesce(source, '') as c, sha256(trim(regexp_replace(nfc_normalize(coalesce(text, '')), '\\\\s+', ' ', 'g'), ' ')) as body from documents),
+o as (select *, cast(row_number() over (partition by c, body order by 'id:' || doc_id) - 1 as int) as occurrence from k)
+select doc_id, occurrence, sha256(to_json([c, 'other']) || '|0|' || body || '|' || occurrence) as dedup_key from o""")
+def content_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as messages of no time, each with an identity of its own."""
+    messages = table(spark, folder, "documents").select("doc_id", "source", F.lit("other").alias("direction"), F.lit(0).cast("long").alias("ms"), F.col("text").alias("body"))
+    return threads.dedup_keys(messages, "source", native="doc_id").select("doc_id", "occurrence", "dedup_key")

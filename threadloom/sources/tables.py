@@ -49,12 +49,28 @@ def orders_messages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_nationkey").cast("long").alias("thread_id"), F.col("o_orderkey").alias("id"), epoch_ms("o_orderdate").alias("ms"),
         F.when(F.col("o_orderkey") % 2 == 0, "outgoing").otherwise("incoming").alias("direction"),
-        F.lit(False).alias("is_reaction"), F.col("o_orderpriority").alias("body"),
+        (F.col("o_orderkey") % 11 == 0).alias("is_reaction"), F.col("o_orderpriority").alias("body"),
         F.when(rank == "1", 3).when(rank == "2", 2).when(rank == "3", 1).otherwise(0).alias("tension"),
         F.when(F.col("o_totalprice") >= 250_000, 2).otherwise(0).alias("warmth"),
+        F.col("o_orderstatus").alias("source_kind"), (F.col("o_custkey") % 5).alias("source_file"), F.when(F.col("o_orderkey") % 3 == 0, "fr").when(F.col("o_orderkey") % 3 == 1, "en").alias("lang"),
     )
 
 
+def orders_attachments(spark: SparkSession, folder: str) -> DataFrame:
+    """Attachments of the orders' messages: line items of small quantity; those of one piece are layouts."""
+    return table(spark, folder, "lineitem").filter("l_quantity <= 4").select(F.col("l_orderkey").alias("message_id"), (F.col("l_quantity") == 1).alias("is_smil"))
+
+
+def events_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Results of a reader that scored the event stream in windows of 40 messages, of which the first six are read with the window before too: some windows refused, some failed, some ids unreadable."""
+    m, w = events_messages(spark, folder), F.floor(F.col("id") / 40)
+    score = lambda tension: F.struct(F.concat(F.when(F.col("id") % 97 == 0, "x").otherwise("m"), F.col("id").cast("string")).alias("message_id"), ((F.col("id") % 21 - 10) / 10.0).alias("valence"), F.col("warmth").cast("double").alias("warmth"), tension.cast("double").alias("tension"))
+    own = m.select("thread_id", w.alias("window"), score(F.col("tension")).alias("m"))
+    again = m.filter("id % 40 < 6 and id >= 40").select("thread_id", (w - 1).alias("window"), score(F.least(F.lit(3), F.col("tension") + 1)).alias("m"))
+    status = F.when((F.col("thread_id") + F.col("window")) % 17 == 0, "refused").when((F.col("thread_id") + F.col("window")) % 19 == 0, "error").otherwise("done")
+    return own.unionByName(again).groupBy("thread_id", "window").agg(F.collect_list("m").alias("messages")).select("thread_id", "window", status.alias("status"), "messages")
+
+
 def conversation_messages(spark: SparkSession, folder: str) -> DataFrame:
     """A thread for each conversation, a turn a minute."""
     role = F.col("role")
@@ -73,9 +89,10 @@ SQL = {
         case when value >= 100 then 3 when value >= 50 then 2 when value >= 20 then 1 else 0 end as tension,
         cast(json_extract_string(props, '$.k') as int) % 4 as warmth from events)""",
     "orders": """msgs as (select cast(c_nationkey as bigint) as thread_id, o_orderkey as id, epoch_us(o_orderdate) // 1000 as ms,
-        case when o_orderkey % 2 = 0 then 'outgoing' else 'incoming' end as direction, false as is_reaction, o_orderpriority as body,
+        case when o_orderkey % 2 = 0 then 'outgoing' else 'incoming' end as direction, o_orderkey % 11 = 0 as is_reaction, o_orderpriority as body,
         case substr(o_orderpriority, 1, 1) when '1' then 3 when '2' then 2 when '3' then 1 else 0 end as tension,
-        case when o_totalprice >= 250000 then 2 else 0 end as warmth
+        case when o_totalprice >= 250000 then 2 else 0 end as warmth, o_orderstatus as source_kind, o_custkey % 5 as source_file,
+        case o_orderkey % 3 when 0 then 'fr' when 1 then 'en' end as lang
         from orders join customer on o_custkey = c_custkey)""",
     "conversations": """msgs as (select conv_id as thread_id, conv_id * 1000 + turn as id, turn * 60000 as ms,
         case role when 'user' then 'outgoing' when 'assistant' then 'incoming' else 'other' end as direction, false as is_reaction,
