@@ -262,7 +262,7 @@ def dedup_occurrences(spark: SparkSession, folder: str) -> DataFrame:
     return threads.dedup_keys(messages, "source").select("doc_id", "occurrence", "dedup_key")
 
 
-@query("""with k as (select doc_id, coalesce(source, '') as c, sha256(trim(regexp_replace(nfc_normalize(coalesce(text, '')), '\\\\s+', ' ', 'g'), ' ')) as body from documents),
+@query("""with k as (select doc_id, coalesce(source, '') as c, sha256(trim(regexp_replace(nfc_normalize(coalesce(text, '')), '\\s+', ' ', 'g'), ' ')) as body from documents),
 o as (select *, cast(row_number() over (partition by c, body order by 'id:' || doc_id) - 1 as int) as occurrence from k)
 select doc_id, occurrence, sha256(to_json([c, 'other']) || '|0|' || body || '|' || occurrence) as dedup_key from o""")
 def content_keys(spark: SparkSession, folder: str) -> DataFrame:
