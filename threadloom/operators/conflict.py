@@ -215,7 +215,7 @@ def rolling(series: DataFrame, half: int | None = None) -> DataFrame:
 
 
 def silences(series: DataFrame, half: int = 7) -> DataFrame:
-    """(thread_id, first, last, days): runs of days without messages between active ones, of at least max(14, 2 * half) days."""
+    """(thread_id, first, last, days): runs of days without messages after and before active ones, of at least max(14, 2 * half) days."""
     w = Window.partitionBy("thread_id").orderBy("day")
     gaps = series.select("thread_id", "day").withColumn("prev", F.lag("day").over(w))
     return gaps.select("thread_id", (F.col("prev") + 1).alias("first"), (F.col("day") - 1).alias("last"), (F.col("day") - F.col("prev") - 1).alias("days")).filter(F.col("days") >= max(14, 2 * half))

@@ -87,7 +87,7 @@ def by_era(rows: DataFrame, eras: DataFrame, at: str = "start_ms") -> DataFrame:
     """rows with the era (its number) that their moment lies in; null where none does. A thread has few eras, so the join's fan is small."""
     spans = eras.select("thread_id", "era", F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to")).alias("e")
     r = rows.alias("r")
-    return r.join(spans, (F.col("r.thread_id") == F.col("e.thread_id")) & F.col(f"r.{at}").between(F.col("e._from"), F.col("e._to")), "left").select("r.*", "e.era")
+    return r.join(spans, (F.col("r.thread_id") == F.col("e.thread_id")) & (F.col(f"r.{at}") >= F.col("e._from")) & (F.col(f"r.{at}") <= F.col("e._to")), "left").select("r.*", "e.era")
 
 
 def wearing_down(messages: DataFrame, love: str, playful: str) -> DataFrame:

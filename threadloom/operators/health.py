@@ -46,7 +46,7 @@ def gaps(messages: DataFrame, zone: Zone = 0) -> DataFrame:
     """(thread_id, from_month, to_month, months, last_before_ms, first_after_ms): runs of months without messages."""
     rows = spoken(messages).groupBy("thread_id", F.trunc(local_date(zone), "month").alias("m")).agg(F.min("ms").alias("first"), F.max("ms").alias("last"))
     w = Window.partitionBy("thread_id").orderBy("m")
-    apart = F.months_between("m", F.lag("m").over(w)).cast("int") - 1
+    apart = (F.year("m") - F.year(F.lag("m").over(w))) * 12 + F.month("m") - F.month(F.lag("m").over(w)) - 1
     holes = rows.withColumn("months", apart).withColumn("before", F.lag("m").over(w)).withColumn("last_before_ms", F.lag("last").over(w)).filter("months > 0")
     name = lambda c: F.date_format(c, "yyyy-MM")
     return holes.select("thread_id", name(F.add_months("before", 1)).alias("from_month"), name(F.add_months("m", -1)).alias("to_month"), "months", "last_before_ms", F.col("first").alias("first_after_ms"))
@@ -104,7 +104,7 @@ def discontinuity(messages: DataFrame, ranges: DataFrame, zone: Zone = 0) -> Dat
     name = lambda c: F.date_format(local_date(zone, c), "yyyy-MM")
     shape = months(messages, zone).filter("below or total = 0").select("thread_id", "month", "below")
     joined = asked.withColumn("m1", name("a")).withColumn("m2", name("b")).join(shape, "thread_id", "left")
-    inside = F.col("month").between(F.col("m1"), F.col("m2")) & (F.col("b") > F.col("a"))
+    inside = (F.col("month") >= F.col("m1")) & (F.col("month") <= F.col("m2")) & (F.col("b") > F.col("a"))
     ahead = F.max(F.col("b") > F.col("a"))
     return joined.groupBy("thread_id", "from_ms", "to_ms").agg(F.when(ahead, F.count_if(inside & ~F.col("below"))).alias("gap_months"), F.when(ahead, F.count_if(inside & F.col("below"))).alias("thin_months"))
 

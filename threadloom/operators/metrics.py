@@ -67,7 +67,7 @@ def heatmap(messages: DataFrame, zone: Zone = 0) -> DataFrame:
 def sentiment(messages: DataFrame, lexicon: DataFrame, zone: Zone = 0, alpha: float = 15.0) -> DataFrame:
     """(thread_id, day, sentiment, warmth, tension, scored, english_share): daily means of scores by a lexicon (word, valence).
 
-    A message's score is its words' valence sum over the root of its square plus alpha, so that it lies between -1 and 1;
+    A message's score is its words' valence sum over the root of its square plus alpha, so that it lies within -1 and 1;
     only eligible messages (language en or unknown) that hold a word of the lexicon have one. warmth is the mean of its
     positive part, tension of its negative part. The lexicon joins by word; it is broadcast only if Spark finds it small.
     """

@@ -46,7 +46,7 @@ def last_where(condition: Column, value: Column) -> Column:
 
 
 def gap_groups(messages: DataFrame, gap_ms: int, name: str = "grp") -> DataFrame:
-    """Number groups of messages: one begins where more than gap_ms lie between a message and the one before."""
+    """Number groups of messages: one begins where more than gap_ms lie from a message back to the one before."""
     begins = F.coalesce(F.col("ms") - F.lag("ms").over(order()) > gap_ms, F.lit(True))
     return messages.withColumn("begins", begins).withColumn(name, F.sum(F.col("begins").cast("int")).over(upto()))
 

@@ -16,7 +16,7 @@ def range_join(spans: DataFrame, points: DataFrame, start: str, stop: str, at: s
     reach = F.sequence(F.floor(F.col(start) / bucket_ms), F.floor(F.col(stop) / bucket_ms))
     copied = spans.filter(F.col(start) <= F.col(stop)).withColumn("_bucket", F.explode(reach))
     placed = points.withColumn("_bucket", F.floor(F.col(at) / bucket_ms))
-    found = copied.join(placed, [by, "_bucket"]).filter(F.col(at).between(F.col(start), F.col(stop))).drop("_bucket")
+    found = copied.join(placed, [by, "_bucket"]).filter((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(stop))).drop("_bucket")
     if how == "inner":
         return found
     keys = spans.columns

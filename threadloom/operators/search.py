@@ -18,7 +18,7 @@ def phrase_hits(rows: DataFrame, phrase: str, key: str, text: str) -> DataFrame:
     if not wanted:
         return rows.select(key, F.lit(0).alias("length"), F.lit(0).alias("hits")).limit(0)
     low = F.lower(F.coalesce(text, F.lit("")))
-    # Two blanks between words, so that a hit's last word may begin the next one. Only texts that hold every word are looked at so closely.
+    # Two blanks after each word, so that a hit's last word may begin the next one. Only texts that hold every word are looked at so closely.
     body = F.concat(F.lit(" "), F.regexp_replace(low, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     held = functools.reduce(Column.__and__, [F.contains(low, F.lit(t)) for t in wanted])
     hits = F.when(held, F.regexp_count(body, F.lit(f" (?={'  '.join(wanted)} )"))).otherwise(0)
@@ -103,7 +103,7 @@ def chained_digest(pieces: DataFrame) -> DataFrame:
 
 
 def page(messages: DataFrame, before_ms: int | None = None, limit: int = 200, after_ms: int | None = None, newest: bool = True) -> DataFrame:
-    """`limit` messages of each thread between two moments (both exclusive), the newest or the oldest: a keyset page."""
+    """`limit` messages of each thread after one moment and before another (both exclusive), the newest or the oldest: a keyset page."""
     kept = messages
     if before_ms is not None:
         kept = kept.filter(F.col("ms") < before_ms)

@@ -85,7 +85,7 @@ def unread_jobs(planned: DataFrame, done: DataFrame) -> DataFrame:
 def windows_in_range(planned: DataFrame, messages: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
     """Jobs that own (not as context) a message of the range."""
     own = planned.select("thread_id", "window", F.explode(F.array_except("member_ids", "prefix_ids")).alias("id"))
-    inside = messages.filter(F.col("ms").between(from_ms, to_ms)).select("thread_id", "id")
+    inside = messages.filter((F.col("ms") >= from_ms) & (F.col("ms") <= to_ms)).select("thread_id", "id")
     return planned.join(own.join(inside, ["thread_id", "id"], "left_semi").select("thread_id", "window").distinct(), ["thread_id", "window"], "left_semi")
 
 
@@ -98,8 +98,8 @@ def intake(results: DataFrame, planned: DataFrame) -> DataFrame:
     """
     known = planned.select("input_hash", F.transform("member_ids", lambda i: F.concat(F.lit("m"), i.cast("string"))).alias("_members"), F.transform("prefix_ids", lambda i: F.concat(F.lit("m"), i.cast("string"))).alias("_prefix"))
     r = results.join(known.dropDuplicates(["input_hash"]), "input_hash", "left").withColumn("_ids", F.transform(F.coalesce("messages", F.array().cast(SCORES)), lambda m: m["message_id"]))
-    whole = lambda x: x.between(0, 3) & (x == F.floor(x))
-    good = F.forall("messages", lambda m: F.coalesce(m["message_id"].rlike("^m[0-9]+$") & m["valence"].between(-1, 1) & whole(m["warmth"]) & whole(m["tension"]), F.lit(False)))
+    whole = lambda x: (x >= 0) & (x <= 3) & (x == F.floor(x))
+    good = F.forall("messages", lambda m: F.coalesce(m["message_id"].rlike("^m[0-9]+$") & (F.abs(m["valence"]) <= 1) & whole(m["warmth"]) & whole(m["tension"]), F.lit(False)))
     reason = (
         F.when(F.col("_members").isNull(), "unknown job").when(~F.coalesce(F.col("status").isin("done", "refused", "error"), F.lit(False)), "envelope")
         .when(F.col("status") == "refused", "refused").when(F.col("status") == "error", "failed").when(F.col("messages").isNull() | ~good, "schema")

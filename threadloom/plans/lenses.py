@@ -283,9 +283,9 @@ def _year_eras(spark: SparkSession, folder: str) -> DataFrame:
     return threads.withColumn("start_ms", start(F.lit(1992))).withColumn("end_ms", start(F.lit(1993)) - 1)
 
 
-@query(_EP + f""", {_HALVES}, l as (select ep.thread_id, start_ms, arg_max({{'b': s.body, 'w': s.warmth, 't': s.tension}}, (s.ms, s.id)) as m from ep join sub s on s.thread_id = ep.thread_id and s.me and s.ms between start_ms and end_ms group by 1, 2),
+@query(_EP + f""", {_HALVES}, l as (select ep.thread_id, start_ms, arg_max({{'b': s.body, 'w': s.warmth, 't': s.tension}}, (s.ms, s.id)) as m from ep join sub s on s.thread_id = ep.thread_id and s.me and s.ms >= start_ms and s.ms <= end_ms group by 1, 2),
 xs as (select thread_id, start_ms, case when m.b ilike '%urgent%' then 'block' when m.b ilike '%low%' then 'notice' when m.w >= 2 or m.b ilike '%specified%' then 'softened' when m.t >= 2 then 'met' else 'silent' end as exit from l)
-select xs.thread_id, er.era, exit, count(*) as n from xs left join er on er.thread_id = xs.thread_id and start_ms between era_start and era_end group by 1, 2, 3""", "orders")
+select xs.thread_id, er.era, exit, count(*) as n from xs left join er on er.thread_id = xs.thread_id and start_ms >= era_start and start_ms <= era_end group by 1, 2, 3""", "orders")
 def exit_signature(spark: SparkSession, folder: str) -> DataFrame:
     found = findings.exits(*_orders_and_episodes(spark, folder), "urgent", "low", "specified")
     return findings.by_era(found, _year_eras(spark, folder)).groupBy("thread_id", "era", "exit").agg(F.count(F.lit(1)).alias("n"))
@@ -297,7 +297,7 @@ def wearing_down(spark: SparkSession, folder: str) -> DataFrame:
     return findings.wearing_down(orders_messages(spark, folder), "low", "medium")
 
 
-@query(_EP + """, k as (select ep.*, exists (select 1 from sub s where s.thread_id = ep.thread_id and s.body ilike '%not specified%' and s.ms between start_ms - 3600000 and end_ms + 3600000) as near from ep)
+@query(_EP + """, k as (select ep.*, exists (select 1 from sub s where s.thread_id = ep.thread_id and s.body ilike '%not specified%' and s.ms >= start_ms - 3600000 and s.ms <= end_ms + 3600000) as near from ep)
 select thread_id, year(make_timestamp(start_ms * 1000))::int as year, count(*) as episodes, count(*) filter (near) as near, round(avg(case when near then 1.0 else 0 end), 6) as near_share,
   coalesce(sum(hostile_me) filter (near), 0)::bigint as hostile_me, coalesce(sum(hostile_them) filter (near), 0)::bigint as hostile_them, coalesce(sum(severe_me + severe_them) filter (near), 0)::bigint as severe from k group by 1, 2""", "orders")
 def mentions_near_episodes(spark: SparkSession, folder: str) -> DataFrame:
@@ -310,7 +310,7 @@ def mentions_near_episodes(spark: SparkSession, folder: str) -> DataFrame:
 _PATTERNS = """pa as (select thread_id, start_id, (case when start_id % 2 = 0 then 1 else 0 end) as c_me, (case when start_id % 3 = 0 then 2 else 0 end) as c_them from ep)"""
 _GATE = _EP + f""", {_HALVES}, {_PATTERNS}, gt as (select er.thread_id, er.era, era_start as start_ms, era_end as end_ms, count(ep.start_id) as episodes, coalesce(sum(severe_me), 0)::bigint as severe_me, coalesce(sum(severe_them), 0)::bigint as severe_them,
   count(*) filter (begun_by_me) as begun_me, count(*) filter (not begun_by_me) as begun_them, coalesce(sum(c_me), 0)::bigint as coercive_me, coalesce(sum(c_them), 0)::bigint as coercive_them
-  from er left join (ep join pa using (thread_id, start_id)) ep on ep.thread_id = er.thread_id and ep.start_ms between era_start and era_end group by 1, 2, 3, 4),
+  from er left join (ep join pa using (thread_id, start_id)) ep on ep.thread_id = er.thread_id and ep.start_ms >= era_start and ep.start_ms <= era_end group by 1, 2, 3, 4),
 gs as (select *, coalesce(severe_them / nullif(severe_them + severe_me, 0), 0.5) as a, coalesce(begun_them / nullif(begun_them + begun_me, 0), 0.5) as b, coalesce(coercive_them / nullif(coercive_them + coercive_me, 0), 0.5) as c from gt),
 gg as (select *, case when a >= 0.6 and b >= 0.6 and c >= 0.6 then 'them' when a <= 0.4 and b <= 0.4 and c <= 0.4 then 'me' end as direction from gs)"""
 
@@ -433,7 +433,7 @@ def diagnostics(spark: SparkSession, folder: str) -> DataFrame:
     return search.diagnostics(orders_messages(spark, folder))
 
 
-@query(_EP + """, r as (select ep.thread_id, start_ms, m.id, m.ms, m.direction, m.body, row_number() over (partition by ep.thread_id, start_ms order by m.ms, m.id) as place from ep join msgs m on m.thread_id = ep.thread_id and m.ms between start_ms - 1 and end_ms + 1)
+@query(_EP + """, r as (select ep.thread_id, start_ms, m.id, m.ms, m.direction, m.body, row_number() over (partition by ep.thread_id, start_ms order by m.ms, m.id) as place from ep join msgs m on m.thread_id = ep.thread_id and m.ms >= start_ms - 1 and m.ms <= end_ms + 1)
 select thread_id, start_ms, place::int as place, id, ms, direction, body from r where place <= 20""", "orders")
 def episode_drill(spark: SparkSession, folder: str) -> DataFrame:
     messages, found = _orders_and_episodes(spark, folder)

@@ -176,7 +176,7 @@ s as (select thread_id, half, unnest(range(a, b + 1)) as day from h),
 f as (select thread_id, half, day, coalesce(n, 0) as n from s left join d using (thread_id, day))"""
 
 
-@query(RIVER + """ select x.thread_id, x.day, x.n, x.half, round(avg(y.n), 6) as smooth from f x join f y on x.thread_id = y.thread_id and y.day between x.day - x.half and x.day + x.half group by 1, 2, 3, 4""", "events")
+@query(RIVER + """ select x.thread_id, x.day, x.n, x.half, round(avg(y.n), 6) as smooth from f x join f y on x.thread_id = y.thread_id and y.day >= x.day - x.half and y.day <= x.day + x.half group by 1, 2, 3, 4""", "events")
 def river(spark: SparkSession, folder: str) -> DataFrame:
     return conflict.rolling(metrics.daily(events_messages(spark, folder)))
 

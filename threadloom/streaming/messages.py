@@ -29,7 +29,7 @@ def first_arrivals(stream: DataFrame, keys: list[str], delay: str = "1 day") ->
 
 
 def sessions(stream: DataFrame, gap: str = "60 minutes", delay: str = "1 hour") -> DataFrame:
-    """(thread_id, session_start, session_end, messages): sessions by time between messages, given out once the watermark has passed them."""
+    """(thread_id, session_start, session_end, messages): sessions by the time from one message to the next, given out once the watermark has passed them."""
     w = F.session_window("ts", gap)
     out = stream.withWatermark("ts", delay).groupBy("thread_id", w.alias("w")).agg(F.count(F.lit(1)).alias("messages"))
     return out.select("thread_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "messages")
