@@ -1,5 +1,7 @@
 """Every query that has SQL gives the rows that DuckDB gives."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import duckdb
 import pandas as pd
 import pytest
@@ -19,14 +21,21 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module")
+def results(spark):
+    """All queries' rows, several at a time: small jobs leave most cores idle."""
+    with ThreadPoolExecutor(6) as pool:
+        yield {n: pool.submit(lambda f: f(spark, FOLDER).toPandas(), QUERIES[n]) for n in sorted(ORACLE_SQL)}
+
+
 def plain(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     return sorted((tuple(None if pd.isna(v) else round(float(v), 5) if isinstance(v, float) else int(v) if not isinstance(v, str) else v for v in r) for r in frame.itertuples(index=False)), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
-def test_same_rows(spark, duck, name):
-    got, want = QUERIES[name](spark, FOLDER).toPandas(), duck.execute(ORACLE_SQL[name]).df()
+def test_same_rows(results, duck, name):
+    got, want = results[name].result(), duck.execute(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
     numbers = lambda f: f.apply(lambda c: c.astype(float) if c.map(lambda v: v is None or isinstance(v, (int, float)) and not isinstance(v, bool)).all() else c)
