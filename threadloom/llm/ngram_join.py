@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import bounded_join, keyed, map_rows, unused, work_table
@@ -37,6 +37,8 @@ BLOCK, COLUMNS = 256, 4096
 #: Small candidate groups that are compared in one call, about.
 TOGETHER = 256
 SALTS = 16
+#: Stands for groups too small for blocks of their own.
+POOL = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -234,16 +236,22 @@ def join_sets(documents: DataFrame, words: int = WORDS, percent: int = PERCENT)
     counts = named.groupBy("chain").agg(F.count(F.lit(1)).alias("n"))
     total = named.count()
     at_class = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / percent) * 1.0001)).cast("int")
-    salt = F.pmod(F.xxhash64("set"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    # Chains of up to BLOCK sets are compared several in one call; of others each pair of blocks within reach, where a
-    # block holds sizes of one power of 100 / percent, so that linked sets lie in the same or in neighbouring powers.
-    placed = named.join(counts, "chain").withColumn("big", F.col("n") > BLOCK).withColumn("level", F.when(F.col("big"), at_class).otherwise(0)).withColumn("part", F.when(F.col("big"), salt).otherwise(0))
-    blocks = placed.filter("big").select("chain", F.col("level").alias("l2"), F.col("part").alias("p2")).distinct()
-    small = placed.filter("not big").select("set", "first", "chain", "level", "part", F.pmod(F.xxhash64("chain"), F.lit(max(1, total // TOGETHER))).alias("task"), F.lit(None).cast("int").alias("l2"), F.lit(None).cast("int").alias("p2"))
-    reach = placed.filter("big").join(blocks, "chain").filter("abs(level - l2) <= 1")
-    low = F.struct("level", "part") <= F.struct("l2", "p2")
-    big = reach.select("set", "first", "chain", F.when(low, F.col("level")).otherwise(F.col("l2")).alias("level"), F.when(low, F.col("part")).otherwise(F.col("p2")).alias("part"), F.lit(None).cast("long").alias("task"), F.when(low, F.col("l2")).otherwise(F.col("level")).alias("l2"), F.when(low, F.col("p2")).otherwise(F.col("part")).alias("p2"), (~low).alias("second"))
-    tasks = work_table(small.withColumn("second", F.lit(False)).unionByName(big), "tasks")
+    placed = work_table(named.join(counts, "chain").withColumn("level", at_class).withColumn("big", F.col("n") > BLOCK), "placed")
+    # Chains of up to BLOCK sets are compared several in one call.
+    none = F.lit(None).cast("int")
+    small = placed.filter("not big").select("set", "chain", F.lit(0).alias("level"), F.lit(0).alias("part"), F.pmod(F.xxhash64("chain"), F.lit(max(1, total // TOGETHER))).alias("task"), none.alias("l2"), none.alias("p2"), F.lit(False).alias("second"))
+    # Larger ones come in blocks of one level: sizes of one power of 100 / percent, so that linked sets lie in the same or
+    # in neighbouring levels. First every block meets its own sets and the hubs, the smallest sets of its chain's levels
+    # in reach: a group of near copies hangs together by then, in time that grows with its size alone.
+    large = placed.filter("big")
+    parted = large.join(large.groupBy("chain", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"), F.min("set").alias("hub")), ["chain", "level"])
+    parted = parted.withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+    near_levels = F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1))
+    hubs = parted.select("chain", "hub", near_levels.alias("level")).distinct()
+    blocks = parted.select("chain", "level", "part").distinct()
+    meeting = parted.select("set", "chain", "level", "part").unionByName(blocks.join(hubs, ["chain", "level"]).select(F.col("hub").alias("set"), "chain", "level", "part")).distinct()
+    near_hubs = meeting.withColumn("task", F.lit(None).cast("long")).withColumn("l2", none).withColumn("p2", none).withColumn("second", F.lit(False))
+    tasks = work_table(small.unionByName(near_hubs), "tasks")
     # The ids are broadcast only if counted to be few.
     rows = bounded_join(texts, named.select(F.col("first").alias("doc_id"), "set").filter("doc_id is not null"), ["doc_id"], rows=total)
 
@@ -266,7 +274,7 @@ def join_sets(documents: DataFrame, words: int = WORDS, percent: int = PERCENT)
                 a, b = np.flatnonzero(~second), np.flatnonzero(second)
                 ga, gb = [grams_of[i] for i in a], [grams_of[i] for i in b]
                 hit = linked(ga, gb, percent)
-                # One edge between groups that are linked within their blocks does for all links between them.
+                # One edge joins groups that are linked within their blocks, whatever other links they have.
                 ia, ib = _names(linked(ga, ga, percent)), _names(linked(gb, gb, percent))
                 i, j = np.nonzero(hit)
                 edges = np.unique(np.stack([ia[i], ib[j]]), axis=1)
@@ -278,8 +286,33 @@ def join_sets(documents: DataFrame, words: int = WORDS, percent: int = PERCENT)
         u, v = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
         return pd.DataFrame({"u": u, "v": v})
 
-    work = tasks.join(held, "set").withColumn("chunk", F.when(F.col("task").isNull(), F.col("chain")))
-    links = components(work.groupBy("task", "chunk", "level", "part", "l2", "p2").applyInPandas(compare, "u long, v long"))
+    def found(tasks: DataFrame) -> DataFrame:
+        work = tasks.join(held, "set").withColumn("chunk", F.when(F.col("task").isNull(), F.col("chain")))
+        return work.groupBy("task", "chunk", "level", "part", "l2", "p2").applyInPandas(compare, "u long, v long")
+
+    first = work_table(found(tasks), "links")
+    if large.isEmpty():
+        links = components(first)
+    else:
+        # What hangs together needs no more comparing: only blocks of different groups meet, so that work is left where
+        # a chain holds several groups, or sets that no hub reaches. Groups under BLOCK sets share blocks and meet all.
+        known = work_table(components(first), "groups")
+        sorted_ = large.join(known.select(F.col("node").alias("set"), "comp"), "set", "left")
+        sizes_of = sorted_.groupBy("chain", "comp").agg(F.count(F.lit(1)).alias("k"))
+        own = F.when(F.col("k") > BLOCK, F.col("comp")).otherwise(POOL)
+        sorted_ = sorted_.join(sizes_of, ["chain", "comp"], "left").withColumn("own", own).select("set", "chain", "level", "own")
+        parts = sorted_.groupBy("chain", "level", "own").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+        # Blocks of a chain and level are numbered over their groups.
+        offset = F.sum("parts").over(Window.partitionBy("chain", "level").orderBy("own").rowsBetween(Window.unboundedPreceding, -1))
+        parts = parts.withColumn("before", F.coalesce(offset, F.lit(0)))
+        cross = sorted_.join(parts, ["chain", "level", "own"]).withColumn("part", (F.col("before") + F.pmod(F.xxhash64("set"), F.col("parts"))).cast("int"))
+        cross = work_table(cross.select("set", "chain", "level", "own", "part"), "cross")
+        others = work_table(cross.select("chain", F.col("level").alias("l2"), F.col("own").alias("own2"), F.col("part").alias("p2")).distinct(), "blocks")
+        reach = bounded_join(cross, others, ["chain"]).filter((F.abs(F.col("level") - F.col("l2")) <= 1) & ((F.col("own") != F.col("own2")) | (F.col("own") == POOL)))
+        low = F.struct("level", "part") <= F.struct("l2", "p2")
+        pick = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
+        pairs = reach.select("set", "chain", pick("level", "l2").alias("level"), pick("part", "p2").alias("part"), F.lit(None).cast("long").alias("task"), pick("l2", "level").alias("l2"), pick("p2", "part").alias("p2"), (~low).alias("second"))
+        links = components(first.unionByName(found(pairs)))
 
     grouped = sets.join(links.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     smallest = grouped.groupBy("comp").agg(F.min("first").alias("component_id"))
