@@ -12,6 +12,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import map_rows, work_path, work_table
+from threadloom.llm.common import BROADCAST_ROWS, map_rows, work_path, work_table
 
 PIECE = 1 << 18
 ROLL_BYTES = 64 << 20
@@ -30,7 +31,7 @@ SALTS = 16
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "2024-01-01T00:00:00Z") -> bytes:
     """One WARC/1.1 record as a gzip member of its own; revisits hold the HTTP head but not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
@@ -39,7 +40,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        "WARC-Date: 2024-01-01T00:00:00Z",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {uri}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -102,21 +103,24 @@ def with_response(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Add payload, digest (hex) and refers_to: the smallest page_id of the same payload, for all other pages.
 
     Payloads below min_bytes are never shared. A null html is an empty payload; a null page_id is never referred to, and
-    rows that repeat the smallest page_id are all responses.
+    rows that repeat the smallest page_id are all responses. Digests alone are shuffled: the repeated ones are
+    broadcast when counted to be few, so that pages stay where they are read; beyond that pages are dealt by digest.
     """
-    keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
-    firsts = (
-        keyed.filter(F.length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1 and first is not null").select("digest", "first")
-        .withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    )
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(firsts, ["digest", "salt"], "left")
-    return joined.select("page_id", "url", "payload", "digest", F.expr("case when page_id is null or page_id <> first then first end").alias("refers_to"))
+    hashed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
+    seen = hashed.filter(F.length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = work_table(seen.filter("n > 1 and first is not null").select("digest", "first"), "warc-firsts")
+    refers = F.expr("case when page_id is null or page_id <> first then first end").alias("refers_to")
+    if firsts.count() <= BROADCAST_ROWS // 2:
+        joined = hashed.join(F.broadcast(firsts), "digest", "left")
+    else:
+        salted = hashed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(firsts.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), ["digest", "salt"], "left")
+    return joined.select("page_id", "url", "payload", "digest", refers)
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
-    """Write a record for every page into folder; returns the manifest (path, records) of the committed files."""
+    """Write a record for every page into folder, dated by the time of the call; returns the manifest (path, records) of the committed files."""
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
@@ -127,7 +131,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
                 if out is None:
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz"
                     out, n, size = fs.open_output_stream(path, compression=None), 0, 0
-                member = record(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), refers)
+                member = record(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), refers, date)
                 out.write(member)
                 n, size = n + 1, size + len(member)
                 if size >= ROLL_BYTES:
@@ -165,6 +169,13 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     return map_rows(files.repartition(max(1, min(files.count(), 4096)), "path"), rows, RECORDS)
 
 
+def verify_revisits(records: DataFrame) -> DataFrame:
+    """records with verified also for revisits: whether a response with the page_id they name has their digest and length."""
+    own = records.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes", F.lit(True).alias("_held")).distinct()
+    found = records.join(own, ["refers_to", "payload_digest", "payload_bytes"], "left")
+    return found.select(*[F.coalesce("_held", "verified").alias(c) if c == "verified" else c for c in records.columns])
+
+
 def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write the pages as archives in the shared folder, then read them back."""
     folder = work_path(pages.sparkSession, "warc")
