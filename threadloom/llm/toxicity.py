@@ -1,6 +1,6 @@
 """Toxic passages: maximum-scoring segments over token log-odds with Dirichlet priors.
 
-Tokens and their first letters are features; a feature's log-odds between toxic and other documents is smoothed by a
+Tokens and their first letters are features; a feature's log-odds of toxic against other documents is smoothed by a
 Dirichlet prior drawn from both, and features within noise are neutral. In a document every maximal scoring segment is
 found in one scan over its tokens. Segment scores of clean documents follow an extreme-value law whose lambda solves
 sum p(s) exp(lambda s) = 1; in its bits, lengths are comparable, and a logistic curve over bits gives the score.
@@ -27,6 +27,8 @@ PREFIXES = (4, 5, 6)
 #: Pseudo-documents of the prior; |z| (signed root of the likelihood ratio) below which a feature is neutral; cost of every token; bits of a significant passage.
 PRIOR, Z, DRIFT, BITS = 10.0, 4.2, 0.5, 0.0
 STEP, SPAN = 0.25, 20.0
+#: Tokens over which repeats are counted.
+NEAR = 200
 PASSAGES = "array<struct<start:int,end:int,bits:double>>"
 
 
@@ -49,8 +51,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.bits(best, tokens) + self.offset, -30, 30)))
 
 
+def repeats(run: Run, places: np.ndarray, near: int = NEAR) -> np.ndarray:
+    """How often each of some words (ascending places in run.words) occurs in its text's `near` words up to it, itself included."""
+    text = np.searchsorted(run.at, places, side="right")
+    order = np.lexsort((places, run.words[places], text))
+    at, word, text = places[order], run.words[places[order]], text[order]
+    group = np.cumsum(np.concatenate([[0], (word[1:] != word[:-1]) | (text[1:] != text[:-1])])) if len(at) else at
+    line = group * (len(run.words) + near + 1) + at  # groups lie so far apart that no reach crosses them
+    out = np.empty(len(places))
+    out[order] = np.arange(len(at)) - np.searchsorted(line, line - near, side="right") + 1.0
+    return out
+
+
 def token_scores(run: Run, model: Model) -> np.ndarray:
-    """Each token's score: the log-odds of its most telling feature, less DRIFT. A repeat within a text counts 1/n², so that one word can't fill a passage."""
+    """Each token's score: the log-odds of its most telling feature, less DRIFT.
+
+    The nth of equal tokens within NEAR tokens counts 1/n², so that one word can't fill a passage, while a passage scores
+    the same wherever in its text it stands.
+    """
     odds, z = np.zeros(len(run.words)), np.zeros(len(run.words))
     if len(model.features):
         for h in (run.words, *run.prefixes.values()):
@@ -58,11 +76,7 @@ def token_scores(run: Run, model: Model) -> np.ndarray:
             found = (model.features[at] == h) & (np.abs(model.z[at]) > z)
             odds[found], z[found] = model.odds[at[found]], np.abs(model.z[at[found]])
     hot = np.flatnonzero(odds > 0)
-    text = np.searchsorted(run.at, hot, side="right")
-    order = np.lexsort((hot, run.words[hot], text))
-    same = np.concatenate([[False], (run.words[hot[order]][1:] == run.words[hot[order]][:-1]) & (text[order][1:] == text[order][:-1])]) if len(hot) else np.zeros(0, dtype=bool)
-    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(hot) else np.zeros(0, dtype=np.int64)
-    odds[hot[order]] /= (np.arange(len(order)) - start + 1.0) ** 2
+    odds[hot] /= repeats(run, hot) ** 2
     return odds - DRIFT
 
 
@@ -178,14 +192,23 @@ def extreme_value(seen: np.ndarray, best: np.ndarray, tokens: np.ndarray) -> tup
     return low, float((low * best - np.log(np.maximum(tokens, 1))).mean() - np.euler_gamma)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by Newton's method with a slight ridge."""
-    w = np.zeros(2)
-    features = np.stack([x / 10, np.ones(len(x))], axis=1)
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and offset of a logistic curve by Newton's method with a slight ridge; steps are halved until the loss falls, as it need not where the classes lie apart."""
+    features, sign, w = np.stack([x / 10, np.ones(len(x))], axis=1), 2 * y - 1, np.zeros(2)
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, -sign * (features @ w)).sum() + ridge / 2 * w @ w)
+
+    at = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-        step = np.linalg.solve((features * (p * (1 - p))[:, None]).T @ features + 1e-3 * np.eye(2), features.T @ (y - p) - 1e-3 * w)
-        w = w + np.clip(step, -5, 5)
+        p = 1 / (1 + np.exp(-np.clip(features @ w, -500, 500)))
+        down = features.T @ (y - p) - ridge * w
+        step = np.linalg.solve((features * (p * (1 - p))[:, None]).T @ features + ridge * np.eye(2), down)
+        while (new := loss(w + step)) > at - 1e-4 * float(step @ down) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if new >= at:
+            break
+        w, at = w + step, new
     return float(w[0] / 10), float(w[1])
 
 
