@@ -22,6 +22,8 @@ from threadloom.llm.words import WHITE, distinct, grams, per_text, runs
 #: Trusted positives and unlabelled documents that the classifier is fitted on, at most about.
 TRUSTED, UNLABELLED = 15_000, 25_000
 CUTS = np.array([0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.995])
+#: Quantiles are within one row in so many.
+ACCURACY = 5_000
 #: Least share of trusted text above a score at which the prior is read.
 LEAST = 0.3
 BINS = 400
@@ -137,7 +139,9 @@ def learn(measured: DataFrame, labels: DataFrame, column: str = "quality") -> Mo
     u = _matrix(measured.filter(F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, UNLABELLED / max(1, total)))))
     if not len(p) or not len(u):
         return None
-    edges = np.quantile(u, CUTS, axis=0).T
+    # The bins are cut by quantiles over all rows.
+    cuts = measured.agg(*[F.percentile_approx(F.get("x", F.lit(j)), [float(c) for c in CUTS], ACCURACY).alias(f"e{j}") for j in range(p.shape[1])]).first()
+    edges = np.array(cuts, dtype=np.float64)
     bp, bu = _binned(p, edges), _binned(u, edges)
     width = edges.shape[1] + 1
     w, offset = _descend(bp, bu, None, 150)
