@@ -25,6 +25,8 @@ from threadloom.llm.words import WHITE, Run, grams, mix, runs
 LEAST = 50
 GRAM, WINDOW = 8, 20
 SALTS = 16
+#: A gram is hot if it holds more than one in so many places.
+HOT = 20_000
 
 
 def _slide(v: np.ndarray, best: np.ufunc, window: int) -> np.ndarray:
@@ -60,14 +62,18 @@ def stretches(w: np.ndarray, repeated: np.ndarray, least: int) -> tuple[np.ndarr
     return at, key.view(np.int64)
 
 
-def body_of(run: Run, i: int) -> int:
-    """A number for a text's whole word sequence."""
+def body_of(run: Run, i: int, first: int = 0) -> int:
+    """A number for a text's whole word sequence; another `first` gives an independent one."""
     w = run.words[run.at[i] : run.at[i + 1]]
     with np.errstate(over="ignore"):
-        total = (w * mix(np.arange(len(w), dtype=np.uint64))).sum(dtype=np.uint64) + np.uint64(len(w))
+        total = (w * mix(np.arange(first, first + len(w), dtype=np.uint64))).sum(dtype=np.uint64) + np.uint64(len(w))
     return int(mix(np.array([total])).view(np.int64)[0])
 
 
+#: Where the places of a text's second number begin.
+TWIN = 1 << 60
+
+
 def spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, body, start_word, end_word, source_doc_id, removable): repeated passages of at least `least` words.
 
@@ -87,7 +93,8 @@ def spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
                 bodies = [body_of(run, i) for i in range(run.last - run.first)]
                 sizes = np.diff(run.at)
                 long = np.flatnonzero(sizes >= least)
-                yield {"doc_id": ids[run.first : run.last][long], "body": np.array(bodies, dtype=np.int64)[long], "n": sizes[long], "gram": [None] * len(long)}
+                twins = np.array([body_of(run, i, TWIN) for i in long], dtype=np.int64)
+                yield {"doc_id": ids[run.first : run.last][long], "body": np.array(bodies, dtype=np.int64)[long], "n": sizes[long], "gram": [None] * len(long), "twin": twins}
                 places, grams_, owners = [], [], []
                 for i in long:
                     if bodies[i] in seen:
@@ -100,14 +107,18 @@ def spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
                     owners.append(np.full(len(at), bodies[i]))
                 if places:
                     n = np.concatenate(places)
-                    yield {"doc_id": [None] * len(n), "body": np.concatenate(owners), "n": n, "gram": np.concatenate(grams_).view(np.int64)}
+                    yield {"doc_id": [None] * len(n), "body": np.concatenate(owners), "n": n, "gram": np.concatenate(grams_).view(np.int64), "twin": [None] * len(n)}
 
-    chosen = work_table(map_rows(texts, select, "doc_id long, body long, n long, gram long"), "minimisers")
-    rows = chosen.filter("gram is null").select("doc_id", "body", "n")
-    bodies = work_table(rows.groupBy("body").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.countDistinct("doc_id").alias("docs")), "bodies")
+    chosen = work_table(map_rows(texts, select, "doc_id long, body long, n long, gram long, twin long"), "minimisers")
+    rows = chosen.filter("gram is null").select("doc_id", "body", "n", "twin")
+    bodies = work_table(rows.groupBy("body").agg(F.min("doc_id").alias("first")), "bodies")
     places = chosen.filter("gram is not null").select("body", F.col("n").alias("pos"), "gram")
-    repeated = places.groupBy("gram").agg(*[f(c).alias(f.__name__ + c) for f in (F.min, F.max) for c in ("body", "pos")]).filter("minbody <> maxbody or minpos <> maxpos").select("gram")
-    wanted = places.join(repeated, "gram", "left_semi").groupBy("body").agg(F.collect_set("gram").alias("grams")).join(bodies.select("body", "first"), "body")
+    repeated = places.groupBy("gram").agg(*[f(c).alias(f.__name__ + c) for f in (F.min, F.max) for c in ("body", "pos")], F.count(F.lit(1)).alias("n")).filter("minbody <> maxbody or minpos <> maxpos")
+    repeated = work_table(repeated.select("gram", "n"), "repeated")
+    # Grams of more than one place in HOT are at most HOT: they are broadcast, so that none gathers in one task.
+    hot = F.broadcast(repeated.filter(F.col("n") * HOT > places.count()).select("gram"))
+    kept = places.join(hot, "gram", "left_semi").unionByName(places.join(hot, "gram", "left_anti").join(repeated.select("gram"), "gram", "left_semi"))
+    wanted = kept.groupBy("body").agg(F.collect_set("gram").alias("grams")).join(bodies.select("body", "first"), "body")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         done: set[int] = set()
@@ -144,9 +155,10 @@ def spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
     fresh = placed.withColumn("new", F.coalesce(F.col("start") > F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
     merged = fresh.withColumn("nth", F.sum("new").over(by)).groupBy("body", "doc_id", "removable", "nth").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("source_doc_id").alias("source_doc_id"))
     out = ["doc_id", "body", "start_word", "end_word", "source_doc_id", "removable"]
-    # Texts that occur in several documents: wholly repeated.
-    many = bodies.filter("docs > 1").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    copies = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).distinct().join(many.select("body", "first", "salt"), ["body", "salt"])
+    # Texts that occur in several documents are wholly repeated: two numbers and the length decide, as the whole text goes.
+    same = ["body", "twin", "n"]
+    many = rows.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    copies = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).distinct().join(many.select(*same, "first", "salt"), [*same, "salt"])
     whole = copies.select("doc_id", "body", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), F.col("first").alias("source_doc_id"), (F.col("doc_id") != F.col("first")).alias("removable"))
     return merged.select(*out).unionByName(whole.select(*out))
 
