@@ -71,7 +71,7 @@ views as (
   from turns join speakers on conv_id is not distinct from c),
 placed as (
   select *, row_number() over w as nth,
-    sum(length(head) + length(body) + 1) over (w rows between unbounded preceding and current row) - 1 as stop
+    sum(length(head) + length(body) + 1) over (w rows unbounded preceding) - 1 as stop
   from views window w as (partition by conv_id, speaker, segment order by turn nulls first, role, text))
 select conv_id, speaker, segment, count(*) as n_turns, count(*) filter (own) as n_masked,
   string_agg(head || body || chr(10), '' order by nth) as rendered,

@@ -11,7 +11,7 @@ from threadloom.llm.common import discard, work_table
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): for each node of edges (u long, v long) the smallest node it is joined with, itself included.
 
-    Each round hooks every node to its smallest neighbour, jumps once, and keeps only edges between different hooks, so
+    Each round hooks every node to its smallest neighbour, jumps once, and keeps only edges of different hooks, so
     that edges at least halve per path; sums per node are partial before they shuffle, so one hot node does no harm.
     Nulls and loops give nothing. An empty table gives no rows.
     """

@@ -123,6 +123,6 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def per_text(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of mask between successive bounds."""
+    """Sums of mask from each bound to the next."""
     total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
     return total[bounds[1:]] - total[bounds[:-1]]
