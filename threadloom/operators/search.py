@@ -112,6 +112,16 @@ def page(messages: DataFrame, before_ms: int | None = None, limit: int = 200, af
     return top(kept, ["thread_id"], [F.desc("ms"), F.desc("id")] if newest else [F.asc("ms"), F.asc("id")], limit, "n").drop("n")
 
 
+def message_rows(messages: DataFrame, contacts: DataFrame, attachments: DataFrame) -> DataFrame:
+    """messages with sender_name (null where the sender is unknown) and attachments: how many each has, layouts left out.
+
+    messages have sender_id, contacts (contact_id, name), attachments (message_id, is_smil).
+    """
+    names = contacts.select(F.col("contact_id").alias("sender_id"), F.col("name").alias("sender_name"))
+    counts = attachments.filter(~F.col("is_smil")).groupBy(F.col("message_id").alias("id")).agg(F.count(F.lit(1)).alias("attachments"))
+    return messages.join(names, "sender_id", "left").join(counts, "id", "left").na.fill(0, ["attachments"])
+
+
 def around(messages: DataFrame, episodes: DataFrame, slack_ms: int = 1, limit: int = 2000, bucket_ms: int = 86_400_000) -> DataFrame:
     """(thread_id, start_ms, place, id, ms, direction, body): the messages of each episode, slack_ms beyond its ends, the first `limit` of them."""
     spans = episodes.select("thread_id", "start_ms", (F.col("start_ms") - slack_ms).alias("_from"), (F.col("end_ms") + slack_ms).alias("_to"))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import normalize
-from threadloom.operators import ambient, conflict, findings, gate, health, identity, metrics, scores, search
+from threadloom.operators import ambient, conflict, findings, gate, health, identity, metrics, scores, search, threads, windows
 from threadloom.operators.ordered import rounded, runs_of_days
 from threadloom.plans.registry import DAY, SPOKEN, SUBSTANTIVE, episodes_sql, query
-from threadloom.sources.tables import HOUR_MS, conversation_messages, events_messages, events_results, orders_attachments, orders_messages, table
+from threadloom.sources import exports
+from threadloom.sources.tables import conversation_messages, epoch_ms, events_messages, events_results, orders_attachments, orders_messages, scratch, table
 
 # ---- scores ----
 
@@ -173,7 +174,6 @@ _SPARSE = f"{SPOKEN}, sp as (select thread_id, ms, date_trunc('month', make_time
 @query(_SPARSE + """, r as (select thread_id, m, min(ms) as f, max(ms) as l from sp group by 1, 2), g as (select *, lag(m) over w as pm, lag(l) over w as pl from r window w as (partition by thread_id order by m))
 select thread_id, strftime(pm + interval 1 month, '%Y-%m') as from_month, strftime(m - interval 1 month, '%Y-%m') as to_month, (datediff('month', pm, m) - 1)::int as months, pl as last_before_ms, f as first_after_ms from g where datediff('month', pm, m) > 1""", "orders")
 def archive_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    at = F.timestamp_millis("ms")
     return health.gaps(orders_messages(spark, folder).filter((F.month(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ms") / DAY).cast("int"))) + F.col("thread_id")) % 5 < 2))
 
 
@@ -470,3 +470,93 @@ def normalized_fields(spark: SparkSession, folder: str) -> DataFrame:
         k.alias("id"), given.alias("raw"), N.address_kind(given).alias("kind"), N.e164(given).alias("e164"), N.sms_direction(N.whole(kind)).alias("sms"), N.mms_direction(N.whole(kind), F.when(k % 2 == 0, 128).otherwise(132)).alias("mms"),
         N.address_role(N.whole(role)).alias("role"), N.sent_ms(at).alias("ms"), N.reaction_kind(body).alias("reaction"),
     )
+
+
+# ---- imports: tables written as exports and read back ----
+
+
+@query("""select event_id as id, case event_id % 3 when 0 then epoch_us(ts) // 1000000 * 1000 when 1 then epoch_us(ts) // 1000 end as ms, 'u' || user_id as sender,
+  case when event_type in ('click', 'purchase') then 'outgoing' when user_id % 5 = 1 then 'outgoing' when event_type = 'signup' then 'incoming' else 'incoming' end as direction,
+  case event_id % 3 when 2 then case event_id % 2 when 0 then 'no timestamp' else 'unclear timestamp: 1/2/2021' end end as problem from events where user_id % 5 <> 1 or event_type <> 'view'""")
+def imported_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as CSV with commas, quotes and line feeds in bodies; times in seconds, milliseconds, missing or unclear."""
+    ms, k = epoch_ms("ts"), F.col("event_id")
+    when = F.when(k % 3 == 0, F.floor(ms / 1000).cast("string")).when(k % 3 == 1, ms.cast("string")).when(k % 2 == 1, "1/2/2021")
+    said = F.when(F.col("event_type").isin("click", "purchase"), "Sent").when(F.col("event_type") == "signup", F.when(F.col("user_id") % 5 != 1, "received"))
+    rows = table(spark, folder, "events").filter("user_id % 5 <> 1 or event_type <> 'view'")
+    path = scratch(spark, "rows") + ".csv"
+    rows.select(when.alias("Date"), F.concat(F.lit("u"), "user_id").alias("From"), said.alias("Dir"), F.concat(k.cast("string"), F.lit(', "so"\n it is')).alias("Text"), (F.col("user_id") % 5 == 1).alias("mine")).drop("mine").write.csv(path, header=True, quote='"', escape='"', emptyValue="")
+    found = exports.plain_rows(spark, path)
+    direction = F.when(F.col("direction").isNull(), F.when(F.regexp_extract("sender", r"(\d+)", 1).cast("int") % 5 == 1, "outgoing").otherwise("incoming")).otherwise(F.col("direction"))
+    problem = F.when(F.col("problem") == "no direction", F.lit(None)).otherwise(F.col("problem"))
+    return found.select(F.regexp_extract("body", r'^(\d+), "so"\n it is$', 1).cast("long").alias("id"), "ms", "sender", direction.alias("direction"), problem.alias("problem"))
+
+
+@query("""select o_orderkey as id, epoch_us(o_orderdate) // 1000 as ms, case o_orderkey % 5 when 0 then 'incoming' when 1 then 'outgoing' when 2 then 'draft' else 'other' end as direction,
+  case when o_orderkey % 7 <> 0 then o_orderpriority || ' & <' || o_orderkey || '>' end as body, case o_orderkey % 3 when 0 then true when 1 then false end as is_read, 'c' || o_custkey as address from orders""")
+def imported_backup(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as the text messages of XML backups, escaped, and read back."""
+    k = F.col("o_orderkey")
+    escaped = F.replace(F.replace(F.replace(F.concat_ws("", "o_orderpriority", F.lit(" & <"), k, F.lit(">")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    kind, read = (k % 5 + 1).cast("string"), F.when(k % 3 == 0, "1").when(k % 3 == 1, "0").otherwise("null")
+    line = F.concat(F.lit('<sms address="c'), F.col("o_custkey"), F.lit('" date="'), epoch_ms("o_orderdate"), F.lit('" type="'), kind, F.lit('" body="'), F.when(k % 7 == 0, "null").otherwise(escaped), F.lit('" read="'), read, F.lit('" contact_name="'), k, F.lit('" />'))
+    path = scratch(spark, "backup")
+    table(spark, folder, "orders").select(line).write.text(path)
+    return exports.sms(spark, path).select(F.col("contact_name").cast("long").alias("id"), "ms", "direction", "body", "is_read", F.col("addresses")[0]["raw"].alias("address"))
+
+
+@query("""with a as (select o_orderkey % 4000 as dedup_key, o_custkey % 5 as source_file from orders), f as (select dedup_key, min(source_file) as source_file from a where dedup_key not in (select distinct (o_orderkey % 4000) // 7 * 7 from orders) group by 1),
+n as (select source_file, count(*) as new from f group by 1), t as (select source_file, count(*) as records from a group by 1)
+select source_file, records, coalesce(new, 0) as new, records - coalesce(new, 0) as known from t left join n using (source_file)""")
+def import_counts(spark: SparkSession, folder: str) -> DataFrame:
+    arrived = table(spark, folder, "orders").select((F.col("o_orderkey") % 4000).alias("dedup_key"), (F.col("o_custkey") % 5).alias("source_file"))
+    return identity.import_counts(arrived, arrived.select((F.floor(F.col("dedup_key") / 7) * 7).alias("dedup_key")))
+
+
+_PEOPLE = """ad as (select o_orderkey as id, epoch_us(o_orderdate) // 1000 as ms, case when o_orderkey % 2 = 0 then 'outgoing' else 'incoming' end as direction, 'c' || o_custkey as raw, case when o_orderkey % 2 = 0 then 'to' else 'from' end as role, c_name as name from orders join customer on o_custkey = c_custkey
+  union all select o_orderkey, epoch_us(o_orderdate) // 1000, case when o_orderkey % 2 = 0 then 'outgoing' else 'incoming' end, 'me', case when o_orderkey % 2 = 0 then 'from' else 'to' end, null from orders where o_orderkey % 3 = 0)"""
+
+
+def _people(spark: SparkSession, folder: str) -> DataFrame:
+    out, k = F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")
+    a = lambda raw, role: F.struct(raw.alias("raw"), role.alias("role"))
+    both = F.array_compact(F.array(a(F.concat(F.lit("c"), "o_custkey"), F.when(out, "to").otherwise("from")), F.when(k % 3 == 0, a(F.lit("me"), F.when(out, "from").otherwise("to")))))
+    return table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(k.alias("id"), epoch_ms("o_orderdate").alias("ms"), F.when(out, "outgoing").otherwise("incoming").alias("direction"), both.alias("addresses"), F.col("c_name").alias("contact_name"))
+
+
+@query(f"""with {_PEOPLE}, n as (select id, count(*) as n from ad group by 1)
+select raw as key, 'alias' as kind, min(ms) as first_ms, max(ms) as last_ms, case when raw <> 'me' then arg_max(name, (ms, id, name)) filter (n = 1) end as name from ad join n using (id) group by 1""")
+def contact_list(spark: SparkSession, folder: str) -> DataFrame:
+    return threads.contacts(_people(spark, folder))
+
+
+@query(f"with {_PEOPLE}, e as (select raw from ad where direction = 'outgoing' and role = 'from' union select raw from ad where direction = 'incoming' and role = 'to') select min(raw) as key from e having count(distinct raw) = 1")
+def owner_by_role(spark: SparkSession, folder: str) -> DataFrame:
+    return threads.owner_key(_people(spark, folder))
+
+
+@query(f"""with {_PEOPLE}, k as (select id, raw as c from ad where raw <> 'me')
+select sha256('["' || replace('["member","' || c || '"]', '"', '\\"') || '"]') as thread_key, count(*) as n, false as is_group from k group by 1""")
+def assigned_threads(spark: SparkSession, folder: str) -> DataFrame:
+    people = _people(spark, folder)
+    return threads.assign_threads(people, threads.owner_key(people)).groupBy("thread_key").agg(F.count(F.lit(1)).alias("n"), F.max("is_group").alias("is_group"))
+
+
+@query(f"""with {_PEOPLE} select id, max(case when direction = 'outgoing' then 'me' else raw end) filter (direction = 'outgoing' or role = 'from') as sender, coalesce(string_agg(raw || ':' || role, ',' order by raw) filter (role <> 'from'), '') as recipients from ad group by 1""")
+def message_senders(spark: SparkSession, folder: str) -> DataFrame:
+    people = _people(spark, folder)
+    found = identity.senders(people, threads.owner_key(people))
+    return found.select("id", "sender", F.array_join(F.transform(F.array_sort("recipients"), lambda r: F.concat_ws(":", r["key"], r["role"])), ",").alias("recipients"))
+
+
+@query("""select o_orderkey as id, case when c_custkey % 9 <> 0 then c_name end as sender_name, (select count(*) from lineitem where l_orderkey = o_orderkey and l_quantity <= 4 and l_quantity <> 1) as attachments from orders left join customer on o_custkey = c_custkey and c_custkey % 11 <> 0""")
+def message_rows(spark: SparkSession, folder: str) -> DataFrame:
+    people = table(spark, folder, "customer").filter("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("contact_id"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_name")).alias("name"))
+    sent = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("sender_id"))
+    return search.message_rows(sent, people, orders_attachments(spark, folder)).select("id", "sender_name", "attachments")
+
+
+@query()
+def reader_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of the event stream for an external reader; tiling starts anew at each window's end, which SQL has no function for."""
+    return windows.tile(events_messages(spark, folder), 20, 800)

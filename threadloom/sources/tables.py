@@ -6,6 +6,9 @@ body, tension (0-3) and warmth. Timestamps without zone are taken as UTC whateve
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that executors share; a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def epoch_ms(ts: str) -> Column:
     """Milliseconds since 1970 of a timestamp without zone, floored."""
     return F.expr(f"datediff(to_date({ts}), date'1970-01-01') * 86400000L + hour({ts}) * 3600000L + minute({ts}) * 60000L + cast(floor(extract(second from {ts}) * 1000) as long)")
