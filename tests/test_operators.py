@@ -326,6 +326,15 @@ def test_streams(spark, tmp_path):
     assert [(r.thread_id, r.start_ms, r.end_ms, r.hostile, r.peak) for r in spark.read.parquet(out + "-e").collect()] == [(1, day, day + 5 * 60_000, 6, 3.0)]
 
 
+def test_stored_and_claims(spark, tmp_path):
+    calls = []
+    make = lambda n: lambda: calls.append(n) or spark.createDataFrame([(n,)], "n int")
+    path = f"file://{tmp_path}/m"
+    assert [metrics.stored(spark, path, make(n), anew).first().n for n, anew in ((1, False), (2, False), (3, True))] == [1, 1, 3] and calls == [1, 3]
+    readings = spark.createDataFrame([(1, {"a": [1, 2], "b": [3]}), (2, {})], "reading_id int, evidence map<string, array<int>>")
+    assert sorted((r.reading_id, r.claim, r.evidence_ids) for r in findings.claims_of(readings).collect()) == [(1, "a", [1, 2]), (1, "b", [3])]
+
+
 def test_ordered_by_time_and_id(spark):
     m = made(spark, [(0, "me", 0, 0), (0, "them", 2, 0), (0, "me", 0, 0)])
     got = m.withColumn("n", ordered.next_where(F.col("tension") >= 2, F.col("id"))).orderBy("id").collect()

@@ -114,3 +114,26 @@ def near_by_year(episodes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("episodes"), F.count_if("near").alias("near"), rounded(F.avg(F.col("near").cast("int"))).alias("near_share"),
         of(F.col("hostile_me")).alias("hostile_me"), of(F.col("hostile_them")).alias("hostile_them"), of(F.col("severe_me") + F.col("severe_them")).alias("severe"),
     )
+
+
+def letter_material(series: DataFrame, episodes: DataFrame, entries: DataFrame, most: int = 6) -> DataFrame:
+    """(thread_id, sums of a monthly `conflict.reciprocation`, first_rate, last_rate, episodes, receipts): what a summary of a thread rests on.
+
+    The rates of returned hostility are those of the first and the last month that has any; episodes are the ids of the
+    `most` with most severe messages, receipts those of the latest `receipts` of a ledger; both in ascending order.
+    """
+    rate = F.when(F.col("asked") > 0, F.col("returned") / F.col("asked"))
+    counts = [c for c in series.columns if c.startswith(("n_", "hostile_", "severe_", "warm_"))]
+    when = F.when(F.col("asked") > 0, F.col("month"))
+    sums = series.groupBy("thread_id").agg(*[F.sum(c).alias(c) for c in counts], rounded(F.min_by(rate, when)).alias("first_rate"), rounded(F.max_by(rate, when)).alias("last_rate"))
+    severe = top(episodes.withColumn("_s", F.col("severe_me") + F.col("severe_them")), ["thread_id"], [F.desc("_s"), F.desc("peak"), F.asc("start_ms"), F.asc("start_id")], most)
+    told = severe.groupBy("thread_id").agg(F.array_sort(F.collect_list("start_id")).alias("episodes"))
+    kept = receipts(entries).groupBy("thread_id").agg(F.array_sort(F.collect_list("id")).alias("receipts"))
+    none = F.array().cast("array<bigint>")
+    out = sums.join(told, "thread_id", "left").join(kept, "thread_id", "left")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("episodes", "receipts")})
+
+
+def claims_of(readings: DataFrame, evidence: str = "evidence") -> DataFrame:
+    """(reading_id, claim, evidence_ids): a row for each entry of the readings' maps from claims to evidence."""
+    return readings.select("reading_id", F.explode(evidence).alias("claim", "evidence_ids"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.clock import Zone, local_day, local_hour, local_weekday
@@ -138,3 +140,12 @@ def replies_by_side(messages: DataFrame, most_ms: int = 6 * HOUR_MS) -> DataFram
         half(me).alias("median_me"), half(~me).alias("median_them"), F.count_if(F.col("first") & me).alias("first_me"), F.count_if(F.col("first") & ~me).alias("first_them"),
         F.count_if(F.col("last") & me).alias("last_me"), F.count_if(F.col("last") & ~me).alias("last_them"), double(me).alias("double_me"), double(~me).alias("double_them"),
     )
+
+
+def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame], anew: bool = False) -> DataFrame:
+    """The table at path; it is made and written there first where it isn't yet, or where it is to be made anew."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    if anew or not there:
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

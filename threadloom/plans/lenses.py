@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import normalize
 from threadloom.operators import ambient, conflict, findings, gate, health, identity, metrics, scores, search, threads, windows
 from threadloom.operators.ordered import rounded, runs_of_days
-from threadloom.plans.registry import DAY, SPOKEN, SUBSTANTIVE, episodes_sql, query
+from threadloom.plans.registry import DAY, MONTH, SPOKEN, SUBSTANTIVE, answers_sql, episodes_sql, query
 from threadloom.sources import exports
 from threadloom.sources.tables import conversation_messages, epoch_ms, events_messages, events_results, orders_attachments, orders_messages, scratch, table
 
@@ -305,6 +305,22 @@ def mentions_near_episodes(spark: SparkSession, folder: str) -> DataFrame:
     return findings.near_by_year(findings.near_mentions(messages, found, findings.word_pattern(["not specified"])))
 
 
+_ARRAYS = ("episodes", "receipts")
+
+
+@query(_EP + f""", {answers_sql(DAY, MONTH, 'month')}, e as (select *, {_CATEGORY} as category from sub), l as (select *, row_number() over (partition by thread_id, category, me order by ms desc, id desc) as place from e where category is not null),
+rx as (select thread_id, string_agg(id, ',' order by id) as receipts from l where place <= 4 group by 1),
+q as (select *, row_number() over (partition by thread_id order by severe_me + severe_them desc, peak desc, start_ms, start_id) as place from ep), ex as (select thread_id, string_agg(start_id, ',' order by start_id) as episodes from q where place <= 6 group by 1),
+sx as (select thread_id, {', '.join(f'cast(sum({c}) as bigint) as {c}' for c in ('n_me', 'n_them', 'hostile_me', 'hostile_them', 'severe_me', 'severe_them', 'warm_me', 'warm_them'))},
+  round(arg_min(returned / asked, month) filter (asked > 0), 6) as first_rate, round(arg_max(returned / asked, month) filter (asked > 0), 6) as last_rate from rc group by 1)
+select sx.*, coalesce(episodes, '') as episodes, coalesce(receipts, '') as receipts from sx left join ex using (thread_id) left join rx using (thread_id)""", "orders")
+def letter_material(spark: SparkSession, folder: str) -> DataFrame:
+    messages, found = _orders_and_episodes(spark, folder)
+    entries = findings.ledger(messages, {"pressing": r"\burgent\b", "raised": r"\bhigh\b"})
+    made = findings.letter_material(conflict.reciprocation(messages, conflict.month(), "month", DAY), found, entries)
+    return made.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in _ARRAYS})
+
+
 # ---- power ----
 
 _PATTERNS = """pa as (select thread_id, start_id, (case when start_id % 2 = 0 then 1 else 0 end) as c_me, (case when start_id % 3 = 0 then 2 else 0 end) as c_them from ep)"""
