@@ -201,9 +201,9 @@ def best_fit(lengths: np.ndarray, capacity: int, documents: int, attention: floa
 def pack(pieces: DataFrame, capacity: int = CAPACITY, documents: int | None = None, attention: float | None = None, choose: str = "norm", group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to pieces (a table with PIECES' columns, as cut_documents gives).
 
-    Pieces as long as a sequence are one each, named by their slot. The others are dealt by slot into groups that tasks pack at once; pieces
-    of sequences left under 97 % full are packed again in larger groups. documents and attention default to bounds that
-    no set of whole pieces within the token capacity can break. An empty table gives no rows.
+    Pieces as long as a sequence are one each, named by their slot. The others are dealt by slot into groups that tasks
+    pack at once; pieces of sequences left under 97 % full are dealt and packed once more. documents and attention default
+    to bounds that no set of whole pieces within the token capacity can break. An empty table gives no rows.
     """
     documents = documents or capacity
     attention = attention or float(capacity) ** 2
