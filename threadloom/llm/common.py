@@ -76,10 +76,10 @@ def begin_stage(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of BATCH_ROWS for actions inside: whole texts come in batches, and 10,000 would hold much of a split at once, on both sides."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of `rows` for actions inside: whole texts come in batches, and 10,000 would hold much of a split at once, on both sides."""
     before = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    spark.conf.set(ARROW_ROWS, min(rows, int(before)) if int(before) > 0 else rows)
     try:
         yield
     finally:

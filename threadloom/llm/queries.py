@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import ann, bpe, chat, near_dup, ngram_join, packing, quality, suffix_dedup, toxicity, warc
+from threadloom.llm import ann, bpe, chat, merkle, near_dup, ngram_join, packing, quality, suffix_dedup, toxicity, warc
 from threadloom.llm.common import held_out
 
 
@@ -64,6 +64,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    one_more = (F.col("n_chars").cast("decimal(20,0)") + 1).alias("n_chars")  # beyond the longs too
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.digest([one_more if f == "n_chars" else F.col(f) for f in fields]))
+    return merkle.manifest(_table(spark, sf_dir, "documents"), "doc_id", fields, "lang", tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup": op8_near_dup,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE}
