@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import ann, bpe, chat, merkle, near_dup, ngram_join, packing, quality, suffix_dedup, toxicity, warc
+from threadloom.llm import ann, bpe, chat, importance, merkle, near_dup, ngram_join, packing, quality, suffix_dedup, toxicity, warc
 from threadloom.llm.common import held_out
 
 
@@ -71,6 +71,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), "doc_id", fields, "lang", tampered)
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
     "op11_merkle": op11_merkle,
+    "op12_importance": op12_importance,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE, "op12_importance": importance.ORACLE}
