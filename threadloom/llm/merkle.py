@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import bounded_join, map_rows, small_batches, work_table
 from threadloom.llm.ranks import placed
+from threadloom.llm.sql import crc32_sql
 from threadloom.llm.words import column_bytes
 
 #: Nodes of a block at most, 64 KB of digests.
@@ -218,3 +219,42 @@ def manifest(rows: DataFrame, key: str, fields: list[str], group: str, claim: Co
 
     kind = dict(rows.dtypes)[key]
     return map_rows(seen, prove, f"`{key}` {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean" + ", proof string" * proofs)
+
+
+def _field(c: str) -> str:
+    return f"case when {c} is null then '-' else octet_length(encode({c}::varchar)) || ':' || {c} end"
+
+
+#: The query's rows: leaves and trees of two, all levels by recursion; proofs by join; folding step by step.
+ORACLE = f"""
+with recursive rows as (
+  select row_number() over () as rid, doc_id, lang, sha256({" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text")))}) as leaf,
+    case when {crc32_sql("doc_id::varchar")} % 7 = 0 then sha256({" || ".join(map(_field, ("doc_id", "source", "lang", "(n_chars::hugeint + 1)", "text")))}) end as claim
+  from documents),
+leaves as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from rows),
+nodes as (
+  select lang, 0 as lvl, pos, n, leaf as h from leaves
+  union all
+  select lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from nodes where n > 1 group by lang, lvl, n, pos // 2),
+subroots as (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from nodes where n = 1),
+crown as (
+  select 0 as lvl, pos, n, subroot as h from subroots
+  union all
+  select lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from crown where n > 1 group by lvl, n, pos // 2),
+floors as (select distinct lang, lvl from nodes where n > 1),
+upper as (select distinct lvl from crown where n > 1),
+steps as (
+  select rid, 0 as part, f.lvl, (l.pos >> f.lvl) as place, s.h as sibling from leaves l join floors f on l.lang is not distinct from f.lang
+  left join nodes s on s.lang is not distinct from l.lang and s.lvl = f.lvl and s.pos = xor(l.pos >> f.lvl, 1)
+  union all
+  select rid, 1, u.lvl, (t.pos >> u.lvl), s.h from leaves l join subroots t on t.lang is not distinct from l.lang cross join upper u
+  left join crown s on s.lvl = u.lvl and s.pos = xor(t.pos >> u.lvl, 1)),
+numbered as (select *, row_number() over (partition by rid order by part, lvl) as step from steps),
+proofs as (select rid, string_agg(sibling, '' order by step) as proof from numbered group by rid),
+folded as (
+  select rid, 0 as step, coalesce(claim, leaf) as h from leaves
+  union all
+  select f.rid, n.step, sha256(case when sibling is null then h when place % 2 = 1 then sibling || h else h || sibling end) from folded f join numbered n on n.rid = f.rid and n.step = f.step + 1)
+select l.doc_id, leaf, subroot, c.h as root, sha256(coalesce(proof, '')) as proof_sha256, f.h as folded_root, f.h = c.h as verified
+from leaves l join subroots t on t.lang is not distinct from l.lang join crown c on c.n = 1 left join proofs p on p.rid = l.rid
+join (select rid, arg_max(h, step) as h from folded group by rid) f on f.rid = l.rid"""

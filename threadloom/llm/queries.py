@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import ann, bpe, chat, importance, merkle, near_dup, ngram_join, packing, quality, suffix_dedup, toxicity, warc
+from threadloom.llm import ann, bpe, chat, importance, language, merkle, near_dup, ngram_join, packing, quality, suffix_dedup, toxicity, warc
 from threadloom.llm.common import held_out
 
 
@@ -75,6 +75,12 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    found = language.identify(documents, language.learn(documents))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_merkle": op11_merkle,
     "op12_importance": op12_importance,
+    "op13_language": op13_language,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE, "op12_importance": importance.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE, "op11_merkle": merkle.ORACLE, "op12_importance": importance.ORACLE}
