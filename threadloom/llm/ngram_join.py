@@ -163,12 +163,17 @@ def join_sets(documents: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """(doc_id, n_shingles, component_id): a row for every row of documents.
 
     Words are runs of bytes without ASCII white space, A-Z lower-cased. component_id is the smallest doc_id reachable by
-    links. A null or blank text has 0 shingles and is alone; a row with a null doc_id lends its set no name: it takes
-    that of rows with equal sets or of what they link with, and is null where there are none. Rows that repeat a doc_id
-    are rows of their own. Equal sets link wherever they are; a hot set is one candidate, however many rows have it.
+    links. A null or blank text has 0 shingles and is alone; a row with a null doc_id links as others do and lends its
+    set no name, so its component_id is null where only such rows hang together. Rows that repeat a doc_id are rows of
+    their own. Equal sets link wherever they are; a hot set is one candidate, however many rows have it.
     """
-    spark, sizes = documents.sparkSession, Sizes.of(percent)
-    texts = documents.select("doc_id", "text")
+    key = unused(documents, "row_key")
+    return _join_rows(keyed(documents, "join-rows", key).select(F.col(key).alias("key"), "doc_id", "text"), words, percent)
+
+
+def _join_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """join_sets of rows (key, doc_id, text) whose keys are their own."""
+    spark, sizes = texts.sparkSession, Sizes.of(percent)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held, size = [], 0
@@ -178,11 +183,11 @@ def join_sets(documents: DataFrame, words: int = WORDS, percent: int = PERCENT)
             many = times > 1
             held.clear()
             m = int(many.sum())
-            return {"doc_id": [None] * m, "n_shingles": times[many], "set": signed(found[many]), "gram": np.ones(m, dtype=bool)}
+            return {"key": [None] * m, "doc_id": [None] * m, "n_shingles": times[many], "set": signed(found[many]), "gram": np.ones(m, dtype=bool)}
 
         for b in batches:
-            ids, n, digests = b.column(0), [], []
-            for _, found in _sets(b.column(1), words):
+            n, digests = [], []
+            for _, found in _sets(b.column(2), words):
                 n.append(len(found))
                 digests.append(_digest(found))
                 held.append(found)
@@ -190,10 +195,10 @@ def join_sets(documents: DataFrame, words: int = WORDS, percent: int = PERCENT)
                 if size > CHUNK:
                     yield repeats()
                     size = 0
-            yield {"doc_id": ids, "n_shingles": n, "set": digests, "gram": np.zeros(len(n), dtype=bool)}
+            yield {"key": b.column(0), "doc_id": b.column(1), "n_shingles": n, "set": digests, "gram": np.zeros(len(n), dtype=bool)}
         yield repeats()
 
-    profiles = work_table(map_rows(texts, profile, "doc_id long, n_shingles long, set long, gram boolean"), "profiles")
+    profiles = work_table(map_rows(texts, profile, "key long, doc_id long, n_shingles long, set long, gram boolean"), "profiles")
     frequent = profiles.filter("gram").groupBy("set").agg(F.sum("n_shingles").alias("n")).filter(F.col("n") >= FREQUENT)
     known = frequent.orderBy(F.desc("n"), "set").limit(KNOWN).select("set").toPandas()["set"].to_numpy(dtype=np.int64)
     shared = spark.sparkContext.broadcast(np.sort(known.view(np.uint64)))  # at most KNOWN numbers: 8 MB
@@ -226,13 +231,13 @@ def join_sets(documents: DataFrame, words: int = WORDS, percent: int = PERCENT)
                 u, v = pd.DataFrame({"u": own[meet], "v": own[meet + 1]}).drop_duplicates().to_numpy().T
                 yield {"u": u, "v": v}
 
-    cuts = map_rows(texts, cut, "sig long, set long").repartition("sig").sortWithinPartitions("sig", "set")
+    cuts = map_rows(texts.select("key", "text"), cut, "sig long, set long").repartition("sig").sortWithinPartitions("sig", "set")
     near = components(map_rows(cuts, chain, "u long, v long"))
 
     # Candidates' sets are made anew from the text of one row each.
-    sets = profiles.filter("not gram and n_shingles > 0").groupBy("set", "n_shingles").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    sets = profiles.filter("not gram and n_shingles > 0").groupBy("set", "n_shingles").agg(F.min("doc_id").alias("first"), F.min("key").alias("held_by"), F.count(F.lit(1)).alias("rows"))
     sets = work_table(sets, "sets")
-    named = work_table(sets.join(near.withColumnRenamed("node", "set"), "set").select("set", "first", "n_shingles", F.col("comp").alias("chain")), "candidates")
+    named = work_table(sets.join(near.withColumnRenamed("node", "set"), "set").select("set", "held_by", "n_shingles", F.col("comp").alias("chain")), "candidates")
     counts = named.groupBy("chain").agg(F.count(F.lit(1)).alias("n"))
     total = named.count()
     at_class = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / percent) * 1.0001)).cast("int")
@@ -252,8 +257,8 @@ def join_sets(documents: DataFrame, words: int = WORDS, percent: int = PERCENT)
     meeting = parted.select("set", "chain", "level", "part").unionByName(blocks.join(hubs, ["chain", "level"]).select(F.col("hub").alias("set"), "chain", "level", "part")).distinct()
     near_hubs = meeting.withColumn("task", F.lit(None).cast("long")).withColumn("l2", none).withColumn("p2", none).withColumn("second", F.lit(False))
     tasks = work_table(small.unionByName(near_hubs), "tasks")
-    # The ids are broadcast only if counted to be few.
-    rows = bounded_join(texts, named.select(F.col("first").alias("doc_id"), "set").filter("doc_id is not null"), ["doc_id"], rows=total)
+    # One row of each set gives its text, by the row's key. The keys are broadcast only if counted to be few.
+    rows = bounded_join(texts, named.select(F.col("held_by").alias("key"), "set"), ["key"], rows=total)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -262,7 +267,7 @@ def join_sets(documents: DataFrame, words: int = WORDS, percent: int = PERCENT)
                 if _digest(found) == expected[i]:
                     yield {"set": [expected[i]], "grams": [signed(found)]}
 
-    held = work_table(map_rows(rows.select("doc_id", "text", "set"), hashes, "set long, grams array<long>"), "candidate-sets").dropDuplicates(["set"])
+    held = work_table(map_rows(rows.select("key", "text", "set"), hashes, "set long, grams array<long>"), "candidate-sets").dropDuplicates(["set"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -329,7 +334,7 @@ def keep_one(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     """documents with one row of each component: that of the smallest doc_id (nulls last), then of the smallest row key."""
     key = unused(documents, "row_key")
     rows = keyed(documents, "rows", key)
-    members = work_table(join_sets(rows.select(F.col(key).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias(key), "component_id"), "members")
+    members = work_table(_join_rows(rows.select(F.col(key).alias("key"), F.col(key).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias(key), "component_id"), "members")
     many = work_table(members.groupBy("component_id").count().filter("count > 1").select("component_id"), "many")
     shared = work_table(bounded_join(members, many, ["component_id"]).join(rows.select(key, "doc_id"), key), "shared")
     kept = shared.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key))[key].alias("kept"))
