@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import map_rows, work_table
+from threadloom.llm.common import keyed, map_rows, unused, work_table
 from threadloom.llm.words import WHITE, Run, grams, mix, runs
 
 LEAST = 50
@@ -83,18 +83,24 @@ def spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
     no spans; rows with a null doc_id take no part; rows that repeat a doc_id and its text stand for each other. body
     names the word sequence that a span belongs to, should rows of different texts share a doc_id.
     """
-    texts = documents.select("doc_id", "text").filter("doc_id is not null")
+    key = unused(documents, "row_key")
+    return _spans(keyed(documents, "dedup-rows", key).select(F.col(key).alias("key"), "doc_id", "text"), least)[0]
+
+
+def _spans(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(spans of rows (key, doc_id, text) whose keys are their own; (key, doc_id, body) of the rows that are long enough)."""
+    texts = documents.filter("doc_id is not null")
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: set[int] = set()
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for run in runs(b.column(1), WHITE):
+            keys, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for run in runs(b.column(2), WHITE):
                 bodies = [body_of(run, i) for i in range(run.last - run.first)]
                 sizes = np.diff(run.at)
                 long = np.flatnonzero(sizes >= least)
                 twins = np.array([body_of(run, i, TWIN) for i in long], dtype=np.int64)
-                yield {"doc_id": ids[run.first : run.last][long], "body": np.array(bodies, dtype=np.int64)[long], "n": sizes[long], "gram": [None] * len(long), "twin": twins}
+                yield {"key": keys[run.first : run.last][long], "doc_id": ids[run.first : run.last][long], "body": np.array(bodies, dtype=np.int64)[long], "n": sizes[long], "gram": [None] * len(long), "twin": twins}
                 places, grams_, owners = [], [], []
                 for i in long:
                     if bodies[i] in seen:
@@ -107,18 +113,20 @@ def spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
                     owners.append(np.full(len(at), bodies[i]))
                 if places:
                     n = np.concatenate(places)
-                    yield {"doc_id": [None] * len(n), "body": np.concatenate(owners), "n": n, "gram": np.concatenate(grams_).view(np.int64), "twin": [None] * len(n)}
+                    yield {"key": [None] * len(n), "doc_id": [None] * len(n), "body": np.concatenate(owners), "n": n, "gram": np.concatenate(grams_).view(np.int64), "twin": [None] * len(n)}
 
-    chosen = work_table(map_rows(texts, select, "doc_id long, body long, n long, gram long, twin long"), "minimisers")
-    rows = chosen.filter("gram is null").select("doc_id", "body", "n", "twin")
-    bodies = work_table(rows.groupBy("body").agg(F.min("doc_id").alias("first")), "bodies")
+    chosen = work_table(map_rows(texts, select, "key long, doc_id long, body long, n long, gram long, twin long"), "minimisers")
+    every = chosen.filter("gram is null")
+    rows = every.select("doc_id", "body", "n", "twin")
+    # One row of each text stands for all, that of the smallest doc_id; it is met by its key, whatever rows share its doc_id.
+    bodies = work_table(every.groupBy("body").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key")), "bodies")
     places = chosen.filter("gram is not null").select("body", F.col("n").alias("pos"), "gram")
     repeated = places.groupBy("gram").agg(*[f(c).alias(f.__name__ + c) for f in (F.min, F.max) for c in ("body", "pos")], F.count(F.lit(1)).alias("n")).filter("minbody <> maxbody or minpos <> maxpos")
     repeated = work_table(repeated.select("gram", "n"), "repeated")
     # Grams of more than one place in HOT are at most HOT: they are broadcast, so that none gathers in one task.
     hot = F.broadcast(repeated.filter(F.col("n") * HOT > places.count()).select("gram"))
     kept = places.join(hot, "gram", "left_semi").unionByName(places.join(hot, "gram", "left_anti").join(repeated.select("gram"), "gram", "left_semi"))
-    wanted = kept.groupBy("body").agg(F.collect_set("gram").alias("grams")).join(bodies.select("body", "first"), "body")
+    wanted = kept.groupBy("body").agg(F.collect_set("gram").alias("grams")).join(bodies, "body")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         done: set[int] = set()
@@ -134,7 +142,7 @@ def spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
                     if len(at):
                         yield {"key": key, "first": np.full(len(at), ids[run.first + i].as_py()), "body": np.full(len(at), own), "pos": at}
 
-    joined = texts.join(wanted.select(F.col("first").alias("doc_id"), "body", "grams"), "doc_id").select("doc_id", "text", "body", "grams")
+    joined = texts.join(wanted.select("key", "body", "grams"), "key").select("doc_id", "text", "body", "grams")
     # Range partitions of the sort are found by a sample of this table, so it is written first. Repeated rows of one text fall together.
     table = work_table(map_rows(joined, hashes, "key long, first long, body long, pos long"), "stretches")
     order = ["key", "first", "body", "pos"]
@@ -160,7 +168,7 @@ def spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
     many = rows.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     copies = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).distinct().join(many.select(*same, "first", "salt"), [*same, "salt"])
     whole = copies.select("doc_id", "body", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), F.col("first").alias("source_doc_id"), (F.col("doc_id") != F.col("first")).alias("removable"))
-    return merged.select(*out).unionByName(whole.select(*out))
+    return merged.select(*out).unionByName(whole.select(*out)), every.select("key", "doc_id", "body")
 
 
 HOLDERS = "key long, body long, first long, pos long, source long, source_body long, near boolean, removable boolean, lead int, edge int, part int"
@@ -237,32 +245,32 @@ def _across(edges: list, least: int) -> tuple[list[tuple], list[tuple]]:
     return carried, out
 
 
-def cut_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
+def cut_repeats(documents: DataFrame, least: int = LEAST, key: str | None = None) -> DataFrame:
     """documents with the removable spans of `spans` cut out of their texts; n_chars, where there is one, is made anew for all rows.
 
-    A text that loses every word goes with its row; the texts of rows without removable spans stay as they are.
+    A text that loses every word goes with its row; the texts of rows without removable spans stay as they are. `key`
+    names a column that is each row's own, where there is one; it stays.
     """
-    gone = spans(documents, least).filter("removable").groupBy("doc_id", "body").agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("cut"))
-    gone = work_table(gone.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.collect_list(F.struct("body", "cut")).alias("_cuts")), "cuts")
-    names = [f"_{i}" for i in range(len(documents.columns))]
-    text, doc_id = (names[documents.columns.index(c)] for c in ("text", "doc_id"))
-    renamed = documents.toDF(*names)
-    joined = renamed.join(gone, renamed[doc_id] == gone["_cut_id"], "left").select(*names, "_cuts")
+    own_key = key or unused(documents, "row_key")
+    keyed_rows = documents if key else keyed(documents, "cut-rows", own_key)
+    found, rows_of = _spans(keyed_rows.select(F.col(own_key).alias("key"), "doc_id", "text"), least)
+    gone = found.filter("removable").groupBy("doc_id", "body").agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("cut"))
+    gone = work_table(rows_of.join(gone, ["doc_id", "body"]).select(F.col("key").alias("_cut_key"), "cut"), "cuts")
+    names = [f"_{i}" for i in range(len(keyed_rows.columns))]
+    text, at = (names[keyed_rows.columns.index(c)] for c in ("text", own_key))
+    renamed = keyed_rows.toDF(*names)
+    joined = renamed.join(gone, renamed[at] == gone["_cut_key"], "left").select(*names, "cut")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index(text))
-            cuts = b.column(b.schema.get_field_index("_cuts")).to_pylist()
+            cuts = b.column(b.schema.get_field_index("cut")).to_pylist()
             out, keep = texts.to_pylist(), np.ones(b.num_rows, dtype=bool)
             for n in (i for i, c in enumerate(cuts) if c):
                 run = next(runs(texts.slice(n, 1), WHITE))
-                own = body_of(run, 0)
-                places = next((c["cut"] for c in cuts[n] if c["body"] == own), [])
-                if not places:
-                    continue
                 kept = np.ones(len(run.raw), dtype=bool)
                 word = np.ones(len(run.words), dtype=bool)
-                for p in places:
+                for p in cuts[n]:
                     kept[run.starts[p["s"]] : run.starts[p["e"]] if p["e"] < len(run.starts) else len(run.raw)] = False
                     word[p["s"] : p["e"]] = False
                 out[n] = run.raw[kept].tobytes().decode()
@@ -270,6 +278,7 @@ def cut_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
             columns = [pa.array(out, pa.string()) if name == text else b.column(i) for i, name in enumerate(b.schema.names[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    ddl = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, documents.schema))
-    out = joined.mapInArrow(rows, ddl).toDF(*documents.columns)
-    return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out
+    ddl = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, keyed_rows.schema))
+    out = joined.mapInArrow(rows, ddl).toDF(*keyed_rows.columns)
+    out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out
+    return out.select(*documents.columns)
