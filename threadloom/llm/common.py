@@ -23,7 +23,9 @@ BATCH_ROWS = 2_000
 FILES = 50_000
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch at most, but for a single row that is larger.
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,13 +79,15 @@ def begin_stage(spark: SparkSession) -> None:
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Arrow batches of `rows` for actions inside: whole texts come in batches, and 10,000 would hold much of a split at once, on both sides."""
-    before = spark.conf.get(ARROW_ROWS)
+    """Arrow batches of `rows` and BATCH_BYTES for actions inside: whole texts come in batches, and 10,000 would hold much of a split at once, on both sides."""
+    before, size = spark.conf.get(ARROW_ROWS), spark.conf.get(ARROW_BYTES)
     spark.conf.set(ARROW_ROWS, min(rows, int(before)) if int(before) > 0 else rows)
+    spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
     try:
         yield
     finally:
         spark.conf.set(ARROW_ROWS, before)
+        spark.conf.set(ARROW_BYTES, size)
 
 
 def work_table(df: DataFrame, name: str) -> DataFrame:
