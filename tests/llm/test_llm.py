@@ -109,6 +109,54 @@ def test_ngram_join_blocks_and_nulls(spark, monkeypatch):
     assert ngram_join.join_sets(odd.limit(0)).count() == 0
 
 
+def test_ngram_join_links_through_null_ids(spark):
+    w = [f"w{i}" for i in range(260)]
+    near = lambda *more: " ".join(w[:200] + list(more))
+    got = {r["n_shingles"]: r["component_id"] for r in ngram_join.join_sets(spark.createDataFrame([(1, near()), (None, near("x", "y", "z"))], "doc_id long, text string")).collect()}
+    assert got == {197: 1, 200: 1}
+    # 1 and 2 hang together only through a row without id; a third pair has no id at all.
+    rows = [(1, " ".join(w[:200])), (None, " ".join(w[10:210])), (2, " ".join(w[20:220])), (None, "a b c d e"), (None, "a b c d e"), (4, "p q r s"), (4, " ".join(w[220:])), (4, " ".join(w[221:]))]
+    got = sorted((tuple(r) for r in ngram_join.join_sets(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=repr)
+    assert got == sorted([(1, 197, 1), (None, 197, 1), (2, 197, 1), (None, 2, None), (None, 2, None), (4, 1, 4), (4, 37, 4), (4, 36, 4)], key=repr)
+
+
+def test_ngram_join_with_null_and_repeated_ids_equals_brute_force(spark, texts):
+    rng = random.Random(9)
+    ids = [rng.choice([None, rng.randrange(40), 1000 + i]) for i in range(len(texts))]
+    sets = [shingles(t, 4) for t in texts]
+    name = list(range(len(texts)))
+
+    def find(a):
+        while name[a] != a:
+            a = name[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                name[find(i)] = find(j)
+    smallest = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            smallest[find(i)] = min(d, smallest.get(find(i), d))
+    want = sorted(((d, len(s), smallest.get(find(i)) if s else d) for i, (d, s) in enumerate(zip(ids, sets))), key=repr)
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in ngram_join.join_sets(df).collect()), key=repr) == want
+
+
+def test_suffix_dedup_of_one_id_with_many_texts(spark):
+    rng = random.Random(8)
+    passage = made_up(rng, 60)
+    rows = [(7, made_up(rng, 5) + " " + (passage if i % 2 else made_up(rng, 60)) + " " + made_up(rng, 20), i) for i in range(60)] + [(None, passage, 99)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, nth int").repartition(3)
+    found = suffix_dedup.spans(df).collect()
+    assert len({r["body"] for r in found}) == 30 and sum(r["removable"] for r in found) == 29
+    kept = {r["nth"]: r["text"] for r in suffix_dedup.cut_repeats(df).collect()}
+    assert set(kept) == {r[2] for r in rows}
+    assert sum(passage in t for i, t in kept.items() if i != 99) == 1
+    assert all(kept[r[2]] == r[1] for r in rows if r[2] % 2 == 0 or r[0] is None)
+
+
 def test_fragments_never_miss():
     """Sets that differ as much as the threshold allows share a signature, whatever n-grams are frequent."""
     rng, sizes = np.random.default_rng(1), ngram_join.Sizes.of(85)
