@@ -66,7 +66,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key, own = unused(docs, "row_key"), unused(docs, "own_id")
     rows = keyed(docs, "repeats-rows", key)
     named = rows.withColumn(own, F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.lit(1 << 62) + F.col(key)))
-    return suffix_dedup.cut_repeats(named).withColumn("doc_id", F.col(own)).select(*docs.columns)
+    return suffix_dedup.cut_repeats(named, key=key).withColumn("doc_id", F.col(own)).select(*docs.columns)
 
 
 @stage
