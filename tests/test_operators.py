@@ -191,7 +191,7 @@ def test_scores_from_files(spark, tmp_path):
 def test_health(spark):
     rows = [(i * 24 * 3, "me", 0, 0) for i in range(200)] + [(24 * 700, "me", 0, 0)]
     m = made(spark, rows).withColumn("att", (F.col("id") < 20).cast("int")).withColumn("smil", F.lit(0)).withColumn("source_kind", F.lit("x")).withColumn("source_file", F.lit(1))
-    r = health.report(m, 0, F.lit(24 * H * 900)).first()
+    r = health.report(m, 0, F.max(F.lit(24 * H * 900))).first()
     assert (r.lopsided, r.attachments_stop, r.collapses, r.ends_early, r.level) == (True, True, True, True, "serious")
     assert r.longest_gap == health.gaps(m).first().months and r.absent == r.longest_gap and r.reasons.startswith("absent_months,thin_months")
     files = spark.createDataFrame([(100,), (150,)], "record_count int")

@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.operators.ordered import gap_groups, next_where, order, rounded, substantive, upto
+from threadloom.operators.ordered import rounded, substantive
+from threadloom.operators.segments import Segmented, gap_groups, scan, segmented, with_turns
 from threadloom.sources.tables import HOUR_MS, date_of, day_of
+from threadloom.sources.work import kept
 
 
 def hostile() -> Column:
@@ -23,32 +25,47 @@ def warm() -> Column:
     return F.col("warmth") >= 2
 
 
-def episodes(messages: DataFrame, gap_ms: int = 6 * HOUR_MS, least: int = 5, repair_ms: int = 24 * HOUR_MS) -> DataFrame:
+def marked(messages: DataFrame | Segmented) -> Segmented:
+    """Substantive messages with rn (their number in the thread), warm (ms, me of the next warm message) and nxt (ms, tension of the owner's next).
+
+    Episodes and answers both come from this one pass; given to both, written once, it serves them all.
+    """
+    if isinstance(messages, Segmented):
+        return messages
+    narrow = substantive(messages).select("thread_id", "id", "ms", "me", "tension", "warmth")
+    return scan(segmented(narrow), total={"rn": F.lit(1)}, coming={"warm": (warm(), F.struct("ms", "me")), "nxt": (F.col("me"), F.struct("ms", "tension"))})
+
+
+def marked_once(messages: DataFrame) -> Segmented:
+    """`marked`, written to the shared folder, for queries that read it more than once."""
+    found = marked(messages)
+    return Segmented(kept(found.rows), found.hot)
+
+
+def episodes(messages: DataFrame | Segmented, gap_ms: int = 6 * HOUR_MS, least: int = 5, repair_ms: int = 24 * HOUR_MS) -> DataFrame:
     """A row per cluster of at least `least` hostile messages at most gap_ms apart: who began and ended it, peaks, counts by side, and the repair.
 
     msg_count counts all substantive messages from the first to the last. A repair is the first warm message after the
-    last hostile one within repair_ms.
+    last hostile one within repair_ms. messages may be `marked` ones.
     """
-    rows = substantive(messages).withColumn("rn", F.row_number().over(order())).withColumn("warm", next_where(warm(), F.struct("ms", "me")))
-    rows = gap_groups(rows.filter(hostile()), gap_ms, "episode")
+    rows = gap_groups(marked(messages).filter(hostile()), gap_ms, "episode").plain()
     me = F.col("me")
     out = rows.groupBy("thread_id", "episode").agg(
         F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.min_by("id", "rn").alias("start_id"), F.count(F.lit(1)).alias("hostile"),
         F.count_if(me).alias("hostile_me"), F.count_if(~me).alias("hostile_them"), F.count_if(severe() & me).alias("severe_me"), F.count_if(severe() & ~me).alias("severe_them"),
         F.max("tension").alias("peak"), F.min_by("me", "rn").alias("begun_by_me"), F.max_by("me", "rn").alias("ended_by_me"),
-        (F.max("rn") - F.min("rn") + 1).alias("msg_count"), F.max_by("warm", "rn").alias("warm"),
+        (F.max("rn") - F.min("rn") + 1).cast("int").alias("msg_count"), F.max_by("warm", "rn").alias("warm"),
     ).filter(F.col("hostile") >= least)
     repaired = F.coalesce(F.col("warm.ms") - F.col("end_ms") <= repair_ms, F.lit(False))
     return out.withColumn("repaired", repaired).withColumn("repair_ms", F.when(repaired, F.col("warm.ms"))).withColumn("repaired_by_me", F.when(repaired, F.col("warm.me"))).drop("warm", "episode")
 
 
-def answers(messages: DataFrame, within_ms: int = 2 * HOUR_MS) -> DataFrame:
-    """Substantive messages with `answer`: the tension of the owner's next message if within within_ms, else null."""
-    rows = substantive(messages).withColumn("nxt", next_where(F.col("me"), F.struct("ms", "tension")))
-    return rows.withColumn("answer", F.when(F.col("nxt.ms") - F.col("ms") <= within_ms, F.col("nxt.tension"))).drop("nxt")
+def answers(messages: DataFrame | Segmented, within_ms: int = 2 * HOUR_MS) -> DataFrame:
+    """Substantive messages with `answer`: the tension of the owner's next message if within within_ms, else null. messages may be `marked` ones."""
+    return marked(messages).plain().withColumn("answer", F.when(F.col("nxt.ms") - F.col("ms") <= within_ms, F.col("nxt.tension"))).drop("nxt")
 
 
-def reciprocation(messages: DataFrame, period: Column, name: str, within_ms: int = 2 * HOUR_MS) -> DataFrame:
+def reciprocation(messages: DataFrame | Segmented, period: Column, name: str, within_ms: int = 2 * HOUR_MS) -> DataFrame:
     """Per thread and period: volumes, hostile, severe and warm counts by side, and how the owner met the other side's hostility."""
     me, theirs = F.col("me"), hostile() & ~F.col("me")
     counts = [F.count_if(c & s).alias(f"{n}_{side}") for n, c in (("n", F.lit(True)), ("hostile", hostile()), ("severe", severe()), ("warm", warm())) for side, s in (("me", me), ("them", ~me))]
@@ -67,7 +84,7 @@ def quarter() -> Column:
     return F.concat(F.year(date_of()).cast("string"), F.lit("-Q"), F.quarter(date_of()).cast("string"))
 
 
-def growth(messages: DataFrame, within_ms: int = 2 * HOUR_MS) -> DataFrame:
+def growth(messages: DataFrame | Segmented, within_ms: int = 2 * HOUR_MS) -> DataFrame:
     """Per thread and quarter with messages: the owner's volume, hostile and severe shares, and rates (of all hostility met) of returning it and of withdrawing."""
     share = lambda a, b: rounded(F.coalesce(F.try_divide(a, b), F.lit(0.0)))
     rows = reciprocation(messages, quarter(), "quarter", within_ms)
@@ -83,11 +100,11 @@ def deluge_days(messages: DataFrame, least: int = 20) -> DataFrame:
 FEATURES = ("n_total", "share_them", "hostile_share_me", "hostile_share_them", "returned_rate", "begun_share_them", "repair_hours")
 
 
-def monthly_series(messages: DataFrame, found: DataFrame, within_ms: int = 2 * HOUR_MS) -> DataFrame:
+def monthly_series(messages: DataFrame | Segmented, found: DataFrame, within_ms: int = 2 * HOUR_MS) -> DataFrame:
     """Per thread and month with messages: volume, the other side's share, hostile shares, the rate of answered hostility that the owner returned
     (0 without any), the other side's share of episodes begun and the median hours to repair, and each one's z-score in the thread.
 
-    found are the thread's `episodes`. The last two are carried over months without episodes, from the mean of the known
+    found are the thread's `episodes`, best of the same `marked_once` messages. The last two are carried over months without episodes, from the mean of the known
     months at the start, and are 0 in threads without any.
     """
     answered = F.col("returned") + F.col("softened")
@@ -155,11 +172,13 @@ def eras(series: DataFrame, least: int = 4, sigma: float = 0.75, most: int = 6)
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("month")
         starts = split_points(pdf[[f"z_{c}" for c in FEATURES]].to_numpy(dtype=float), least, sigma, most)
-        era = np.searchsorted(starts, np.arange(len(pdf)), side="right") - 1
-        return pd.DataFrame({"thread_id": pdf["thread_id"], "month": pdf["month"], "era": era})
+        ends = [*starts[1:], len(pdf)]
+        month, means = pdf["month"].to_numpy(), [pdf[list(FEATURES)].iloc[a:b].mean() for a, b in zip(starts, ends)]
+        out = {"thread_id": pdf["thread_id"].iloc[0], "era": range(len(starts)), "first_month": month[starts], "last_month": month[[e - 1 for e in ends]], "months": [b - a for a, b in zip(starts, ends)]}
+        return pd.DataFrame(out | {c: [m[c] for m in means] for c in FEATURES})
 
-    numbered = series.groupBy("thread_id").applyInPandas(cut, "thread_id long, month string, era int")
-    out = series.join(numbered, ["thread_id", "month"]).groupBy("thread_id", "era").agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.count(F.lit(1)).cast("int").alias("months"), *[rounded(F.avg(c)).alias(c) for c in FEATURES])
+    shape = "thread_id long, era int, first_month string, last_month string, months int, " + ", ".join(f"{c} double" for c in FEATURES)
+    out = series.groupBy("thread_id").applyInPandas(cut, shape).withColumns({c: rounded(F.col(c)) for c in FEATURES})
     day = lambda c, later: F.unix_date(F.add_months(F.to_date(F.concat(F.col(c), F.lit("-01"))), later)).cast("long") * (24 * HOUR_MS)
     return out.withColumn("start_ms", day("first_month", 0)).withColumn("end_ms", day("last_month", 1) - 1)
 
@@ -170,7 +189,7 @@ def coverage(messages: DataFrame, gap_days: int = 90, serious_days: int = 180, b
     Confidence is 1 under gap_days or with fewer than `least` messages, 0.4 from serious_days, else 0.6.
     """
     day = 24 * HOUR_MS
-    rows = messages.select("thread_id", "id", "ms").withColumn("prev", F.lag("ms").over(order()))
+    rows = scan(segmented(messages.select("thread_id", "id", "ms")), lag={"prev": F.col("ms")}).plain()
     gap = F.col("ms") - F.col("prev")
     worst = rows.groupBy("thread_id").agg(F.count(F.lit(1)).alias("n"), F.max(gap).alias("gap_ms"), F.max_by("prev", F.when(gap.isNotNull(), F.struct(gap, -F.col("prev")))).alias("from"))
     busy = messages.select("thread_id", "ms").join(worst.select("thread_id", "from"), "thread_id").groupBy("thread_id").agg(F.count_if((F.col("ms") <= F.col("from")) & (F.col("ms") > F.col("from") - gap_days * day)).alias("busy"))
@@ -178,16 +197,9 @@ def coverage(messages: DataFrame, gap_days: int = 90, serious_days: int = 180, b
     return worst.join(busy, "thread_id").select("thread_id", "n", "gap_ms", F.when(told, F.when(F.col("gap_ms") >= serious_days * day, 0.4).otherwise(0.6)).otherwise(1.0).alias("confidence"))
 
 
-def with_turns(messages: DataFrame) -> DataFrame:
-    """messages with turn: a number for each run of one side's messages."""
-    side = F.col("me") if "me" in messages.columns else F.col("direction")
-    changed = F.coalesce(F.lag(side).over(order()) != side, F.lit(True)).cast("int")
-    return messages.withColumn("_c", changed).withColumn("turn", F.sum("_c").over(upto())).drop("_c")
-
-
 def turns(messages: DataFrame) -> DataFrame:
     """(thread_id, turn, direction, messages, start_ms, end_ms): runs of messages of one side."""
-    return with_turns(messages).groupBy("thread_id", "turn", "direction").agg(F.count(F.lit(1)).alias("messages"), F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"))
+    return with_turns(segmented(messages)).rows.groupBy("thread_id", "turn", "direction").agg(F.count(F.lit(1)).alias("messages"), F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"))
 
 
 def smoothing_half(days: Column) -> Column:
@@ -214,28 +226,36 @@ def rolling(series: DataFrame, half: int | None = None) -> DataFrame:
     return both.select("thread_id", "day", "n", "half", rounded(smooth).alias("smooth"))
 
 
-def silences(series: DataFrame, half: int = 7) -> DataFrame:
-    """(thread_id, first, last, days): runs of days without messages after and before active ones, of at least max(14, 2 * half) days."""
+def silences(series: DataFrame, half: int | None = None) -> DataFrame:
+    """(thread_id, first, last, days): runs of days without messages after and before active ones, of at least max(14, 2 * half) days; half is `rolling`'s."""
     w = Window.partitionBy("thread_id").orderBy("day")
-    gaps = series.select("thread_id", "day").withColumn("prev", F.lag("day").over(w))
-    return gaps.select("thread_id", (F.col("prev") + 1).alias("first"), (F.col("day") - 1).alias("last"), (F.col("day") - F.col("prev") - 1).alias("days")).filter(F.col("days") >= max(14, 2 * half))
+    ends = series.groupBy("thread_id").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    width = F.lit(half) if half is not None else smoothing_half(F.col("b") - F.col("a") + 1)
+    gaps = series.select("thread_id", "day").withColumn("prev", F.lag("day").over(w)).filter(F.col("day") - F.col("prev") > 14)
+    runs = gaps.select("thread_id", (F.col("prev") + 1).alias("first"), (F.col("day") - 1).alias("last"), (F.col("day") - F.col("prev") - 1).alias("days"))
+    return runs.join(ends.select("thread_id", F.greatest(F.lit(14), 2 * width).alias("least")), "thread_id").filter(F.col("days") >= F.col("least")).drop("least")
 
 
 def scaled(series: DataFrame, value: str, share: float = 0.95) -> DataFrame:
-    """series with `scaled`: value over the thread's nearest-rank percentile (rank round((n - 1) * share) of the sorted values), 1 at most."""
+    """series with `scaled`: value over the thread's nearest-rank percentile (rank round((n - 1) * share) of the sorted values), 1 at most.
+
+    A river's thickness is that of `rolling`'s smooth values, all days from first to last.
+    """
     w = Window.partitionBy("thread_id").orderBy(value, "day")
     n = F.count(F.lit(1)).over(Window.partitionBy("thread_id"))
     ranked = series.withColumn("_nth", F.row_number().over(w) - 1).withColumn("_n", n)
-    level = ranked.filter(F.col("_nth") == F.floor((F.col("_n") - 1) * share + 0.5)).select("thread_id", F.col(value).alias("_level"))
-    return series.join(level, "thread_id").withColumn("scaled", rounded(F.coalesce(F.least(F.lit(1.0), F.try_divide(value, "_level")), F.lit(0.0)))).drop("_level")
+    level = ranked.filter(F.col("_nth") == F.floor((F.col("_n") - 1) * share + 0.5)).select("thread_id", F.greatest(F.col(value), F.lit(1e-6)).alias("_level"))
+    return series.join(level, "thread_id").withColumn("scaled", rounded(F.least(F.lit(1.0), F.col(value) / F.col("_level")))).drop("_level")
 
 
-def steadiness(series: DataFrame, value: str = "warmth", least: int = 5, calm: float = 0.18, restless: float = 0.34) -> DataFrame:
-    """(thread_id, change, phrase): mean absolute change from one day with messages to the next; null under `least` days."""
+def steadiness(series: DataFrame, value: str = "sentiment", least: int = 5, calm: float = 0.18, restless: float = 0.34) -> DataFrame:
+    """(thread_id, change, phrase): mean absolute change of a daily value from one day that has it to the next; null under `least` such days."""
     w = Window.partitionBy("thread_id").orderBy("day")
-    r = series.withColumn("d", F.abs(F.col(value) - F.lag(value).over(w))).groupBy("thread_id").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("c"))
+    known = series.filter(F.col(value).isNotNull()).withColumn("d", F.abs(F.col(value) - F.lag(value).over(w)))
+    r = series.select("thread_id").distinct().join(known.groupBy("thread_id").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("c")), "thread_id", "left")
     change = F.when(F.col("n") >= least, F.col("c"))
-    return r.select("thread_id", rounded(change).alias("change"), F.when(change < calm, "steady").when(change < restless, "uneven").when(change.isNotNull(), "volatile").alias("phrase"))
+    # The phrases.
+    return r.select("thread_id", rounded(change).alias("change"), F.when(change < calm, "steady").when(change < restless, "gentle swings").when(change.isNotNull(), "changeable").otherwise("too little to say").alias("phrase"))
 
 
 def calendar(series: DataFrame) -> DataFrame:

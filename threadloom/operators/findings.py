@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.clock import HOUR_MS
 from threadloom.operators.conflict import hostile, quarter, warm
-from threadloom.operators.ordered import next_where, rounded, substantive, top
+from threadloom.operators.ordered import rounded, substantive, top
 from threadloom.operators.ranges import range_join
+from threadloom.operators.segments import scan, segmented
 from threadloom.sources.tables import date_of
 
 
@@ -66,7 +67,7 @@ def first_repairs(messages: DataFrame, episodes: DataFrame, apology: str, within
 def met_with_fire(messages: DataFrame, apology: str, within_ms: int = 2 * HOUR_MS) -> DataFrame:
     """(thread_id, total_me, rejected_me, rate_me, total_them, ...): apologies whose first answer by the other side, within within_ms, is hostile."""
     me, value = F.col("me"), F.struct("ms", hostile().alias("hot"))
-    rows = substantive(messages).withColumn("mine", next_where(me, value)).withColumn("theirs", next_where(~me, value)).filter(says(apology))
+    rows = scan(segmented(substantive(messages).select("thread_id", "id", "ms", "me", "body", "tension")), coming={"mine": (me, value), "theirs": (~me, value)}).plain().filter(says(apology))
     answer = F.when(me, F.col("theirs")).otherwise(F.col("mine"))
     rows = rows.withColumn("rejected", F.coalesce((answer["ms"] - F.col("ms") <= within_ms) & answer["hot"], F.lit(False)))
     rate = lambda side: rounded(F.coalesce(F.try_divide(F.count_if(F.col("rejected") & side), F.count_if(side)), F.lit(0.0)), 3)

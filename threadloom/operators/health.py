@@ -62,9 +62,10 @@ def source_spans(messages: DataFrame) -> DataFrame:
 def report(messages: DataFrame, zone: Zone = 0, imported_ms: Column | None = None) -> DataFrame:
     """One row per thread: span, active share, volumes, medians, attachments, suspicions and the caution level with its reasons.
 
-    imported_ms is when the thread's files were read, for the suspicion that an archive ends long before.
+    imported_ms, an aggregate over a thread's messages, is when its files were read, for the suspicion that an archive
+    ends long before.
     """
-    imported = F.lit(None).cast("long") if imported_ms is None else imported_ms
+    imported = F.max(F.lit(None).cast("long")) if imported_ms is None else imported_ms
     rows = spoken(messages)
     ends = Window.partitionBy("thread_id")
     rows = rows.withColumn("end", F.max("ms").over(ends))
@@ -72,7 +73,7 @@ def report(messages: DataFrame, zone: Zone = 0, imported_ms: Column | None = Non
     total = rows.groupBy("thread_id").agg(
         F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count(F.lit(1)).alias("total"), F.count_if(_mine()).alias("me"), F.countDistinct(day).alias("active_days"),
         F.count_if(F.col("att") > 0).alias("with_attachments"), F.count_if((F.col("att") > 0) & (F.col("att") == F.col("smil"))).alias("layout_only"), F.max(F.when(F.col("att") > 0, F.col("ms"))).alias("last_attachment_ms"),
-        F.count_if(F.col("ms") >= F.col("end") - 90 * DAY_MS).alias("tail"),
+        F.count_if(F.col("ms") >= F.col("end") - 90 * DAY_MS).alias("tail"), imported.alias("imported"),
     )
     reactions = messages.groupBy("thread_id").agg(F.count_if("is_reaction").alias("reactions"))
     per_day = rows.groupBy("thread_id", day.alias("d")).agg(F.count(F.lit(1)).alias("n")).groupBy("thread_id").agg(_median("n").alias("median_day"))
@@ -84,7 +85,7 @@ def report(messages: DataFrame, zone: Zone = 0, imported_ms: Column | None = Non
     suspicions = {
         "attachments_stop": F.coalesce(F.col("last_ms") - F.col("last_attachment_ms") > 120 * DAY_MS, F.lit(False)),
         "collapses": (F.col("days") > 365) & (F.col("tail") < F.col("total") / F.col("days") * 18),
-        "ends_early": F.coalesce(imported - F.col("last_ms") > 180 * DAY_MS, F.lit(False)),
+        "ends_early": F.coalesce(F.col("imported") - F.col("last_ms") > 180 * DAY_MS, F.lit(False)),
         "lopsided": (F.col("total") >= 50) & (F.least("me", "them") < F.greatest("me", "them") * 0.1),
     }
     r = r.withColumns(suspicions).withColumn("active_share", rounded(F.col("active_days") / F.greatest(F.lit(1), half_up((F.col("last_ms") - F.col("first_ms")) / DAY_MS) + 1)))

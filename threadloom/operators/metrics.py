@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions.clock import Zone, local_day, local_hour, local_weekday
-from threadloom.operators.ordered import gap_groups, order, rounded, runs_of_days, spoken, substantive, top
+from threadloom.functions.clock import Zone, half_up, local_day, local_hour, local_weekday
+from threadloom.operators.ordered import rounded, runs_of_days, spoken, substantive, top
+from threadloom.operators.segments import gap_groups, scan, segmented
 from threadloom.sources.tables import HOUR_MS, day_of
 
 # Words that speak of oneself, of the other, and of both.
 I_WORDS = ("i", "i'm", "i've", "i'll", "i'd", "im", "ive", "me", "my", "mine", "myself")
 YOU_WORDS = ("you", "you're", "you've", "you'll", "you'd", "your", "yours", "yourself", "yourselves", "u", "ya")
 WE_WORDS = ("we", "we're", "we've", "we'll", "we'd", "us", "our", "ours", "ourselves")
+#: Words of a lexicon that may be broadcast.
+LEXICON_ROWS = 500_000
 
 
 def sent() -> Column:
@@ -27,14 +30,13 @@ def received() -> Column:
 
 def reply_latencies(messages: DataFrame) -> DataFrame:
     """(thread_id, direction, minutes): at each change of side among sent and received messages, time since the one before."""
-    two = spoken(messages).filter(sent() | received())
-    two = two.withColumn("was", F.lag("direction").over(order())).withColumn("minutes", (F.col("ms") - F.lag("ms").over(order())) / 60_000.0)
-    return two.filter("was <> direction").select("thread_id", "direction", "minutes")
+    two = scan(segmented(spoken(messages).filter(sent() | received()).select("thread_id", "id", "ms", "direction")), lag={"was": F.col("direction"), "_then": F.col("ms")}).plain()
+    return two.withColumn("minutes", (F.col("ms") - F.col("_then")) / 60_000.0).filter("was <> direction").select("thread_id", "direction", "minutes")
 
 
 def summary(messages: DataFrame, session_gap_ms: int = HOUR_MS, zone: Zone = 0) -> DataFrame:
     """One row per thread: totals, sides, span, late-night share (before 5 by the zone's clock), sessions and who opens them, median and p90 replies in minutes."""
-    rows = gap_groups(spoken(messages), session_gap_ms, "session")
+    rows = gap_groups(segmented(spoken(messages).select("thread_id", "id", "ms", "direction")), session_gap_ms, "session").plain()
     hour = local_hour(zone)
     counts = rows.groupBy("thread_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(sent()).alias("sent"), F.count_if(received()).alias("received"),
@@ -69,19 +71,23 @@ def heatmap(messages: DataFrame, zone: Zone = 0) -> DataFrame:
 def sentiment(messages: DataFrame, lexicon: DataFrame, zone: Zone = 0, alpha: float = 15.0) -> DataFrame:
     """(thread_id, day, sentiment, warmth, tension, scored, english_share): daily means of scores by a lexicon (word, valence).
 
-    A message's score is its words' valence sum over the root of its square plus alpha, so that it lies within -1 and 1;
-    only eligible messages (language en or unknown) that hold a word of the lexicon have one. warmth is the mean of its
-    positive part, tension of its negative part. The lexicon joins by word; it is broadcast only if Spark finds it small.
+    A message's score is its words' valence sum over the root of its square plus alpha, so that it lies within -1 and 1.
+    Every eligible message (language en or unknown) with more than white space has one, 0 if it holds no word of the
+    lexicon. warmth is the mean of its positive part, tension of its negative part; on days without scored messages both
+    are 0 and sentiment is null. The lexicon is broadcast only if it is counted to be small.
     """
-    rows = spoken(messages).withColumn("day", local_day(zone)).withColumn("eligible", english())
-    words = rows.filter("eligible").select("thread_id", "day", "id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("body", F.lit(""))), F.lit(r"[a-z][a-z']*"), 0)).alias("word"))
-    total = words.join(lexicon, "word").groupBy("thread_id", "day", "id").agg(F.sum("valence").alias("s"))
+    few = lexicon.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS
+    rows = spoken(messages).select("thread_id", "id", "body", local_day(zone).alias("day"), english().alias("eligible"))
+    said = F.col("eligible") & F.coalesce(F.col("body"), F.lit("")).rlike(r"(?U)\S")
+    words = rows.filter(said).select("thread_id", "day", "id", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(r"[a-z][a-z']*"), 0)).alias("word"))
+    total = words.join(F.broadcast(lexicon) if few else lexicon, "word").groupBy("thread_id", "day", "id").agg(F.sum("valence").alias("s"))
     score = F.col("s") / F.sqrt(F.col("s") * F.col("s") + alpha)
-    means = total.withColumn("c", score).groupBy("thread_id", "day").agg(
-        rounded(F.avg("c")).alias("sentiment"), rounded(F.avg(F.greatest(F.lit(0.0), "c"))).alias("warmth"), rounded(F.avg(F.greatest(F.lit(0.0), -F.col("c")))).alias("tension"), F.count(F.lit(1)).alias("scored")
-    )
-    days = rows.groupBy("thread_id", "day").agg(rounded(F.avg(F.col("eligible").cast("int"))).alias("english_share"))
-    return days.join(means, ["thread_id", "day"], "left").na.fill(0, ["scored"])
+    # Messages without such a word add nothing to the sums, and count.
+    sums = total.withColumn("c", score).groupBy("thread_id", "day").agg(F.sum("c").alias("c"), F.sum(F.greatest(F.lit(0.0), "c")).alias("up"), F.sum(F.greatest(F.lit(0.0), -F.col("c"))).alias("down"))
+    days = rows.groupBy("thread_id", "day").agg(F.count_if(said).alias("scored"), rounded(F.avg(F.col("eligible").cast("int"))).alias("english_share"))
+    mean = lambda c: rounded(F.try_divide(F.coalesce(F.col(c), F.lit(0.0)), F.col("scored")))
+    both = days.join(sums, ["thread_id", "day"], "left")
+    return both.select("thread_id", "day", mean("c").alias("sentiment"), F.coalesce(mean("up"), F.lit(0.0)).alias("warmth"), F.coalesce(mean("down"), F.lit(0.0)).alias("tension"), "scored", "english_share")
 
 
 def english() -> Column:
@@ -126,15 +132,14 @@ def top_words(messages: DataFrame, n: int = 30, stop: tuple[str, ...] = ()) -> D
     return top(counted, ["thread_id", "me"], [F.desc("n"), F.asc("seen")], n).drop("seen")
 
 
-def replies_by_side(messages: DataFrame, most_ms: int = 6 * HOUR_MS) -> DataFrame:
-    """(thread_id, ...): median minutes of replies within most_ms, first and last of each day, and double texts, by side."""
-    rows = substantive(messages)
-    by_day = Window.partitionBy("thread_id", "day").orderBy("ms", "id")
-    rows = rows.withColumn("was", F.lag("me").over(order())).withColumn("gap", F.col("ms") - F.lag("ms").over(order())).withColumn("day", day_of())
-    rows = rows.withColumn("first", F.lag("id").over(by_day).isNull()).withColumn("last", F.lead("id").over(by_day).isNull())
+def replies_by_side(messages: DataFrame, most_ms: int = 6 * HOUR_MS, zone: Zone = 0) -> DataFrame:
+    """(thread_id, ...): median minutes of replies within most_ms to one place, first and last of each day by the zone's clock, and double texts, by side."""
+    narrow = substantive(messages).select("thread_id", "id", "ms", "me").withColumn("day", local_day(zone))
+    s = scan(segmented(narrow), lag={"was": F.col("me"), "_then": F.col("ms"), "_day": F.col("day")}, coming={"_next_day": (F.lit(True), F.col("day"))})
+    rows = s.plain().withColumn("gap", F.col("ms") - F.col("_then")).withColumn("first", ~F.col("day").eqNullSafe(F.col("_day"))).withColumn("last", ~F.col("day").eqNullSafe(F.col("_next_day")))
     answered = (F.col("was") != F.col("me")) & (F.col("gap") > 0) & (F.col("gap") <= most_ms)
     me = F.col("me")
-    half = lambda side: F.coalesce(rounded(F.percentile(F.when(answered & side, F.col("gap") / 60_000.0), 0.5)), F.lit(0.0))
+    half = lambda side: F.coalesce(half_up(F.percentile(F.when(answered & side, F.col("gap") / 60_000.0), 0.5), 1), F.lit(0.0))
     double = lambda side: rounded(F.count_if((F.col("was") == F.col("me")) & side) / F.greatest(F.count_if(side), F.lit(1)), 3)
     return rows.groupBy("thread_id").agg(
         half(me).alias("median_me"), half(~me).alias("median_them"), F.count_if(F.col("first") & me).alias("first_me"), F.count_if(F.col("first") & ~me).alias("first_them"),

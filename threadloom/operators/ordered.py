@@ -1,31 +1,14 @@
 """Building blocks over time-ordered messages of all threads at once.
 
-All of them use one order, (ms, id) within thread_id, so that a query that combines several has one shuffle and sort.
+All of them use one order, (ms, id) within thread_id; scans along it are in `segments`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def order() -> WindowSpec:
-    return Window.partitionBy("thread_id").orderBy("ms", "id")
-
-
-def before() -> WindowSpec:
-    return order().rowsBetween(Window.unboundedPreceding, -1)
-
-
-def upto() -> WindowSpec:
-    return order().rowsBetween(Window.unboundedPreceding, 0)
-
-
-def coming() -> WindowSpec:
-    """The messages after each one, nearest last: their running last value is the next one, while a shrinking frame would be summed anew for each row."""
-    return Window.partitionBy("thread_id").orderBy(F.desc("ms"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
-
-
 def spoken(messages: DataFrame) -> DataFrame:
     """Messages that aren't reactions."""
     return messages.filter(~F.col("is_reaction"))
@@ -36,21 +19,6 @@ def substantive(messages: DataFrame) -> DataFrame:
     return spoken(messages).filter(F.trim(F.coalesce("body", F.lit(""))) != "").withColumn("me", F.col("direction").isin("outgoing", "draft"))
 
 
-def next_where(condition: Column, value: Column) -> Column:
-    """value of the next message after this one that meets condition."""
-    return F.last(F.when(condition, value), ignorenulls=True).over(coming())
-
-
-def last_where(condition: Column, value: Column) -> Column:
-    return F.last(F.when(condition, value), ignorenulls=True).over(before())
-
-
-def gap_groups(messages: DataFrame, gap_ms: int, name: str = "grp") -> DataFrame:
-    """Number groups of messages: one begins where more than gap_ms lie from a message back to the one before."""
-    begins = F.coalesce(F.col("ms") - F.lag("ms").over(order()) > gap_ms, F.lit(True))
-    return messages.withColumn("begins", begins).withColumn(name, F.sum(F.col("begins").cast("int")).over(upto()))
-
-
 def runs_of_days(days: DataFrame) -> DataFrame:
     """(thread_id, first, last, length, silence): runs of successive days; silence is the days without any before the run."""
     w = Window.partitionBy("thread_id").orderBy("day")

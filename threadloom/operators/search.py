@@ -8,8 +8,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.operators.ordered import order, rounded, substantive, top
+from threadloom.operators.ordered import rounded, substantive, top
 from threadloom.operators.ranges import range_join
+from threadloom.operators.segments import scan, segmented
 
 
 def phrase_hits(rows: DataFrame, phrase: str, key: str, text: str) -> DataFrame:
@@ -91,7 +92,7 @@ def signatures(members: DataFrame, thread: str, member: str) -> DataFrame:
 def export_digests(messages: DataFrame, piece: int = 10_000) -> DataFrame:
     """(thread_id, piece, lines, digest): SHA-256 of a thread's lines in order, by pieces of so many lines, so that no task holds a whole thread's text."""
     line = F.concat_ws("|", F.col("ms").cast("string"), "direction", F.coalesce("body", F.lit("")))
-    numbered = messages.withColumn("piece", F.floor((F.row_number().over(order()) - 1) / piece))
+    numbered = scan(segmented(messages), total={"nth": F.lit(1)}).plain().withColumn("piece", F.floor((F.col("nth") - 1) / piece))
     parts = F.array_sort(F.collect_list(F.struct("ms", "id", line.alias("line"))))
     return numbered.groupBy("thread_id", "piece").agg(F.count(F.lit(1)).alias("lines"), F.sha2(F.array_join(F.transform(parts, lambda p: p["line"]), "\n"), 256).alias("digest"))
 

@@ -6,16 +6,18 @@ before as context. A window is known by the hash of its transcript, so that wind
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.operators.conflict import with_turns
 from threadloom.operators.ordered import substantive
+from threadloom.operators.segments import scan, segmented, with_turns
+from threadloom.sources.work import kept
 
 MESSAGES, TOKENS, OVERLAP_TURNS, PREFIX = 55, 7000, 3, 12
+#: Turns of a thread that one task tiles.
+CHUNK = 1 << 14
 SCORES = "array<struct<message_id: string, valence: double, warmth: double, tension: double>>"
 
 
@@ -24,41 +26,76 @@ def tokens(body: Column) -> Column:
     return F.ceil((F.length(body) + 24) / 4)
 
 
-def tile(messages: DataFrame, most: int = MESSAGES, budget: int = TOKENS, overlap: int = OVERLAP_TURNS, prefix: int = PREFIX) -> DataFrame:
+def _ends(n: np.ndarray, cost: np.ndarray, most: int, budget: int) -> np.ndarray:
+    """For each turn as a window's first: the place of the next window's first turn; len + 1 where the window is still open at the end."""
+    count, size = (np.concatenate([[0], np.cumsum(x)]) for x in (n, cost))
+    return np.minimum(np.searchsorted(count, count[:-1] + most), np.searchsorted(size, size[:-1] + budget))
+
+
+def window_turns(turns: DataFrame, most: int, budget: int, chunk: int = CHUNK) -> DataFrame:
+    """(thread_id, turn, window) of turns (thread_id, turn from 1 without gaps, n, cost).
+
+    Turns are cut into chunks of `chunk`. A window that is open where a chunk begins has begun within the `most` turns
+    before, so a chunk tells for each of these beginnings which one is open at its end, and how many windows ended. Only
+    these small tables are followed along a thread; then each chunk, told how it begins, numbers its turns' windows.
+    """
+    chunk = max(chunk, most)
+    place = turns.withColumn("chunk", F.floor((F.col("turn") - 1) / chunk)).withColumn("tail", F.lit(False))
+    last = place.filter(F.pmod(F.col("turn") - 1, F.lit(chunk)) >= chunk - most).withColumn("chunk", F.col("chunk") + 1).withColumn("tail", F.lit(True))
+    chunks = kept(place.unionByName(last))
+
+    def pass_through(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("turn")
+        tail, m = int(pdf["tail"].sum()), len(pdf)
+        if tail == m:  # the thread ends before this chunk
+            return pd.DataFrame({"thread_id": [], "chunk": [], "open": [], "ended": []}, dtype=object)
+        ends = _ends(pdf["n"].to_numpy(), pdf["cost"].to_numpy(), most, budget)
+        out, closed = np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64)
+        for i in range(m - 1, -1, -1):
+            if ends[i] > m:
+                out[i] = m - i
+            else:
+                out[i], closed[i] = out[ends[i]], closed[ends[i]] + 1
+        entries = tail - np.arange(min(tail, most - 1) + 1)
+        return pd.DataFrame({"thread_id": pdf["thread_id"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "open": [out[entries].tolist()], "ended": [closed[entries].tolist()]})
+
+    def along(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, entry, window, got = pdf.sort_values("chunk"), 0, 0, []
+        for began, ended in zip(pdf["open"], pdf["ended"]):
+            got.append((entry, window))
+            window, entry = window + int(ended[entry]), int(began[entry])
+        return pd.DataFrame({"thread_id": pdf["thread_id"], "chunk": pdf["chunk"], "entry": [g[0] for g in got], "first_window": [g[1] for g in got]})
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("turn")
+        tail, m = int(pdf["tail"].sum()), len(pdf)
+        ends = _ends(pdf["n"].to_numpy(), pdf["cost"].to_numpy(), most, budget)
+        window, at, nth = np.zeros(m, dtype=np.int64), tail - int(pdf["entry"].iloc[0]), int(pdf["first_window"].iloc[0])
+        while at < m:
+            window[at : ends[at]] = nth
+            at, nth = int(ends[at]), nth + 1
+        return pd.DataFrame({"thread_id": pdf["thread_id"].iloc[tail:], "turn": pdf["turn"].iloc[tail:], "window": window[tail:]})
+
+    told = chunks.groupBy("thread_id", "chunk").applyInPandas(pass_through, "thread_id long, chunk long, open array<long>, ended array<long>")
+    begun = told.groupBy("thread_id").applyInPandas(along, "thread_id long, chunk long, entry long, first_window long")
+    return chunks.join(begun, ["thread_id", "chunk"]).groupBy("thread_id", "chunk").applyInPandas(number, "thread_id long, turn long, window long")
+
+
+def tile(messages: DataFrame, most: int = MESSAGES, budget: int = TOKENS, overlap: int = OVERLAP_TURNS, prefix: int = PREFIX, chunk: int = CHUNK) -> DataFrame:
     """(thread_id, window, id, ms, prefix): substantive messages by window; a window ends with the turn that reaches `most` messages or `budget` tokens.
 
-    prefix rows are the last messages (at most `prefix`, of the last `overlap` turns) of the window before. Tasks read
-    their threads in order and hold one window at a time, so a thread may be of any length.
+    prefix rows are the last messages (at most `prefix`, of the last `overlap` turns) of the window before. No task sees
+    a whole thread: turns are numbered by segmented scans, and windows by `window_turns`.
     """
-    rows = with_turns(substantive(messages)).select("thread_id", "ms", "id", "turn", tokens(F.col("body")).alias("tokens"))
-    parts = rows.repartition("thread_id").sortWithinPartitions("thread_id", "ms", "id")
-
-    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        thread = turn = None
-        window = count = size = 0
-        own: list[tuple[int, int, int]] = []  # (turn, id, ms) of the open window
-        out: list[tuple] = []
-
-        def carried() -> list[tuple]:
-            turns = sorted({t for t, _, _ in own})[-overlap:] if overlap else []
-            last = [(i, m) for t, i, m in own if t in turns][-prefix:]
-            return [(thread, window + 1, i, m, True) for i, m in last]
-
-        for b in batches:
-            for t, ms, key, n, cost in zip(*(b.column(c).to_pylist() for c in range(5))):
-                if t != thread:
-                    thread, turn, window, count, size, own = t, None, 0, 0, 0, []
-                if n != turn and (count >= most or size >= budget):
-                    out += carried()
-                    window, count, size, own = window + 1, 0, 0, []
-                turn, count, size = n, count + 1, size + cost
-                own.append((n, key, ms))
-                out.append((t, window, key, ms, False))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names) if out else pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names=names)
-            out = []
-
-    names, kinds = ["thread_id", "window", "id", "ms", "prefix"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-    return parts.mapInArrow(tiled, "thread_id long, window long, id long, ms long, prefix boolean")
+    numbered = scan(with_turns(segmented(substantive(messages))), total={"rn": F.lit(1)}).plain()
+    rows = kept(numbered.select("thread_id", "ms", "id", "turn", "rn", tokens(F.col("body")).alias("cost")))
+    turns = rows.groupBy("thread_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
+    placed = rows.join(window_turns(turns, most, budget, chunk), ["thread_id", "turn"])
+    ends = placed.groupBy("thread_id", "window").agg(F.max("turn").alias("last_turn"), F.max("rn").alias("last_rn"))
+    followed = ends.join(ends.select("thread_id", (F.col("window") - 1).alias("window")), ["thread_id", "window"], "left_semi")
+    context = placed.join(followed, ["thread_id", "window"]).filter((F.col("last_turn") - F.col("turn") < overlap) & (F.col("last_rn") - F.col("rn") < prefix))
+    out = lambda df, shift, own: df.select("thread_id", (F.col("window") + shift).alias("window"), "id", "ms", F.lit(own).alias("prefix"))
+    return out(placed, 0, False).unionByName(out(context, 1, True))
 
 
 def transcript_line() -> Column:

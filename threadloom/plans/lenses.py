@@ -10,7 +10,7 @@ from threadloom.operators import ambient, conflict, findings, gate, health, iden
 from threadloom.operators.ordered import rounded, runs_of_days
 from threadloom.plans.registry import DAY, MONTH, SPOKEN, SUBSTANTIVE, answers_sql, episodes_sql, query
 from threadloom.sources import exports
-from threadloom.sources.tables import conversation_messages, epoch_ms, events_messages, events_results, orders_attachments, orders_messages, scratch, table
+from threadloom.sources.tables import conversation_messages, epoch_ms, events_messages, events_results, orders_attachments, orders_messages, scratch, table, uneven_messages
 
 # ---- scores ----
 
@@ -73,21 +73,25 @@ def hour_heatmap_local(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.heatmap(events_messages(spark, folder), "America/New_York")
 
 
-@query(f"{SPOKEN} select thread_id, round(avg(case when lang is null or lang = 'en' then 1.0 else 0 end), 6) as share, avg(case when lang is null or lang = 'en' then 1.0 else 0 end) > 0.5 as available from spoken group by 1", "orders")
+@query(f"{SPOKEN} select thread_id, round(avg(case when lang is null or lang = 'en' then 1.0 else 0 end), 6) as share, avg(case when lang is null or lang = 'en' then 1.0 else 0 end) > 0.5 as available from spoken group by 1", "uneven")
 def english_gate(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.english_gate(orders_messages(spark, folder))
+    return metrics.english_gate(uneven_messages(spark, folder))
 
 
-LEXICON = [("urgent", -2.5), ("high", -1.0), ("medium", 0.5), ("low", 1.5), ("not", 1.0), ("specified", 0.5)]
-
-
-@query(f"""{SPOKEN}, lx(word, v) as (values {', '.join(f"('{w}', {v}::double)" for w, v in LEXICON)}),
+LEXICON = [("urgent", -2.5), ("high", -1.0), ("low", 1.5), ("not", 1.0), ("specified", 0.5)]
+#: dy, the daily means: messages in English or of unknown language with a body are scored, 0 where no word is known.
+SENTIMENT = f"""{SPOKEN}, lx(word, v) as (values {', '.join(f"('{w}', {v}::double)" for w, v in LEXICON)}),
 t as (select *, coalesce(lang = 'en', true) as ok, ms // 86400000 as day from spoken),
 w as (select thread_id, day, id, unnest(regexp_extract_all(lower(body), '[a-z][a-z'']*')) as word from t where ok),
-s as (select thread_id, day, id, sum(v) as s from w join lx using (word) group by 1, 2, 3), c as (select *, s / sqrt(s * s + 15) as c from s),
+k as (select thread_id, day, id, sum(v) as s from w join lx using (word) group by 1, 2, 3),
+b as (select t.thread_id, t.day, t.id, s from t left join k on k.thread_id = t.thread_id and k.day = t.day and k.id = t.id where ok and regexp_matches(coalesce(body, ''), '\\S')),
+c as (select *, coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15) as c from b),
 m as (select thread_id, day, round(avg(c), 6) as sentiment, round(avg(greatest(0, c)), 6) as warmth, round(avg(greatest(0, -c)), 6) as tension, count(*) as scored from c group by 1, 2),
-d as (select thread_id, day, round(avg(case when ok then 1.0 else 0 end), 6) as english_share from t group by 1, 2)
-select thread_id, day, english_share, sentiment, warmth, tension, coalesce(scored, 0) as scored from d left join m using (thread_id, day)""", "orders")
+dy as (select thread_id, day, english_share, sentiment, coalesce(warmth, 0) as warmth, coalesce(tension, 0) as tension, coalesce(scored, 0) as scored
+  from (select thread_id, day, round(avg(case when ok then 1.0 else 0 end), 6) as english_share from t group by 1, 2) left join m using (thread_id, day))"""
+
+
+@query(SENTIMENT + " select * from dy", "orders")
 def lexicon_sentiment(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.sentiment(orders_messages(spark, folder), spark.createDataFrame(LEXICON, "word string, valence double"))
 
@@ -130,9 +134,9 @@ def ambient_months(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(SUBSTANTIVE + """ select thread_id, me, count(*) as n, floor(avg(len(regexp_extract_all(lower(body), '[a-z'']{3,}'))) * 10 + 0.5) / 10 as words, floor(avg(case when contains(body, '?') then 100.0 else 0 end) * 10 + 0.5) / 10 as questions,
-  count(*) filter (regexp_matches(body, '(?i)\\b(?:sorry|please)\\b')) as polite, count(*) filter (regexp_matches(body, '(?i)\\bhow\\s+(?:do|can|to)\\b')) as asks_how from sub group by 1, 2""", "conversations")
+  count(*) filter (regexp_matches(body, '(?i)\\b(?:the|and)\\b')) as linking, count(*) filter (regexp_matches(body, '(?i)\\bof\\s+(?:the|to|and)\\b')) as of_it from sub group by 1, 2""", "conversations")
 def ambient_language(spark: SparkSession, folder: str) -> DataFrame:
-    return ambient.language(conversation_messages(spark, folder), {"polite": r"\b(?:sorry|please)\b", "asks_how": r"\bhow\s+(?:do|can|to)\b"})
+    return ambient.language(conversation_messages(spark, folder), {"linking": r"\b(?:the|and)\b", "of_it": r"\bof\s+(?:the|to|and)\b"})
 
 
 @query(SUBSTANTIVE + """, w as (select *, len(regexp_extract_all(body, '\\S+')) as words from sub), r as (select *, row_number() over (partition by thread_id order by words desc, ms, id) as place from w)
@@ -153,28 +157,30 @@ def top_emoji(spark: SparkSession, folder: str) -> DataFrame:
 # ---- archive health ----
 
 _HEALTH = f"""{SPOKEN}, att as (select l_orderkey as id, count(*) as att, count(*) filter (l_quantity = 1) as smil from lineitem where l_quantity <= 4 group by 1),
-hm as (select s.*, coalesce(att, 0) as att, coalesce(smil, 0) as smil, direction in ('outgoing', 'draft') as me, date '1970-01-01' + ((ms + 7200000) // 86400000)::int as d from spoken s left join att using (id)),
+hm as (select s.*, case when s.thread_id % 5 = 1 and imported_ms > 850000000000 then 0 else coalesce(att, 0) end as att, case when s.thread_id % 5 = 1 and imported_ms > 850000000000 then 0 else coalesce(smil, 0) end as smil, direction in ('outgoing', 'draft') as me, date '1970-01-01' + ((ms + 7200000) // 86400000)::int as d from spoken s left join att using (id)),
 r as (select thread_id, date_trunc('month', d)::date as m, count(*) as total, count(*) filter (me) as me, count(*) filter (att > 0) as wa, count(distinct d) as active_days, min(ms) as f, max(ms) as l from hm group by 1, 2),
 md as (select thread_id, floor(median(total) + 0.5) as median_month, unnest(generate_series(min(m)::timestamp, max(m)::timestamp, interval 1 month))::date as m from r group by 1),
 mo as (select thread_id, m, median_month, coalesce(total, 0) as total, coalesce(me, 0) as me, coalesce(wa, 0) as wa, coalesce(active_days, 0) as active_days, coalesce(total, 0) > 0 and total < greatest(1, floor(median_month * 0.15 + 0.5)) as below from md left join r using (thread_id, m))"""
 
 
 def _health_messages(spark: SparkSession, folder: str) -> DataFrame:
-    return health.attachment_counts(orders_messages(spark, folder), orders_attachments(spark, folder))
+    counted = health.attachment_counts(uneven_messages(spark, folder), orders_attachments(spark, folder))
+    lost = (F.col("thread_id") % 5 == 1) & (F.col("imported_ms") > 850_000_000_000)
+    return counted.withColumns({c: F.when(lost, 0).otherwise(F.col(c)) for c in ("att", "smil")})
 
 
-@query(_HEALTH + " select thread_id, strftime(m, '%Y-%m') as month, total, me, total - me as them, wa as with_attachments, active_days, day(last_day(m))::int as days_in_month, below from mo", "orders")
+@query(_HEALTH + " select thread_id, strftime(m, '%Y-%m') as month, total, me, total - me as them, wa as with_attachments, active_days, day(last_day(m))::int as days_in_month, below from mo", "uneven")
 def archive_months(spark: SparkSession, folder: str) -> DataFrame:
     return health.months(_health_messages(spark, folder), 2)
 
 
-_SPARSE = f"{SPOKEN}, sp as (select thread_id, ms, date_trunc('month', make_timestamp(ms * 1000))::date as m from spoken where (month(make_timestamp(ms * 1000)) + thread_id) % 5 < 2)"
+_SPARSE = f"{SPOKEN}, sp as (select thread_id, ms, date_trunc('month', make_timestamp(ms * 1000))::date as m from spoken)"
 
 
 @query(_SPARSE + """, r as (select thread_id, m, min(ms) as f, max(ms) as l from sp group by 1, 2), g as (select *, lag(m) over w as pm, lag(l) over w as pl from r window w as (partition by thread_id order by m))
-select thread_id, strftime(pm + interval 1 month, '%Y-%m') as from_month, strftime(m - interval 1 month, '%Y-%m') as to_month, (datediff('month', pm, m) - 1)::int as months, pl as last_before_ms, f as first_after_ms from g where datediff('month', pm, m) > 1""", "orders")
+select thread_id, strftime(pm + interval 1 month, '%Y-%m') as from_month, strftime(m - interval 1 month, '%Y-%m') as to_month, (datediff('month', pm, m) - 1)::int as months, pl as last_before_ms, f as first_after_ms from g where datediff('month', pm, m) > 1""", "uneven")
 def archive_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    return health.gaps(orders_messages(spark, folder).filter((F.month(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ms") / DAY).cast("int"))) + F.col("thread_id")) % 5 < 2))
+    return health.gaps(uneven_messages(spark, folder))
 
 
 @query(f"{SPOKEN} select thread_id, coalesce(source_kind, 'unknown') as kind, min(ms) as first_ms, max(ms) as last_ms, count(*) as n, count(distinct source_file) as files from spoken group by 1, 2", "orders")
@@ -182,26 +188,23 @@ def source_spans(spark: SparkSession, folder: str) -> DataFrame:
     return health.source_spans(orders_messages(spark, folder))
 
 
-_IMPORTED = 920_000_000_000
-
-
 @query(_HEALTH + f""", t as (select thread_id, min(ms) as first_ms, max(ms) as last_ms, count(*) as total, count(*) filter (me) as me, count(distinct d) as active_days, count(*) filter (att > 0) as with_attachments,
-  count(*) filter (att > 0 and att = smil) as layout_only, max(ms) filter (att > 0) as last_attachment_ms from hm group by 1),
+  count(*) filter (att > 0 and att = smil) as layout_only, max(ms) filter (att > 0) as last_attachment_ms, max(imported_ms) as imported from hm group by 1),
 tl as (select hm.thread_id, count(*) as tail from hm join t using (thread_id) where ms >= last_ms - 90 * 86400000::bigint group by 1),
 re as (select thread_id, count(*) filter (is_reaction) as reactions from msgs group by 1),
 pd as (select thread_id, floor(median(n) + 0.5)::bigint as median_day from (select thread_id, d, count(*) as n from hm group by 1, 2) group by 1),
 sh as (select thread_id, count(*) as months, count(*) filter (below) as thin, count(*) filter (total = 0) as absent, max(median_month)::bigint as median_month from mo group by 1),
 ga as (select thread_id, max(datediff('month', pm, m) - 1)::int as longest_gap from (select *, lag(m) over (partition by thread_id order by m) as pm from r) group by 1),
 z as (select *, total - t.me as them, greatest(1.0, (last_ms - first_ms) / 86400000.0)::double as days from t join tl using (thread_id) join re using (thread_id) join pd using (thread_id) join sh using (thread_id) join ga using (thread_id)),
-y as (select *, coalesce(last_ms - last_attachment_ms > 120 * 86400000::bigint, false) as attachments_stop, days > 365 and tail < total / days * 18 as collapses, {_IMPORTED} - last_ms > 180 * 86400000::bigint as ends_early,
+y as (select *, coalesce(last_ms - last_attachment_ms > 120 * 86400000::bigint, false) as attachments_stop, days > 365 and tail < total / days * 18 as collapses, imported - last_ms > 180 * 86400000::bigint as ends_early,
   total >= 50 and least(me, them) < greatest(me, them) * 0.1 as lopsided from z),
 x as (select *, list_filter([case when absent > 0 then 'absent_months' end, case when thin > 0 then 'thin_months' end, case when attachments_stop then 'attachments_stop' end, case when collapses then 'collapses' end,
   case when ends_early then 'ends_early' end, case when lopsided then 'lopsided' end], lambda q: q is not null) as why from y)
 select thread_id, first_ms, last_ms, months, active_days, round(active_days / greatest(1, floor((last_ms - first_ms) / 86400000.0 + 0.5) + 1), 6)::double as active_share, total, me, them, reactions, median_day, median_month, thin, absent, coalesce(longest_gap, 0) as longest_gap,
   with_attachments, layout_only, last_attachment_ms, attachments_stop, collapses, ends_early, lopsided,
-  case when coalesce(longest_gap, 0) >= 3 or lopsided or collapses then 'serious' when len(why) > 0 then 'notable' else 'clear' end as level, coalesce(array_to_string(why, ','), '') as reasons from x""", "orders")
+  case when coalesce(longest_gap, 0) >= 3 or lopsided or collapses then 'serious' when len(why) > 0 then 'notable' else 'clear' end as level, coalesce(array_to_string(why, ','), '') as reasons from x""", "uneven")
 def archive_report(spark: SparkSession, folder: str) -> DataFrame:
-    return health.report(_health_messages(spark, folder), 2, F.lit(_IMPORTED))
+    return health.report(_health_messages(spark, folder), 2, F.max("imported_ms"))
 
 
 _RANGES = [(0, 0), (820_000_000_000, 850_000_000_000), (850_000_000_000, 820_000_000_000), (860_000_000_000, 0)]
@@ -213,9 +216,9 @@ mo as (select e.thread_id, g.m::date as m, coalesce(total, 0) as total, fl from
 q(a, b) as (values {', '.join(map(str, _RANGES))}),
 z as (select thread_id, a as from_ms, b as to_ms, coalesce(nullif(a, 0), f) as x, coalesce(nullif(b, 0), l) as y from e, q)
 select z.thread_id, from_ms, to_ms, case when y > x then count(*) filter (total = 0 and m >= date_trunc('month', make_timestamp(x * 1000)) and m <= make_timestamp(y * 1000)) end as gap_months,
-  case when y > x then count(*) filter (total > 0 and total < fl and m >= date_trunc('month', make_timestamp(x * 1000)) and m <= make_timestamp(y * 1000)) end as thin_months from z join mo using (thread_id) group by z.thread_id, from_ms, to_ms, x, y""", "orders")
+  case when y > x then count(*) filter (total > 0 and total < fl and m >= date_trunc('month', make_timestamp(x * 1000)) and m <= make_timestamp(y * 1000)) end as thin_months from z join mo using (thread_id) group by z.thread_id, from_ms, to_ms, x, y""", "uneven")
 def span_discontinuity(spark: SparkSession, folder: str) -> DataFrame:
-    m = orders_messages(spark, folder).filter((F.month(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ms") / DAY).cast("int"))) + F.col("thread_id")) % 5 < 2).withColumn("att", F.lit(0))
+    m = uneven_messages(spark, folder).withColumn("att", F.lit(0))
     asked = m.select("thread_id").distinct().select("thread_id", F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("from_ms"), F.lit(b).cast("long").alias("to_ms")) for a, b in _RANGES])).alias("r")).select("thread_id", "r.*")
     return health.discontinuity(m, asked)
 
@@ -265,8 +268,8 @@ def first_repairs(spark: SparkSession, folder: str) -> DataFrame:
     return findings.first_repairs(*_orders_and_episodes(spark, folder), "specified")
 
 
-@query(SUBSTANTIVE + """, n as (select *, first_value(case when me then {'ms': ms, 't': tension} end ignore nulls) over w as mine, first_value(case when not me then {'ms': ms, 't': tension} end ignore nulls) over w as theirs
-  from sub window w as (partition by thread_id order by ms, id rows between 1 following and unbounded following)),
+@query(SUBSTANTIVE + """, n as (select *, last_value(case when me then {'ms': ms, 't': tension} end ignore nulls) over w as mine, last_value(case when not me then {'ms': ms, 't': tension} end ignore nulls) over w as theirs
+  from sub window w as (partition by thread_id order by ms desc, id desc rows unbounded preceding exclude current row)),
 x as (select thread_id, me, case when me then theirs else mine end as a, ms from n where body ilike '%specified%'), y as (select *, coalesce(a.ms - ms <= 86400000 and a.t >= 2, false) as hot from x)
 select thread_id, count(*) filter (me) as total_me, count(*) filter (not me) as total_them, count(*) filter (me and hot) as rejected_me, count(*) filter (not me and hot) as rejected_them,
   round(coalesce(count(*) filter (me and hot) / nullif(count(*) filter (me), 0), 0), 3) as rate_me, round(coalesce(count(*) filter (not me and hot) / nullif(count(*) filter (not me), 0), 0), 3) as rate_them from y group by 1""", "orders")
@@ -274,13 +277,13 @@ def met_with_fire(spark: SparkSession, folder: str) -> DataFrame:
     return findings.met_with_fire(orders_messages(spark, folder), "specified", DAY)
 
 
-_HALVES = "er as (select thread_id, era::int as era, epoch_ms(make_timestamp(1992 + era, 1, 1, 0, 0, 0.0)) as era_start, epoch_ms(make_timestamp(1993 + era, 1, 1, 0, 0, 0.0)) - 1 as era_end from (select distinct thread_id from msgs), range(6) t(era))"
+_HALVES = "er as (select thread_id, era::int as era, epoch_ms(make_timestamp(1995 + era, 1, 1, 0, 0, 0.0)) as era_start, epoch_ms(make_timestamp(1996 + era, 1, 1, 0, 0, 0.0)) - 1 as era_end from (select distinct thread_id from msgs), range(7) t(era))"
 
 
 def _year_eras(spark: SparkSession, folder: str) -> DataFrame:
     start = lambda n: F.unix_date(F.make_date(n + F.col("era"), F.lit(1), F.lit(1))).cast("long") * DAY
-    threads = orders_messages(spark, folder).select("thread_id").distinct().withColumn("era", F.explode(F.sequence(F.lit(0), F.lit(5))))
-    return threads.withColumn("start_ms", start(F.lit(1992))).withColumn("end_ms", start(F.lit(1993)) - 1)
+    threads = orders_messages(spark, folder).select("thread_id").distinct().withColumn("era", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    return threads.withColumn("start_ms", start(F.lit(1995))).withColumn("end_ms", start(F.lit(1996)) - 1)
 
 
 @query(_EP + f""", {_HALVES}, l as (select ep.thread_id, start_ms, arg_max({{'b': s.body, 'w': s.warmth, 't': s.tension}}, (s.ms, s.id)) as m from ep join sub s on s.thread_id = ep.thread_id and s.me and s.ms >= start_ms and s.ms <= end_ms group by 1, 2),
@@ -358,13 +361,13 @@ def sample_episodes(spark: SparkSession, folder: str) -> DataFrame:
     return gate.sample_episodes(_orders_and_episodes(spark, folder)[1], 3).select("thread_id", "start_id", "place")
 
 
-_LABELS = """lb as (select source as owner, doc_id % 2 = 0 as me, (doc_id % 4)::double as tension, case when doc_id % 9 <> 0 then toxic = 1 or doc_id % 4 = 3 end as hostile, (case when toxic = 1 then 3 else doc_id % 3 end)::int as severity
+_LABELS = """lb as (select case when doc_id % 8 = 0 then source else lang end as owner, doc_id % 2 = 0 as me, (doc_id % 4)::double as tension, case when doc_id % 9 <> 0 then toxic = 1 or doc_id % 4 = 3 end as hostile, (case when toxic = 1 then 3 else doc_id % 3 end)::int as severity
   from documents join labels using (doc_id) where toxic is not null)"""
 
 
 def _labels(spark: SparkSession, folder: str) -> DataFrame:
     both = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").filter("toxic is not null")
-    return both.selectExpr("source as owner", "doc_id % 2 = 0 as me", "cast(doc_id % 4 as double) as tension", "case when doc_id % 9 <> 0 then toxic = 1 or doc_id % 4 = 3 end as hostile", "cast(case when toxic = 1 then 3 else doc_id % 3 end as int) as severity")
+    return both.selectExpr("case when doc_id % 8 = 0 then source else lang end as owner", "doc_id % 2 = 0 as me", "cast(doc_id % 4 as double) as tension", "case when doc_id % 9 <> 0 then toxic = 1 or doc_id % 4 = 3 end as hostile", "cast(case when toxic = 1 then 3 else doc_id % 3 end as int) as severity")
 
 
 @query(f"""with {_LABELS}, r as (select owner, count(*) as n, count(*) filter (tension >= 2 and me) as own_high, count(*) filter (tension >= 2 and not me) as other_high,
@@ -572,7 +575,16 @@ def message_rows(spark: SparkSession, folder: str) -> DataFrame:
     return search.message_rows(sent, people, orders_attachments(spark, folder)).select("id", "sender_name", "attachments")
 
 
-@query()
+@query(f"""{SUBSTANTIVE}, c as (select *, coalesce(lag(me) over w <> me, true) as c, row_number() over w as rn from sub window w as (partition by thread_id order by ms, id)),
+t as (select *, sum(c::int) over (partition by thread_id order by rn) as turn, ceil((length(body) + 24) / 4) as cost from c),
+u as (select thread_id, turn, count(*) as n, sum(cost) as cost from t group by 1, 2),
+v as (select *, sum(n) over w as upto, sum(cost) over w as spent from u window w as (partition by thread_id order by turn)),
+e as (select a.thread_id, a.turn, min(b.turn) + 1 as next from v a left join v b on b.thread_id = a.thread_id and b.turn >= a.turn and b.turn < a.turn + 20 and (b.upto - a.upto + a.n >= 20 or b.spent - a.spent + a.cost >= 800) group by 1, 2),
+wi as (select thread_id, 1::bigint as turn, 0::bigint as win from e where turn = 1 union all select w.thread_id, x.next, w.win + 1 from wi w join e x on x.thread_id = w.thread_id and x.turn = w.turn join v y on y.thread_id = x.thread_id and y.turn = x.next),
+tw as (select t.thread_id, t.id, t.ms, t.rn, t.turn, w.win from t asof join wi w on t.thread_id = w.thread_id and t.turn >= w.turn),
+en as (select thread_id, win, max(turn) as last_turn, max(rn) as last_rn from tw group by 1, 2)
+select thread_id, win::bigint as "window", id, ms, false as prefix from tw
+union all select tw.thread_id, tw.win + 1, tw.id, tw.ms, true from tw join en using (thread_id, win) join en f on f.thread_id = tw.thread_id and f.win = tw.win + 1 where en.last_turn - tw.turn < 3 and en.last_rn - tw.rn < 12""", "events")
 def reader_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Windows of the event stream for an external reader; tiling starts anew at each window's end, which SQL has no function for."""
+    """Windows of the event stream for an external reader; SQL finds each window's successor and follows them by recursion."""
     return windows.tile(events_messages(spark, folder), 20, 800)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators import conflict, metrics, search, threads
-from threadloom.plans import lenses  # noqa: F401  (registers its queries)
-from threadloom.plans.registry import DAY, MONTH, ORACLE_SQL, QUERIES, SPOKEN, SUBSTANTIVE, answers_sql, episodes_sql, query  # noqa: F401
-from threadloom.sources.tables import HOUR_MS, conversation_messages, events_messages, orders_messages, table
+from threadloom.plans import lenses  # registers its queries
+from threadloom.plans.lenses import SENTIMENT
+from threadloom.plans.registry import DAY, LOCAL_MS, MONTH, ORACLE_SQL, QUERIES, SPOKEN, SUBSTANTIVE, answers_sql, episodes_sql, query  # noqa: F401
+from threadloom.sources.tables import HOUR_MS, conversation_messages, events_messages, orders_messages, table, uneven_messages
 
 
 @query(f"""{SPOKEN},
@@ -75,14 +76,14 @@ def top_words(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""{SUBSTANTIVE},
 l as (select *, lag(me) over w as was, ms - lag(ms) over w as gap, lag(id) over d is null as first, lead(id) over d is null as last from sub
-  window w as (partition by thread_id order by ms, id), d as (partition by thread_id, ms // 86400000 order by ms, id)),
+  window w as (partition by thread_id order by ms, id), d as (partition by thread_id, {LOCAL_MS} // 86400000 order by ms, id)),
 a as (select *, coalesce(was <> me and gap > 0 and gap <= 21600000, false) as answered, coalesce(was = me, false) as again from l)
-select thread_id, coalesce(round(quantile_cont(gap / 60000.0::double, 0.5) filter (answered and me), 6), 0) as median_me, coalesce(round(quantile_cont(gap / 60000.0::double, 0.5) filter (answered and not me), 6), 0) as median_them,
+select thread_id, coalesce(floor(quantile_cont(gap / 60000.0::double, 0.5) filter (answered and me) * 10 + 0.5) / 10, 0) as median_me, coalesce(floor(quantile_cont(gap / 60000.0::double, 0.5) filter (answered and not me) * 10 + 0.5) / 10, 0) as median_them,
   count(*) filter (first and me) as first_me, count(*) filter (first and not me) as first_them, count(*) filter (last and me) as last_me, count(*) filter (last and not me) as last_them,
   round(count(*) filter (again and me) / greatest(count(*) filter (me), 1), 3) as double_me, round(count(*) filter (again and not me) / greatest(count(*) filter (not me), 1), 3) as double_them
 from a group by 1""", "events")
 def replies_by_side(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.replies_by_side(events_messages(spark, folder))
+    return metrics.replies_by_side(events_messages(spark, folder), zone="America/New_York")
 
 
 @query(f"{SUBSTANTIVE}, {episodes_sql(DAY, 3)} select * from ep", "events")
@@ -125,7 +126,7 @@ v as (select * exclude (begun, repair), coalesce(last_value(begun ignore nulls)
 
 
 def _monthly(spark: SparkSession, folder: str) -> DataFrame:
-    messages = orders_messages(spark, folder)
+    messages = conflict.marked_once(orders_messages(spark, folder))
     return conflict.monthly_series(messages, conflict.episodes(messages, 5 * DAY, 3), DAY)
 
 
@@ -144,7 +145,7 @@ def eras(spark: SparkSession, folder: str) -> DataFrame:
 u as (unpivot (select thread_id, month, n_total::double as n_total, {', '.join(f'{c}::double as {c}' for c in conflict.FEATURES[1:])} from v) on {', '.join(conflict.FEATURES)} into name f value x),
 z as (select thread_id, month, f, case when stddev_pop(x) over w > 1e-12 then (x - avg(x) over w) / stddev_pop(x) over w else 0 end as x from u window w as (partition by thread_id, f)),
 c as (select *, row_number() over w as i, count(*) over (partition by thread_id, f) as n, avg(x) over (w rows unbounded preceding) as ml, stddev_pop(x) over (w rows unbounded preceding) as sl,
-  avg(x) over (w rows between 1 following and unbounded following) as mr, stddev_pop(x) over (w rows between 1 following and unbounded following) as sr from z window w as (partition by thread_id, f order by month)),
+  avg(x) over v as mr, stddev_pop(x) over v as sr from z window w as (partition by thread_id, f order by month), v as (partition by thread_id, f order by month desc rows unbounded preceding exclude current row)),
 s as (select thread_id, i, lead_month, avg(abs(ml - mr) / greatest(sqrt((i * sl * sl + (n - i) * sr * sr) / n), 1e-6)) as score from (select *, lead(month) over (partition by thread_id, f order by month) as lead_month from c) where i >= 4 and n - i >= 4 group by 1, 2, 3)
 select thread_id, arg_max(lead_month, (round(score, 9), -i)) as first_cut, round(max(score), 4) as score from s group by 1 having max(score) > 0.75""", "orders")
 def first_era_cut(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,24 +183,23 @@ def river(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(RIVER + """, r as (select *, sum(case when n > 0 then 1 else 0 end) over (partition by thread_id order by day) as grp from f)
-select thread_id, min(day) as first, max(day) as last, count(*) as days from r where n = 0 group by thread_id, grp having count(*) >= 14""", "orders")
+select thread_id, min(day) as first, max(day) as last, count(*) as days from r where n = 0 group by thread_id, grp, half having count(*) >= greatest(14, 2 * half)""", "uneven")
 def river_silences(spark: SparkSession, folder: str) -> DataFrame:
-    return conflict.silences(metrics.daily(orders_messages(spark, folder)))
+    return conflict.silences(metrics.daily(uneven_messages(spark, folder)))
 
 
-@query(f"""{SPOKEN}, d as (select thread_id, ms // 86400000 as day, count(*) as n, avg(warmth / 3.0) as warmth from spoken group by 1, 2),
-l as (select thread_id, list_sort(list(n)) as ns from d group by 1)
-select thread_id, day, n, round(least(1.0, n / ns[floor((len(ns) - 1) * 0.95 + 0.5)::int + 1]), 6)::double as scaled from d join l using (thread_id)""", "events")
+@query(RIVER + """, m as (select x.thread_id, x.day, x.n, x.half, round(avg(y.n), 6) as smooth from f x join f y on x.thread_id = y.thread_id and y.day >= x.day - x.half and y.day <= x.day + x.half group by 1, 2, 3, 4),
+l as (select thread_id, list_sort(list(smooth)) as v from m group by 1)
+select thread_id, day, n, half, smooth, round(least(1.0, smooth / greatest(v[floor((len(v) - 1) * 0.95 + 0.5)::int + 1], 1e-6)), 6)::double as scaled from m join l using (thread_id)""", "events")
 def river_scaled(spark: SparkSession, folder: str) -> DataFrame:
-    return conflict.scaled(metrics.daily(events_messages(spark, folder)).select("thread_id", "day", "n"), "n")
+    return conflict.scaled(conflict.rolling(metrics.daily(events_messages(spark, folder))), "smooth")
 
 
-@query(f"""{SPOKEN}, d as (select thread_id, ms // 86400000 as day, round(avg(warmth / 3.0), 6) as w from spoken group by 1, 2),
-x as (select *, abs(w - lag(w) over (partition by thread_id order by day)) as c from d),
-y as (select thread_id, case when count(*) >= 5 then avg(c) end as c from x group by 1)
-select thread_id, round(c, 6) as change, case when c < 0.18 then 'steady' when c < 0.34 then 'uneven' when c is not null then 'volatile' end as phrase from y""", "events")
+@query(SENTIMENT + """, mv as (select *, abs(sentiment - lag(sentiment) over (partition by thread_id order by day)) as c from dy where sentiment is not null),
+y as (select d.thread_id, case when count(mv.thread_id) >= 5 then avg(c) end as c from (select distinct thread_id from dy) d left join mv using (thread_id) group by 1)
+select thread_id, round(c, 6) as change, case when c < 0.18 then 'steady' when c < 0.34 then 'gentle swings' when c is not null then 'changeable' else 'too little to say' end as phrase from y""", "orders")
 def steadiness(spark: SparkSession, folder: str) -> DataFrame:
-    return conflict.steadiness(metrics.daily(events_messages(spark, folder)))
+    return conflict.steadiness(lenses.lexicon_sentiment(spark, folder))
 
 
 @query(RIVER + """ select thread_id, f.day, ((f.day - (a - (a + 4) % 7)) // 7)::int as week, dayofweek(date '1970-01-01' + f.day::int)::int as dow, n from f join h using (thread_id)""", "events")
@@ -254,11 +254,11 @@ def primary_language(spark: SparkSession, folder: str) -> DataFrame:
     return threads.primary_language(table(spark, folder, "documents"), "source")
 
 
-@query("""with k as (select doc_id, coalesce(source, '') as c, lang as d, n_chars * 1000 as ms, sha256(trim(regexp_replace(nfc_normalize(coalesce(text, '')), '\\s+', ' ', 'g'), ' ')) as body from documents),
+@query("""with k as (select doc_id, coalesce(source, '') as c, lang as d, (n_chars * 60 + doc_id % 3) * 1000 as ms, sha256(trim(regexp_replace(nfc_normalize(coalesce(text, '')), '\\s+', ' ', 'g'), ' ')) as body from documents),
 o as (select *, cast(dense_rank() over (partition by c, d, ms // 60000, body order by ms) - 1 as int) as occurrence from k)
 select doc_id, occurrence, sha256(to_json([c, d]) || '|' || (ms // 60000) || '|' || body || '|' || occurrence) as dedup_key from o""")
 def dedup_occurrences(spark: SparkSession, folder: str) -> DataFrame:
-    messages = table(spark, folder, "documents").select("doc_id", "source", F.col("lang").alias("direction"), (F.col("n_chars") * 1000).alias("ms"), F.col("text").alias("body"))
+    messages = table(spark, folder, "documents").select("doc_id", "source", F.col("lang").alias("direction"), ((F.col("n_chars") * 60 + F.col("doc_id") % 3) * 1000).alias("ms"), F.col("text").alias("body"))
     return threads.dedup_keys(messages, "source").select("doc_id", "occurrence", "dedup_key")
 
 

@@ -6,12 +6,13 @@ body, tension (0-3) and warmth. Timestamps without zone are taken as UTC whateve
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.sources.work import shared_dir
+
 DAY_MS = 86_400_000
 HOUR_MS = 3_600_000
 
@@ -21,13 +22,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that executors share; a local session without one gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that executors share."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def epoch_ms(ts: str) -> Column:
@@ -69,6 +65,18 @@ def orders_messages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def uneven_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders' messages with the faults that archives have: months missing or thin, a thin tail, attachments that stop, one side nearly silent, a language for each half of the threads."""
+    t, k, ms = F.col("thread_id"), F.col("id"), F.col("ms")
+    holes = F.floor(ms / (40 * DAY_MS)) * (t % 4) * (35 * DAY_MS)
+    crowded = F.when((t % 8 == 5) & (k % 10 != 0), ms - ms % (60 * DAY_MS)).otherwise(ms)
+    tail = F.when((t % 6 == 2) & (k % 50 == 0), F.lit(900 * DAY_MS)).otherwise(F.lit(0))
+    return orders_messages(spark, folder).withColumns({
+        "ms": (crowded + holes + tail).cast("long"), "direction": F.when((t % 7 == 3) & (k % 20 != 0), "incoming").otherwise(F.col("direction")), "lang": F.when((t % 2 == 0) & (k % 3 != 0), "fr").otherwise(F.col("lang")),
+        "imported_ms": (ms + F.when(t % 3 == 0, F.lit(4000 * DAY_MS)).otherwise(F.lit(0))).cast("long"),
+    })
+
+
 def orders_attachments(spark: SparkSession, folder: str) -> DataFrame:
     """Attachments of the orders' messages: line items of small quantity; those of one piece are layouts."""
     return table(spark, folder, "lineitem").filter("l_quantity <= 4").select(F.col("l_orderkey").alias("message_id"), (F.col("l_quantity") == 1).alias("is_smil"))
@@ -107,6 +115,14 @@ SQL = {
         case when o_totalprice >= 250000 then 2 else 0 end as warmth, o_orderstatus as source_kind, o_custkey % 5 as source_file,
         case o_orderkey % 3 when 0 then 'fr' when 1 then 'en' end as lang
         from orders join customer on o_custkey = c_custkey)""",
+    "uneven": """om as (select cast(c_nationkey as bigint) as thread_id, o_orderkey as id, epoch_us(o_orderdate) // 1000 as ms,
+        case when o_orderkey % 2 = 0 then 'outgoing' else 'incoming' end as direction, o_orderkey % 11 = 0 as is_reaction, o_orderpriority as body,
+        case substr(o_orderpriority, 1, 1) when '1' then 3 when '2' then 2 when '3' then 1 else 0 end as tension,
+        case when o_totalprice >= 250000 then 2 else 0 end as warmth, o_orderstatus as source_kind, o_custkey % 5 as source_file,
+        case o_orderkey % 3 when 0 then 'fr' when 1 then 'en' end as lang from orders join customer on o_custkey = c_custkey),
+        msgs as (select * replace (case when thread_id % 8 = 5 and id % 10 <> 0 then ms - ms % 5184000000 else ms end + (ms // 3456000000) * (thread_id % 4) * 3024000000 + case when thread_id % 6 = 2 and id % 50 = 0 then 77760000000 else 0 end as ms,
+        case when thread_id % 7 = 3 and id % 20 <> 0 then 'incoming' else direction end as direction, case when thread_id % 2 = 0 and id % 3 <> 0 then 'fr' else lang end as lang),
+        ms + case when thread_id % 3 = 0 then 345600000000 else 0 end as imported_ms from om)""",
     "conversations": """msgs as (select conv_id as thread_id, conv_id * 1000 + turn as id, turn * 60000 as ms,
         case role when 'user' then 'outgoing' when 'assistant' then 'incoming' else 'other' end as direction, false as is_reaction,
         text as body, 0 as tension, 0 as warmth from conversations)""",
