@@ -52,18 +52,26 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        self._whole = Tokenizer.from_file(path)
-        self._whole.no_padding()
-        self._whole.no_truncation()
-        plain = json.loads(self._whole.to_str())
+        self._path, self._rest = path, None
+        with open(path, encoding="utf-8") as file:
+            plain = json.load(file)
         level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, level]}}
+        plain |= {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, level]}}
         self._word = Tokenizer.from_str(json.dumps(plain))
         suffix = plain["model"]["end_of_word_suffix"]
         self._ends = np.zeros(max(plain["model"]["vocab"].values()) + 1, dtype=bool)
         self._ends[[i for t, i in plain["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.forget()
 
+    @property
+    def _whole(self) -> Tokenizer:
+        """The vocabulary as it is, made when first needed."""
+        if self._rest is None:
+            self._rest = Tokenizer.from_file(self._path)
+            self._rest.no_padding()
+            self._rest.no_truncation()
+        return self._rest
+
     def forget(self) -> None:
         # Words and pieces (these end in a line feed, which no word holds) share one table.
         self._memo: dict[str, bytes] = {"\n": b""}
