@@ -72,9 +72,15 @@ def discard(*tables: DataFrame) -> None:
 
 
 def begin_stage(spark: SparkSession) -> None:
-    """Delete the work tables of the stage before, whose rows are written by now; collecting garbage lets Spark drop its shuffle files too."""
+    """Delete the work tables of the stage before, whose rows are written by now, and collect garbage.
+
+    The driver's lets Spark drop its shuffle files; that of executors gives back the heap the stage before has grown, which
+    Python workers need. A task a core and a spare reach each of them.
+    """
     delete(spark, *_made.pop(spark.sparkContext.applicationId, []))
     spark.sparkContext._jvm.java.lang.System.gc()
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
 
 
 @contextlib.contextmanager
