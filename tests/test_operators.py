@@ -13,6 +13,7 @@ from threadloom.functions import clock
 from threadloom.operators import ambient, conflict, findings, gate, health, identity, metrics, ordered, scores, search, windows
 from threadloom.operators.ranges import range_join
 from threadloom.sources import phone
+from threadloom.sources.typed_stream import first_text
 from threadloom.streaming import messages as stream
 
 H = 3_600_000
@@ -263,13 +264,34 @@ def test_files_once_and_replaced_rows(spark, tmp_path):
     assert sorted((r.thread_id, r.n) for r in spark.read.parquet(path).collect()) == [(1, 1), (2, 5)]
 
 
-def archived(*texts):
-    out = b"\x04\x0bstreamtyped\x81\xe8\x03\x84\x01@"
-    for t in texts:
-        data = t.encode()
-        n = bytes([len(data)]) if len(data) < 128 else b"\x81" + len(data).to_bytes(2, "little")
-        out += b"\x84\x84+" + n + data
-    return out
+def archived(text, mutable=False):
+    """An attributed string as the archiver writes it: its text, a run, and attributes under a key that is a string too."""
+    data = text.encode()
+    n = bytes([len(data)]) if len(data) < 128 else b"\x81" + len(data).to_bytes(2, "little") if len(data) < 65536 else b"\x82" + len(data).to_bytes(4, "little")
+    name = lambda s: b"\x84" + bytes([len(s)]) + s
+    out = b"\x04\x0bstreamtyped\x81\xe8\x03" + name(b"@") + b"\x84\x84" + name(b"NSAttributedString") + b"\x00\x84" + name(b"NSObject") + b"\x00\x85"
+    string = b"\x84" + name(b"NSMutableString") + b"\x01\x84" + name(b"NSString") + b"\x01\x94" if mutable else b"\x84" + name(b"NSString") + b"\x01\x94"
+    out += b"\x92\x84" + string + name(b"+") + n + data + b"\x86" + name(b"iI") + b"\x01" + bytes([min(127, len(text))])
+    klass = b"\x97" if mutable else b"\x96"  # the class of strings, by its number
+    plus = b"\x97" if mutable else b"\x96"
+    out += b"\x92\x84\x84" + name(b"NSDictionary") + b"\x00\x94" + name(b"i") + b"\x01\x92\x84" + klass + plus + b"\x1d__kIMMessagePartAttributeName\x86"
+    return out + b"\x92\x84\x84" + name(b"NSNumber") + b"\x00\x84" + name(b"NSValue") + b"\x00\x94" + name(b"*") + b"\x84\x99\x00\x86\x86\x86"
+
+
+def test_typed_stream():
+    for text in ("hello", "NSString", "__kIMFileTransferGUIDAttributeName", "+", "é" * 200, "x" * 70_000, "a\nb 🙂"):
+        assert first_text(archived(text)) == first_text(archived(text, True)) == text
+    whole = archived("the words")
+    end = whole.index(b"the words") + 9
+    assert all(first_text(whole[:i]) is None for i in range(end)) and first_text(whole[:end]) == "the words"
+    for junk in (None, b"", b"junk", b"\x04\x0bstreamtyped", b"\x04\x0bstreamtypex\x01", archived(""), whole[:20] + b"\xff" * 40, whole[:18] + b"\x84\x04[99c" + b"a"):
+        assert first_text(junk) is None
+    nested = b"\x04\x0bstreamtyped\x01\x84\x01@" + b"\x84\x84\x84\x01A\x00\x85" + b"\x92\x84\x93" * 5000
+    assert first_text(nested) is None
+    codes = b"{s=iqfdc[3c][2i](u=i)#:}"
+    numbers = b"\x04\x0bstreamtyped\x01\x84" + bytes([len(codes)]) + codes + b"\x05\x81\x01\x02\x83abcd\x83abcdefgh\xff" + b"abc" + b"\x01\x02" + b"\x07" + b"\x85\x85"
+    assert first_text(numbers + whole[18:]) is None  # read to its end without a string
+    assert first_text(numbers + b"\x84\x01@\x84\x84\x84\x08NSString\x01\x85\x84\x01+\x02hi\x86") == "hi"
 
 
 def test_phone_database(spark, tmp_path):
@@ -281,7 +303,7 @@ def test_phone_database(spark, tmp_path):
         db.executemany("insert into chat values (?)", [("+15550100001",), ("+15550100001",), ("group",)])
         db.executemany("insert into chat_handle_join values (?, ?)", [(1, 1), (2, 2), (3, 1), (3, 3)])
         long = "é" * 200
-        rows = [("g1", "hello", None, 1, 700_000_000, 0, None, 0), ("g2", None, archived("NSString", "__kIMMessagePartAttributeName", long), 1, 700_000_001 * 10**9, 1, None, 0), ("g3", None, None, 1, 700_000_002, 0, "p:0/g1", 2000),
+        rows = [("g1", "hello", None, 1, 700_000_000, 0, None, 0), ("g2", None, archived(long), 1, 700_000_001 * 10**9, 1, None, 0), ("g3", None, None, 1, 700_000_002, 0, "p:0/g1", 2000),
                 ("g4", None, None, 1, 700_000_003, 0, "bp:g2", 3000), ("g5", None, b"junk", 1, 700_000_004, 0, None, 0), ("g6", "lost", None, 1, 0, 0, None, 0), ("g7", "x", None, 3, 700_000_005, 0, None, 0)]
         db.executemany("insert into message values (?, ?, ?, ?, ?, ?, ?, ?)", rows)
         db.executemany("insert into chat_message_join values (?, ?)", [(1, i) for i in range(1, 7)] + [(2, 1), (3, 7)])
@@ -294,7 +316,6 @@ def test_phone_database(spark, tmp_path):
     assert phone.messages(spark, [path], "group").first().is_group
     with pytest.raises(ValueError):
         phone.read_table(spark, ["/Users/a/Library/Messages/chat.db"], "chat")
-    assert phone.archived_body(archived("NSW next week?")) == "NSW next week?" and phone.archived_body(archived("NSString")) is None and phone.archived_body(archived("x")[:-1]) is None
 
 
 def test_streams(spark, tmp_path):

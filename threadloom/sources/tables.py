@@ -69,7 +69,7 @@ def uneven_messages(spark: SparkSession, folder: str) -> DataFrame:
     """The orders' messages with the faults that archives have: months missing or thin, a thin tail, attachments that stop, one side nearly silent, a language for each half of the threads."""
     t, k, ms = F.col("thread_id"), F.col("id"), F.col("ms")
     holes = F.floor(ms / (40 * DAY_MS)) * (t % 4) * (35 * DAY_MS)
-    crowded = F.when((t % 8 == 5) & (k % 10 != 0), ms - ms % (60 * DAY_MS)).otherwise(ms)
+    crowded = F.when((t % 8 == 4) & (t > 4) & (k % 30 != 0), ms - ms % (60 * DAY_MS)).otherwise(ms)
     tail = F.when((t % 6 == 2) & (k % 50 == 0), F.lit(900 * DAY_MS)).otherwise(F.lit(0))
     return orders_messages(spark, folder).withColumns({
         "ms": (crowded + holes + tail).cast("long"), "direction": F.when((t % 7 == 3) & (k % 20 != 0), "incoming").otherwise(F.col("direction")), "lang": F.when((t % 2 == 0) & (k % 3 != 0), "fr").otherwise(F.col("lang")),
@@ -120,7 +120,7 @@ SQL = {
         case substr(o_orderpriority, 1, 1) when '1' then 3 when '2' then 2 when '3' then 1 else 0 end as tension,
         case when o_totalprice >= 250000 then 2 else 0 end as warmth, o_orderstatus as source_kind, o_custkey % 5 as source_file,
         case o_orderkey % 3 when 0 then 'fr' when 1 then 'en' end as lang from orders join customer on o_custkey = c_custkey),
-        msgs as (select * replace (case when thread_id % 8 = 5 and id % 10 <> 0 then ms - ms % 5184000000 else ms end + (ms // 3456000000) * (thread_id % 4) * 3024000000 + case when thread_id % 6 = 2 and id % 50 = 0 then 77760000000 else 0 end as ms,
+        msgs as (select * replace (case when thread_id % 8 = 4 and thread_id > 4 and id % 30 <> 0 then ms - ms % 5184000000 else ms end + (ms // 3456000000) * (thread_id % 4) * 3024000000 + case when thread_id % 6 = 2 and id % 50 = 0 then 77760000000 else 0 end as ms,
         case when thread_id % 7 = 3 and id % 20 <> 0 then 'incoming' else direction end as direction, case when thread_id % 2 = 0 and id % 3 <> 0 then 'fr' else lang end as lang),
         ms + case when thread_id % 3 = 0 then 345600000000 else 0 end as imported_ms from om)""",
     "conversations": """msgs as (select conv_id as thread_id, conv_id * 1000 + turn as id, turn * 60000 as ms,
