@@ -59,13 +59,15 @@ def plan_ask(messages: DataFrame, thread_id: int, phrase: str = "", side: str |
              least_tension: float | None = None, most_tension: float | None = None, least_warmth: float | None = None, pattern: str | None = None, cap: int = 500, limit: int = 50) -> DataFrame:
     """(id, ms, me, tension, warmth, body, count, label): the first `limit` messages that meet all filters, in order, and how many there are.
 
-    messages have `scored`; a filter on scores leaves unscored messages out. Without a phrase only the first cap + 1
-    messages of the range are looked at. count stops at cap, the label then says so.
+    messages have `scored`; a filter on scores leaves unscored messages out. With a phrase the thread's cap + 1 best hits
+    are looked at, whose scores are those among all messages; without one the first cap + 1 messages of the range. count
+    stops at cap, the label then says so.
     """
-    rows = substantive(messages).filter(F.col("thread_id") == thread_id)
+    every = substantive(messages)
+    rows = every.filter(F.col("thread_id") == thread_id)
     ranged = [c for c, v in ((F.col("ms") >= from_ms, from_ms), (F.col("ms") <= to_ms, to_ms)) if v is not None]
     if phrase.strip():
-        found = phrase_search(rows, phrase, "id", "body").orderBy(F.desc("score"), "id").limit(cap + 1)
+        found = rows.select("id").join(phrase_search(every, phrase, "id", "body"), "id").orderBy(F.desc("score"), "id").limit(cap + 1)
         rows = rows.join(found.select("id"), "id", "left_semi")
     for c in ranged:
         rows = rows.filter(c)

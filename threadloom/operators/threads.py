@@ -59,24 +59,20 @@ def dedup_keys(messages: DataFrame, counterpart: str, body: str = "body", native
     """messages with occurrence and dedup_key: two records are one message if their keys are equal, whatever file they came from.
 
     Records of one counterpart, direction, minute and body are numbered by (time, identity); records with the same
-    native id, or without one at the same instant with the same digest, share a number. Only distinct identities are
-    put in order, so that copies by the thousand cost one row each group.
+    native id at one instant, or without one at the same instant with the same digest, share a number.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
     identity = F.when(text(native) != "", F.concat(F.lit("id:"), text(native))).otherwise(F.concat_ws(":", F.lit("ms"), F.col("ms"), text(digest)))
     group = ["_counterpart", "direction", "_minute", "_body"]
     m = messages.withColumn("_counterpart", text(counterpart)).withColumn("_minute", N.minute_bucket(F.col("ms"))).withColumn("_body", F.sha2(N.canonical_body(F.col(body)), 256)).withColumn("_identity", identity)
-    w = Window.partitionBy(*group).orderBy("ms", "_identity")
-    changed = F.coalesce(F.col("_identity") != F.lag("_identity").over(w), F.lit(True)).cast("int")
-    known = m.select(*group, "ms", "_identity").distinct().withColumn("_changed", changed)
-    known = known.withColumn("occurrence", (F.sum("_changed").over(w) - 1).cast("int")).drop("_changed")
-    identified = [*group, "ms", "_identity"]
-    known = known.select(*[F.col(c).alias("_of" + c) for c in identified], "occurrence")
-    found = m.join(known, [F.col(c).eqNullSafe(F.col("_of" + c)) for c in identified], "left").drop(*["_of" + c for c in identified])
+    # One pass over the bodies: they are known by their hash, and identities in order by the rank of (ms, identity).
+    group = Window.partitionBy(*group).orderBy("ms", "_identity")
+    found = m.withColumn("occurrence", (F.dense_rank().over(group) - 1).cast("int"))
     key = F.concat_ws("|", F.to_json(F.array("_counterpart", "direction")), "_minute", "_body", "occurrence")
     return found.withColumn("dedup_key", F.sha2(key, 256)).drop("_counterpart", "_minute", "_body", "_identity")
 
 
 def new_messages(arrived: DataFrame, stored: DataFrame) -> DataFrame:
-    """Of arrived messages, one for each dedup_key that isn't stored yet."""
-    return arrived.dropDuplicates(["dedup_key"]).join(stored.select("dedup_key"), "dedup_key", "left_anti")
+    """Of arrived messages, for each dedup_key that isn't stored yet the first: the one of the smallest id."""
+    first = arrived.groupBy("dedup_key").agg(F.min_by(F.struct(*arrived.columns), "id").alias("_m")).select("_m.*")
+    return first.join(stored.select("dedup_key"), "dedup_key", "left_anti").select(*arrived.columns)

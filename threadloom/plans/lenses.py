@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import normalize
-from threadloom.operators import ambient, conflict, findings, gate, health, identity, metrics, scores, search, threads, windows
+from threadloom.operators import ambient, conflict, findings, gate, health, identity, load, metrics, scores, search, threads, windows
 from threadloom.operators.ordered import rounded, runs_of_days
 from threadloom.plans.registry import DAY, MONTH, SPOKEN, SUBSTANTIVE, answers_sql, episodes_sql, query
 from threadloom.sources import exports
 from threadloom.sources.tables import conversation_messages, epoch_ms, events_messages, events_results, orders_attachments, orders_messages, scratch, table, uneven_messages
+from threadloom.sources.versions import Store
 
 # ---- scores ----
 
@@ -466,6 +467,15 @@ def ask_plan(spark: SparkSession, folder: str) -> DataFrame:
     return search.plan_ask(m, 3, side="me", from_ms=800_000_000_000, least_tension=2)
 
 
+@query(SUBSTANTIVE + """, t as (select *, regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+') as w from sub), m as (select *, len(w) as length, len(list_filter(range(1, len(w)), lambda i: w[i] = 'not' and w[i + 1] = 'specified')) as hits from t),
+s as (select count(*) as docs, avg(length) as mean, count(*) filter (hits > 0) as n from m), r as (select m.*, round(ln(1 + (docs - n + 0.5) / (n + 0.5)) * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * length / mean)), 6) as score from m, s where hits > 0 and thread_id = 5),
+b as (select * from r order by score desc, id limit 41), k as (select * from b where ms >= 800000000000 and warmth >= 2), c as (select count(*) as c from k)
+select id, ms, me, tension::double as tension, warmth::double as warmth, body, least(c, 40)::bigint as count, case when c > 40 then '40+' else c::varchar end as label from k, c order by ms, id limit 40""", "orders")
+def ask_phrase(spark: SparkSession, folder: str) -> DataFrame:
+    m = orders_messages(spark, folder).withColumns({"scored": F.lit(True), "tension": F.col("tension").cast("double"), "warmth": F.col("warmth").cast("double")})
+    return search.plan_ask(m, 5, "not specified", from_ms=800_000_000_000, least_warmth=2, cap=40)
+
+
 _RAW = "case c_custkey % 6 when 0 then '+1 (555) ' || n when 1 then '555' || n when 2 then 'u' || c_custkey || '@x.org' when 3 then (c_custkey % 1000000)::varchar when 4 then 'SHOP' || c_custkey else 'null' end"
 
 
@@ -561,6 +571,36 @@ def assigned_threads(spark: SparkSession, folder: str) -> DataFrame:
     return threads.assign_threads(people, threads.owner_key(people)).groupBy("thread_key").agg(F.count(F.lit(1)).alias("n"), F.max("is_group").alias("is_group"))
 
 
+def _loaded(spark: SparkSession, folder: str) -> Store:
+    """Orders as two imports that share a third of their records; the first comes once more at the end."""
+    records = _people(spark, folder).withColumn("body", F.concat(F.lit("order "), "id")).withColumn("lang", F.when(F.col("id") % 3 == 0, "fr").when(F.col("id") % 3 == 1, "en"))
+    k = F.regexp_extract(F.col("addresses")[0]["raw"], r"(\d+)", 1).cast("int") % 3
+    store, first = Store(spark, scratch(spark, "graph")), records.filter(k != 0)
+    for source, rows in (("a", first), ("b", records.filter(k != 1)), ("a", first)):
+        store = load.load(store, rows, source, f"sha-{source}")
+    return store
+
+
+@query(f"""with {_PEOPLE}, k as (select ad.id, ms, raw as c, case ad.id % 3 when 0 then 'fr' when 1 then 'en' end as lang from ad where raw <> 'me'),
+l as (select c, lang, count(*) as n from k where lang is not null group by 1, 2), g as (select c, string_agg(lang || ':' || n, ',' order by n desc, lang) as languages, arg_min(lang, (-n, lang)) as lang from l group by 1)
+select sha256('["' || replace('["member","' || c || '"]', '"', '\\"') || '"]') as thread_key, count(*) as n, min(ms) as first_ms, max(ms) as last_ms, any_value(g.lang) as lang, coalesce(any_value(languages), '') as languages from k left join g using (c) group by c""")
+def loaded_threads(spark: SparkSession, folder: str) -> DataFrame:
+    return _loaded(spark, folder).read("threads")
+
+
+@query("""select * from (select 'a' as source_file, count(*) filter (o_custkey % 3 <> 0) as records, count(*) filter (o_custkey % 3 <> 0) as new, 0::bigint as known from orders
+  union all select 'b', count(*) filter (o_custkey % 3 <> 1), count(*) filter (o_custkey % 3 = 0), count(*) filter (o_custkey % 3 = 2) from orders)""")
+def load_log(spark: SparkSession, folder: str) -> DataFrame:
+    return _loaded(spark, folder).read("files").drop("sha256")
+
+
+@query(f"""with {_PEOPLE}, n as (select id, count(*) as n from ad group by 1), c as (select raw, arg_max(name, (ms, id, name)) filter (n = 1) as name from ad join n using (id) group by 1)
+select raw, case when raw <> 'me' then name end as name, raw = 'me' as is_owner from c""")
+def loaded_contacts(spark: SparkSession, folder: str) -> DataFrame:
+    store = _loaded(spark, folder)
+    return store.read("identifiers").join(store.read("contacts"), "contact_id").select("raw", "name", "is_owner")
+
+
 @query(f"""with {_PEOPLE} select id, max(case when direction = 'outgoing' then 'me' else raw end) filter (direction = 'outgoing' or role = 'from') as sender, coalesce(string_agg(raw || ':' || role, ',' order by raw) filter (role <> 'from'), '') as recipients from ad group by 1""")
 def message_senders(spark: SparkSession, folder: str) -> DataFrame:
     people = _people(spark, folder)

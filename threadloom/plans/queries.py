@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators import conflict, metrics, search, threads
+from threadloom.operators import conflict, metrics, phrase_index, search, threads
 from threadloom.plans import lenses  # registers its queries
 from threadloom.plans.lenses import SENTIMENT
 from threadloom.plans.registry import DAY, LOCAL_MS, MONTH, ORACLE_SQL, QUERIES, SPOKEN, SUBSTANTIVE, answers_sql, episodes_sql, query  # noqa: F401
-from threadloom.sources.tables import HOUR_MS, conversation_messages, events_messages, orders_messages, table, uneven_messages
+from threadloom.sources.tables import HOUR_MS, conversation_messages, events_messages, orders_messages, scratch, table, uneven_messages
+from threadloom.sources.versions import Store
 
 
 @query(f"""{SPOKEN},
@@ -215,6 +216,31 @@ def phrase_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.phrase_search(table(spark, folder, "documents"), "of the")
 
 
+_INDEXED = """with t as (select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
+m as (select doc_id, len(w)::int as length, len(list_filter(range(1, len(w)), lambda i: w[i] = '%s' and w[i + 1] = '%s'))::int as hits from t),
+s as (select count(*) as docs, sum(length) / count(*) as mean, count(*) filter (hits > 0) as n from m)
+select doc_id, hits, length, round(ln(1 + (docs - n + 0.5) / (n + 0.5)) * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * length / mean)), 6) as score from m, s where hits > 0"""
+
+
+def _indexed(spark: SparkSession, folder: str) -> Store:
+    """An index of documents in two loads: a fifth of the texts come wrong first, and again."""
+    documents = table(spark, folder, "documents")
+    first = documents.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("of the of the "), F.reverse("text"))).otherwise(F.col("text")))
+    store = phrase_index.upsert(Store(spark, scratch(spark, "index")), first)
+    return phrase_index.upsert(store, documents.filter("doc_id % 5 = 0"))
+
+
+@query(_INDEXED % ("of", "the"))
+def indexed_phrase(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_index.phrase_search(_indexed(spark, folder), "Of the")
+
+
+@query(_INDEXED % ("de", "e"))
+def indexed_phrase_without_accents(spark: SparkSession, folder: str) -> DataFrame:
+    """The phrase is met with and without accents."""
+    return phrase_index.phrase_search(_indexed(spark, folder), "dé Ê")
+
+
 @query("""with m as (select distinct o_custkey, cast(o_orderpriority as varchar) as p from orders)
 select o_custkey, cast(count(*) as int) as members, sha256(string_agg(p, ',' order by p)) as signature from m group by 1""")
 def participant_signatures(spark: SparkSession, folder: str) -> DataFrame:
