@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.clock import DAY_MS, half_up
 from threadloom.operators.findings import by_era
 from threadloom.operators.ordered import rounded, top
+from threadloom.sources.versions import Store
 
 #: Kinds of pattern that count as coercive (fixed values).
 COERCIVE = ("threat", "monitoring", "coercive_demand")
@@ -108,11 +109,39 @@ def derive_thresholds(labels: DataFrame, by: str = "owner") -> DataFrame:
     return r.select(by, F.when(usable, hostile).otherwise(2).alias("hostile"), F.when(usable, F.when(severe <= hostile, above).otherwise(severe)).otherwise(3).alias("severe"))
 
 
+def owner_gate(totals: DataFrame, owners: DataFrame, bias: DataFrame, base: float = THRESHOLD) -> DataFrame:
+    """`era_gate` whose threshold is raised by what the owner's own answers say of their reports: owners are (thread_id, owner), bias `self_report_bias`' rows.
+
+    Threads without an owner, and owners without answers, keep the base.
+    """
+    bumps = bias.select("owner", F.col("bump").alias("_bump"))
+    rows = totals.join(owners.select("thread_id", "owner"), "thread_id", "left").join(bumps, "owner", "left").withColumn("threshold", base + F.coalesce("_bump", F.lit(0.0)))
+    return era_gate(rows, F.col("threshold")).drop("_bump")
+
+
 def disagreements(labels: DataFrame, hostile_from: int = 2) -> DataFrame:
     """Labels that contradict the score at a threshold."""
     return labels.filter(F.col("hostile") != (F.col("tension") >= hostile_from))
 
 
+def review(marks: DataFrame, messages: DataFrame, scores: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """(owner, thread_id, id, ms, me, tension, hostile, kind): marks of the owner that the scores contradict, and who is harder.
+
+    marks are (owner, thread_id, id, hostile), a null hostile being skipped; messages that no score stands for count as
+    0; thresholds are `derive_thresholds`' rows, 2 where an owner has none.
+    """
+    said = marks.filter("hostile is not null").join(messages.select("thread_id", "id", "ms", F.col("direction").isin("outgoing", "draft").alias("me")), ["thread_id", "id"])
+    rows = said.join(scores.select("thread_id", "id", "tension"), ["thread_id", "id"], "left").join(thresholds.select("owner", F.col("hostile").alias("_from")), "owner", "left").withColumn("tension", F.coalesce("tension", F.lit(0.0)))
+    hard = F.col("tension") >= F.coalesce("_from", F.lit(2))
+    return rows.filter(F.col("hostile") != hard).select("owner", "thread_id", "id", "ms", "me", "tension", "hostile", F.when(hard, "model_harder").otherwise("owner_harder").alias("kind"))
+
+
+def apply_calibration(store: Store, labels: DataFrame, rubric: int, seed: int | None = None) -> Store:
+    """The store with the owners' bias and thresholds (tables bias and calibration) as their labels say, both in one version."""
+    thresholds = derive_thresholds(labels).withColumn("rubric", F.lit(rubric)).withColumn("seed", F.lit(seed).cast("long"))
+    return store.commit(replace={"bias": self_report_bias(labels), "calibration": thresholds})
+
+
 def holdout(messages: DataFrame, n: int = 42, seed: int = 0) -> DataFrame:
     """At most n scored messages of each thread, spread evenly over side and tension band, chosen by a seeded hash; `place` interleaves the strata."""
     band = F.least(F.floor("tension"), F.lit(3)).cast("int")

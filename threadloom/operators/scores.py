@@ -59,9 +59,11 @@ def emotion_coverage(messages: DataFrame, results: DataFrame, floor: float = FLO
 
 
 def daily_with_emotion(daily: DataFrame, emotion: DataFrame) -> DataFrame:
-    """A daily series whose warmth and tension are the scored ones on days that have them."""
-    own = emotion.select("thread_id", "day", F.col("warmth01").alias("_w"), F.col("tension01").alias("_t"))
-    return daily.join(own, ["thread_id", "day"], "left").withColumn("warmth", F.coalesce("_w", "warmth")).withColumn("tension", F.coalesce("_t", "tension")).drop("_w", "_t")
+    """A daily series whose warmth, tension and sentiment (where it has one) are the scored ones on days that have them."""
+    scored = {"warmth": "warmth01", "tension": "tension01", "sentiment": "valence"}
+    own = emotion.select("thread_id", "day", *[F.col(v).alias(f"_{c}") for c, v in scored.items()])
+    joined = daily.join(own, ["thread_id", "day"], "left")
+    return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in scored else F.col(c) for c in daily.columns])
 
 
 def river_layer(coverage: DataFrame, wanted: Column | None = None) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import normalize
 from threadloom.operators import ambient, conflict, findings, gate, health, identity, load, metrics, scores, search, threads, windows
 from threadloom.operators.ordered import rounded, runs_of_days
-from threadloom.plans.registry import DAY, MONTH, SPOKEN, SUBSTANTIVE, answers_sql, episodes_sql, query
+from threadloom.plans.registry import DAY, MONTH, ORACLE_SQL, SPOKEN, SUBSTANTIVE, answers_sql, episodes_sql, query
 from threadloom.sources import exports
 from threadloom.sources.tables import conversation_messages, epoch_ms, events_messages, events_results, orders_attachments, orders_messages, scratch, table, uneven_messages
 from threadloom.sources.versions import Store
+from threadloom.sources.work import kept
 
 # ---- scores ----
 
@@ -505,20 +506,46 @@ def normalized_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""select event_id as id, case event_id % 3 when 0 then epoch_us(ts) // 1000000 * 1000 when 1 then epoch_us(ts) // 1000 end as ms, 'u' || user_id as sender,
-  case when event_type in ('click', 'purchase') then 'outgoing' when user_id % 5 = 1 then 'outgoing' when event_type = 'signup' then 'incoming' else 'incoming' end as direction,
-  case event_id % 3 when 2 then case event_id % 2 when 0 then 'no timestamp' else 'unclear timestamp: 1/2/2021' end end as problem from events where user_id % 5 <> 1 or event_type <> 'view'""")
+  case when event_type in ('click', 'purchase') then 'outgoing' when event_type = 'signup' then 'incoming' when user_id = 7 then 'outgoing' when user_id % 9 <> 0 then 'incoming' end as direction,
+  case when event_id % 3 = 2 then case event_id % 2 when 0 then 'no timestamp' else 'unclear timestamp: 1/2/2021' end when event_type not in ('click', 'purchase', 'signup') and user_id % 9 = 0 then 'no direction' end as problem from events""")
 def imported_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as CSV with commas, quotes and line feeds in bodies; times in seconds, milliseconds, missing or unclear."""
+    """Events as CSV with commas, quotes and line feeds in bodies; times in seconds, milliseconds, missing or unclear; directions by word, by the owner u7, or unknown."""
     ms, k = epoch_ms("ts"), F.col("event_id")
     when = F.when(k % 3 == 0, F.floor(ms / 1000).cast("string")).when(k % 3 == 1, ms.cast("string")).when(k % 2 == 1, "1/2/2021")
-    said = F.when(F.col("event_type").isin("click", "purchase"), "Sent").when(F.col("event_type") == "signup", F.when(F.col("user_id") % 5 != 1, "received"))
-    rows = table(spark, folder, "events").filter("user_id % 5 <> 1 or event_type <> 'view'")
+    said = F.when(F.col("event_type").isin("click", "purchase"), "Sent").when(F.col("event_type") == "signup", "received")
     path = scratch(spark, "rows") + ".csv"
-    rows.select(when.alias("Date"), F.concat(F.lit("u"), "user_id").alias("From"), said.alias("Dir"), F.concat(k.cast("string"), F.lit(', "so"\n it is')).alias("Text"), (F.col("user_id") % 5 == 1).alias("mine")).drop("mine").write.csv(path, header=True, quote='"', escape='"', emptyValue="")
-    found = exports.plain_rows(spark, path)
-    direction = F.when(F.col("direction").isNull(), F.when(F.regexp_extract("sender", r"(\d+)", 1).cast("int") % 5 == 1, "outgoing").otherwise("incoming")).otherwise(F.col("direction"))
-    problem = F.when(F.col("problem") == "no direction", F.lit(None)).otherwise(F.col("problem"))
-    return found.select(F.regexp_extract("body", r'^(\d+), "so"\n it is$', 1).cast("long").alias("id"), "ms", "sender", direction.alias("direction"), problem.alias("problem"))
+    hidden = said.isNull() & (F.col("user_id") % 9 == 0)
+    named = F.when(~hidden, F.concat(F.lit("u"), "user_id"))
+    table(spark, folder, "events").select(when.alias("Date"), named.alias("From"), said.alias("Dir"), F.concat(k.cast("string"), F.lit("/u"), "user_id", F.lit(', "so"\n it is')).alias("Text")).write.csv(path, header=True, quote='"', escape='"', emptyValue="")
+    found = exports.plain_rows(spark, path, "U7")
+    sender = F.coalesce("sender", F.regexp_extract("body", r"/(u\d+), ", 1))
+    return found.select(F.regexp_extract("body", r'^(\d+)/u\d+, "so"\n it is$', 1).cast("long").alias("id"), "ms", sender.alias("sender"), "direction", "problem")
+
+
+@query("""select event_id as id, epoch_us(ts) // 1000000 * 1000 as ms, 'u' || user_id as sender, case when event_type in ('click', 'purchase') then 'outgoing' when user_id = 7 then 'outgoing' else 'incoming' end as direction, props as body from events""")
+def imported_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as JSON lines under other column names."""
+    path = scratch(spark, "lines") + ".jsonl"
+    said = F.when(F.col("event_type").isin("click", "purchase"), "OUT")
+    table(spark, folder, "events").select(F.floor(epoch_ms("ts") / 1000).alias("sent_at"), F.concat(F.lit("u"), "user_id").alias("author"), said.alias("direction"), F.concat_ws("|", "event_id", "props").alias("content")).write.json(path)
+    found = exports.plain_rows(spark, path, "u7")
+    return found.select(F.substring_index("body", "|", 1).cast("long").alias("id"), "ms", "sender", "direction", F.expr("substring(body, locate('|', body) + 1)").alias("body"))
+
+
+@query("""select event_id as id, epoch_us(ts) // 60000000 * 60000 as ms, case when event_id % 11 <> 0 then 'u' || user_id end as sender, case when event_id % 11 <> 0 and event_id % 7 = 0 then '' else event_id || ' it: was' || case event_id % 3 when 0 then chr(10) || '1/2, not a head' else '' end end as body,
+  event_id % 11 <> 0 and event_id % 7 = 0 as media, 'dmy' as "order" from events""")
+def imported_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as exported chats: system lines, media, messages of two lines; Spark's part files are the chats."""
+    k, path = F.col("event_id"), scratch(spark, "chat")
+    body = F.when((k % 11 != 0) & (k % 7 == 0), "<Media omitted>").otherwise(F.concat(k.cast("string"), F.lit(" it: was"), F.when(k % 3 == 0, "\n1/2, not a head").otherwise("")))
+    at = F.timestamp_seconds(F.floor(epoch_ms("ts") / 1000))
+    # A media line says nothing of its event: its time holds the seconds, its sender the event.
+    sender = F.when(k % 11 != 0, F.concat(F.lit("u"), "user_id", F.when(k % 7 == 0, F.concat(F.lit(" "), k.cast("string"))).otherwise(""), F.lit(": "))).otherwise("")
+    system = F.when(k % 11 == 0, F.regexp_replace(body, "it: was", "it:was")).otherwise(body)
+    table(spark, folder, "events").select(F.concat(F.date_format(at, "dd/MM/yyyy, HH:mm"), F.lit(" - "), sender, system)).write.option("compression", "none").text(path)
+    found = exports.chat_text(spark, path)
+    key = F.when(F.col("media"), F.substring_index("sender", " ", -1)).otherwise(F.regexp_extract("body", r"^(\d+)", 1)).cast("long")
+    return found.select(key.alias("id"), "ms", F.substring_index("sender", " ", 1).alias("sender"), F.regexp_replace("body", "it:was", "it: was").alias("body"), "media", "order")
 
 
 @query("""select o_orderkey as id, epoch_us(o_orderdate) // 1000 as ms, case o_orderkey % 5 when 0 then 'incoming' when 1 then 'outgoing' when 2 then 'draft' else 'other' end as direction,
@@ -628,3 +655,119 @@ union all select tw.thread_id, tw.win + 1, tw.id, tw.ms, true from tw join en us
 def reader_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of the event stream for an external reader; SQL finds each window's successor and follows them by recursion."""
     return windows.tile(events_messages(spark, folder), 20, 800)
+
+
+_TILED = ORACLE_SQL["reader_windows"]
+_JOBS = f"""w as ({_TILED}), m as (select w.*, s.me, s.body, '[m' || w.id || '] ' || strftime(make_timestamp(w.ms // 60000 * 60000000), '%Y-%m-%d %H:%M') || case when s.me then ' ME: ' else ' THEM: ' end || trim(regexp_replace(s.body, '\\s*\\n\\s*', ' ', 'g'), ' ') as line
+  from w join (select user_id as thread_id, event_id as id, event_type in ('click', 'purchase', 'signup') as me, props as body from events) s using (thread_id, id)),
+j as (select thread_id, "window", string_agg(line, chr(10) order by not prefix, ms, id) as transcript, list(id order by not prefix, ms, id) as member_ids, count(*) filter (not prefix) as own, count(*) filter (prefix) as context from m group by 1, 2),
+jobs as (select *, sha256(to_json({{'lens': 'tone', 'transcript': transcript}})::varchar) as input_hash from j)"""
+
+
+def _reader_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    messages = events_messages(spark, folder)
+    return windows.jobs(messages, windows.tile(messages, 20, 800), "tone")
+
+
+@query(f"with {_JOBS} select thread_id, \"window\", input_hash, own, context from jobs")
+def reader_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    context = F.size("prefix_ids").cast("long")
+    return _reader_jobs(spark, folder).select("thread_id", "window", "input_hash", (F.size("member_ids") - context).alias("own"), context.alias("context"))
+
+
+#: Results of a reader: some refused, failed or with another status, some short of a message, with one twice, with one that is foreign, or with a score out of range.
+_ANSWERS = "case h % 12 when 0 then 'refused' when 1 then 'failed' when 2 then 'envelope' when 3 then 'missing' when 4 then 'duplicate' when 5 then 'extra' when 6 then 'schema' when 7 then 'unread' end"
+
+
+def _reader_results(planned: DataFrame) -> DataFrame:
+    h = F.conv(F.substring("input_hash", 1, 6), 16, 10).cast("long") % 12
+    score = lambda i, bad: F.struct(F.concat(F.lit("m"), i.cast("string")).alias("message_id"), F.lit(0.5).alias("valence"), F.lit(1.0).alias("warmth"), F.when(bad, 7.0).otherwise(2.0).alias("tension"))
+    own = F.array_except("member_ids", "prefix_ids")
+    ids = F.when(h == 3, F.slice(own, 2, 10_000)).when(h == 4, F.concat(own, F.slice(own, 1, 1))).when(h == 5, F.concat(own, F.array(F.lit(-1).cast("long")))).otherwise(own)
+    made = F.transform(F.when(h == 5, F.concat(own, F.array(F.lit(999_999_999).cast("long")))).otherwise(ids), lambda i: score(i, h == 6))
+    status = F.when(h == 0, "refused").when(h == 1, "error").when(h == 2, "maybe").otherwise("done")
+    return planned.filter(h != 7).select("input_hash", status.alias("status"), made.alias("messages"), F.lit(1).alias("read_at")).dropDuplicates(["input_hash"])
+
+
+_INTAKE = f"""{_JOBS}, r as (select *, case when why = 'unread' then null when why = 'refused' then 'refused' when why is not null then 'error' else 'done' end as status
+  from (select *, {_ANSWERS} as why from (select *, ('0x' || substr(input_hash, 1, 6))::bigint % 12 as h from jobs)))"""
+
+
+@query(f"with {_INTAKE} select input_hash, any_value(status) as status, any_value(nullif(why, 'unread')) as reason from r where status is not null group by 1")
+def reader_intake(spark: SparkSession, folder: str) -> DataFrame:
+    planned = kept(_reader_jobs(spark, folder))
+    return windows.intake(_reader_results(planned), planned).select("input_hash", "status", "reason")
+
+
+@query(f"""with {_INTAKE} select thread_id, count(*) filter (status = 'done') as done, count(*) filter (status = 'refused') as refused, count(*) filter (status = 'error') as error, count(*) filter (status is null) as pending,
+  ceil(count(*) filter (status is null) / 20)::bigint as drains from r group by 1""")
+def reader_status(spark: SparkSession, folder: str) -> DataFrame:
+    planned = kept(_reader_jobs(spark, folder))
+    return windows.status_counts(windows.intake(_reader_results(planned), planned), planned)
+
+
+@query(f"with {_INTAKE} select thread_id, \"window\" from r where why = 'unread' or why is not null and why <> 'unread' and h > 2")
+def unread_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs that no result stands for, where those that failed a check are read again."""
+    planned = kept(_reader_jobs(spark, folder))
+    taken = windows.intake(_reader_results(planned), planned).filter("status = 'done' or reason in ('refused', 'failed', 'envelope')")
+    return windows.unread_jobs(planned, taken).select("thread_id", "window")
+
+
+@query(f"""with {_JOBS}, x as (select distinct thread_id, "window" from m where not prefix and ms >= 1705276800000 and ms <= 1705363200000) select thread_id, "window" from x""")
+def windows_of_a_day(spark: SparkSession, folder: str) -> DataFrame:
+    return windows.windows_in_range(_reader_jobs(spark, folder), events_messages(spark, folder), 1_705_276_800_000, 1_705_363_200_000).select("thread_id", "window")
+
+
+@query(f"{_EMOTION}, {SPOKEN}, d as (select thread_id, {_NY} // 86400000 as day, count(*) as n, count(*) filter (direction = 'outgoing') as sent, count(*) filter (direction = 'incoming') as received, round(avg(warmth / 3.0), 6) as w, round(avg(tension / 3.0), 6) as t from spoken group by 1, 2) select d.thread_id, d.day, d.n, sent, received, coalesce(em.warmth01, w) as warmth, coalesce(em.tension01, t) as tension, coalesce(em.valence, 0.25)::double as sentiment from d left join em using (thread_id, day)".replace("make_timestamptz(m.ms * 1000)", "(make_timestamp(m.ms * 1000) at time zone 'UTC')"), "events")
+def daily_with_emotion(spark: SparkSession, folder: str) -> DataFrame:
+    m = events_messages(spark, folder)
+    emotion = scores.emotion_daily(m, scores.message_scores(events_results(spark, folder)), "America/New_York")
+    found = scores.daily_with_emotion(metrics.daily(m, "America/New_York").withColumn("sentiment", F.lit(0.25)), emotion)
+    return found.withColumn("sentiment", F.col("sentiment") + 0.0)  # no negative zeros
+
+
+@query(f"{SPOKEN} select distinct thread_id, year(make_timestamp(ms * 1000))::int as era, case when thread_id % 2 = 0 then 'y' || year(make_timestamp(ms * 1000)) end as name from spoken", "orders")
+def refreshed_eras(spark: SparkSession, folder: str) -> DataFrame:
+    """Eras by year, made anew, with the names that half of the threads had given them."""
+    m = orders_messages(spark, folder).filter("not is_reaction")
+    fresh = m.select("thread_id", F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ms") / DAY).cast("int"))).alias("era")).distinct().withColumn("start_ms", F.unix_date(F.make_date("era", F.lit(1), F.lit(1))).cast("long") * DAY)
+    stored = fresh.filter("thread_id % 2 = 0").select("thread_id", "start_ms", F.concat(F.lit("y"), "era").alias("name"), F.lit("told").alias("summary"))
+    return identity.refresh_eras(stored, fresh).select("thread_id", "era", "name")
+
+
+_OWNERS = "case thread_id % 5 when 0 then 'en' when 1 then 'fr' when 2 then 'de' when 3 then 'src1' end"
+
+
+@query(_GATE + f""", {_LABELS}, bb as (select owner, count(*) filter (tension >= 2 and me) as a, count(*) filter (tension >= 2 and not me) as b, coalesce(avg(hostile::int) filter (tension >= 2 and not me), 0) - coalesce(avg(hostile::int) filter (tension >= 2 and me), 0) as lean from lb where hostile is not null group by 1),
+bu as (select owner, floor(case when least(a, b) < 8 then 0.12 when lean > 0.15 then least(0.12, lean * 0.3) else 0 end * 100 + 0.5) / 100 as bump from bb),
+ow as (select gs.thread_id, era, a, b, c, 0.5 + coalesce(bump, 0) as threshold from gs left join bu on bu.owner = {_OWNERS})
+select thread_id, era, round(threshold, 6)::double as threshold, case when least(a, b, c) >= threshold then 'them' when greatest(a, b, c) <= 1 - threshold then 'me' end as direction from ow""", "orders")
+def power_by_owner(spark: SparkSession, folder: str) -> DataFrame:
+    totals = _gates(spark, folder).drop("direction", "share_severe", "share_begun", "share_coercive")
+    owners = totals.select("thread_id").distinct().withColumn("owner", F.expr(_OWNERS))
+    found = gate.owner_gate(totals, owners, gate.self_report_bias(_labels(spark, folder)), 0.5)
+    return found.select("thread_id", "era", rounded(F.col("threshold")).alias("threshold"), "direction")
+
+
+@query(f"""{SCORED}, mk as (select thread_id, id, ms, direction in ('outgoing', 'draft') as me, id % 3 = 0 as hostile from msgs where id % 20 = 0 and id % 60 <> 40),
+x as (select mk.*, coalesce(s.tension, 0)::double as tension from mk left join scores s using (thread_id, id))
+select thread_id, id, ms, me, round(tension, 6) as tension, hostile, case when tension >= 2 then 'model_harder' else 'owner_harder' end as kind from x where hostile <> (tension >= 2)""", "events")
+def calibration_review(spark: SparkSession, folder: str) -> DataFrame:
+    m = events_messages(spark, folder)
+    marks = m.filter("id % 20 = 0").select(F.lit("me").alias("owner"), "thread_id", "id", F.when(F.col("id") % 60 != 40, F.col("id") % 3 == 0).alias("hostile"))
+    none = spark.createDataFrame([], "owner string, hostile int, severe int")
+    found = gate.review(marks, m, scores.message_scores(events_results(spark, folder)), none)
+    return found.select("thread_id", "id", "ms", "me", rounded(F.col("tension")).alias("tension"), "hostile", "kind")
+
+
+@query(f"""with {_PEOPLE}, t as (select row_number() over (order by raw) as thread_id, raw from (select distinct raw from ad)), k as (select thread_id, raw, raw = 'me' as mine from t)
+select thread_id, case when mine then 'stays' else 'renamed' end as state from k""")
+def repaired_threads(spark: SparkSession, folder: str) -> DataFrame:
+    """Threads that were made while nobody was known as the owner: the owner goes from their keys, unless nobody else is left."""
+    people = _people(spark, folder)
+    who = people.select(F.explode("addresses").alias("a")).select(F.col("a.raw").alias("raw")).distinct()
+    ranked = who.withColumn("thread_id", F.row_number().over(Window.orderBy("raw")))  # one row a person of the sample tables
+    stored = ranked.select("thread_id", F.array_distinct(F.array("raw", F.lit("me"))).alias("keys"), F.concat(F.lit("old-"), "raw").alias("signature"))
+    owner = identity.owner_keys(spark.createDataFrame([(1, True)], "contact_id int, is_owner boolean"), spark.createDataFrame([(1, "me", None)], "contact_id int, raw string, e164 string"))
+    return identity.repaired_threads(stored, owner).select("thread_id", F.when(F.col("changed"), "renamed").otherwise("stays").alias("state"))
