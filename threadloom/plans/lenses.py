@@ -719,7 +719,7 @@ def windows_of_a_day(spark: SparkSession, folder: str) -> DataFrame:
     return windows.windows_in_range(_reader_jobs(spark, folder), events_messages(spark, folder), 1_705_276_800_000, 1_705_363_200_000).select("thread_id", "window")
 
 
-@query(f"{_EMOTION}, {SPOKEN}, d as (select thread_id, {_NY} // 86400000 as day, count(*) as n, count(*) filter (direction = 'outgoing') as sent, count(*) filter (direction = 'incoming') as received, round(avg(warmth / 3.0), 6) as w, round(avg(tension / 3.0), 6) as t from spoken group by 1, 2) select d.thread_id, d.day, d.n, sent, received, coalesce(em.warmth01, w) as warmth, coalesce(em.tension01, t) as tension, coalesce(em.valence, 0.25)::double as sentiment from d left join em using (thread_id, day)".replace("make_timestamptz(m.ms * 1000)", "(make_timestamp(m.ms * 1000) at time zone 'UTC')"), "events")
+@query(f"{_EMOTION}, {SPOKEN}, d as (select thread_id, {_NY} // 86400000 as day, count(*) as n, count(*) filter (direction = 'outgoing') as sent, count(*) filter (direction = 'incoming') as received, round(avg(warmth / 3.0), 6) as w, round(avg(tension / 3.0), 6) as t from spoken group by 1, 2) select d.thread_id, d.day, d.n, sent, received, coalesce(em.warmth01, w) as warmth, coalesce(em.tension01, t) as tension, coalesce(em.valence, 0.25)::double + 0.0::double as sentiment from d left join em using (thread_id, day)".replace("make_timestamptz(m.ms * 1000)", "(make_timestamp(m.ms * 1000) at time zone 'UTC')"), "events")
 def daily_with_emotion(spark: SparkSession, folder: str) -> DataFrame:
     m = events_messages(spark, folder)
     emotion = scores.emotion_daily(m, scores.message_scores(events_results(spark, folder)), "America/New_York")
