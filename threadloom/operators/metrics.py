@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.clock import Zone, half_up, local_day, local_hour, local_weekday
 from threadloom.operators.ordered import rounded, runs_of_days, spoken, substantive, top
+from threadloom.operators.quantiles import percentiles
 from threadloom.operators.segments import gap_groups, scan, segmented
 from threadloom.sources.tables import HOUR_MS, day_of
+from threadloom.sources.versions import Store
+from threadloom.sources.work import kept
 
 # Words that speak of oneself, of the other, and of both.
 I_WORDS = ("i", "i'm", "i've", "i'll", "i'd", "im", "ive", "me", "my", "mine", "myself")
 YOU_WORDS = ("you", "you're", "you've", "you'll", "you'd", "your", "yours", "yourself", "yourselves", "u", "ya")
 WE_WORDS = ("we", "we're", "we've", "we'll", "we'd", "us", "our", "ours", "ourselves")
+#: Changed threads whose ids may be broadcast.
+CHANGED = 1_000_000
 #: Words of a lexicon that may be broadcast.
 LEXICON_ROWS = 500_000
 
@@ -45,11 +50,9 @@ def summary(messages: DataFrame, session_gap_ms: int = HOUR_MS, zone: Zone = 0)
         F.count_if(F.col("begins") & sent()).alias("opened_by_you"), F.count_if(F.col("begins") & received()).alias("opened_by_them"),
         rounded(F.count(F.lit(1)) / F.count_if("begins")).alias("session_messages"),
     )
-    quantile = lambda side, p: rounded(F.percentile(F.when(F.col("direction") == side, F.col("minutes")), p))
-    replies = reply_latencies(messages).groupBy("thread_id").agg(
-        quantile("outgoing", 0.5).alias("you_median"), quantile("outgoing", 0.9).alias("you_p90"),
-        quantile("incoming", 0.5).alias("them_median"), quantile("incoming", 0.9).alias("them_p90"),
-    )
+    found = percentiles(reply_latencies(messages), ["thread_id", "direction"], "minutes", {"median": 0.5, "p90": 0.9})
+    of = lambda side, c: rounded(F.max(F.when(F.col("direction") == side, F.col(c))))
+    replies = found.groupBy("thread_id").agg(*[of(side, c).alias(f"{name}_{c}") for side, name in (("outgoing", "you"), ("incoming", "them")) for c in ("median", "p90")])
     return counts.join(replies, "thread_id", "left")
 
 
@@ -139,12 +142,51 @@ def replies_by_side(messages: DataFrame, most_ms: int = 6 * HOUR_MS, zone: Zone
     rows = s.plain().withColumn("gap", F.col("ms") - F.col("_then")).withColumn("first", ~F.col("day").eqNullSafe(F.col("_day"))).withColumn("last", ~F.col("day").eqNullSafe(F.col("_next_day")))
     answered = (F.col("was") != F.col("me")) & (F.col("gap") > 0) & (F.col("gap") <= most_ms)
     me = F.col("me")
-    half = lambda side: F.coalesce(half_up(F.percentile(F.when(answered & side, F.col("gap") / 60_000.0), 0.5), 1), F.lit(0.0))
     double = lambda side: rounded(F.count_if((F.col("was") == F.col("me")) & side) / F.greatest(F.count_if(side), F.lit(1)), 3)
-    return rows.groupBy("thread_id").agg(
-        half(me).alias("median_me"), half(~me).alias("median_them"), F.count_if(F.col("first") & me).alias("first_me"), F.count_if(F.col("first") & ~me).alias("first_them"),
-        F.count_if(F.col("last") & me).alias("last_me"), F.count_if(F.col("last") & ~me).alias("last_them"), double(me).alias("double_me"), double(~me).alias("double_them"),
-    )
+    minutes = lambda side: F.when(answered & side, F.col("gap") / 60_000.0)
+    counts = [
+        F.count_if(F.col("first") & me).alias("first_me"), F.count_if(F.col("first") & ~me).alias("first_them"), F.count_if(F.col("last") & me).alias("last_me"), F.count_if(F.col("last") & ~me).alias("last_them"),
+        double(me).alias("double_me"), double(~me).alias("double_them"),
+    ]
+    sides = {"median_me": me, "median_them": ~me}
+    if s.hot is None:
+        out = rows.groupBy("thread_id").agg(*[F.percentile(minutes(side), 0.5).alias(n) for n, side in sides.items()], *counts)
+    else:
+        # A thread of several ranges may have more replies than one task should hold.
+        halves = percentiles(rows.filter(answered).select("thread_id", "me", minutes(F.lit(True)).alias("minutes")), ["thread_id", "me"], "minutes", {"half": 0.5})
+        out = rows.groupBy("thread_id").agg(*counts).join(halves.groupBy("thread_id").agg(*[F.max(F.when(side, F.col("half"))).alias(n) for n, side in sides.items()]), "thread_id", "left")
+    return out.select("thread_id", *[F.coalesce(half_up(F.col(n), 1), F.lit(0.0)).alias(n) for n in sides], "first_me", "first_them", "last_me", "last_them", "double_me", "double_them")
+
+
+def fingerprints(messages: DataFrame, by: str = "thread_id") -> DataFrame:
+    """(by, print): what each thread's rows are known by, in any order: their number and the sums of two hashes of all columns."""
+    columns = sorted(messages.columns)
+    sums = [F.sum(F.xxhash64(F.lit(i), *columns).cast("decimal(38,0)")).cast("string") for i in (1, 2)]
+    return messages.groupBy(by).agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *sums).alias("print"))
+
+
+def refreshed(store: Store, name: str, messages: DataFrame, make: Callable[[DataFrame], DataFrame], by: str = "thread_id") -> tuple[Store, DataFrame]:
+    """(the store with table `name` up to date, (by, status)): rows are made anew only for threads that changed; status is new, changed, kept or removed.
+
+    make gives rows with the column `by` for messages of some threads, each thread by itself. Rows and fingerprints are
+    one version. Nothing is written where nothing changed.
+    """
+    known = store.read(f"{name}_prints")
+    now = fingerprints(messages, by)
+    old = now.limit(0) if known is None else known
+    both = now.select(by, F.col("print").alias("_now")).join(old.select(by, F.col("print").alias("_then")), by, "full")
+    status = F.when(F.col("_then").isNull(), "new").when(F.col("_now").isNull(), "removed").when(F.col("_now") == F.col("_then"), "kept").otherwise("changed")
+    states = kept(both.select(by, status.alias("status"), F.col("_now").alias("print")))
+    moved = states.filter("status <> 'kept'")
+    if moved.isEmpty() and store.read(name) is not None:
+        return store, states.select(by, "status")
+    due = states.filter("status in ('new', 'changed')").select(by)
+    few = due.limit(CHANGED + 1).count() <= CHANGED
+    made = make(messages.join(F.broadcast(due) if few else due, by, "left_semi"))
+    before = store.read(name)
+    rows = made if before is None else before.join(moved.select(by), by, "left_anti").unionByName(made)
+    prints = states.filter("print is not null").select(by, "print")
+    return store.commit(replace={name: rows, f"{name}_prints": prints}), states.select(by, "status")
 
 
 def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame], anew: bool = False) -> DataFrame:

@@ -39,7 +39,8 @@ class Segmented(NamedTuple):
         return self.rows.drop(START)
 
 
-def _input_bytes(df: DataFrame) -> int:
+def input_bytes(df: DataFrame) -> int:
+    """Bytes that df's sources hold by Spark's statistics."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
@@ -55,7 +56,7 @@ def segmented(messages: DataFrame, most: int | None = None) -> Segmented:
     """
     limit = MOST if most is None else most
     rows = messages.withColumn(START, F.lit(0).cast("long"))
-    if most is None and _input_bytes(messages) <= FEW_BYTES:
+    if most is None and input_bytes(messages) <= FEW_BYTES:
         return Segmented(rows, None)
     hot = None
     while True:

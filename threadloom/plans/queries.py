@@ -87,6 +87,30 @@ def replies_by_side(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.replies_by_side(events_messages(spark, folder), zone="America/New_York")
 
 
+_REFRESHED = f"""{SPOKEN}, d as (select thread_id, count(distinct ms // 86400000)::bigint as active_days, count(*) as n from spoken group by 1),
+st as (select thread_id, case when thread_id % 7 = 0 then 'new' when thread_id % 4 = 0 then 'changed' else 'kept' end as status from (select distinct thread_id from msgs) union all select 1000001, 'removed')"""
+
+
+def _refreshed(spark: SparkSession, folder: str) -> tuple[Store, DataFrame]:
+    """A table of each thread's days, of an older state of the events first (threads missing, others with fewer messages, one since gone), then of the events."""
+    m = events_messages(spark, folder)
+    gone = m.limit(1).withColumn("thread_id", F.lit(1_000_001).cast(m.schema["thread_id"].dataType))
+    older = m.filter("thread_id % 7 <> 0").filter("thread_id % 4 <> 0 or id % 3 <> 0").unionByName(gone)
+    made = lambda rows: metrics.daily(rows).groupBy("thread_id").agg(F.count(F.lit(1)).alias("active_days"), F.sum("n").alias("n"))
+    store, _ = metrics.refreshed(Store(spark, scratch(spark, "metrics")), "days", older, made)
+    return metrics.refreshed(store, "days", m, made)
+
+
+@query(_REFRESHED + " select thread_id, active_days, n from d", "events")
+def refreshed_days(spark: SparkSession, folder: str) -> DataFrame:
+    return _refreshed(spark, folder)[0].read("days")
+
+
+@query(_REFRESHED + " select thread_id::bigint as thread_id, status from st", "events")
+def refreshed_states(spark: SparkSession, folder: str) -> DataFrame:
+    return _refreshed(spark, folder)[1].select(F.col("thread_id").cast("long").alias("thread_id"), "status")
+
+
 @query(f"{SUBSTANTIVE}, {episodes_sql(DAY, 3)} select * from ep", "events")
 def episodes(spark: SparkSession, folder: str) -> DataFrame:
     return conflict.episodes(events_messages(spark, folder), DAY, 3)
