@@ -78,3 +78,32 @@ def episodes(stream: DataFrame, gap_ms: int, least: int, delay: str = "1 hour")
 def drain(out: DataFrame, path: str, checkpoint: str) -> None:
     """Append all that is there to Parquet files and stop; running it again with the same checkpoint goes on from there."""
     out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def merge_daily(stream: DataFrame, path: str, checkpoint: str, late_ms: int = 86_400_000) -> None:
+    """Add all that is there to the daily totals of the store at path (table totals: thread_id, day, sent, received), and stop.
+
+    Each batch is one version of the store together with its number, so that a batch that is run again after a kill
+    changes nothing. Messages over late_ms older than the newest of the batches before count too, and are kept in table
+    late with the batch they came in. No state is held but the totals.
+    """
+    from threadloom.sources.versions import Store
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        store = Store(spark, path)
+        progress = store.read("progress")
+        last, newest = (-1, None) if progress is None else progress.first()
+        if number <= last:
+            return
+        batch = batch.persist()
+        day = F.floor(F.col("ms") / 86_400_000).alias("day")
+        counts = batch.groupBy("thread_id", day).agg(F.count_if(F.col("direction") == "outgoing").alias("sent"), F.count_if(F.col("direction") == "incoming").alias("received"))
+        before = store.read("totals")
+        totals = counts if before is None else before.unionByName(counts).groupBy("thread_id", "day").agg(F.sum("sent").alias("sent"), F.sum("received").alias("received"))
+        now = batch.agg(F.lit(number).cast("long").alias("batch"), F.greatest(F.max("ms"), F.lit(newest).cast("long")).alias("newest_ms"))
+        late = batch.filter(F.col("ms") < F.lit(newest).cast("long") - late_ms).select("thread_id", "id", "ms", F.lit(number).cast("long").alias("batch"))
+        store.commit(replace={"totals": totals, "progress": now}, append={"late": late})
+        batch.unpersist()
+
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
