@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.clock import Zone, half_up, local_day, local_hour, local_weekday
+from threadloom.operators import valence
 from threadloom.operators.ordered import rounded, runs_of_days, spoken, substantive, top
 from threadloom.operators.quantiles import percentiles
 from threadloom.operators.segments import gap_groups, scan, segmented
@@ -71,22 +72,31 @@ def heatmap(messages: DataFrame, zone: Zone = 0) -> DataFrame:
     return grid.join(cell, ["thread_id", "dow", "hour"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def sentiment(messages: DataFrame, lexicon: DataFrame, zone: Zone = 0, alpha: float = 15.0) -> DataFrame:
+def sentiment(messages: DataFrame, lexicon: DataFrame, zone: Zone = 0, alpha: float = 15.0, context: valence.Context | None = None) -> DataFrame:
     """(thread_id, day, sentiment, warmth, tension, scored, english_share): daily means of scores by a lexicon (word, valence).
 
     A message's score is its words' valence sum over the root of its square plus alpha, so that it lies within -1 and 1.
     Every eligible message (language en or unknown) with more than white space has one, 0 if it holds no word of the
     lexicon. warmth is the mean of its positive part, tension of its negative part; on days without scored messages both
-    are 0 and sentiment is null. The lexicon is broadcast only if it is counted to be small.
+    are 0 and sentiment is null. With a context words are scored by `valence.scores`. The lexicon is broadcast only if it
+    is counted to be small.
     """
     few = lexicon.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS
     rows = spoken(messages).select("thread_id", "id", "body", local_day(zone).alias("day"), english().alias("eligible"))
     said = F.col("eligible") & F.coalesce(F.col("body"), F.lit("")).rlike(r"(?U)\S")
+    if context is not None:
+        keyed = rows.filter(said).select("thread_id", "day", F.struct("thread_id", "id").alias("key"), "body")
+        total = valence.scores(keyed, lexicon, context, LEXICON_ROWS).select("key", "score").join(keyed.select("key", "thread_id", "day"), "key")
+        return _daily_sentiment(rows, said, total.select("thread_id", "day", F.col("score").alias("c")))
     words = rows.filter(said).select("thread_id", "day", "id", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(r"[a-z][a-z']*"), 0)).alias("word"))
     total = words.join(F.broadcast(lexicon) if few else lexicon, "word").groupBy("thread_id", "day", "id").agg(F.sum("valence").alias("s"))
     score = F.col("s") / F.sqrt(F.col("s") * F.col("s") + alpha)
-    # Messages without such a word add nothing to the sums, and count.
-    sums = total.withColumn("c", score).groupBy("thread_id", "day").agg(F.sum("c").alias("c"), F.sum(F.greatest(F.lit(0.0), "c")).alias("up"), F.sum(F.greatest(F.lit(0.0), -F.col("c"))).alias("down"))
+    return _daily_sentiment(rows, said, total.withColumn("c", score))
+
+
+def _daily_sentiment(rows: DataFrame, said: Column, scored: DataFrame) -> DataFrame:
+    """Daily means of scores c: messages without such a word add nothing to the sums, and count."""
+    sums = scored.groupBy("thread_id", "day").agg(F.sum("c").alias("c"), F.sum(F.greatest(F.lit(0.0), "c")).alias("up"), F.sum(F.greatest(F.lit(0.0), -F.col("c"))).alias("down"))
     days = rows.groupBy("thread_id", "day").agg(F.count_if(said).alias("scored"), rounded(F.avg(F.col("eligible").cast("int"))).alias("english_share"))
     mean = lambda c: rounded(F.try_divide(F.coalesce(F.col(c), F.lit(0.0)), F.col("scored")))
     both = days.join(sums, ["thread_id", "day"], "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import normalize
-from threadloom.operators import ambient, conflict, findings, gate, health, identity, load, metrics, scores, search, threads, windows
+from threadloom.operators import ambient, conflict, findings, gate, health, identity, load, metrics, scores, search, threads, valence, windows
 from threadloom.operators.ordered import rounded, runs_of_days
 from threadloom.plans.registry import DAY, MONTH, ORACLE_SQL, SPOKEN, SUBSTANTIVE, answers_sql, episodes_sql, query
 from threadloom.sources import exports
@@ -771,3 +771,37 @@ def repaired_threads(spark: SparkSession, folder: str) -> DataFrame:
     stored = ranked.select("thread_id", F.array_distinct(F.array("raw", F.lit("me"))).alias("keys"), F.concat(F.lit("old-"), "raw").alias("signature"))
     owner = identity.owner_keys(spark.createDataFrame([(1, True)], "contact_id int, is_owner boolean"), spark.createDataFrame([(1, "me", None)], "contact_id int, raw string, e164 string"))
     return identity.repaired_threads(stored, owner).select("thread_id", F.when(F.col("changed"), "renamed").otherwise("stays").alias("state"))
+
+
+#: Order priorities as sentences with capitals, boosters, negations, contrast and stress.
+_SENTENCES = "case id % 6 when 0 then 'VERY ' || lower(body) || '!!' when 1 then 'not so ' || lower(body) when 2 then lower(body) || ' but hardly ' || lower(body) || '??' when 3 then lower(split_part(body, '-', 1)) || ' it is ' || upper(split_part(body, '-', 2)) when 4 then 'never (' || lower(split_part(body, '-', 2)) || ')!!!!!!' else body || '???? ' end"
+
+
+def _sql_valence() -> str:
+    c = valence.Context()
+    words = lambda ws: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in ws) + ")"
+    loud = lambda t: f"({t} = upper({t}) and {t} <> lower({t}))"
+    v = f"v + case when mixed and {loud('w[i]')} then sign(v) * 0.733 else 0 end"
+    for k, fading in ((1, 1.0), (2, 0.95), (3, 0.9)):
+        low = f"lower(w[i - {k}])"
+        b = f"(case when i > {k} and {low} in {words(c.stronger)} then 0.293 when i > {k} and {low} in {words(c.weaker)} then -0.293 end)"
+        v = f"({v}) + coalesce((sign(v) * {b} + case when mixed and {loud(f'w[i - {k}]')} then sign(v) * 0.733 * sign({b}) else 0 end) * {fading}, 0)"
+        v = f"({v}) * case when i > {k} and {low} in {words(c.negations)} then -0.74 else 1 end"
+    return v
+
+
+@query(f"""{SPOKEN}, lx(word, v) as (values {', '.join(f"('{w}', {v}::double)" for w, v in LEXICON)}),
+t as (select thread_id, id, ms // 86400000 as day, coalesce(lang = 'en', true) as ok, {_SENTENCES} as body from spoken),
+k as (select *, list_filter(list_transform(string_split(trim(regexp_replace(body, '\\s+', ' ', 'g'), ' '), ' '), lambda x: regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda x: x <> '') as w from t where ok),
+g as (select *, len(list_filter(w, lambda x: x = upper(x) and x <> lower(x))) as loud from k), m as (select *, loud > 0 and loud < len(w) as mixed, coalesce(list_position(list_transform(w, lambda x: lower(x)), 'but'), 0) as but, generate_subscripts(w, 1) as i from g),
+x as (select m.*, v from m join lx on lower(w[i]) = word),
+y as (select thread_id, day, id, body, sum(({_sql_valence()}) * case when but = 0 or i = but then 1 when i < but then 0.5 else 1.5 end) as s from x group by 1, 2, 3, 4),
+z as (select *, length(body) - length(replace(body, '!', '')) as e, length(body) - length(replace(body, '?', '')) as q from y),
+c as (select thread_id, day, s + sign(s) * (least(e, 4) * 0.292 + case when q > 3 then 0.96 when q > 1 then q * 0.18 else 0 end) as s from z),
+f as (select thread_id, day, s / sqrt(s * s + 15) as c from c),
+u as (select thread_id, day, sum(c) as c, sum(greatest(0, c)) as up, sum(greatest(0, -c)) as down from f group by 1, 2), d as (select thread_id, day, count(*) filter (ok) as scored, round(avg(case when ok then 1.0 else 0 end), 6) as english_share from t group by 1, 2)
+select thread_id, day, round(coalesce(c, 0) / nullif(scored, 0), 5)::double + 0.0::double as sentiment, round(coalesce(coalesce(up, 0) / nullif(scored, 0), 0), 5)::double as warmth, round(coalesce(coalesce(down, 0) / nullif(scored, 0), 0), 5)::double as tension, scored, english_share from d left join u using (thread_id, day)""", "orders")
+def context_sentiment(spark: SparkSession, folder: str) -> DataFrame:
+    m = orders_messages(spark, folder).withColumn("body", F.expr(_SENTENCES))
+    found = metrics.sentiment(m, spark.createDataFrame(LEXICON, "word string, valence double"), context=valence.Context())
+    return found.withColumns({c: F.round(c, 5) + 0.0 for c in ("sentiment", "warmth", "tension")})
