@@ -26,9 +26,9 @@ CAPACITY = 2048
 #: Pieces that one task packs together in the first round; the rest of each group meets in a second round.
 GROUP = 4096
 END = 0
-MEMO_CHARS, MEMO_SIZE, RUN_CHARS = 64, 100_000, 1 << 19
+MEMO_CHARS, MEMO_SIZE, RUN_CHARS = 64, 100_000, 1 << 20
 #: Forms in one call of the library.
-CALL = 2048
+CALL = 4096
 
 #: A slot is a task's number, shifted by so many bits, and the piece's number within the task.
 TASK_BITS = 33
