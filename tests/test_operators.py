@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import clock
-from threadloom.operators import ambient, conflict, findings, gate, health, identity, metrics, ordered, scores, search, windows
+from threadloom.operators import ambient, conflict, findings, gate, health, identity, metrics, scores, search, segments, windows
 from threadloom.operators.ranges import range_join
 from threadloom.sources import phone
 from threadloom.sources.typed_stream import first_text
@@ -358,5 +358,5 @@ def test_stored_and_claims(spark, tmp_path):
 
 def test_ordered_by_time_and_id(spark):
     m = made(spark, [(0, "me", 0, 0), (0, "them", 2, 0), (0, "me", 0, 0)])
-    got = m.withColumn("n", ordered.next_where(F.col("tension") >= 2, F.col("id"))).orderBy("id").collect()
+    got = segments.scan(segments.segmented(m), coming={"n": (F.col("tension") >= 2, F.col("id"))}).plain().orderBy("id").collect()
     assert [r.n for r in got] == [2, None, None]
