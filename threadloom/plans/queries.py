@@ -161,7 +161,23 @@ def monthly_series(spark: SparkSession, folder: str) -> DataFrame:
     return series.select("thread_id", "month", *[F.round(c, 5).alias(c) for c in conflict.FEATURES], *[F.round(f"z_{c}", 4).alias(f"z_{c}") for c in conflict.FEATURES])
 
 
-@query()
+#: Every segment's best split from running sums, then the splits made one after another by recursion.
+_ERAS = f"""
+u as (unpivot (select thread_id, month, n_total::double as n_total, {', '.join(f'{c}::double as {c}' for c in conflict.FEATURES[1:])} from v) on {', '.join(conflict.FEATURES)} into name f value x),
+z as (select thread_id, month, f, case when stddev_pop(x) over w > 1e-12 then (x - avg(x) over w) / stddev_pop(x) over w else 0 end as x from u window w as (partition by thread_id, f)),
+pr as (select thread_id, f, row_number() over w as i, sum(x) over w as s1, sum(x * x) over w as s2 from z window w as (partition by thread_id, f order by month) union all select distinct thread_id, f, 0, 0.0, 0.0 from z),
+ca as (select a.thread_id, a.i as a, b.i as b, c.i as c, avg(abs((c.s1 - a.s1) / (c.i - a.i) - (b.s1 - c.s1) / (b.i - c.i)) / greatest(sqrt(greatest(b.s2 - a.s2 - pow(c.s1 - a.s1, 2) / (c.i - a.i) - pow(b.s1 - c.s1, 2) / (b.i - c.i), 0) / (b.i - a.i)), 1e-6)) as score
+  from pr a join pr c on c.thread_id = a.thread_id and c.f = a.f and c.i >= a.i + 4 join pr b on b.thread_id = a.thread_id and b.f = a.f and b.i >= c.i + 4 group by 1, 2, 3, 4),
+be as (select thread_id, a, b, arg_max(c, (round(score, 9), -c)) as cut, arg_max(score, (round(score, 9), -c)) as score from ca group by 1, 2, 3),
+st as (select thread_id, 1 as k, [0::bigint] as starts, count(*) as n from v group by 1
+  union all select q.thread_id, q.k + 1, list_sort(list_append(any_value(q.starts), arg_max(cut, (score, -a)))), q.n from (select *, unnest(range(1, len(starts) + 1)) as j from st where len(starts) < 6) q
+  join be on be.thread_id = q.thread_id and be.a = q.starts[j] and be.b = coalesce(q.starts[j + 1], q.n) group by q.thread_id, q.k, q.n having max(score) > 0.75),
+fi as (select thread_id, arg_max(starts, k) as starts, any_value(n) as n from st group by 1), sg as (select thread_id, j - 1 as era, starts[j] as a, coalesce(starts[j + 1], n) as b from (select *, unnest(range(1, len(starts) + 1)) as j from fi)),
+ro as (select *, row_number() over (partition by thread_id order by month) - 1 as i from v)"""
+
+
+@query(_MONTHLY + "," + _ERAS + f""" select sg.thread_id, era::int as era, min(month) as first_month, max(month) as last_month, count(*)::int as months, {', '.join(f'round(avg({c}), 6)::double as {c}' for c in conflict.FEATURES)},
+  epoch_ms(strptime(min(month) || '-01', '%Y-%m-%d')) as start_ms, epoch_ms(strptime(max(month) || '-01', '%Y-%m-%d') + interval 1 month) - 1 as end_ms from sg join ro on ro.thread_id = sg.thread_id and i >= a and i < b group by 1, 2""", "orders")
 def eras(spark: SparkSession, folder: str) -> DataFrame:
     return conflict.eras(_monthly(spark, folder))
 
