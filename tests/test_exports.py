@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import unicodedata
 import zipfile
 
 import pytest
@@ -122,3 +123,13 @@ def test_threads_and_dedup(spark):
     assert keys[2] == keys[3] and keys[4][1] == 1 and len(set(keys.values())) == 5
     assert threads.new_messages(keyed, keyed.filter("id = 4")).count() == 4
     assert {r.key: (r.first_ms, r.last_ms) for r in threads.contacts(m).collect()}["+15550100001"] == (0, 9)
+
+
+def test_bodies_are_composed_without_python(spark):
+    """NFC as Python's, of marks in any order, jamo, singletons, characters beyond the first plane and texts that need nothing."""
+    bodies = ["plain", "é", "e\u0301", "a\u0323\u0307", "a\u0307\u0323", "\u1100\u1161\u11a8", "\u212b", "\u2126", "\U0001d15e", "\ufb01", "\u0958", "x\u0345\u0301", "", "日本", "\U0001f600\u0301", "\u0301"]
+    frame = spark.createDataFrame([(b,) for b in bodies], "b string").select("b", N.canonical_body(F.col("b")).alias("c"))
+    assert {r.b: r.c for r in frame.collect()} == {b: unicodedata.normalize("NFC", b) for b in bodies}
+    keyed = threads.dedup_keys(spark.createDataFrame([(1, "x", "in", 5, "e\u0301"), (2, "x", "in", 5, "é")], "id long, who string, direction string, ms long, body string"), "who")
+    assert keyed.select("dedup_key").distinct().count() == 1
+    assert "Python" not in keyed._jdf.queryExecution().executedPlan().toString()
