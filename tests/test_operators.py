@@ -166,6 +166,24 @@ def test_windows(spark):
     assert [r.window for r in windows.windows_in_range(jobs.filter("thread_id = 1"), m, 1000, 1000).collect()] == [0]
 
 
+def test_windows_of_many_threads(spark):
+    """Threads are followed in one pass, over batches that end within them; chunks of turns give the same."""
+    rng = random.Random(8)
+    rows = {t: [(i + 1, rng.choice(["outgoing", "incoming", None]), "x" * rng.randint(1, 300)) for i in range(rng.choice([1, 2, 19, 20, 21, 60]))] for t in range(40)}
+    m = spark.createDataFrame([(t, i, i * 1000, d, False, b) for t, own in rows.items() for i, d, b in own] + [(None, 1, 1000, "incoming", False, "lost")], "thread_id long, id long, ms long, direction string, is_reaction boolean, body string")
+    found = lambda df: sorted((r.thread_id, r.window, r.id, r.ms, r.prefix) for r in df.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = windows.tile(m, 20, 600, 3, 4)
+        assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+        once = found(got)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert once == found(windows.tile(m, 20, 600, 3, 4)) == found(windows.tile(m, 20, 600, 3, 4, chunk=20)) == found(windows.tile(m, 20, 600, 3, 4, chunk=0))
+    sure = {t: own for t, own in rows.items() if all(d for _, d, _ in own)}
+    assert sure and all([x[1:3] + x[4:] for x in once if x[0] == t] == tiles(own, 20, 600, 3, 4) for t, own in sure.items())
+
+
 def test_intake(spark):
     planned = spark.createDataFrame([(1, 0, "h", [1, 2, 3], [1])], "thread_id long, window long, input_hash string, member_ids array<long>, prefix_ids array<long>")
     s = lambda *ids, w=1.0: [(f"m{i}", 0.5, w, 2.0) for i in ids]

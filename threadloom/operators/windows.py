@@ -6,13 +6,16 @@ before as context. A window is known by the hash of its transcript, so that wind
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.ordered import substantive
-from threadloom.operators.segments import scan, segmented, with_turns
+from threadloom.operators.segments import Segmented, _small, scan, segmented, with_turns
 from threadloom.sources.work import kept
 
 MESSAGES, TOKENS, OVERLAP_TURNS, PREFIX = 55, 7000, 3, 12
@@ -81,13 +84,58 @@ def window_turns(turns: DataFrame, most: int, budget: int, chunk: int = CHUNK) -
     return chunks.join(begun, ["thread_id", "chunk"]).groupBy("thread_id", "chunk").applyInPandas(number, "thread_id long, turn long, window long")
 
 
-def tile(messages: DataFrame, most: int = MESSAGES, budget: int = TOKENS, overlap: int = OVERLAP_TURNS, prefix: int = PREFIX, chunk: int = CHUNK) -> DataFrame:
-    """(thread_id, window, id, ms, prefix): substantive messages by window; a window ends with the turn that reaches `most` messages or `budget` tokens.
-
-    prefix rows are the last messages (at most `prefix`, of the last `overlap` turns) of the window before. No task sees
-    a whole thread: turns are numbered by segmented scans, and windows by `window_turns`.
-    """
-    numbered = scan(with_turns(segmented(substantive(messages))), total={"rn": F.lit(1)}).plain()
+def _streamed(rows: DataFrame, most: int, budget: int, overlap: int, prefix: int) -> DataFrame:
+    """Tiles of threads that one task may order: each task follows its sorted threads, many in a batch, and holds back one at most."""
+    shape = pa.schema([("thread_id", pa.int64()), ("window", pa.int64()), ("id", pa.int64()), ("ms", pa.int64()), ("prefix", pa.bool_())])
+
+    def tiled(t: pa.Table) -> pa.Table:
+        thread, me, cost = (t[c].to_numpy() for c in ("thread_id", "me", "cost"))
+        row, new = np.arange(len(thread)), np.concatenate([[True], thread[1:] != thread[:-1]])
+        begins = new.copy()
+        begins[1:] |= (me[1:] != me[:-1]) | (me[1:] < 0) | (me[:-1] < 0)
+        turn, first = np.cumsum(begins) - 1, np.flatnonzero(begins)  # first: a turn's first row
+        bounds = np.append(turn[new], len(first))  # a thread's first turn
+        ends = _ends(np.diff(np.append(first, len(thread))), np.add.reduceat(cost, first), most, budget)
+        ends = np.minimum(ends, np.repeat(bounds[1:], np.diff(bounds))).tolist()
+        starts, at = [], 0
+        while at < len(ends):
+            starts.append(at)
+            at = ends[at]
+        begun = np.zeros(len(first), dtype=np.int64)
+        begun[starts] = 1
+        nth = (np.cumsum(begun) - 1)[turn]  # windows of all threads counted through
+        window = nth - nth[np.flatnonzero(new)][np.cumsum(new) - 1]
+        last_turn = np.append(starts[1:], len(first)) - 1
+        last_row = np.append(first[starts[1:]], len(thread)) - 1
+        followed = np.append(thread[last_row[:-1]] == thread[last_row[:-1] + 1], False)
+        context = np.flatnonzero(followed[nth] & (last_turn[nth] - turn < overlap) & (last_row[nth] - row < prefix))
+        out = lambda at, windows, own: pa.Table.from_arrays([at["thread_id"], pa.array(windows), at["id"], at["ms"], pa.repeat(own, len(at))], schema=shape)
+        return pa.concat_tables([out(t, window, False), out(t.take(context), window[context] + 1, True)])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            thread = b.column(0).to_numpy()
+            if not len(thread):
+                continue
+            cut = int(np.searchsorted(thread, thread[-1]))  # where the batch's last thread begins
+            if held and (cut or held[0].column(0)[0].as_py() != thread[0]):
+                yield from tiled(pa.Table.from_batches([*held, b.slice(0, cut)])).to_batches()
+                held = []
+            elif cut:
+                yield from tiled(pa.Table.from_batches([b.slice(0, cut)])).to_batches()
+            held.append(b.slice(cut))
+        if held:
+            yield from tiled(pa.Table.from_batches(held)).to_batches()
+
+    side = F.coalesce(F.col("me").cast("int"), F.lit(-1)).alias("me")
+    own = rows.filter("thread_id is not null").select("thread_id", "ms", "id", side, tokens(F.col("body")).alias("cost"))
+    return own.repartition("thread_id").sortWithinPartitions("thread_id", "ms", "id").mapInArrow(follow, "thread_id long, window long, id long, ms long, prefix boolean")
+
+
+def _chunked(s: Segmented, most: int, budget: int, overlap: int, prefix: int, chunk: int) -> DataFrame:
+    """Tiles of threads of any size: turns are numbered by segmented scans, and windows by `window_turns`."""
+    numbered = scan(with_turns(s), total={"rn": F.lit(1)}).plain()
     rows = kept(numbered.select("thread_id", "ms", "id", "turn", "rn", tokens(F.col("body")).alias("cost")))
     turns = rows.groupBy("thread_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
     placed = rows.join(window_turns(turns, most, budget, chunk), ["thread_id", "turn"])
@@ -98,6 +146,23 @@ def tile(messages: DataFrame, most: int = MESSAGES, budget: int = TOKENS, overla
     return out(placed, 0, False).unionByName(out(context, 1, True))
 
 
+def tile(messages: DataFrame, most: int = MESSAGES, budget: int = TOKENS, overlap: int = OVERLAP_TURNS, prefix: int = PREFIX, chunk: int | None = None) -> DataFrame:
+    """(thread_id, window, id, ms, prefix): substantive messages by window; a window ends with the turn that reaches `most` messages or `budget` tokens.
+
+    prefix rows are the last messages (at most `prefix`, of the last `overlap` turns) of the window before. Threads of
+    over `segments.MOST` messages (or over `chunk`, where that is given) are tiled by chunks of turns, so that no task
+    sees one whole; the others are followed one after another by the task that sorts them.
+    """
+    s = segmented(substantive(messages))
+    hot = s.hot
+    if chunk is not None:
+        hot = kept(s.rows.groupBy("thread_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk).select("thread_id"))
+    if hot is None:
+        return _streamed(s.rows, most, budget, overlap, prefix)
+    long = Segmented(s.rows.join(_small(hot), "thread_id", "left_semi"), s.hot)
+    return _streamed(s.rows.join(_small(hot), "thread_id", "left_anti"), most, budget, overlap, prefix).unionByName(_chunked(long, most, budget, overlap, prefix, chunk or CHUNK))
+
+
 def transcript_line() -> Column:
     """[m<id>] <minute> <ME|THEM>: <body on one line>."""
     minute = F.date_format(F.timestamp_seconds(F.floor(F.col("ms") / 60_000) * 60), "yyyy-MM-dd HH:mm")
