@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,19 @@ def test_a_phrase_reads_its_buckets_only(spark, tmp_path):
         plan = lists._jdf.queryExecution().executedPlan().toString()
         assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
     assert phrase_index.phrase_search(Store(spark, "file://" + str(tmp_path / "none")), "w1").count() == 0
+
+
+def test_lists_have_a_row_for_each_block(spark, tmp_path, monkeypatch):
+    """However many texts a block holds; its lengths come with it, and long texts end it."""
+    monkeypatch.setattr(phrase_index, "BLOCK", 2_000)
+    made = [(i, "of the " * (i % 7 + 1) + "é" * (i % 3)) for i in range(300)] + [(300, "of the end " * 900), (301, ""), (302, None)]
+    few = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
+    store = Store(spark, "file://" + str(tmp_path / "i"))
+    block = phrase_index._block
+    assert block(pa.array([5, 6, 7], pa.int64()), ["b a b", None, "a"]).to_pylist() == [{"term": "b", "keys": [5], "hits": [2], "places": [0, 2]}, {"term": "a", "keys": [5, 7], "hits": [1, 1], "places": [1, 0]}, {"term": None, "keys": [5, 6, 7], "hits": [3, None, 1], "places": []}]
+    assert block(pa.array([5], pa.int64()), [None]).to_pylist() == [{"term": None, "keys": [5], "hits": [None], "places": []}]
+    store = phrase_index.upsert(store, few)
+    rows = phrase_index.posting_lists(store, ["of"]).count()
+    assert 3 < rows < 60
+    assert {r.doc_id: r.hits for r in phrase_index.phrase_search(store, "of the").collect()} == {i: t.count("of the") for i, t in made if t}
+    assert store.read("stats").first()[0] == 302

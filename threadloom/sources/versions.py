@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,14 @@ class Conflict(RuntimeError):
     """Another run committed first."""
 
 
+class Staged(NamedTuple):
+    """A folder of a table that is written whole, and that no version names yet."""
+
+    name: str
+    folder: str
+    schema: str
+
+
 class Store:
     """Named tables under a folder that all executors reach, at one version: the newest when the store was opened."""
 
@@ -44,10 +53,25 @@ class Store:
         if name not in self.tables:
             return None
         own = self.tables[name]
-        found = self.spark.read.schema(own["schema"]).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{f}" for f in own["folders"]])
+        return self._rows(name, own["schema"], own["folders"])
+
+    def _rows(self, name: str, schema: str, folders: list[str]) -> DataFrame:
+        found = self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{f}" for f in folders])
         return found.drop(FOLDER)
 
-    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, by: dict[str, str] | None = None) -> Store:
+    def stage(self, name: str, df: DataFrame, by: str | None = None) -> Staged:
+        """df written as rows of a table, for a commit to name; `by` names a column whose values are folders."""
+        folder = f"{name}/{FOLDER}=v{uuid.uuid4().hex}"
+        writer = df.write.partitionBy(by) if by else df.write
+        writer.parquet(f"{self.path}/{folder}")
+        fields = [f for f in df.schema if f.name != by] + [f for f in df.schema if f.name == by]
+        return Staged(name, folder, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+
+    def staged(self, s: Staged) -> DataFrame:
+        """The rows that were staged, so that what follows from them needn't make them again."""
+        return self._rows(s.name, s.schema, [s.folder])
+
+    def commit(self, replace: dict[str, DataFrame | Staged] | None = None, append: dict[str, DataFrame | Staged] | None = None, by: dict[str, str] | None = None) -> Store:
         """The store at the next version: tables of `replace` are new, rows of `append` are added to theirs, others stay.
 
         `by` names a column whose values are folders of a table. What is read from this store while it is written stays
@@ -57,14 +81,9 @@ class Store:
         tables = dict(self.tables)
         for rows, keep in ((replace or {}, False), (append or {}, True)):
             for name, df in rows.items():
-                folder = f"{name}/{FOLDER}=v{uuid.uuid4().hex}"
-                split = (by or {}).get(name)
-                writer = df.write.partitionBy(split) if split else df.write
-                writer.parquet(f"{self.path}/{folder}")
+                own = df if isinstance(df, Staged) else self.stage(name, df, (by or {}).get(name))
                 kept = tables[name]["folders"] if keep and name in tables else []
-                fields = [f for f in df.schema if f.name != split] + [f for f in df.schema if f.name == split]
-                ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-                tables[name] = {"schema": ddl, "folders": [*kept, folder]}
+                tables[name] = {"schema": own.schema, "folders": [*kept, own.folder]}
         self._publish(tables)
         return Store(self.spark, self.path)
 
