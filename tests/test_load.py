@@ -54,3 +54,20 @@ def test_of_equal_messages_the_first_is_new(spark):
     same = spark.createDataFrame([(1, "x", "in", 5, "t"), (2, "x", "in", 5, "t"), (3, "x", "in", 6, "t"), (4, "y", "in", 6, "t")], "id long, who string, direction string, ms long, body string")
     assert [r.occurrence for r in threads.dedup_keys(same, "who").orderBy("id").collect()] == [0, 0, 1, 0]
     assert [r.occurrence for r in threads.dedup_keys(same.withColumn("n", F.col("id")), "who", native="n").orderBy("id").collect()] == [0, 1, 2, 0]
+
+
+def test_a_load_keeps_records_once(spark, tmp_path, monkeypatch):
+    """New messages are written as the store's rows alone: no copies of them, nor of what arrived, lie in the shared folder; sent messages have their senders without a join."""
+    made = []
+    keep = load.kept
+    monkeypatch.setattr(load, "kept", lambda df: made.append(df) or keep(df))
+    rows = spark.createDataFrame([record(i, "incoming" if i % 2 else "outgoing", [f"+1555010{i % 3:04d}"], f"text {i // 2}", ms=i // 4 * 60_000, lang="en") for i in range(20)], SHAPE)
+    store = load.load(Store(spark, "file://" + str(tmp_path / "graph")), rows, "a", "1")
+    assert sum("body" in df.columns for df in made) == 1
+    got = {r.body + r.direction: r.sender for r in store.read("messages").collect()}
+    assert len(got) == 20 and all(s == "+15550100009" for k, s in got.items() if k.endswith("outgoing"))
+    assert sorted(got[f"text {i // 2}incoming"] for i in range(1, 20, 2)) == sorted(f"+1555010{i % 3:04d}" for i in range(1, 20, 2))
+    # Where roles disagree, the owner is found by company.
+    odd = spark.createDataFrame([(1, 0, "outgoing", [("a", "from"), ("b", "to")], None, "x", "en"), (2, 0, "outgoing", [("b", "from"), ("c", "to")], None, "y", "en"), (3, 0, "outgoing", [("b", "from"), ("d", "to")], None, "z", "en")], SHAPE)
+    found = load.load(Store(spark, "file://" + str(tmp_path / "odd")), odd, "o", "1")
+    assert [r.raw for r in found.read("identifiers").join(found.read("contacts").filter("is_owner"), "contact_id").collect()] == ["b"]

@@ -67,8 +67,8 @@ def address_role(kind: Column) -> Column:
 def address_kind(raw: Column) -> Column:
     """email, alias (no number), shortcode (at most six digits) or mobile."""
     value = F.trim(F.coalesce(raw, F.lit("")))
-    digits = F.length(F.regexp_replace(value, r"\D", ""))
-    return F.when(value.contains("@"), "email").when((digits == 0) | value.rlike("[A-Za-z]"), "alias").when(digits <= 6, "shortcode").otherwise("mobile")
+    digits = F.length(value) - F.length(F.translate(value, "0123456789", ""))
+    return F.when(value.contains("@"), "email").when(value.rlike("[A-Za-z]") | (digits == 0), "alias").when(digits <= 6, "shortcode").otherwise("mobile")
 
 
 def e164(raw: Column, country: str = "1", national: int = 10) -> Column:

@@ -32,8 +32,8 @@ def find_owner(messages: DataFrame) -> DataFrame:
     return told.unionByName(owner_by_company(messages).join(told.agg(F.count(F.lit(1)).alias("n")).filter("n = 0"), how="inner").select("key"))
 
 
-def senders(messages: DataFrame, owner: DataFrame) -> DataFrame:
-    """(id, sender, recipients): the owner sends what goes out, the `from` address (or the only other one) what comes in; recipients are distinct (key, role)."""
+def with_senders(messages: DataFrame, owner: DataFrame) -> DataFrame:
+    """messages with sender and recipients: the owner sends what goes out, the `from` address (or the only other one) what comes in; recipients are distinct (key, role)."""
     from threadloom.functions.normalize import address_key
 
     mine = owner.agg(F.max("key").alias("_owner"))
@@ -41,7 +41,12 @@ def senders(messages: DataFrame, owner: DataFrame) -> DataFrame:
     first = F.get(F.filter("_a", lambda a: a["role"] == "from"), F.lit(0))["key"]
     others = F.array_distinct(F.transform(F.filter("_a", lambda a: ~a["key"].eqNullSafe(F.col("_owner"))), lambda a: a["key"]))
     sender = F.when(F.col("direction").isin("outgoing", "draft"), F.coalesce("_owner", first)).otherwise(F.coalesce(first, F.when(F.size(others) == 1, others[0])))
-    return m.select("id", sender.alias("sender"), F.array_distinct(F.filter("_a", lambda a: a["role"] != "from")).alias("recipients"))
+    return m.select(*messages.columns, sender.alias("sender"), F.array_distinct(F.filter("_a", lambda a: a["role"] != "from")).alias("recipients"))
+
+
+def senders(messages: DataFrame, owner: DataFrame) -> DataFrame:
+    """(id, sender, recipients) by `with_senders`."""
+    return with_senders(messages, owner).select("id", "sender", "recipients")
 
 
 def merge_contacts(arrived: DataFrame, stored: DataFrame) -> DataFrame:

@@ -60,14 +60,17 @@ def load(store: Store, records: DataFrame, source: str, sha256: str, native: str
     if files is not None and files.filter(F.col("sha256") == sha256).limit(1).count():
         return store
     rows = kept(records if "lang" in records.columns else records.withColumn("lang", N.language(F.col("body"))))
-    owner = kept(identity.find_owner(rows))
+    owner = kept(threads.owner_key(rows))
+    if owner.isEmpty():  # as find_owner, which would look at the company in any case
+        owner = kept(identity.owner_by_company(rows))
     contacts, identifiers = _people(store, rows, owner)
-    assigned = threads.assign_threads(rows, owner).join(identity.senders(rows, owner).select("id", "sender"), "id")
-    arrived = kept(threads.dedup_keys(assigned, "thread_key", native=native).withColumn("source_file", F.lit(source)).select(*STORED, "id"))
+    own = rows.filter("id is not null")
+    assigned = threads.assign_threads(identity.with_senders(own, owner), owner)
+    arrived = threads.dedup_keys(assigned, "thread_key", native=native).withColumn("source_file", F.lit(source)).select(*STORED, "id")
     stored = store.read("messages")
-    none = arrived.limit(0)
-    fresh = kept(threads.new_messages(arrived, none if stored is None else stored).select(*STORED))
-    every = fresh if stored is None else stored.unionByName(fresh)
-    n, new = arrived.count(), fresh.count()
+    # What is new is written once, as the store's own rows; counts and threads are taken from there.
+    fresh = store.stage("messages", threads.new_messages(arrived, arrived.limit(0) if stored is None else stored).select(*STORED))
+    every = store.staged(fresh) if stored is None else stored.unionByName(store.staged(fresh))
+    n, new = own.count(), store.staged(fresh).count()
     log = store.spark.createDataFrame([(source, sha256, n, new, n - new)], "source_file string, sha256 string, records long, new long, known long")
     return store.commit(replace={"contacts": contacts, "identifiers": identifiers, "threads": thread_rows(every)}, append={"messages": fresh, "files": log})

@@ -74,5 +74,6 @@ def dedup_keys(messages: DataFrame, counterpart: str, body: str = "body", native
 
 def new_messages(arrived: DataFrame, stored: DataFrame) -> DataFrame:
     """Of arrived messages, for each dedup_key that isn't stored yet the first: the one of the smallest id."""
-    first = arrived.groupBy("dedup_key").agg(F.min_by(F.struct(*arrived.columns), "id").alias("_m")).select("_m.*")
+    nth = F.row_number().over(Window.partitionBy("dedup_key").orderBy(F.col("id").asc_nulls_last()))
+    first = arrived.withColumn("_nth", nth).filter("_nth = 1")
     return first.join(stored.select("dedup_key"), "dedup_key", "left_anti").select(*arrived.columns)
