@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -173,6 +174,50 @@ def test_fragments_never_miss():
         assert len(np.intersect1d(one, two))
 
 
+def test_sets_that_share_a_little_are_no_candidates():
+    sizes, rng, frequent = ngram_join.Sizes.of(80), np.random.default_rng(4), np.zeros(0, dtype=np.uint64)
+    draw = lambda n: np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+    met = 0
+    for _ in range(600):
+        both = draw(3)
+        a, b = (set(ngram_join.signatures(np.sort(np.concatenate([both, draw(300)])), frequent, sizes).tolist()) for _ in range(2))
+        met += bool(a & b)
+        # As many as linked sets differ in, and one, for the own class and the one below.
+        c = sizes.of_size(303)
+        assert len(a) == sizes.differ(c) + sizes.differ(c - 1) + 2
+    assert met <= 6  # 27, were single n-grams signatures
+    # The smallest fragments may be those of one set or of the other: linked sets meet nevertheless, with frequent n-grams or without.
+    for n in (12, 40, 90, 303, 900):
+        for share in (0, 0.3, 0.8, 1):
+            for _ in range(20):
+                a = draw(n)
+                gone = rng.permutation(n)[: n // 10]
+                b = np.sort(np.concatenate([np.delete(a, gone), draw(n // 10)]))
+                assert 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+                known = np.sort(rng.permutation(a)[: int(share * n)])
+                assert set(ngram_join.signatures(a, known, sizes).tolist()) & set(ngram_join.signatures(b, known, sizes).tolist())
+
+
+def test_dedup_leaves_little_on_disk(spark, texts):
+    """Work tables that hold n-grams or hashes of texts go once nothing reads them."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    folder = common.shared_dir(spark).removeprefix("file://")
+    for make in (lambda: ngram_join.join_sets(docs, 5, 80), lambda: suffix_dedup.spans(docs)):
+        before = set(os.listdir(folder))
+        rows = make()
+        left = {n.rpartition("-")[0] for n in set(os.listdir(folder)) - before}
+        assert left and not left & {"met", "candidate-sets", "wanted", "stretches"}
+        assert rows.count()
+
+
+def test_cuts_beyond_a_broadcast(spark, texts, monkeypatch):
+    cut = lambda: sorted(map(tuple, suffix_dedup.cut_repeats(frame(spark, texts)).select("doc_id", "text", "n_chars").collect()))
+    few = cut()
+    for module in (common, suffix_dedup):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    assert cut() == few and few
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (5, 5), (None, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))

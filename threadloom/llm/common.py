@@ -71,6 +71,11 @@ def discard(*tables: DataFrame) -> None:
         delete(t.sparkSession, t._work_path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of actions that are over, as it does once the driver's garbage is collected: a driver with room to spare seldom does that by itself."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def begin_stage(spark: SparkSession) -> None:
     """Delete the work tables of the stage before, whose rows are written by now, and collect garbage.
 
@@ -78,7 +83,7 @@ def begin_stage(spark: SparkSession) -> None:
     Python workers need. A task a core and a spare reach each of them.
     """
     delete(spark, *_made.pop(spark.sparkContext.applicationId, []))
-    spark.sparkContext._jvm.java.lang.System.gc()
+    drop_shuffles(spark)
     tasks = 2 * spark.sparkContext.defaultParallelism
     spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
 

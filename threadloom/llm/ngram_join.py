@@ -9,12 +9,17 @@ N-grams of many documents (a shared passage) are left out of the fragments that
 remain; this changes which pairs are candidates, never which link: with k fragments of which at most k - d - 1 are
 empty, some equal fragment isn't empty. Documents that have too few others ("poor") also give fragments of their whole
 sets, and empty ones where these are too many: two poor documents meet there, and any other pair has met already.
+
+Of the k fragments the k - d - 1 of the fewest n-grams are left out too, in an order that their content alone gives: of
+more fragments that are equal in both sets, no more than these lie below the place where either set begins. A single
+n-gram that two texts share by chance thus makes no candidates, however large the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import bounded_join, keyed, map_rows, unused, work_table
+from threadloom.llm.common import bounded_join, discard, drop_shuffles, keyed, map_rows, unused, work_table
 from threadloom.llm.components import components
 from threadloom.llm.words import WHITE, distinct, grams, mix, runs
 
@@ -37,6 +42,8 @@ BLOCK, COLUMNS = 256, 4096
 #: Small candidate groups that are compared in one call, about.
 TOGETHER = 256
 SALTS = 16
+#: Signatures are met in so many passes over the texts, as they take more room than these.
+PASSES = 2
 #: Stands for groups too small for blocks of their own.
 POOL = -(1 << 63)
 
@@ -73,17 +80,23 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def fragment_signatures(found: np.ndarray, k: int, salt: int, empty: bool) -> tuple[np.ndarray, int]:
-    """(signatures of a sorted set's fragments, how many are empty); the empty ones only if asked for."""
+def fragment_signatures(found: np.ndarray, k: int, salt: int, room: int, empty: bool) -> tuple[np.ndarray, int]:
+    """(signatures of a sorted set's k fragments without the `room` smallest, how many are empty).
+
+    If more than `room` are empty, all others are given; the empty ones too only if asked for.
+    """
     place = ((found >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(found), dtype=np.uint64)])
         cuts = np.searchsorted(place, np.arange(k + 1, dtype=np.uint64))
         content = total[cuts[1:]] - total[cuts[:-1]]
-        some = cuts[1:] > cuts[:-1]
-        use = np.arange(k) if empty else np.flatnonzero(some)
-        key = np.uint64(salt) * np.uint64(0xD6E8FEB86659FD93) + use.astype(np.uint64)
-        return mix(content[use] + mix(key)), k - int(some.sum())
+        size = np.diff(cuts)
+        none = k - int(np.count_nonzero(size))
+        key = np.uint64(salt) * np.uint64(0xD6E8FEB86659FD93) + np.arange(k, dtype=np.uint64)
+        out = mix(content + mix(key))
+    if none > room:
+        return (out if empty else out[size > 0]), none
+    return out[np.lexsort((out, size))[room:]], none
 
 
 def signatures(found: np.ndarray, frequent: np.ndarray, sizes: Sizes) -> np.ndarray:
@@ -97,11 +110,10 @@ def signatures(found: np.ndarray, frequent: np.ndarray, sizes: Sizes) -> np.ndar
     own, out = sizes.of_size(n), []
     for c in (own, own - 1) if own else (own,):
         k, room = sizes.fragments(c), sizes.fragments(c) - sizes.differ(c) - 1
-        got, none = fragment_signatures(rare, k, 2 * c, False)
+        got, none = fragment_signatures(rare, k, 2 * c, room, False)
         out.append(got)
         if none > room:
-            _, none = fragment_signatures(found, k, 2 * c + 1, False)
-            out.append(fragment_signatures(found, k, 2 * c + 1, none > room)[0])
+            out.append(fragment_signatures(found, k, 2 * c + 1, room, True)[0])
     return np.concatenate(out)
 
 
@@ -203,7 +215,7 @@ def _join_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
     known = frequent.orderBy(F.desc("n"), "set").limit(KNOWN).select("set").toPandas()["set"].to_numpy(dtype=np.int64)
     shared = spark.sparkContext.broadcast(np.sort(known.view(np.uint64)))  # at most KNOWN numbers: 8 MB
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def cut(batches: Iterator[pa.RecordBatch], nth: int) -> Iterator[dict]:
         seen: set[int] = set()
         for b in batches:
             sig, own = [], []
@@ -213,7 +225,8 @@ def _join_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
                 if not len(found) or name in seen:
                     continue
                 seen.add(name)
-                sig.append(signatures(found, shared.value, sizes))
+                every = signatures(found, shared.value, sizes)
+                sig.append(every[every % np.uint64(PASSES) == nth])
                 own.append(np.full(len(sig[-1]), name))
                 size += len(sig[-1])
                 if size > 200_000:
@@ -231,8 +244,13 @@ def _join_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
                 u, v = pd.DataFrame({"u": own[meet], "v": own[meet + 1]}).drop_duplicates().to_numpy().T
                 yield {"u": u, "v": v}
 
-    cuts = map_rows(texts.select("key", "text"), cut, "sig long, set long").repartition("sig").sortWithinPartitions("sig", "set")
-    near = components(map_rows(cuts, chain, "u long, v long"))
+    met = []
+    for nth in range(PASSES):
+        cuts = map_rows(texts.select("key", "text"), partial(cut, nth=nth), "sig long, set long").repartition("sig").sortWithinPartitions("sig", "set")
+        met.append(work_table(map_rows(cuts, chain, "u long, v long"), "met"))
+        drop_shuffles(spark)
+    near = components(reduce(DataFrame.unionByName, met))
+    discard(*met)
 
     # Candidates' sets are made anew from the text of one row each.
     sets = profiles.filter("not gram and n_shingles > 0").groupBy("set", "n_shingles").agg(F.min("doc_id").alias("first"), F.min("key").alias("held_by"), F.count(F.lit(1)).alias("rows"))
@@ -267,7 +285,8 @@ def _join_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
                 if _digest(found) == expected[i]:
                     yield {"set": [expected[i]], "grams": [signed(found)]}
 
-    held = work_table(map_rows(rows.select("key", "text", "set"), hashes, "set long, grams array<long>"), "candidate-sets").dropDuplicates(["set"])
+    held = work_table(map_rows(rows.select("key", "text", "set"), hashes, "set long, grams array<long>"), "candidate-sets")
+    drop_shuffles(spark)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -292,10 +311,11 @@ def _join_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
         return pd.DataFrame({"u": u, "v": v})
 
     def found(tasks: DataFrame) -> DataFrame:
-        work = tasks.join(held, "set").withColumn("chunk", F.when(F.col("task").isNull(), F.col("chain")))
+        work = bounded_join(held, tasks, ["set"], rows=4 * tasks.count()).withColumn("chunk", F.when(F.col("task").isNull(), F.col("chain")))  # of four times the numbers
         return work.groupBy("task", "chunk", "level", "part", "l2", "p2").applyInPandas(compare, "u long, v long")
 
     first = work_table(found(tasks), "links")
+    drop_shuffles(spark)
     if large.isEmpty():
         links = components(first)
     else:
@@ -316,8 +336,10 @@ def _join_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
         reach = bounded_join(cross, others, ["chain"]).filter((F.abs(F.col("level") - F.col("l2")) <= 1) & ((F.col("own") != F.col("own2")) | (F.col("own") == POOL)))
         low = F.struct("level", "part") <= F.struct("l2", "p2")
         pick = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
-        pairs = reach.select("set", "chain", pick("level", "l2").alias("level"), pick("part", "p2").alias("part"), F.lit(None).cast("long").alias("task"), pick("l2", "level").alias("l2"), pick("p2", "part").alias("p2"), (~low).alias("second"))
+        pairs = work_table(reach.select("set", "chain", pick("level", "l2").alias("level"), pick("part", "p2").alias("part"), F.lit(None).cast("long").alias("task"), pick("l2", "level").alias("l2"), pick("p2", "part").alias("p2"), (~low).alias("second")), "pairs")
         links = components(first.unionByName(found(pairs)))
+    discard(held)
+    drop_shuffles(spark)
 
     grouped = sets.join(links.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     smallest = grouped.groupBy("comp").agg(F.min("first").alias("component_id"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import keyed, map_rows, unused, work_table
+from threadloom.llm.common import BROADCAST_ROWS, bounded_join, discard, drop_shuffles, keyed, map_rows, unused, work_table
 from threadloom.llm.words import WHITE, Run, grams, mix, runs
 
 LEAST = 50
@@ -123,10 +123,12 @@ def _spans(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     places = chosen.filter("gram is not null").select("body", F.col("n").alias("pos"), "gram")
     repeated = places.groupBy("gram").agg(*[f(c).alias(f.__name__ + c) for f in (F.min, F.max) for c in ("body", "pos")], F.count(F.lit(1)).alias("n")).filter("minbody <> maxbody or minpos <> maxpos")
     repeated = work_table(repeated.select("gram", "n"), "repeated")
+    drop_shuffles(documents.sparkSession)
     # Grams of more than one place in HOT are at most HOT: they are broadcast, so that none gathers in one task.
     hot = F.broadcast(repeated.filter(F.col("n") * HOT > places.count()).select("gram"))
     kept = places.join(hot, "gram", "left_semi").unionByName(places.join(hot, "gram", "left_anti").join(repeated.select("gram"), "gram", "left_semi"))
-    wanted = kept.groupBy("body").agg(F.collect_set("gram").alias("grams")).join(bodies, "body")
+    wanted = work_table(kept.groupBy("body").agg(F.collect_set("gram").alias("grams")).join(bodies, "body").select("key", "body", "grams"), "wanted")
+    drop_shuffles(documents.sparkSession)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         done: set[int] = set()
@@ -142,12 +144,18 @@ def _spans(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
                     if len(at):
                         yield {"key": key, "first": np.full(len(at), ids[run.first + i].as_py()), "body": np.full(len(at), own), "pos": at}
 
-    joined = texts.join(wanted.select("key", "body", "grams"), "key").select("doc_id", "text", "body", "grams")
+    # Texts without repeated grams stay where they are, unless the others are too many to be broadcast by key.
+    some = bounded_join(texts, wanted.select("key"), ["key"], "left_semi")
+    joined = some.join(wanted, "key").select("doc_id", "text", "body", "grams")
     # Range partitions of the sort are found by a sample of this table, so it is written first. Repeated rows of one text fall together.
     table = work_table(map_rows(joined, hashes, "key long, first long, body long, pos long"), "stretches")
+    discard(wanted)
+    drop_shuffles(documents.sparkSession)
     order = ["key", "first", "body", "pos"]
     found = work_table(map_rows(table.repartitionByRange(*order).sortWithinPartitions(*order), lambda batches: _holders(batches, least), HOLDERS), "holders")
 
+    discard(table)
+    drop_shuffles(documents.sparkSession)
     # A stretch's holders may cross partitions: of each only its first and its last row reach the driver.
     carried, extra = _across(found.filter("edge is not null").collect(), least)
     spark = documents.sparkSession
@@ -256,10 +264,12 @@ def cut_repeats(documents: DataFrame, least: int = LEAST, key: str | None = None
     found, rows_of = _spans(keyed_rows.select(F.col(own_key).alias("key"), "doc_id", "text"), least)
     gone = found.filter("removable").groupBy("doc_id", "body").agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("cut"))
     gone = work_table(rows_of.join(gone, ["doc_id", "body"]).select(F.col("key").alias("_cut_key"), "cut"), "cuts")
+    drop_shuffles(documents.sparkSession)
+    few = (gone.agg(F.sum(F.size("cut"))).first()[0] or 0) <= BROADCAST_ROWS
     names = [f"_{i}" for i in range(len(keyed_rows.columns))]
     text, at = (names[keyed_rows.columns.index(c)] for c in ("text", own_key))
     renamed = keyed_rows.toDF(*names)
-    joined = renamed.join(gone, renamed[at] == gone["_cut_key"], "left").select(*names, "cut")
+    joined = renamed.join(F.broadcast(gone) if few else gone, renamed[at] == gone["_cut_key"], "left").select(*names, "cut")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
